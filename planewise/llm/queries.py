@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from planewise.llm import bpe, hashtree, htmltext, isolation, linededup, matroska, packing, urlfilter
+from planewise.llm import bpe, hashtree, htmltext, isolation, linededup, matroska, packing, simhash, surrogates, urlfilter
 from planewise.llm.common import table
 
 SHARDS = 24
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.surrogates(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -42,12 +46,17 @@ def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashtree.place(table(spark, sf_dir, "documents"), tree, hashtree.grown(tree))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_surrogates": op1_surrogates,
         "op2_bpe": op2_bpe,
         "op3_packing": op3_packing,
         "op4_matroska": op4_matroska,
@@ -55,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filter": op6_url_filter,
         "op7_html_text": op7_html_text,
         "op8_hash_tree": op8_hash_tree,
+        "op9_simhash": op9_simhash,
         "op10_quality_rules": op10_quality_rules,
     }
 
