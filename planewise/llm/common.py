@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,8 +42,26 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED = "planewise.shipped"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session, so that they need no installation."""
+    context = spark.sparkContext
+    if context.getLocalProperty(_SHIPPED) == context.applicationId:
+        return
+    root = Path(__file__).resolve().parents[1]
+    staged = os.path.join(tempfile.mkdtemp(prefix="planewise-"), f"{root.name}.zip")  # read by the driver's file server only
+    with zipfile.ZipFile(staged, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(staged)
+    context.setLocalProperty(_SHIPPED, context.applicationId)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over as many partitions as there are cores, if it has fewer (one small file)."""
+    """``df`` for work in Python: over as many partitions as there are cores, if it has fewer (one small file)."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
