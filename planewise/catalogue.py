@@ -1,9 +1,398 @@
-"""All queries of the engine's own operators."""
+"""All queries of the engine's own operators, with the same results as DuckDB SQL where SQL can say them."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from planewise.functions import vectors
+from planewise.functions.metrics import REGISTRY
+from planewise.operators import diagnostics, moments, neighbors, pairs, projection, selection
+from planewise.operators.neighbors import result
+from planewise.plans import bases, catalog, rashomon, tours
+from planewise.sources import tables
+from planewise.sources.tables import ACTIVITIES, BELIEFS, EMBEDDINGS, FEW_MIXES, MIXES
+
+Query = Callable[[SparkSession, str], DataFrame]
+K = 5
+PLANE = (0, 1)
+PLANES = ((0, 1), (2, 3), (4, 5))
+LABELLED_DIMENSION = 5
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _register(name: str, query: Query, oracle: str | None = None) -> None:
+    _QUERIES[name] = query
+    if oracle:
+        _ORACLES[name] = oracle
+
+
+def _r(sql: str, places: int = 6) -> str:
+    return f"(round({sql}, {places}) + 0.0)"
+
+
+def _long(df: DataFrame, vec: Column, name: str = "value") -> DataFrame:
+    """(object_id, k, value) of a vector column, so that results are plain rows."""
+    return df.select("object_id", F.posexplode(vec).alias("k", name)).withColumn(name, result(F.col(name)))
+
+
+def _long_sql(view: tables.View, expression: str) -> str:
+    return f"WITH {view.sql}, t AS (SELECT object_id, {expression} AS t FROM v) SELECT object_id, CAST(k - 1 AS INTEGER) AS k, {_r('t[k]')} AS value FROM t, unnest(range(1, {view.dimension + 1})) AS u(k)"
+
+
+_CLR = """list_transform([list_transform(vec, lambda x: ln(CASE WHEN x = 0 THEN 1e-6 ELSE x * (1.0 - 1e-6 * len(list_filter(vec, lambda y: y = 0))) END))], lambda l: list_transform(l, lambda x: x - list_sum(l) / len(l)))[1]"""
+_ROOT = "list_transform(vec, lambda x: sqrt(greatest(x, 0)))"
+
+
+# -- representations ---------------------------------------------------------------------------
+
+_register("rep_softmax", lambda s, d: _long(tables.beliefs(s, d), F.col("vec")), _long_sql(BELIEFS, "vec"))
+_register("rep_sqrt", lambda s, d: _long(tables.mixes(s, d), vectors.sqrt_probability(F.col("vec"))), _long_sql(MIXES, _ROOT))
+_register("rep_logit", lambda s, d: _long(tables.mixes(s, d), vectors.logit(F.col("vec"))), _long_sql(MIXES, "list_transform(vec, lambda x: ln(least(greatest(x, 1e-6), 1 - 1e-6) / (1.0 - least(greatest(x, 1e-6), 1 - 1e-6))))"))
+_register("rep_clr_zero_replaced", lambda s, d: _long(tables.mixes(s, d), vectors.clr(F.col("vec"))), _long_sql(MIXES, _CLR))
+_register("rep_renormalize", lambda s, d: _long(tables.activities(s, d), vectors.renormalize(F.transform("vec", lambda x: x * 3.0))), _long_sql(ACTIVITIES, "list_transform(vec, lambda x: 3.0 * x / list_sum(list_transform(vec, lambda y: 3.0 * y)))"))
+
+_BITS = "-list_sum(list_transform(vec, lambda x: CASE WHEN x > 0 THEN x * log2(x) ELSE 0 END))"
+_register("entropy_bits", lambda s, d: tables.mixes(s, d).select("object_id", result(vectors.entropy(F.col("vec"))).alias("entropy")), f"WITH {MIXES.sql} SELECT object_id, {_r(_BITS)} AS entropy FROM v")
+_NATS = "-list_sum(list_transform(vec, lambda x: x * ln(greatest(x, 1e-12))))"
+_register("entropy_nats", lambda s, d: tables.beliefs(s, d).select("object_id", result(vectors.entropy(F.col("vec"), "nats")).alias("entropy")), f"WITH {BELIEFS.sql} SELECT object_id, {_r(_NATS)} AS entropy FROM v")
+
+CLASS_NAMES = [f"class_{k}" for k in range(10)]
+
+
+def _predicted(s: SparkSession, d: str) -> DataFrame:
+    v = tables.beliefs(s, d)
+    return v.select("object_id", "vec", "label", vectors.argmax_label(F.col("vec"), CLASS_NAMES).alias("predicted_label"), vectors.confidence(F.col("vec")).alias("confidence"))
+
+
+_PREDICTED = f"{BELIEFS.sql}, p AS (SELECT *, 'class_' || (list_position(vec, list_max(vec)) - 1) AS predicted_label, list_max(vec) AS confidence FROM v)"
+_register("argmax_confidence", lambda s, d: _predicted(s, d).select("object_id", "predicted_label", result(F.col("confidence")).alias("confidence")), f"WITH {_PREDICTED} SELECT object_id, predicted_label, {_r('confidence')} AS confidence FROM p")
+_register("correct_flag", lambda s, d: _predicted(s, d).select("object_id", vectors.correct(F.col("label"), F.col("predicted_label")).alias("correct")), f"WITH {_PREDICTED} SELECT object_id, coalesce(label = predicted_label AND label <> 'ambiguous', false) AS correct FROM p")
+_register(
+    "label_coalesce",
+    lambda s, d: _predicted(s, d).select("object_id", vectors.label(F.lit(""), F.lit(None).cast("string"), F.when(F.col("confidence") > 0.5, F.col("label")), F.col("predicted_label"), vectors.argmax(F.col("vec"))).alias("label")),
+    f"WITH {_PREDICTED} SELECT object_id, coalesce(nullif('', ''), CASE WHEN confidence > 0.5 THEN label END, predicted_label) AS label FROM p",
+)
+_register("label_encoding", lambda s, d: selection.label_codes(tables.embeddings(s, d)), f"WITH {EMBEDDINGS.sql} SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT label FROM v)")
+_register("class_hues", lambda s, d: tables.embeddings(s, d).select("label").distinct().select("label", vectors.colour_hue(F.col("label")).alias("hue")), f"WITH {EMBEDDINGS.sql} SELECT label, CAST(list_reduce(list_prepend(0::BIGINT, list_transform(range(0, 4), lambda k: ('0x' || substr(md5(label), 8 * k + 1, 8))::BIGINT)), lambda a, b: (a * 256 + b) % 360) AS INTEGER) AS hue FROM (SELECT DISTINCT label FROM v)")
+
+# -- distances ---------------------------------------------------------------------------------
+
+#: (view, reader, DuckDB form over prepared vectors a and b, DuckDB preparation) of each metric.
+_DISTANCES = {
+    "euclidean": ("list_distance(a.w, b.w)", "vec"),
+    "hellinger": ("least(list_distance(a.w, b.w) / sqrt(2.0), 1.0)", _ROOT),
+    "fisher_rao": ("2.0 * acos(least(1.0, greatest(-1.0, list_dot_product(a.w, b.w))))", _ROOT),
+    "aitchison": ("list_distance(a.w, b.w)", _CLR),
+    "jensen_shannon": ("least(1.0, sqrt(greatest(0.0, list_sum(list_transform(range(1, len(a.w) + 1), lambda k: CASE WHEN a.w[k] > 0 THEN 0.5 * a.w[k] * log2(2 * a.w[k] / (a.w[k] + b.w[k])) ELSE 0 END + CASE WHEN b.w[k] > 0 THEN 0.5 * b.w[k] * log2(2 * b.w[k] / (a.w[k] + b.w[k])) ELSE 0 END)))))", "vec"),
+    "bhattacharyya": ("acos(least(1.0, greatest(-1.0, list_dot_product(a.w, b.w))))", _ROOT),
+}
+_VIEW_OF = {"euclidean": (ACTIVITIES, tables.activities), "hellinger": (ACTIVITIES, tables.activities), "fisher_rao": (BELIEFS, tables.beliefs), "aitchison": (FEW_MIXES, lambda s, d: tables.mixes(s, d, 400)), "jensen_shannon": (FEW_MIXES, lambda s, d: tables.mixes(s, d, 400)), "bhattacharyya": (BELIEFS, tables.beliefs)}
+
+
+def _space(reader: Query, dimension: int, metric: str, plane: tuple[int, int] | None = None) -> Callable[[SparkSession, str], pairs.Space]:
+    def run(s: SparkSession, d: str) -> pairs.Space:
+        xy = (F.col("vec")[plane[0]], F.col("vec")[plane[1]]) if plane else None
+        return pairs.space(reader(s, d), "vec", dimension, REGISTRY.compatible(metric, "probability"), xy)
+
+    return run
+
+
+def _pairs_sql(view: tables.View, metric: str, condition: str = "a.object_id <> b.object_id", plane: tuple[int, int] | None = None) -> str:
+    form, prepared = _DISTANCES[metric]
+    flat = f", sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS l" if plane else ""
+    xy = f", vec[{plane[0] + 1}] AS x, vec[{plane[1] + 1}] AS y" if plane else ""
+    return f"WITH {view.sql}, w AS (SELECT object_id, {prepared} AS w{xy} FROM v), pr AS (SELECT a.object_id AS i, b.object_id AS j, {form} AS h{flat} FROM w a, w b WHERE {condition})"
+
+
+def _register_metric(metric: str) -> None:
+    view, reader = _VIEW_OF[metric]
+    of = _space(reader, view.dimension, metric)
+    _register(f"dist_{metric}", lambda s, d: pairs.pairs(of(s, d), unordered=True).select("i", "j", result(F.col("h")).alias("distance")), f"{_pairs_sql(view, metric, 'a.object_id < b.object_id')} SELECT i, j, {_r('h')} AS distance FROM pr")
+    _register(
+        f"knn_{metric}",
+        lambda s, d: neighbors.knn(pairs.pairs(of(s, d)), K),
+        f"{_pairs_sql(view, metric)} SELECT i AS src_id, j AS neighbor_id, CAST(rank AS INTEGER) AS rank, {_r('h')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(h, 9), j) AS rank FROM pr) WHERE rank <= {K}",
+    )
+
+
+for _m in _DISTANCES:
+    _register_metric(_m)
+
+_register(
+    "knn_raw_embeddings",
+    lambda s, d: neighbors.knn(pairs.pairs(_space(tables.embeddings, 64, "euclidean")(s, d)), K),
+    f"{_pairs_sql(EMBEDDINGS, 'euclidean')} SELECT i AS src_id, j AS neighbor_id, CAST(rank AS INTEGER) AS rank, {_r('h')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(h, 9), j) AS rank FROM pr) WHERE rank <= {K}",
+)
+_register(
+    "knn_target_pushdown",
+    lambda s, d: neighbors.knn_of(pairs.pairs(_space(tables.beliefs, 10, "fisher_rao")(s, d), target="vec_000007"), K),
+    f"{_pairs_sql(BELIEFS, 'fisher_rao')} SELECT i AS src_id, j AS neighbor_id, {_r('h')} AS distance FROM pr WHERE i = 'vec_000007' ORDER BY round(h, 9), j LIMIT {K}",
+)
+
+
+def _cross_sets(s: SparkSession, d: str) -> DataFrame:
+    metric = REGISTRY.get("hellinger")
+    a = pairs.space(tables.activities(s, d), "vec", 5, metric)
+    b = pairs.space(tables.mixes(s, d, 100), "vec", 5, metric)
+    return pairs.pairs(a, other=b).select("i", "j", result(F.col("h")).alias("distance"))
+
+
+_register("dist_cross_sets", _cross_sets, f"""WITH RECURSIVE {ACTIVITIES.sql.replace('e AS', 'ea AS').replace('FROM e WHERE', 'FROM ea WHERE').replace('v AS', 'va AS')},
+{FEW_MIXES.sql.replace('400', '100').replace('e AS', 'eb AS', 1).replace('FROM e WHERE', 'FROM eb WHERE').replace('v AS', 'vb AS')},
+a AS (SELECT object_id, {_ROOT} AS w FROM va), b AS (SELECT object_id, {_ROOT} AS w FROM vb)
+SELECT a.object_id AS i, b.object_id AS j, {_r(_DISTANCES['hellinger'][0])} AS distance FROM a, b""")
+_register(
+    "rank_matrix_topn",
+    lambda s, d: neighbors.both_ranks(pairs.pairs(_space(tables.activities, 5, "hellinger", PLANE)(s, d))).where("rh <= 20").select("i", "j", "rh", "rl"),
+    f"{_pairs_sql(ACTIVITIES, 'hellinger', plane=PLANE)} SELECT i, j, CAST(rh AS INTEGER) AS rh, CAST(rl AS INTEGER) AS rl FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(h, 9), j) AS rh, row_number() OVER (PARTITION BY i ORDER BY round(l, 9), j) AS rl FROM pr) WHERE rh <= 20",
+)
+
+# -- projections -------------------------------------------------------------------------------
+
+
+def _axis_plane(dimension: int, plane: tuple[int, int]) -> np.ndarray:
+    b = np.zeros((dimension, 2))
+    b[plane[0], 0] = b[plane[1], 1] = 1.0
+    return b
+
+
+def _xy(df: DataFrame) -> DataFrame:
+    return projection.rounded(df.select("object_id", "x", "y"), "x", "y")
+
+
+def _centred(s: SparkSession, d: str) -> DataFrame:
+    v = tables.embeddings(s, d)
+    return _xy(projection.project(v, _axis_plane(64, PLANE), centre=projection.column_means(v, 64)))
+
+
+_register("project_axis_plane", lambda s, d: _xy(projection.project(tables.embeddings(s, d), _axis_plane(64, PLANE))), f"WITH {EMBEDDINGS.sql} SELECT object_id, {_r('vec[1]')} AS x, {_r('vec[2]')} AS y FROM v")
+_register("project_centered", _centred, f"WITH {EMBEDDINGS.sql} SELECT object_id, {_r('vec[1] - avg(vec[1]) OVER ()')} AS x, {_r('vec[2] - avg(vec[2]) OVER ()')} AS y FROM v")
+
+
+def _bridge(s: SparkSession, d: str) -> DataFrame:
+    four = tables.activities(s, d).withColumn("vec", vectors.renormalize(F.transform(F.slice("vec", 1, 4), lambda x: x + 0.01)))
+    return _xy(projection.project(four, bases.bridge_plane(4)))
+
+
+_FOUR = "list_transform([list_transform(vec[1:4], lambda x: x + 0.01)], lambda l: list_transform(l, lambda x: x / list_sum(l)))[1]"
+_register("project_bridge", _bridge, f"WITH {ACTIVITIES.sql}, f AS (SELECT object_id, {_FOUR} AS p FROM v) SELECT object_id, {_r('(p[1] + p[2]) * sqrt(0.5)')} AS x, {_r('(p[3] + p[4]) * sqrt(0.5)')} AS y FROM f")
+_register("zscore", lambda s, d: _long(projection.zscore(tables.activities(s, d), 5), F.col("z")), f"WITH {ACTIVITIES.sql}, m AS (SELECT object_id, vec[k] AS x, k FROM v, unnest(range(1, 6)) AS u(k)) SELECT object_id, CAST(k - 1 AS INTEGER) AS k, {_r('(x - avg(x) OVER (PARTITION BY k)) / CASE WHEN stddev_pop(x) OVER (PARTITION BY k) < 1e-8 THEN 1 ELSE stddev_pop(x) OVER (PARTITION BY k) END')} AS value FROM m")
+
+
+def _minmax(s: SparkSession, d: str) -> DataFrame:
+    framed = projection.frames(tables.activities(s, d), [_axis_plane(5, p) for p in ((0, 1), (2, 3))])
+    return projection.rounded(projection.minmax(framed), "x", "y")
+
+
+_register("minmax_frames", _minmax, f"WITH {ACTIVITIES.sql}, f AS (SELECT CAST(f AS INTEGER) AS frame, object_id, vec[2 * f + 1] AS x, vec[2 * f + 2] AS y FROM v, unnest(range(0, 2)) AS u(f)) SELECT frame, object_id, {_r('2 * (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) - 1')} AS x, {_r('2 * (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) - 1')} AS y FROM f")
+_register("isotropic_view", lambda s, d: projection.rounded(projection.isotropic(projection.project(tables.activities(s, d), _axis_plane(5, PLANE))).select("object_id", "x", "y"), "x", "y"), f"WITH {ACTIVITIES.sql}, b AS (SELECT object_id, vec[1] AS x, vec[2] AS y FROM v), r AS (SELECT (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, greatest(max(x) - min(x), max(y) - min(y)) / 2 AS half FROM b) SELECT object_id, {_r('(x - cx) / half')} AS x, {_r('(y - cy) / half')} AS y FROM b, r")
+
+# -- neighbourhoods and diagnostics ----------------------------------------------------------------
+
+_viewed = _space(tables.beliefs, 10, "fisher_rao", PLANE)
+_RANKS = f"{_pairs_sql(BELIEFS, 'fisher_rao', plane=PLANE)}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(h, 9), j) AS rh, row_number() OVER (PARTITION BY i ORDER BY round(l, 9), j) AS rl FROM pr)"
+_CLASSES = f"{_RANKS}, c AS (SELECT i AS src_id, j AS neighbor_id, CASE WHEN rh <= {K} AND rl <= {K} THEN 'preserved' WHEN rh <= {K} THEN 'torn' ELSE 'false' END AS class, CAST(rh AS INTEGER) AS source_rank, CAST(rl AS INTEGER) AS view_rank FROM r WHERE rh <= {K} OR rl <= {K})"
+
+
+def _classes(s: SparkSession, d: str) -> DataFrame:
+    return neighbors.classes(neighbors.both_ranks(pairs.pairs(_viewed(s, d))), K)
+
+
+_register("neighbor_classes", _classes, f"{_CLASSES} SELECT * FROM c")
+_COUNTS = "count(*) FILTER (WHERE class = 'preserved') AS preserved, count(*) FILTER (WHERE class = 'torn') AS torn, count(*) FILTER (WHERE class = 'false') AS false_neighbors"
+_share = lambda a, b: _r(f"CASE WHEN {b} = 0 THEN 1.0 ELSE 1.0 * {a} / ({b}) END")
+_register("neighbor_precision_recall", lambda s, d: neighbors.precision_recall(_classes(s, d)), f"{_CLASSES}, n AS (SELECT src_id, {_COUNTS} FROM c GROUP BY src_id) SELECT *, {_share('preserved', '(preserved + false_neighbors)')} AS precision, {_share('preserved', '(preserved + torn)')} AS recall, {_share('preserved', '(preserved + torn + false_neighbors)')} AS jaccard FROM n")
+_register("topology_edges", lambda s, d: neighbors.topology(_classes(s, d)), f"{_CLASSES} SELECT src_id AS source, neighbor_id AS target, class AS type FROM (SELECT *, row_number() OVER (PARTITION BY least(src_id, neighbor_id), greatest(src_id, neighbor_id), class ORDER BY src_id, CASE WHEN class = 'false' THEN view_rank ELSE source_rank END, neighbor_id) AS n FROM c) WHERE n = 1")
+
+
+def _target_classes(s: SparkSession, d: str) -> DataFrame:
+    one = pairs.pairs(_viewed(s, d), target="vec_000003")
+    return neighbors.precision_recall(neighbors.classes(neighbors.both_ranks(one), K))
+
+
+_register("point_diagnostics", _target_classes, f"{_CLASSES}, n AS (SELECT src_id, {_COUNTS} FROM c WHERE src_id = 'vec_000003' GROUP BY src_id) SELECT *, {_share('preserved', '(preserved + false_neighbors)')} AS precision, {_share('preserved', '(preserved + torn)')} AS recall, {_share('preserved', '(preserved + torn + false_neighbors)')} AS jaccard FROM n")
+
+_N = "(SELECT count(*) FROM w)"
+_Z = f"(CASE WHEN {K} <= {_N} / 2.0 THEN 2.0 / ({_N} * {K} * (2 * {_N} - 3 * {K} - 1)) ELSE 2.0 / ({_N} * ({_N} - {K}) * ({_N} - {K} - 1)) END)"
+_T = _r(f"1.0 - {_Z} * sum(CASE WHEN rl <= {K} AND rh > {K} THEN rh - {K} ELSE 0 END)")
+_C = _r(f"1.0 - {_Z} * sum(CASE WHEN rh <= {K} AND rl > {K} THEN rl - {K} ELSE 0 END)")
+_S = _r("sqrt(greatest(0, 1 - sum(h * l) * sum(h * l) / (sum(h * h) * sum(l * l))))")
+
+
+def _ranked(s: SparkSession, d: str) -> tuple[DataFrame, int]:
+    sp = _viewed(s, d)
+    return neighbors.both_ranks(pairs.pairs(sp)), sp.frame.count()
+
+
+_register("trustworthiness", lambda s, d: diagnostics.trustworthiness(*_ranked(s, d), K), f"{_RANKS} SELECT {_T} AS trustworthiness FROM r")
+_register("continuity", lambda s, d: diagnostics.continuity(*_ranked(s, d), K), f"{_RANKS} SELECT {_C} AS continuity FROM r")
+_register("kruskal_stress", lambda s, d: diagnostics.stress(pairs.pairs(_viewed(s, d), unordered=True)), f"{_RANKS} SELECT {_S} AS stress FROM r WHERE i < j")
+
+
+def _summary(s: SparkSession, d: str) -> DataFrame:
+    sp = _viewed(s, d)
+    return diagnostics.summary(pairs.pairs(sp), sp.frame.count(), K)
+
+
+_register("diagnostics_summary", _summary, f"{_RANKS} SELECT {_T} AS trustworthiness, {_C} AS continuity, {_S} AS stress, count(*) FILTER (WHERE rh <= {K} AND rl <= {K}) AS preserved, count(*) FILTER (WHERE rh <= {K} AND rl > {K}) AS torn, count(*) FILTER (WHERE rl <= {K} AND rh > {K}) AS false_neighbors FROM r")
+
+_DISTORTION = f"{_pairs_sql(BELIEFS, 'fisher_rao', plane=PLANE)}, m AS (SELECT avg(h) FILTER (WHERE h > 0) AS mh, avg(l) FILTER (WHERE l > 0) AS ml FROM pr), d AS (SELECT i AS object_id, coalesce(avg(CASE WHEN h / mh > 1e-6 THEN (l / ml) / (h / mh) END), 1.0) AS distortion FROM pr, m GROUP BY i)"
+_register("point_distortion", lambda s, d: diagnostics.point_distortion(pairs.pairs(_viewed(s, d))).withColumn("distortion", result(F.col("distortion"))), f"{_DISTORTION} SELECT object_id, {_r('distortion')} AS distortion FROM d")
+
+
+def _grid(s: SparkSession, d: str) -> DataFrame:
+    v = tables.beliefs(s, d).select("object_id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
+    distorted = diagnostics.point_distortion(pairs.pairs(_viewed(s, d)))
+    return diagnostics.grid(v.join(distorted, "object_id"), diagnostics.bounds(v), 16)
+
+
+_register("distortion_grid", _grid, f"""{_DISTORTION}, q AS (SELECT object_id, vec[1] AS x, vec[2] AS y FROM v),
+b AS (SELECT min(x) - greatest(0.05, 0.12 * (max(x) - min(x))) AS x0, max(x) + greatest(0.05, 0.12 * (max(x) - min(x))) AS x1, min(y) - greatest(0.05, 0.12 * (max(y) - min(y))) AS y0, max(y) + greatest(0.05, 0.12 * (max(y) - min(y))) AS y1 FROM q),
+g AS (SELECT CAST(floor((y1 - y) / ((y1 - y0) / 16)) AS INTEGER) AS row, CAST(floor((x - x0) / ((x1 - x0) / 16)) AS INTEGER) AS col, distortion FROM q JOIN d USING (object_id), b)
+SELECT row, col, {_r('avg(distortion)', 3)} AS mean_distortion FROM g GROUP BY row, col""")
+
+
+def _stability(s: SparkSession, d: str) -> DataFrame:
+    v = tables.beliefs(s, d)
+    metric = REGISTRY.get("fisher_rao")
+    flat = v.select("object_id", *(F.col("vec")[k].alias(f"v{k}") for k in range(6)), *(metric.prepare(F.col("vec"))[k].alias(f"s{k}") for k in range(10)))
+    both = pairs.meet(flat.select(*(F.col(c).alias(f"a_{c}") for c in flat.columns)), flat.select(*(F.col(c).alias(f"b_{c}") for c in flat.columns)), F.col("a_object_id") != F.col("b_object_id"))
+    at = lambda p, names: [F.col(p + n) for n in names]
+    euclid = REGISTRY.get("euclidean").combine
+    views = [euclid(at("a_", (f"v{a}", f"v{b}")), at("b_", (f"v{a}", f"v{b}"))).alias(f"l{n}") for n, (a, b) in enumerate(PLANES)]
+    names = [f"s{k}" for k in range(10)]
+    wide = both.select(F.col("a_object_id").alias("i"), F.col("b_object_id").alias("j"), metric.combine(at("a_", names), at("b_", names)).alias("h"), *views)
+    return diagnostics.stability_over(wide, [f"l{n}" for n in range(len(PLANES))], K)
+
+
+_PLANE_RANKS = ", ".join(f"row_number() OVER (PARTITION BY i ORDER BY round(l{n}, 9), j) AS r{n}" for n in range(3))
+_STABILITY = f"""WITH {BELIEFS.sql}, w AS (SELECT object_id, {_ROOT} AS w, vec FROM v),
+pr AS (SELECT a.object_id AS i, b.object_id AS j, {_DISTANCES['fisher_rao'][0]} AS h, {', '.join(f'sqrt((a.vec[{p + 1}] - b.vec[{p + 1}]) ** 2 + (a.vec[{q + 1}] - b.vec[{q + 1}]) ** 2) AS l{n}' for n, (p, q) in enumerate(PLANES))} FROM w a, w b WHERE a.object_id <> b.object_id),
+r AS (SELECT i, row_number() OVER (PARTITION BY i ORDER BY round(h, 9), j) AS rh, {_PLANE_RANKS} FROM pr),
+t AS (SELECT i AS object_id, sum({' + '.join(f'(rh <= {K} AND r{n} <= {K})::INT' for n in range(3))}) / {3.0 * K} AS stability FROM r GROUP BY i)"""
+_register("point_stability", lambda s, d: _stability(s, d).withColumn("stability", result(F.col("stability"), 4)), f"{_STABILITY} SELECT object_id, {_r('stability', 4)} AS stability FROM t")
+_register("stability_summary", lambda s, d: diagnostics.stability_summary(_stability(s, d)), f"{_STABILITY} SELECT {_r('avg(stability)', 4)} AS mean_stability, {_r('avg((stability >= 0.65)::INT)', 4)} AS persistence, {_r('avg((stability < 0.35)::INT)', 4)} AS volatile FROM t")
+_register("stability_tags", lambda s, d: _stability(s, d).select("object_id", diagnostics.stability_tag(F.col("stability")).alias("tag")), f"{_STABILITY} SELECT object_id, CASE WHEN stability >= 0.65 THEN 'invariant' WHEN stability >= 0.35 THEN 'moderate' ELSE 'sensitive' END AS tag FROM t")
+
+# -- moments -----------------------------------------------------------------------------------
+
+
+def _first_five(s: SparkSession, d: str) -> DataFrame:
+    return tables.embeddings(s, d).withColumn("vec", F.slice("vec", 1, LABELLED_DIMENSION))
+
+
+def _matrix(query: Callable[[DataFrame], np.ndarray]) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        v = _first_five(s, d)
+        return moments.table_of(query(v), v)
+
+    return run
+
+
+_AXES = f"{EMBEDDINGS.sql}, x AS (SELECT a, b, label, vec[a + 1] AS xa, vec[b + 1] AS xb FROM v, unnest(range(0, {LABELLED_DIMENSION})) AS p(a), unnest(range(0, {LABELLED_DIMENSION})) AS q(b))"
+_ab = "CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b"
+_register("column_moments", _matrix(lambda v: moments.moments(v, LABELLED_DIMENSION).covariance), f"WITH {_AXES} SELECT {_ab}, {_r('covar_samp(xa, xb)')} AS value FROM x GROUP BY a, b")
+_register("class_scatter_within", _matrix(lambda v: moments.scatter_within(moments.moments_by(v, LABELLED_DIMENSION))), f"WITH {_AXES}, c AS (SELECT a, b, label, covar_pop(xa, xb) * count(*) AS s FROM x GROUP BY a, b, label) SELECT {_ab}, {_r('sum(s)')} AS value FROM c GROUP BY a, b")
+_register("class_scatter_between", _matrix(lambda v: moments.scatter_between(moments.moments_by(v, LABELLED_DIMENSION))), f"WITH {_AXES}, c AS (SELECT a, b, label, count(*) AS n, avg(xa) AS ma, avg(xb) AS mb FROM x GROUP BY a, b, label), g AS (SELECT a, b, avg(xa) AS ga, avg(xb) AS gb FROM x GROUP BY a, b) SELECT {_ab}, {_r('sum(n * (ma - ga) * (mb - gb))')} AS value FROM c JOIN g USING (a, b) GROUP BY a, b")
+_register("entropy_second_moment", _matrix(lambda v: moments.moments(v, LABELLED_DIMENSION).about(np.full(LABELLED_DIMENSION, 1 / LABELLED_DIMENSION))), f"WITH {_AXES} SELECT {_ab}, {_r('sum((xa - 0.2) * (xb - 0.2))')} AS value FROM x GROUP BY a, b")
+
+# -- selections and checks -----------------------------------------------------------------------
+
+
+def _marquee(s: SparkSession, d: str) -> DataFrame:
+    p = _predicted(s, d).withColumn("x", F.col("vec")[0]).withColumn("y", F.col("vec")[1])
+    return selection.selection_summary(selection.marquee(p, 0.0, 0.1, 0.05, 0.3))
+
+
+_register("marquee_summary", _marquee, f"WITH {_PREDICTED} SELECT n, mean_confidence, classes FROM (SELECT count(*) AS n, {_r('avg(confidence)')} AS mean_confidence, string_agg(DISTINCT predicted_label, ',' ORDER BY predicted_label) AS classes FROM p WHERE vec[1] BETWEEN 0.0 AND 0.1 AND vec[2] BETWEEN 0.05 AND 0.3) WHERE n >= 2")
+
+
+def _hit(s: SparkSession, d: str) -> DataFrame:
+    p = tables.beliefs(s, d).select("object_id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"), F.col("object_id").alias("pos"))
+    return selection.hit(p, 0.1, 0.1, 0.03).select("object_id")
+
+
+_register("hit_test", _hit, f"WITH {BELIEFS.sql} SELECT object_id FROM v WHERE sqrt((vec[1] - 0.1) ** 2 + (vec[2] - 0.1) ** 2) <= 0.03 ORDER BY object_id DESC LIMIT 1")
+
+
+def _loadings(s: SparkSession, d: str) -> DataFrame:
+    means = projection.column_means(tables.beliefs(s, d), 10)
+    rows = projection.loadings(np.stack([means, means[::-1]], axis=1), CLASS_NAMES)
+    return s.createDataFrame([(n, round(v, 6) + 0.0) for n, v in rows], "feature string, loading double")
+
+
+_register("feature_loadings_top4", _loadings, f"WITH {BELIEFS.sql}, m AS (SELECT k, avg(vec[k]) AS a, avg(vec[11 - k]) AS b FROM v, unnest(range(1, 11)) AS u(k) GROUP BY k) SELECT 'class_' || (k - 1) AS feature, {_r('sqrt(a * a + b * b)')} AS loading FROM m ORDER BY round(sqrt(a * a + b * b), 9) DESC, feature LIMIT 4")
+_register("validate_constraints", lambda s, d: selection.constraint_counts(tables.mixes(s, d).withColumn("vec", F.transform("vec", lambda x: x * F.when(F.col("object_id").endswith("7"), 1.5).otherwise(1.0)))), f"WITH {MIXES.sql}, q AS (SELECT list_transform(vec, lambda x: x * CASE WHEN object_id LIKE '%7' THEN 1.5 ELSE 1.0 END) AS vec FROM v) SELECT count(*) AS n, 0 AS finite, count(*) FILTER (WHERE list_min(vec) < 0) AS nonnegative, count(*) FILTER (WHERE abs(list_sum(vec) - 1) > 1e-10) AS row_sum_1, count(*) FILTER (WHERE abs(list_sum(vec)) > 1e-10) AS row_sum_0 FROM q")
+_register("duplicate_ids", lambda s, d: selection.duplicate_ids(tables._read(s, d, "orders").select(F.col("o_custkey").cast("string").alias("object_id"))), "SELECT CAST(o_custkey AS VARCHAR) AS object_id, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+_register("id_set_difference", lambda s, d: selection.missing_ids(tables._read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("object_id")), tables._read(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("object_id"))), "SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS object_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+_register(
+    "row_order_check",
+    lambda s, d: selection.out_of_order(tables._read(s, d, "nation").select(F.col("n_name").alias("object_id"), F.col("n_nationkey").cast("long").alias("pos")), tables._read(s, d, "nation").select(F.col("n_name").alias("object_id"), (F.col("n_nationkey") - F.col("n_nationkey") % 5).cast("long").alias("pos"))),
+    "SELECT n_name AS object_id, CAST(n_nationkey AS BIGINT) AS pos_a, CAST(n_nationkey - n_nationkey % 5 AS BIGINT) AS pos_b FROM nation WHERE n_nationkey % 5 <> 0",
+)
+
+# -- fitted views ----------------------------------------------------------------------------------
+
+
+def _fitted(basis: Callable[[DataFrame], np.ndarray]) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        v = tables.beliefs(s, d)
+        return _xy(projection.project(v, basis(v), centre=projection.column_means(v, 10)))
+
+    return run
+
+
+def _subset(v: DataFrame) -> np.ndarray:
+    return bases.integrity_plane(moments.moments(v.where("object_id < 'vec_000020'"), 10), moments.moments(v, 10))
+
+
+_register("pca_view", _fitted(lambda v: bases.pca(moments.moments(v, 10))[0]))
+_register("minor_pca_view", _fitted(lambda v: bases.axes(moments.moments(v, 10).covariance, 2)))
+_register("entropy_view", _fitted(lambda v: bases.entropy_plane(moments.moments(v, 10))))
+_register("lda_view", _fitted(lambda v: bases.discriminant_plane(moments.moments_by(v, 10))))
+_register("integrity_view", _fitted(_subset))
+
+
+def _catalog(s: SparkSession, d: str) -> DataFrame:
+    rows = [(v.view_id, k, *(round(float(x), 6) + 0.0 for x in v.basis[k]), v.misleading, v.valid) for v in catalog.catalog(tables.beliefs(s, d), 10).values() for k in range(10)]
+    return s.createDataFrame(rows, "view_id string, k int, x double, y double, misleading boolean, valid boolean")
+
+
+_register("projection_catalog", _catalog)
+_register("tour_frames", lambda s, d: projection.rounded(tours.grand_tour(tables.beliefs(s, d), 10, 60), "x", "y"))
+_register("guided_view_frames", lambda s, d: projection.rounded(tours.guided_view(tables.beliefs(s, d), 10, "class_separation", n_frames=12).frames, "x", "y"))
+_register("guided_view_integrity", lambda s, d: projection.rounded(tours.guided_view(tables.beliefs(s, d), 10, "neighborhood_integrity", "vec_000003", 12).frames, "x", "y"))
+
+
+def _rashomon(s: SparkSession, d: str) -> DataFrame:
+    rows = [(n, c.id, c.trustworthiness, c.grassmann_degrees) for n, c in enumerate(rashomon.rashomon_set(tables.beliefs(s, d), 10))]
+    return s.createDataFrame(rows, "place int, id string, trustworthiness double, grassmann_degrees double")
+
+
+_register("rashomon_set", _rashomon)
+#: Angles between literal planes: e0 e1 against e0 (e1 + e2)/sqrt 2, and against e2 e3.
+_TILTED = np.array([[1, 0], [0, np.sqrt(0.5)], [0, np.sqrt(0.5)], [0, 0], [0, 0]])
+
+
+def _angles(s: SparkSession, d: str) -> DataFrame:
+    rows = []
+    for name, b in (("tilted", _TILTED), ("opposite", _axis_plane(5, (2, 3)))):
+        t = np.degrees(bases.principal_angles(_axis_plane(5, PLANE), b))
+        rows.append((name, round(float(t[0]), 2) + 0.0, round(float(t[1]), 2) + 0.0, round(float(np.hypot(*t)), 2) + 0.0, diagnostics.angle_label(float(np.hypot(*t)))))
+    return s.createDataFrame(rows, "pair string, theta_1_deg double, theta_2_deg double, grassmannian_dist_deg double, interpretation string")
+
+
+_register("subspace_angles", _angles, "SELECT * FROM (VALUES ('tilted', 0.0::DOUBLE, 45.0::DOUBLE, 45.0::DOUBLE, 'divergent'), ('opposite', 90.0, 90.0, round(90 * sqrt(2), 2), 'divergent')) AS t(pair, theta_1_deg, theta_2_deg, grassmannian_dist_deg, interpretation)")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
