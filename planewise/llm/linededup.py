@@ -206,7 +206,8 @@ def _hits(lines: DataFrame, arrays: DataFrame, shards: int) -> DataFrame:
     sent = lines.withColumn("shard", F.pmod(F.shiftrightunsigned("high", 40), F.lit(shards)))
     copies = sent.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(PROBE_ROWS)).cast("int").alias("copies"))
     dealt = sent.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("doc_id", "low"), F.col("copies")).cast("int"))
-    tables = arrays.join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    again = copies.select(F.col("shard").alias("shard"), F.col("copies").alias("copies"))  # columns of its own: both sides meet again below
+    tables = arrays.join(again, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
 
     def probe(key: tuple, part: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
         if not len(part) or not len(table):

@@ -249,10 +249,7 @@ def packet_column(media: DataFrame) -> DataFrame:
     """(doc_id, packets): the packet table of each media value, as an array of structs; null for a null."""
     kind = "array<struct<ts: long, track: long, start: long, length: long, key: boolean>>"
 
-    @F.udf(kind)
-    def table_of(data: bytes | None) -> list | None:
-        return None if data is None else packets(bytes(data)).packets
-
+    table_of = F.udf(lambda data: None if data is None else packets(bytes(data)).packets, kind)
     return media.select("doc_id", table_of("media").alias("packets"))
 
 
