@@ -141,6 +141,7 @@ class SQLiteBundleReader:
         if not os.path.exists(path):
             raise FileNotFoundError(path)
         self.spark, self.path = spark, path
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
         spark.dataSource.register(SQLiteBundleSource)
 
     def table(self, name: str) -> DataFrame:

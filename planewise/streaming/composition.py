@@ -11,6 +11,7 @@ def compositions(events: DataFrame, kinds: tuple[str, ...], key: str = "user_id"
 
     Works on a stream and on a table alike; state is one row of counts a key and open window.
     """
-    counts = events.withWatermark(time, late).groupBy(F.window(time, window), F.col(key)).agg(*(F.count(F.when(F.col(kind) == k, 1)).alias(f"n{i}") for i, k in enumerate(kinds)))
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    counts = timed.withWatermark(time, late).groupBy(F.window(time, window), F.col(key)).agg(*(F.count(F.when(F.col(kind) == k, 1)).alias(f"n{i}") for i, k in enumerate(kinds)))
     n = sum((F.col(f"n{i}") for i in range(1, len(kinds))), F.col("n0"))
     return counts.where(n > 0).select(F.col("window.start").alias("window_start"), F.col(key).cast("string").alias("object_id"), n.alias("n"), F.array(*(F.col(f"n{i}") / n for i in range(len(kinds)))).alias("vec"))
