@@ -141,12 +141,15 @@ def _key(number: int, positions: tuple[int, ...]) -> Column:
     return key
 
 
-def _lists(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
-    """Rows sorted by key as (too long, keys, fingerprints): whole lists, or parts of a list longer than ``limit``.
+def _lists(batches: Iterator[pa.RecordBatch], limit: int, load: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """Rows sorted by key as (too long, keys, rest): whole lists, or parts of a list longer than ``limit``.
+
+    The rest are fingerprints or what ``load`` makes of a batch, one row each.
 
     No more than a batch and a list of ``limit`` rows is held.
     """
-    keys, fps, long_key = np.empty(0, np.int64), np.empty(0, np.uint64), None
+    load = load or (lambda batch: batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+    keys, fps, long_key = np.empty(0, np.int64), None, None
 
     def split(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
         starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
@@ -159,7 +162,7 @@ def _lists(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[bool
 
     for batch in batches:
         keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
-        fps = np.concatenate([fps, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+        fps = load(batch) if fps is None else np.concatenate([fps, load(batch)])
         if not len(keys):
             continue
         last = int(np.searchsorted(keys, keys[-1]))
@@ -266,13 +269,18 @@ def group(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, list_rows:
     empty table gives none; further columns aren't read.
     """
     own = cut(fingerprints(docs, shingle))
+    of = component_of_fingerprint(own, bits, list_rows)
+    # A fingerprint that a third of all rows share is one row in ``of``: the join splits its rows among tasks.
+    return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def component_of_fingerprint(own: DataFrame, bits: int = BITS, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints of ``own`` (doc_id, fp)."""
     distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
     nodes = cut(components(links(distinct, bits, list_rows)))
     least = nodes.join(distinct, nodes["node"] == distinct["fp"]).groupBy("root").agg(F.min("first").alias("least"))
     reached = nodes.join(least, "root").select(F.col("node").alias("fp"), "least")
-    of = cut(distinct.join(reached, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
-    # A fingerprint that a third of all rows share is one row in ``of``: the join splits its rows among tasks.
-    return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return cut(distinct.join(reached, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, **settings: int) -> DataFrame:

@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from planewise.llm import bpe, hashtree, htmltext, isolation, linededup, matroska, packing, queries, simhash, surrogates, urlfilter
+from planewise.llm import bpe, hashtree, htmltext, isolation, linededup, matroska, packing, queries, similar, simhash, surrogates, urlfilter
 from planewise.llm.common import gapless_rank, table
 
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")
@@ -474,6 +474,75 @@ def test_simhash_keeps_one(spark, none):
     assert simhash.keep_one(none).collect() == [] and simhash.group(none).collect() == []
 
 
+def _plain_similar(texts):
+    """Groups by all pairs: equal sketches, three bits of the fingerprint, or a meeting in a triple and the check."""
+    ids = sorted(texts)
+    sketches = {i: np.array(similar.sketch(texts[i]), np.int64).view(np.uint64) for i in ids}
+    fps = {i: _plain_fingerprint(texts[i]) for i in ids}
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def meet(a, b):
+        same = (np.ascontiguousarray(a[: similar.STREAMS] ^ b[: similar.STREAMS]).view(np.uint8).reshape(-1, 8) == 0)
+        return (same[:, :4].sum(axis=1) >= 3).any() or (same[:, 4:].sum(axis=1) >= 3).any()
+
+    for a, b in itertools.combinations(ids, 2):
+        x, y = sketches[a], sketches[b]
+        close = int(np.bitwise_count(x[similar.STREAMS :] ^ y[similar.STREAMS :]).sum()) <= similar.VERIFY_BITS
+        if (fps[a] ^ fps[b]).bit_count() <= 3 or close and meet(x, y):
+            r, t = sorted((find(a), find(b)))
+            parent[t] = r
+    return {i: find(i) for i in ids}
+
+
+def _shingle_sets(texts):
+    out = {}
+    for i, t in texts.items():
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        out[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    return out
+
+
+def _check_near_copies(texts, kept):
+    """No two kept documents are similar to 0.9, and what is unlike all others stays."""
+    sets = _shingle_sets(texts)
+    most = dict.fromkeys(texts, 0.0)
+    for a, b in itertools.combinations(sorted(texts), 2):
+        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        most[a], most[b] = max(most[a], j), max(most[b], j)
+        assert j < 0.9 or not (a in kept and b in kept)
+    assert all(i in kept for i, j in most.items() if j < 0.5)
+
+
+def _edited(n, words=200, seed=3):
+    r = random.Random(seed)
+    out = {}
+    for g in range(n):
+        base = [f"w{r.randrange(10**7)}" for _ in range(words)]
+        for c in range(r.randint(1, 5)):
+            own = base[:]
+            for _ in range(r.randint(0, 2)):
+                own[r.randrange(words)] = f"x{r.randrange(10**7)}"
+            out[len(out)] = " ".join(own)
+    return out
+
+
+@pytest.mark.parametrize(("list_rows", "salt_rows"), [(4096, 100_000), (3, 100_000), (4096, 5)])
+def test_similar_groups(spark, monkeypatch, list_rows, salt_rows):
+    monkeypatch.setattr(similar, "LIST_ROWS", list_rows)
+    monkeypatch.setattr(similar, "SALT_ROWS", salt_rows)
+    texts = _edited(12) | {900: "", 901: None, 902: "One two", 903: "one\ttwo", 904: _edited(1)[0]}
+    df = spark.createDataFrame([(i, t, "n") for i, t in texts.items()] + [(None, None, "n"), (0, texts[0], "n")], "doc_id long, text string, node string")
+    kept = {r["doc_id"] for r in similar.keep_one(df).where("doc_id is not null").collect()}
+    assert kept == set(_plain_similar(texts).values())
+    _check_near_copies(texts, kept)
+    assert similar.keep_one(df).columns == df.columns and similar.keep_one(df.limit(0)).collect() == []
+
+
 # -- 1: PII ----------------------------------------------------------------------------------------
 
 PII = [
@@ -608,12 +677,9 @@ def test_pipeline_stages_against_plain_versions(spark, sf_dir):
             rows = _plain_lines(plain.items())
             assert collections.Counter((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in got.items()) == collections.Counter((r[0], r[3]) for r in rows)
         elif name == "near_dedup":
-            fps = {i: _plain_fingerprint(t) for i, t in plain.items()}
-            root = _plain_components(set(fps.values()))
-            least = {}
-            for i, f in fps.items():
-                least[root[f]] = min(i, least.get(root[f], i))
-            assert got == {i: plain[i] for i in least.values()}
+            root = _plain_similar(plain)
+            assert got == {i: plain[i] for i in set(root.values())}
+            _check_near_copies(plain, set(got))
         elif name == "pii_surrogates":
             assert set(got) == set(plain) and not any(re.search(surrogates.PATTERN.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(r"\p{M}", "").replace(r"\p{Lu}", "A-Z").replace("++@", "+@"), t) and t == plain[i] and re.search(r"\w@mail\d", t) for i, t in got.items())
         plain = got if k < 4 else plain
