@@ -66,13 +66,11 @@ def dense_positions(df: DataFrame) -> DataFrame:
     counts, one small row each; no task holds more than a partition.
     """
     own = df.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    counts = {r["__part"]: r["n"] for r in own.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, total = {}, 0
-    for part in sorted(counts):
-        starts[part], total = total, total + counts[part]
-    start = F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("__part")) if starts else F.lit(0)
+    counts = own.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     within = F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33)
-    return own.withColumn("pos", (start + within).cast("long")).drop("__part", "__at")
+    return own.join(starts, "__part").withColumn("pos", (F.col("__start") + within).cast("long")).drop("__part", "__at", "__start")
 
 
 def import_frame(df: DataFrame, id_column: str | None = None, label_column: str | None = None, features: list[str] | None = None, n_classes: int | None = None, softmax: bool = False, payload_column: str | None = None) -> Imported:
