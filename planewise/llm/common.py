@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one group that a single window task numbers at most, on even ids.
-RANK_BLOCK_ROWS = 20_000
+RANK_BLOCK_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,24 +71,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def gapless_rank(df: DataFrame, keys: list[str], order: str, name: str, rows: int, low: int, high: int, ties: tuple[str, ...] = ()) -> DataFrame:
+def gapless_rank(df: DataFrame, key: str, order: str, name: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """Number the rows of each group from 0 without gaps, in order of an integer column.
 
-    A window over the whole group would put a hot group into one task.  Instead the
-    range ``[low, high]`` of ``order`` is cut into equal blocks of about
-    ``RANK_BLOCK_ROWS`` rows; rows are numbered within (group, block), and a prefix sum
-    over the blocks' counts, small, gives each block its start.  Nulls in ``order`` come first; ``ties`` order equal values.
+    A window over the whole group would put a hot group into one task.  Instead each
+    group's range of ``order`` is cut into equal blocks of about ``RANK_BLOCK_ROWS``
+    rows; rows are numbered within (group, block), and a prefix sum over the blocks'
+    counts gives each block its start.  ``key`` has few values (shards, lengths), so
+    their ranges are broadcast.  Nulls in ``order`` come first; ``ties`` order equal values.
     """
-    blocks = max(1, -(-rows // RANK_BLOCK_ROWS))
-    width = max(1, -(-(high - low + 1) // blocks))
-    block = F.coalesce(F.floor((F.col(order) - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    df = df.withColumn("__block", block)
-    counts = df.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(*keys, "__block").orderBy(F.col(order).asc_nulls_first(), *ties)
+    ranges = df.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"), F.min(order).alias("__low"), F.max(order).alias("__high"))
+    blocks = F.ceil(F.col("__rows") / F.lit(RANK_BLOCK_ROWS))
+    width = F.ceil((F.col("__high") - F.col("__low") + 1) / blocks)
+    block = F.coalesce(F.floor((F.col(order) - F.col("__low")) / width), F.lit(-1)).cast("long")
+    df = df.join(F.broadcast(ranges), key).withColumn("__block", block).drop("__rows", "__low", "__high")
+    counts = df.groupBy(key, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(key, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(key, "__block").orderBy(F.col(order).asc_nulls_first(), *ties)
     ranked = df.withColumn("__in", F.row_number().over(inside) - 1)
-    return ranked.join(starts, [*keys, "__block"]).withColumn(name, (F.col("__start") + F.col("__in")).cast("long")).drop("__block", "__start", "__in")
+    return ranked.join(starts, [key, "__block"]).withColumn(name, (F.col("__start") + F.col("__in")).cast("long")).drop("__block", "__start", "__in")
 
 
 def text_or_empty(name: str = "text") -> Column:

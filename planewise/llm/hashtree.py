@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewise.llm.common import gapless_rank
+from planewise.llm.common import cut, gapless_rank
 
 SHARDS_PER_RACK = 4
 RACKS_PER_REGION = 3
@@ -111,6 +111,5 @@ def place(docs: DataFrame, tree: list[Leaf], new_tree: list[Leaf] | None = None)
         F.expr(descent_sql(tree, key_sql())).cast("int").alias("shard"),
         (F.expr(descent_sql(new_tree, key_sql())).cast("int") if new_tree else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    rows, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    out = gapless_rank(placed, ["shard"], "doc_id", "slot", rows, low or 0, high or 0)
+    out = gapless_rank(cut(placed), "shard", "doc_id", "slot", ("text_crc32",))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -109,10 +109,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     """
     cut_up = cut(pieces(docs, path, capacity, end_id, with_ids))
     counts = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a length
-    low, high = cut_up.agg(F.min("doc_id"), F.max("doc_id")).first()
     rows = plan(counts, capacity)
     slots = cut_up.sparkSession.createDataFrame(rows, "length long, first_rank long, items long, each long, first_bin long, base long")
-    ranked = gapless_rank(cut_up, ["length"], "doc_id", "rank", sum(counts.values()), low or 0, high or 0, ("piece",))
+    ranked = gapless_rank(cut_up, "length", "doc_id", "rank", ("piece",))
     k = F.col("rank") - F.col("first_rank")
     # The plan has a few rows a length, whatever the number of documents.
     placed = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("items"))).drop(slots["length"])
