@@ -28,6 +28,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 SKIPPED = frozenset("script style noscript template iframe object svg canvas head title textarea select button option".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 CONTAINERS = frozenset("article main section div body td".split())
+#: Their classes tell what a page has, not what they are.
+WHOLE_PAGE = frozenset("html body main".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice popup promo related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 
@@ -64,7 +66,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        out = tag in BOILERPLATE or any(self.marks_boilerplate(k, v) for k, v in attrs if v)
+        out = tag in BOILERPLATE or tag not in WHOLE_PAGE and any(self.marks_boilerplate(k, v) for k, v in attrs if v)
         skip = tag in SKIPPED
         container = self.here
         if tag in CONTAINERS:

@@ -313,6 +313,7 @@ def test_url_held_out_pages():
         ("<body><div class='sidebar'>links links</div><div id=content><p>The text of this page goes on for a while.</p><p>And on.</p><form>in<p>put</p></form></div><div class='comments'><p>A reader says something long as well here.</p></div></body>", "The text of this page goes on for a while. And on."),
         ("<article><p>Body text.</p><section class=comment-list><article>reply</article></section></article><script>x<y</script><style>p{}</style>", "Body text."),
         ("<article><p>one<article><p>inner</article></article>", "one inner"),
+        ("<body class='has-sidebar comments-off'><p>Words of the page itself.</p></body>", "Words of the page itself."),
         ("<p>unclosed <b>bold<p>next &copy; &#228;&lt;", "unclosed bold next © ä<"),
     ],
 )
