@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import StructType
 
 from planewise.conventions import SQLITE_VERSION
+from planewise.shipping import ship
 
 # Tables of the format and their columns.
 TABLES = {
@@ -142,6 +143,7 @@ class SQLiteBundleReader:
             raise FileNotFoundError(path)
         self.spark, self.path = spark, path
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        ship(spark)
         spark.dataSource.register(SQLiteBundleSource)
 
     def table(self, name: str) -> DataFrame:

@@ -138,6 +138,15 @@ def test_paths():
             bad()
 
 
+def test_rashomon_both_ways(spark, monkeypatch):
+    points = fixtures.calibration(spark)
+    planes = [("a", np.eye(3)[:, :2]), ("b", bases.bridge_plane(3)), ("c", bases.haar(3))]
+    by_matrix = rashomon.trust_of(points, 3, planes, 3)
+    monkeypatch.setattr("planewise.operators.pairs.BROADCAST_ROWS", 4)
+    monkeypatch.setattr("planewise.operators.pairs.BLOCK_ROWS", 6)
+    assert rashomon.trust_of(points, 3, planes, 3) == pytest.approx(by_matrix) and by_matrix["b"] == pytest.approx(0.717778, abs=1e-6)
+
+
 def test_rashomon(spark):
     points = generators.synthetic(spark, 60, 7)
     found = rashomon.rashomon_set(points, 4, threshold=0.5)
