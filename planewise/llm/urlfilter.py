@@ -85,7 +85,9 @@ def train(spark: SparkSession, labelled: list[tuple[str, int]] | DataFrame | Non
     """
     if not isinstance(labelled, DataFrame):
         rows = labelled_table() if labelled is None else labelled
-        labelled = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "k long, url string, label int")
+        kind = "array<struct<k: bigint, url: string, label: int>>"
+        literal = F.array(*(F.struct(F.lit(i), F.lit(u), F.lit(y)) for i, (u, y) in enumerate(rows))) if rows else F.array()
+        labelled = spark.range(1).select(F.inline(literal.cast(kind)))
     few = with_host_path(labelled.orderBy("k").limit(MAX_LABELLED)).withColumn("codes", F.expr(codes_sql())).withColumn("b", F.expr(buckets_sql()))
     entries = few.select("k", F.coalesce("label", F.lit(0)).alias("y"), F.explode(F.expr(f"concat(b, array({BUCKETS}))")).alias("b")).groupBy("k", "y", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
     rows = entries.groupBy("k", "y").agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("x")).agg(F.array_sort(F.collect_list(F.struct("k", "y", "x"))).alias("rows"))
