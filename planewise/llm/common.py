@@ -81,6 +81,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def parts(batches: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``size`` bytes: Python's copies of texts are held for one part at a time."""
+    for b in batches:
+        rows = max(1, int(b.num_rows * size / max(b.nbytes, 1)))
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def by_batch(df: DataFrame, schema: str, make: Callable[[dict], dict]) -> DataFrame:
     """Arrow batches of ``df`` through ``make``: column values in, columns out.
 
@@ -90,7 +98,7 @@ def by_batch(df: DataFrame, schema: str, make: Callable[[dict], dict]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = None
-        for b in batches:
+        for b in parts(batches):
             out = make(dict(zip(b.schema.names, b.columns, strict=True)))
             to = to or _arrow_schema(schema)
             yield pa.RecordBatch.from_arrays([v if isinstance(v := out[f.name], pa.Array) and v.type == f.type else pa.array(v, f.type) for f in to], schema=to)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from planewise.llm.common import cut, slices, spread
+from planewise.llm.common import cut, parts, slices, spread
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -123,7 +123,7 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(high, low, doc_id) of each long key of each row, once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             ids, texts = b.column("doc_id"), b.column("text").to_pylist()
             for first, last in slices(texts, 8_000_000):
                 hashes, rows = [], []
@@ -179,7 +179,7 @@ def _apply(docs: DataFrame, min_chars: int, decide: Callable, schema: StructType
     to = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in parts(batches):
             texts = whole.column("text").to_pylist()
             for first, last in slices(texts, 8_000_000):
                 b = whole.slice(first, last - first)
