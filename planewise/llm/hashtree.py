@@ -113,3 +113,17 @@ def place(docs: DataFrame, tree: list[Leaf], new_tree: list[Leaf] | None = None)
     )
     out = gapless_rank(cut(placed), "shard", "doc_id", "slot", ("text_crc32",))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def oracle(tree: list[Leaf], new_tree: list[Leaf]) -> str:
+    """The same placement as DuckDB SQL, which has no CRC32: bytes are folded through the polynomial's table."""
+    table = []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        table.append(b)
+    fold = f"list_reduce(bytes, lambda c, x: xor(c >> 8, ([{', '.join(map(str, table))}])[CAST((xor(c, x) & 255) + 1 AS BIGINT)]), 4294967295::BIGINT)"
+    return f"""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, length(x) // 2 AS n, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS bytes FROM h),
+p AS (SELECT doc_id, CAST(n + 8 AS BIGINT) AS size, CAST(xor({fold}, 4294967295::BIGINT) AS BIGINT) AS text_crc32, 'key' AS law, CAST({descent_sql(tree, key_sql('duckdb'), 'duckdb')} AS INTEGER) AS shard, CAST({descent_sql(new_tree, key_sql('duckdb'), 'duckdb')} AS INTEGER) AS grown_shard FROM b)
+SELECT doc_id, size, text_crc32, law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM p"""

@@ -89,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": _LINES,
         "op6_url_filter": urlfilter.oracle(urlfilter.train_plainly()),
         "op7_html_text": _ARTICLES,
+        "op8_hash_tree": hashtree.oracle(hashtree.regular_tree(SHARDS), hashtree.grown(hashtree.regular_tree(SHARDS))),
     }
