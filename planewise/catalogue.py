@@ -13,7 +13,7 @@ from planewise.functions.metrics import REGISTRY
 from planewise.operators import diagnostics, moments, neighbors, pairs, projection, selection
 from planewise.operators.neighbors import result
 from planewise.plans import bases, catalog, rashomon, tours
-from planewise.sources import tables
+from planewise.sources import datasets, tables
 from planewise.sources.tables import ACTIVITIES, BELIEFS, EMBEDDINGS, FEW_MIXES, MIXES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -390,6 +390,10 @@ def _angles(s: SparkSession, d: str) -> DataFrame:
 _register("subspace_angles", _angles, "SELECT * FROM (VALUES ('tilted', 0.0::DOUBLE, 45.0::DOUBLE, 45.0::DOUBLE, 'divergent'), ('opposite', 90.0, 90.0, round(90 * sqrt(2), 2), 'divergent')) AS t(pair, theta_1_deg, theta_2_deg, grassmannian_dist_deg, interpretation)")
 
 
+_register("point_metadata", lambda s, d: datasets.point_metadata(tables.beliefs(s, d), CLASS_NAMES).withColumn("confidence", result(F.col("confidence"))).withColumn("entropy", result(F.col("entropy"))), f"WITH {_PREDICTED} SELECT object_id, label, predicted_label, {_r('confidence')} AS confidence, {_r(_BITS)} AS entropy, coalesce(label = predicted_label, false) AS correct FROM p")
+_register("baseline_classifier", lambda s, d: _long(datasets.embedding_beliefs(s, d), F.col("vec")).withColumn("value", F.round("value", 2) + 0.0))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

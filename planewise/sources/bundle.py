@@ -243,3 +243,14 @@ class BundleReader:
         """(object_id, pos, vec)."""
         s = self.spec(id)
         return self.table(id).select(F.col(s.object_id_column).alias("object_id"), "pos", F.array(*(F.col(c) for c in s.feature_columns)).alias("vec"))
+
+
+def discover(spark: SparkSession, directory: str) -> dict[str, str]:
+    """Paths of the valid bundles in a folder, by name; what isn't one is left out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return {}
+    inside = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()]
+    found = {p.getName(): p.toString() for p in inside if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "manifest.json"))}
+    return {name: found[name] for name in sorted(found) if validate_bundle(spark, found[name]).is_valid}

@@ -22,6 +22,7 @@ from planewise.plans import bases, rashomon, tours
 from planewise.plans.catalog import CatalogView, catalog
 from planewise.records import InvestigationRecord, SavedView, check_replay, hashes, markdown
 from planewise.sources import fixtures, generators, imports
+from planewise.sources.bundle import BundleReader, discover
 
 
 @dataclass
@@ -98,6 +99,21 @@ class Workbench:
         d, view = self.dataset(dataset), self._view(dataset, "probability", "pca_corners")
         return self._projected(d.points, view, d.dimension).select("object_id", "pos", "label", "vec", "x", "y")
 
+    def fixture_json(self, dataset: str) -> DataFrame:
+        """The same as one JSON text a row, written wherever the rows go."""
+        return self.fixture(dataset).select(F.to_json(F.struct("object_id", "label", "vec", "x", "y")).alias("json"))
+
+    def discover(self, directory: str) -> list[str]:
+        """Adds the valid bundles of a folder that aren't loaded yet, and returns their names."""
+        found = discover(self.spark, directory)
+        for name, path in found.items():
+            if name not in self._data and name not in self._built_in:
+                reader = BundleReader(self.spark, path, check=False)
+                objects = reader.objects()
+                points = reader.points("probability").join(objects.select("object_id", F.col("true_label").alias("label")), "object_id")
+                self.add(name, points, reader.spec("probability").feature_columns, objects)
+        return list(found)
+
     # -- helpers ----
 
     def _points(self, dataset: str, representation: str) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from planewise import cli
 from planewise.errors import BundleError, CompatibilityError, ImportValidationError
+from planewise.functions import colours
 from planewise.functions.metrics import REGISTRY
 from planewise.operators import neighbors, selection
 from planewise.operators.pairs import pairs, space
 from planewise.records import InvestigationRecord
-from planewise.sources import fixtures, imports
+from planewise.sources import datasets, fixtures, imports
 from planewise.sources.bundle import BundleReader, BundleWriter, RepresentationSpec, check_version, file_sha256, validate_bundle
 from planewise.sources.sqlite_bundle import SQLiteBundleReader, SQLiteBundleWriter
 from planewise.streaming.composition import compositions
@@ -191,6 +192,32 @@ def test_command_line(spark, csv, tmp_path, capsys):
     assert cli.main(["import-csv", csv, "--output", out, "--classes", "9"]) == 1
 
 
+def test_discovery_and_registry(spark, tmp_path):
+    cli.write_bundle(str(tmp_path / "good"), "good", fixtures.calibration(spark), ["p0", "p1", "p2"])
+    (tmp_path / "other").mkdir()
+    w = Workbench(spark)
+    assert w.discover(str(tmp_path)) == ["good"] and w.discover(str(tmp_path / "none")) == []
+    assert w.diagnostics(dataset="good", target_id="midpoint_01", view_id="collapsed_bridge")["preserved"] == ["interior_00"]
+    assert json.loads(w.fixture_json("good").first()["json"]).keys() == {"object_id", "label", "vec", "x", "y"}
+    assert datasets.REGISTRY["apparel"].n_classes == 10
+    assert datasets.neighbours_in_order(fixtures.calibration(spark), "corner_0") == ("interior_07", "corner_1")
+
+
+def test_baseline_classifier(spark):
+    r = np.random.default_rng(2)
+    rows = [(f"o{i}", f"c{i % 3}", (r.normal(0, 1, 3) + 4 * np.eye(3)[i % 3]).tolist()) for i in range(90)]
+    beliefs, classes = datasets.fit_baseline(spark.createDataFrame(rows, "object_id string, label string, vec array<double>"))
+    got = datasets.point_metadata(beliefs, classes).collect()
+    assert classes == ["c0", "c1", "c2"] and np.mean([x["correct"] for x in got]) > 0.95 and max(x["confidence"] for x in got) > 0.9
+
+
+def test_colours(spark):
+    df = spark.createDataFrame([("corner_1", 0), ("midpoint", 11), ("other", 2)], "name string, code int")
+    got = df.select(colours.by_prefix(F.col("name"), {"corner": "red"}, colours.by_substring(F.col("name"), {"point": "blue"}, F.lit("grey"))).alias("c"), colours.by_index(F.col("code"), colours.palette(10)).alias("i"), colours.by_name(F.col("name")).alias("n")).collect()
+    assert [r["c"] for r in got] == ["red", "blue", "grey"] and [r["i"] for r in got] == [colours.palette(10)[k] for k in (0, 1, 2)]
+    assert all(r["n"].startswith("hsl(") for r in got)
+
+
 def test_selections(spark):
     p = spark.createDataFrame([("a", 0, 0.0, 0.0, 0.9, "x"), ("b", 1, 1.0, 1.0, 0.5, "y"), ("c", 2, 0.1, 0.0, 0.7, "x")], "object_id string, pos long, x double, y double, confidence double, predicted_label string")
     inside = selection.marquee(p, 0.5, 0.0, 0.0, 0.5)
