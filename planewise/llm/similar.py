@@ -11,8 +11,7 @@ probability 0.96 at a similarity of 0.8; copies cut short or continued, whose wo
 differ as much as their shingles, with 0.75 at 0.85 and 0.93 at 0.9.  Groups link on
 through their other members.  Links within three bits of the plain fingerprint are added.
 
-A list gives a spanning forest.  One longer than ``LIST_ROWS`` is read in parts: members
-are first compared with one representative of each group found so far.  A list of more
+A list gives a spanning forest of all its close pairs, however long it is.  A list of more
 than ``SALT_ROWS`` is dealt to several tasks by a hash of list and member, differently
 for each of the 48 lists of a member, so groups still join through the others.
 """
@@ -35,9 +34,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 STREAMS = 6
 CHECKS = 4
-#: Members of a list in one part, and members of a list that one task reads.
+#: Members of a list that are compared at once, and members of a list that one task reads.
 LIST_ROWS = 4096
 SALT_ROWS = 100_000
+WHOLE = 1 << 62  # lists aren't read in parts
 
 _COSINE = 2 * SIMILARITY / (1 + SIMILARITY)  # of two sets of one size
 _SHARE = math.acos(_COSINE) / math.pi
@@ -99,30 +99,33 @@ def sketches(docs: DataFrame) -> DataFrame:
     return by_batch(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), schema, make)
 
 
-def _near(checks: np.ndarray, one: np.ndarray) -> np.ndarray:
-    differing = np.ascontiguousarray(checks ^ one).view(np.uint64)  # of a negative number the bits of its absolute value would count
-    return np.bitwise_count(differing).sum(axis=1, dtype=np.int64) <= VERIFY_BITS
-
-
-def forest_of(rows: np.ndarray, against: np.ndarray | None = None) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
-    """Links that span the groups of ``rows`` (node, checks), and a row of each group none of ``against`` is in.
-
-    ``against`` are rows of groups found before: a member near one joins it.
-    """
-    links, left, first = [], rows, []
-    todo = [] if against is None else list(against)
-    while len(left):
+def _near(words: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Columns of ``words`` (a row a word of the check) within ``VERIFY_BITS`` of ``one``; half of the words rules most out."""
+    out = []
+    for i in range(0, words.shape[1], LIST_ROWS):
+        part = words[:, i : i + LIST_ROWS]
+        half = np.bitwise_count(part[: CHECKS // 2] ^ one[: CHECKS // 2, None]).sum(axis=0, dtype=np.int16)
+        near = np.flatnonzero(half <= VERIFY_BITS)
+        if len(near):
+            out.append(i + near[np.bitwise_count(part[:, near] ^ one[:, None]).sum(axis=0, dtype=np.int16) <= VERIFY_BITS])
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def forest_of(rows: np.ndarray) -> list[tuple[int, int]]:
+    """Links that span the groups of ``rows`` (node, checks); every member is compared with all not reached yet."""
+    nodes, words = rows[:, 0], np.ascontiguousarray(rows[:, 1:].T).view(np.uint64)
+    links, todo = [], []
+    while len(nodes):
         if not todo:
-            todo, left = [left[0]], left[1:]
-            first.append(todo[0])
-        one = todo.pop()
-        near = _near(left[:, 1:], one[1:])
-        if near.any():
-            found = left[near]
-            links += [(int(one[0]), int(x)) for x in found[:, 0]]
-            todo += list(found)
-            left = left[~near]
-    return links, first
+            todo.append((nodes[0], words[:, 0]))
+            nodes, words = nodes[1:], words[:, 1:]
+        node, one = todo.pop()
+        near = _near(words, one)
+        if len(near):
+            links += [(int(node), int(x)) for x in nodes[near]]
+            todo += list(zip(nodes[near], words[:, near].T, strict=True))
+            nodes, words = np.delete(nodes, near), np.delete(words, near, axis=1)
+    return links
 
 
 def _key(stream: int, number: int, positions: tuple[int, ...]) -> Column:
@@ -146,20 +149,12 @@ def links(nodes: DataFrame) -> DataFrame:
         return np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 2 + CHECKS)], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_key, known = None, []
-        for too_long, keys, rows in simhash._lists(batches, LIST_ROWS, load):
+        for _, keys, rows in simhash._lists(batches, WHOLE, load):
             starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
             found: list[tuple[int, int]] = []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if too_long:
-                    if known_key != keys[a]:
-                        known_key, known = keys[a], []
-                    for i in range(a, b, LIST_ROWS):
-                        more, first = forest_of(rows[i : min(b, i + LIST_ROWS)], np.array(known) if known else None)
-                        found += more
-                        known += first
-                elif b - a > 1:
-                    found += forest_of(rows[a:b])[0]
+                if b - a > 1:
+                    found += forest_of(rows[a:b])
             if found:
                 pairs = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
