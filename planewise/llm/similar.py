@@ -12,8 +12,8 @@ differ as much as their shingles, with 0.75 at 0.85 and 0.93 at 0.9.  Groups lin
 through their other members.  Links within three bits of the plain fingerprint are added.
 
 A list gives a spanning forest of all its close pairs, however long it is.  A list of more
-than ``SALT_ROWS`` is dealt to several tasks by a hash of list and member, differently
-for each of the 48 lists of a member, so groups still join through the others.
+than ``SALT_ROWS`` is cut into blocks by a hash of the member; any two blocks, and each
+block with itself, meet in a task of their own, so every pair is compared in one task.
 """
 
 from __future__ import annotations
@@ -111,20 +111,25 @@ def _near(words: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def forest_of(rows: np.ndarray) -> list[tuple[int, int]]:
-    """Links that span the groups of ``rows`` (node, checks); every member is compared with all not reached yet."""
-    nodes, words = rows[:, 0], np.ascontiguousarray(rows[:, 1:].T).view(np.uint64)
+def forest_of(rows: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that span the groups of ``rows`` (node, checks); every member is compared with all not reached yet.
+
+    With ``side`` (0 or 1 of each row) only members of different sides are compared.
+    """
+    sides = [rows] if side is None or (side == side[0]).all() else [rows[side == 0], rows[side == 1]]
+    nodes, words = [r[:, 0] for r in sides], [np.ascontiguousarray(r[:, 1:].T).view(np.uint64) for r in sides]
     links, todo = [], []
-    while len(nodes):
+    while todo or len(nodes[0]):
         if not todo:
-            todo.append((nodes[0], words[:, 0]))
-            nodes, words = nodes[1:], words[:, 1:]
-        node, one = todo.pop()
-        near = _near(words, one)
+            todo.append((0, nodes[0][0], words[0][:, 0]))
+            nodes[0], words[0] = nodes[0][1:], words[0][:, 1:]
+        at, node, one = todo.pop()
+        to = len(sides) - 1 - at
+        near = _near(words[to], one)
         if len(near):
-            links += [(int(node), int(x)) for x in nodes[near]]
-            todo += list(zip(nodes[near], words[:, near].T, strict=True))
-            nodes, words = np.delete(nodes, near), np.delete(words, near, axis=1)
+            links += [(int(node), int(x)) for x in nodes[to][near]]
+            todo += [(to, n, w) for n, w in zip(nodes[to][near], words[to][:, near].T, strict=True)]
+            nodes[to], words[to] = np.delete(nodes[to], near), np.delete(words[to], near, axis=1)
     return links
 
 
@@ -140,13 +145,18 @@ def links(nodes: DataFrame) -> DataFrame:
     keys = F.array(*(_key(s, n, t) for s in range(STREAMS) for n, t in enumerate(simhash.TRIPLES)))
     postings = nodes.select(F.explode(keys).alias("key"), "node", *_CHECK)
     hot = cut(nodes.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SALT_ROWS))
-    if not hot.isEmpty():
-        parts = hot.select("key", F.ceil(F.col("n") / SALT_ROWS).alias("parts"))
-        salt = F.pmod(F.xxhash64("key", "node"), F.coalesce("parts", F.lit(1)))
-        postings = postings.join(parts, "key", "left").withColumn("key", F.shiftleft(salt, 32).bitwiseOR(F.col("key"))).drop("parts")
+    dealt = not hot.isEmpty()
+    if dealt:
+        # Blocks of half the rows of a task meet two by two, each pair under a key of its own; a block meets itself too.
+        parts = hot.select("key", F.ceil(F.col("n") * 2 / SALT_ROWS).cast("long").alias("parts"))
+        blocks = postings.join(F.broadcast(parts), "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))))
+        met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+        pair = F.least("own", "other") * F.coalesce("parts", F.lit(1)) + F.greatest("own", "other")
+        side = (F.col("own") > F.col("other")).cast("long")
+        postings = met.select(F.shiftleft(pair, 32).bitwiseOR(F.col("key")).alias("key"), "node", *_CHECK, side.alias("side"))
 
     def load(batch: pa.RecordBatch) -> np.ndarray:
-        return np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 2 + CHECKS)], axis=1)
+        return np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, batch.num_columns)], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, keys, rows in simhash._lists(batches, WHOLE, load):
@@ -154,7 +164,7 @@ def links(nodes: DataFrame) -> DataFrame:
             found: list[tuple[int, int]] = []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 if b - a > 1:
-                    found += forest_of(rows[a:b])
+                    found += forest_of(rows[a:b, : 1 + CHECKS], rows[a:b, -1] if dealt else None)
             if found:
                 pairs = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])

@@ -44,3 +44,22 @@ def test_member_near_two_earlier_groups_joins_them(spark, monkeypatch):
     monkeypatch.setattr(similar, "LIST_ROWS", 2)
     a, between, b = _chain(3, 40)
     assert _groups(similar.links(_nodes(spark, np.array([a, b, between])))) == {frozenset(range(3))}
+
+
+@pytest.mark.parametrize("members", [11, 60])
+def test_pairs_of_a_list_of_many_tasks_are_all_found(spark, monkeypatch, members):
+    """Small groups in one hot list: pairs, and a chain of three."""
+    monkeypatch.setattr(similar, "SALT_ROWS", 5)
+    r = np.random.default_rng(7)
+    checks = r.integers(-(2**63), 2**63, (members, similar.CHECKS), np.int64)
+    twin = np.arange(members // 3)
+    checks[members - 1 - twin] = checks[twin] ^ r.integers(0, 1 << 30, (len(twin), similar.CHECKS)) % 1024
+    checks[-4:-1] = _chain(3, 30)
+    want = {frozenset((int(k), members - 1 - int(k))) for k in twin if k not in (1, 2, 3)} | {frozenset(range(members - 4, members - 1))}
+    assert _groups(similar.links(_nodes(spark, checks))) == want
+
+
+def test_any_two_members_of_a_hot_list_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SALT_ROWS", 5)
+    checks = np.zeros((30, similar.CHECKS), np.int64)
+    assert _groups(similar.links(_nodes(spark, checks))) == {frozenset(range(30))}
