@@ -10,8 +10,10 @@ private addresses stay private, given names keep the gender that the title tells
 
 Distinctness is checked over the corpus: the table of distinct entities, small against
 the texts, is searched for surrogates that two entities share or that are a real
-entity's form; those try again with the next attempt until none is left.  Attempts
-other than the first are few and travel as a literal map; if there are more than
+entity's form; those try again with the next attempt until none is left.  From the
+attempt ``WIDER_FROM`` on each draws from a wider space than the one before (a longer
+local part, one more syllable, more digits of a short phone number, 10.* for 192.168.*),
+so a space smaller than its entities doesn't end the search.  Attempts other than the first are few and travel as a literal map; if there are more than
 ``MOST_INLINE`` they are joined by the hash of the text instead.
 """
 
@@ -27,6 +29,9 @@ from planewise.llm.common import cut
 KEY = "planewise"
 MOST_INLINE = 1000
 MOST_ROUNDS = 32
+#: Attempts from the first of these on draw from ever wider spaces; from the second on a private address may become a public one.
+WIDER_FROM = 4
+PUBLIC_FROM = 16
 
 # Titles that tell a person's gender, or that a person follows.
 MALE_TITLES = ("Mr", "Herr", "Señor", "Sr", "Monsieur")
@@ -117,6 +122,15 @@ def _mapped(s: Column, h: Column) -> Column:
     return F.array_join(F.transform(F.split(s, ""), one), "")
 
 
+def _more(n: Column, h: Column, letters: tuple[str, ...]) -> Column:
+    """``n`` further keyed groups, each of one of every of the ``letters``; none for n < 1."""
+
+    def one(i: Column) -> Column:
+        return let(F.sha2(F.concat_ws("|", h, i.cast("string")), 256), lambda d: F.concat(*(_pick(x, _number(d, F.lit(j))) for j, x in enumerate(letters))))
+
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one), "")).otherwise(F.lit(""))
+
+
 def luhn_sum(digits: Column) -> Column:
     """Sum of the Luhn check over a string of digits."""
     n = F.length(digits)
@@ -134,26 +148,28 @@ def _card(canon: Column, h: Column) -> Column:
     return let(inner, lambda x: F.concat(x, F.when(luhn_sum(canon) % 10 == 0, check(x)).otherwise(free)))
 
 
-def _address(canon: Column, h: Column) -> Column:
+def _address(canon: Column, h: Column, attempt: Column) -> Column:
     octet = lambda k, span, least: (_number(h, F.lit(k)) % span + least).cast("string")
     tail = F.concat_ws(".", octet(2, 254, 1), octet(3, 254, 1))
     public = F.concat_ws(".", F.element_at(F.array(*(F.lit(str(x)) for x in range(11, 224) if x not in (127, 169, 172, 192))), (_number(h, F.lit(0)) % 208) + 1), octet(1, 254, 1), tail)
+    wide = attempt >= WIDER_FROM
     return (
-        F.when(canon.startswith("10."), F.concat_ws(".", F.lit("10"), octet(1, 254, 1), tail))
+        F.when(attempt >= PUBLIC_FROM, public)
+        .when(canon.startswith("10.") | canon.startswith("192.168.") & wide, F.concat_ws(".", F.lit("10"), octet(1, 254, 1), tail))
         .when(canon.startswith("192.168."), F.concat(F.lit("192.168."), tail))
-        .when(canon.startswith("127."), F.concat(F.lit("127.0."), tail))
+        .when(canon.startswith("127."), F.concat(F.lit("127."), F.when(wide, octet(1, 254, 1)).otherwise(F.lit("0")), F.lit("."), tail))
         .otherwise(public)
     )
 
 
-def _name(canon: Column, kind: Column, h: Column) -> Column:
-    """Three keyed syllables and an ending by gender, in the name's script."""
+def _name(canon: Column, kind: Column, h: Column, extra: Column) -> Column:
+    """Three keyed syllables, ``extra`` more and an ending by gender, in the name's script."""
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
 
     def built(consonants: str, vowels: str, male: str, female: str, family: str) -> Column:
         syllables = F.concat(*(_pick(x, _number(h, F.lit(2 * k + j))) for k in range(3) for j, x in enumerate((consonants, vowels))))
         ending = F.when(kind == "GIVEN_M", F.lit(male)).when(kind == "GIVEN_F", F.lit(female)).otherwise(F.lit(family))
-        return F.concat(syllables, ending)
+        return F.concat(syllables, _more(extra, h, (consonants, vowels)), ending)
 
     return F.when(cyrillic, built(_CYRILLIC_CONSONANTS, _CYRILLIC_VOWELS, "н", "на", "к")).otherwise(built(_CONSONANTS, _VOWELS, "n", "na", "l"))
 
@@ -162,10 +178,11 @@ def surrogate_of(kind: Column, canon: Column, attempt: Column, key: str) -> Colu
     """The canonical surrogate of an entity."""
     digest = lambda e: F.sha2(F.concat_ws("|", F.lit(key), e["k"], e["c"], e["a"].cast("string")), 256)
     entity = F.struct(kind.alias("k"), canon.alias("c"), attempt.alias("a"))
-    return let(entity, lambda e: let(digest(e), lambda d: let(F.concat(d, F.sha2(d, 256)), lambda h: _surrogate(e["k"], e["c"], h))))
+    return let(entity, lambda e: let(digest(e), lambda d: let(F.concat(d, F.sha2(d, 256)), lambda h: _surrogate(e["k"], e["c"], h, e["a"]))))
 
 
-def _surrogate(kind: Column, canon: Column, h: Column) -> Column:
+def _surrogate(kind: Column, canon: Column, h: Column, attempt: Column) -> Column:
+    extra = attempt - (WIDER_FROM - 1)
     at = F.instr(canon, "@")
     host = let(
         F.split(F.substr(canon, at + 1), r"\."),
@@ -177,14 +194,14 @@ def _surrogate(kind: Column, canon: Column, h: Column) -> Column:
     mapped = _mapped(canon, h)
     tail = lambda k: F.concat(F.substr(canon, F.lit(1), F.lit(k)), F.substr(mapped, F.lit(k + 1)))
     return (
-        F.when(kind == "EMAIL", F.concat(_mapped(F.substr(canon, F.lit(1), at), h), host))
-        .when(kind == "IPV4", _address(canon, h))
+        F.when(kind == "EMAIL", F.concat(_mapped(F.substr(canon, F.lit(1), at - 1), h), _more(extra, h, (_LATIN,)), F.lit("@"), host))
+        .when(kind == "IPV4", _address(canon, h, attempt))
         .when((kind == "IPV6") | (kind == "SECRET") & canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), hexadecimal)
         .when(kind == "SECRET", tail(4))
         .when(kind == "CARD", _card(canon, h))
-        .when(kind == "PHONE", F.concat(_pick("23456789", _number(h, F.lit(30))), F.substr(mapped, F.lit(2))))
+        .when(kind == "PHONE", F.concat(_pick("23456789", _number(h, F.lit(30))), F.substr(mapped, F.lit(2)), _more(F.least(extra, 10 - F.length(canon)), h, ("0123456789",))))
         .when(kind == "IBAN", tail(2))
-        .when(kind.isin("SURNAME", "GIVEN_M", "GIVEN_F", "GIVEN_U"), _name(canon, kind, h))
+        .when(kind.isin("SURNAME", "GIVEN_M", "GIVEN_F", "GIVEN_U"), _name(canon, kind, h, extra))
         .otherwise(mapped)
     )
 
@@ -229,7 +246,9 @@ def replacement(m: Column, attempts: Column | None, key: str) -> Column:
         return let(of(e), lambda s: cased(was, s))
 
     def laid(kind: Column, s: Column) -> Column:
-        return F.when(kind.isin("PHONE", "CARD", "SSN"), _laid_digits(m, s)).when(kind.isin("EMAIL", "IPV6"), _laid_case(m, s)).when(kind == "IBAN", _laid_spaces(m, s)).otherwise(s)
+        own = F.length(digits_of(m))
+        own = F.when(kind == "PHONE", F.least(own, F.lit(10))).otherwise(own)
+        return F.when(kind.isin("PHONE", "CARD", "SSN"), F.concat(_laid_digits(m, F.substr(s, F.lit(1), own)), F.substr(s, own + 1))).when(kind.isin("EMAIL", "IPV6"), _laid_case(m, s)).when(kind == "IBAN", _laid_spaces(m, s)).otherwise(s)
 
     def whole(kind: Column) -> Column:
         person = F.concat(F.regexp_extract(m, r"^\p{L}+\.? ", 0), F.array_join(F.transform(entities_of(m, kind), named), " "))
