@@ -54,7 +54,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has; most texts have none of it and go through untouched.
-HINT = rf"[0-9@]|(?=[MDPHFS])(?:{_TITLES})[. ]"
+HINT = rf"[0-9@]|(?=[MDPHFS])(?:{_TITLES})[. ]|AKIA|gh[pousr]_|[a-f]{{32}}|[A-F]{{32}}|[A-Fa-f]:[A-Fa-f]{{1,4}}:"
 
 _LATIN, _LATIN_UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
