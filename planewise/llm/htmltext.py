@@ -3,9 +3,11 @@
 The standard library's streaming parser turns a page into lines, one a block, with the
 length of its text and the number of tags that made it.  Text-to-tag ratios are
 smoothed with a Gaussian over neighbouring lines and clustered into two about a
-threshold; the dense lines vote for the container that encloses them.  Lines in menus,
+threshold.  Articles are content where any has a dense line; else the innermost container
+that encloses all dense lines is, and outside it only what is mostly links, an unnamed
+menu, is dropped.  Lines in menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are ruled out by element and by class or id words, then every other line of the winning
+are ruled out by element and by class or id words, then every other line of the chosen
 container is content, short ones and headings too.
 """
 
@@ -28,6 +30,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 SKIPPED = frozenset("script style noscript template iframe object svg canvas head title textarea select button option".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 CONTAINERS = frozenset("article main section div body td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Their classes tell what a page has, not what they are.
 WHOLE_PAGE = frozenset("html body main".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -38,7 +41,7 @@ _CLOSES_P = BLOCKS - {"body", "html"}
 
 
 class _Lines(HTMLParser):
-    """Blocks of a page in order: [text parts, tags, path of open containers, ruled out]."""
+    """Blocks of a page in order: (text, tags, container, ruled out, a heading or not mostly links)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -46,15 +49,16 @@ class _Lines(HTMLParser):
         self.out_depth = self.skip_depth = 0
         self.containers: list[tuple[str, int]] = [("page", -1)]  # element, parent
         self.here = 0
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, bool]] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = self.link_depth = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text or self.tags:
-            self.lines.append((text, self.tags, self.here, self.out_depth > 0))
-        self.parts, self.tags = [], 0
+            plain = 2 * self.linked <= len(text) or any(tag in HEADINGS for tag, _, _ in self.open)
+            self.lines.append((text, self.tags, self.here, self.out_depth > 0, plain))
+        self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -75,6 +79,7 @@ class _Lines(HTMLParser):
         self.open.append((tag, out, container))
         self.out_depth += out
         self.skip_depth += skip
+        self.link_depth += tag == "a"
 
     @staticmethod
     def marks_boilerplate(name: str, value: str) -> bool:
@@ -96,6 +101,7 @@ class _Lines(HTMLParser):
             tag, out, container = self.open.pop()
             self.out_depth -= out
             self.skip_depth -= tag in SKIPPED
+            self.link_depth -= tag == "a"
             self.here = container
 
     def handle_endtag(self, tag: str) -> None:
@@ -117,10 +123,11 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skip_depth:
             self.parts.append(data)
+            self.linked += len(data.strip()) if self.link_depth else 0
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int, int, bool]], list[tuple[str, int]]]:
-    """(text, tags, container, ruled out) of each block, and the containers with their parents."""
+def lines_of(html: str) -> tuple[list[tuple[str, int, int, bool, bool]], list[tuple[str, int]]]:
+    """(text, tags, container, ruled out, a heading or not mostly links) of each block, and the containers with their parents."""
     p = _Lines()
     p.feed(html)
     p.close()
@@ -153,30 +160,24 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     lines, containers = lines_of(html)
-    allowed = [k for k, (text, _, _, out) in enumerate(lines) if text and not out]
+    allowed = [k for k, (text, _, _, out, _) in enumerate(lines) if text and not out]
     if not allowed:
         return ""
-    density = smoothed(np.array([0.0 if out else len(text) / max(tags, 1) for text, tags, _, out in lines]))
+    density = smoothed(np.array([0.0 if out else len(text) / max(tags, 1) for text, tags, _, out, _ in lines]))
     threshold = two_means(density[allowed])
-    votes = np.zeros(len(containers))
-    for k in allowed:
-        if density[k] >= threshold:
-            c = lines[k][2]
-            while c >= 0:
-                votes[c] += len(lines[k][0])
-                c = containers[c][1]
-    named = [c for c, (tag, _) in enumerate(containers) if tag in ("article", "main") and votes[c]]
-    if named:
+    dense = [lines[k][2] for k in allowed if density[k] >= threshold]
+    inside = lambda cs: {c for x in cs for c in (x, *_above(x, containers))}
+    filled, voted = inside({lines[k][2] for k in allowed}), inside(dense)
+    named = [c for c, (tag, _) in enumerate(containers) if tag in ("article", "main") and c in filled]
+    plain: set[int] = set()
+    if any(c in voted for c in named):
         # Articles side by side are all content; one inside another is its reader's reply or a teaser.
         chosen = {c for c in named if not any(p in named for p in _above(c, containers))}
     else:
-        whole = votes.max()
-        best = 0
-        for c in range(len(containers)):  # the innermost that still has most of the dense text
-            if votes[c] >= 0.7 * whole:
-                best = c
-        chosen = {best}
-    return " ".join(lines[k][0] for k in allowed if lines[k][2] in chosen or not chosen.isdisjoint(_above(lines[k][2], containers)))
+        # The innermost container of all dense blocks: the last one in document order that they share.
+        chosen = {max(set.intersection(*(inside([c]) for c in set(dense)))) if dense else 0}
+        plain = {k for k in allowed if lines[k][4]}
+    return " ".join(lines[k][0] for k in allowed if k in plain or lines[k][2] in chosen or not chosen.isdisjoint(_above(lines[k][2], containers)))
 
 
 def _above(c: int, containers: list[tuple[str, int]]) -> list[int]:
