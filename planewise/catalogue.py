@@ -146,6 +146,26 @@ _register("dist_cross_sets", _cross_sets, f"""WITH RECURSIVE {ACTIVITIES.sql.rep
 {FEW_MIXES.sql.replace('400', '100').replace('e AS', 'eb AS', 1).replace('FROM e WHERE', 'FROM eb WHERE').replace('v AS', 'vb AS')},
 a AS (SELECT object_id, {_ROOT} AS w FROM va), b AS (SELECT object_id, {_ROOT} AS w FROM vb)
 SELECT a.object_id AS i, b.object_id AS j, {_r(_DISTANCES['hellinger'][0])} AS distance FROM a, b""")
+
+
+def _register_whole(metric: str) -> None:
+    """Pairs and neighbours of all customers; SQL is too slow for all pairs, so tests hold them against brute force."""
+    of = _space(tables.mixes, MIXES.dimension, metric)
+    _register(f"dist_{metric}_whole", lambda s, d: pairs.pairs(of(s, d), unordered=True).select("i", "j", result(F.col("h")).alias("distance")))
+    _register(f"knn_{metric}_whole", lambda s, d: neighbors.knn(pairs.pairs(of(s, d)), K))
+
+
+for _m in ("aitchison", "jensen_shannon"):
+    _register_whole(_m)
+
+
+def _cross_sets_whole(s: SparkSession, d: str) -> DataFrame:
+    metric = REGISTRY.get("hellinger")
+    a, b = (pairs.space(read(s, d), "vec", 5, metric) for read in (tables.activities, tables.mixes))
+    return pairs.pairs(a, other=b).select("i", "j", result(F.col("h")).alias("distance"))
+
+
+_register("dist_cross_sets_whole", _cross_sets_whole)
 _register(
     "rank_matrix_topn",
     lambda s, d: neighbors.both_ranks(pairs.pairs(_space(tables.activities, 5, "hellinger", PLANE)(s, d))).where("rh <= 20").select("i", "j", "rh", "rl"),
