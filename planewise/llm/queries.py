@@ -11,10 +11,12 @@ from planewise.llm import bpe, hashtree, htmltext, isolation, linededup, matrosk
 from planewise.llm.common import table
 
 SHARDS = 24
+#: The driver's tables are synthetic: their surrogates may be reproduced.  Real texts need a secret in the session's setting.
+SAMPLE_KEY = "made-up tables only"
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.surrogates(table(spark, sf_dir, "documents"))
+    return surrogates.surrogates(table(spark, sf_dir, "documents"), spark.conf.get(surrogates.KEY_SETTING, SAMPLE_KEY))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,34 +4,45 @@ Entities are found by one pattern per type and replaced in the text on the spot;
 it is SQL functions.  A surrogate is a function of a secret key, the entity's type, its
 canonical form and an attempt number, so one entity has one surrogate wherever it
 stands and however it is written: the canonical surrogate is laid into each mention's
-own format (separators, case, country code).  Digits give digits, letters letters of
-the same case and script; card numbers keep the issuer's digit and the Luhn property,
-private addresses stay private, given names keep the gender that the title tells.
+own format (separators, case, country code, the way an address is shortened).  Digits
+give digits, letters letters of the same case and script; card numbers keep the issuer's
+digit and the Luhn property, account numbers their country and check digits, names their
+hyphens, apostrophes and the gender that any title in the corpus tells.  Initials stay.
 
 Distinctness is checked over the corpus: the table of distinct entities, small against
 the texts, is searched for surrogates that two entities share or that are a real
-entity's form; those try again with the next attempt until none is left.  From the
-attempt ``WIDER_FROM`` on each draws from a wider space than the one before (a longer
-local part, one more syllable, more digits of a short phone number, 10.* for 192.168.*),
-so a space smaller than its entities doesn't end the search.  Attempts other than the first are few and travel as a literal map; if there are more than
-``MOST_INLINE`` they are joined by the hash of the text instead.
+entity's form; those alone try again, against all settled ones, until none is left.  From
+the attempt ``WIDER_FROM`` on each draws from a wider space than the one before, so a
+space smaller than its entities doesn't end the search.  Private IPv4 addresses need no
+search: they are permuted within their block by a keyed cycle, which leaves none in place
+and gives no two the same.
+
+What a text needs to know of the corpus (later attempts, genders that other titles tell)
+is little and travels as a literal map; if there are more than ``MOST_INLINE`` such
+entities they are joined by the hash of the text instead.  A name once found after a
+title is replaced wherever it stands in that text with a capital, unless the text has it
+as a common word too.
 """
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planewise.llm.common import cut
 
-KEY = "planewise"
+#: The session's setting that holds the secret key.
+KEY_SETTING = "planewise.pii.key"
 MOST_INLINE = 1000
-MOST_ROUNDS = 32
-#: Attempts from the first of these on draw from ever wider spaces; from the second on a private address may become a public one.
+MOST_ROUNDS = 64
+#: Attempts from this one on draw from ever wider spaces.
 WIDER_FROM = 4
-PUBLIC_FROM = 16
+#: Characters of an e-mail's local part, or of the labels below its domain, that a surrogate has at most.
+MOST_LOCAL = 64
 
 # Titles that tell a person's gender, or that a person follows.
 MALE_TITLES = ("Mr", "Herr", "Señor", "Sr", "Monsieur")
@@ -40,26 +51,68 @@ OTHER_TITLES = ("Dr", "Prof")
 
 _TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES, key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}[\p{L}\p{M}'’\-]+"
+_NAME = r"\p{Lu}(?:[\p{L}\p{M}]+|['’]\p{Lu}[\p{L}\p{M}]+)(?:['’\-]\p{L}[\p{L}\p{M}]+){0,4}"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: No unbounded repetition of a group: the regex engine would recurse once a repetition, and one text could end an executor.
 PATTERNS = {
     "SECRET": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36})(?![\p{L}\p{N}])",
-    "EMAIL": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{M}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
+    "EMAIL": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{M}\p{N}._%+\-]++@[\p{L}\p{N}][\p{L}\p{N}.\-]*\.\p{L}{2,}",
     "IPV4": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[\p{{L}}\p{{N}}])",
-    "IPV6": r"(?<![:\p{L}\p{N}])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![:\p{L}\p{N}])",
+    "IPV6": rf"(?<![:\p{{L}}\p{{N}}])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]{{0,30}}[0-9])(?=[0-9A-Fa-f:]{{3,39}}(?![:\p{{L}}\p{{N}}])){_HEX}(?::{_HEX}){{0,5}}::{_HEX}(?::{_HEX}){{0,5}})(?![:\p{{L}}\p{{N}}])",
     "SSN": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
     "PHONE": r"(?<![\p{L}\p{N}+])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)|\d{3})[ .\-]\d{3}[ .\-]\d{4}|\+\d{1,3}(?:[ .\-]\d{2,4}){2,4}|\+\d{9,14})(?![\p{L}\p{N}])",
     "CARD": r"(?<![\p{L}\p{N}])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,4}(?:[ \-]\d{1,3})?|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19})(?![\p{L}\p{N}])",
     "IBAN": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "PERSON": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "PERSON": rf"(?<!\p{{L}})(?:{_TITLES})\.? (?:\p{{Lu}}\. ){{0,3}}{_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has; most texts have none of it and go through untouched.
 HINT = rf"[0-9@]|(?=[MDPHFS])(?:{_TITLES})[. ]|AKIA|gh[pousr]_|[a-f]{{32}}|[A-F]{{32}}|[A-Fa-f]:[A-Fa-f]{{1,4}}:"
+#: What stands before the names of a person: the title and initials.
+BEFORE_NAMES = r"^\p{L}+\.? (?:\p{Lu}\. ){0,3}"
+#: A name, and a common word, as whole words of a text.
+WORD = rf"(?<![\p{{L}}\p{{M}}\p{{N}}'’\-]){_NAME}"
+COMMON_WORD = r"(?<![\p{L}\p{M}'’\-])\p{Ll}[\p{L}\p{M}]+"
+PRIVATE = r"^(?:10|127|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\."
+
+# Letters of scripts, lower case where there are cases.
+ALPHABETS = {
+    "Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя",
+    "Greek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת",
+    "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "Devanagari": "अआइईउऊएऐओऔकखगघचछजझटठडढतथदधनपफबभमयरलवशषसह",
+    "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+    "Katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    "Han": "山川田木林森石水火土金王李张陈刘杨黄周吴徐孙马朱胡",
+    "Hangul": "가나다라마바사아자차카타파하거너더러머버서어저",
+}
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+#: Consonants and vowels of made names, and endings of male, female and other names, by script.
+SYLLABLES = {"Cyrillic": ("бвгдзклмнпрстф", "аеиоу", "н", "на", "к"), "Greek": ("βγδζκλμνπρστφ", "αεηιο", "ν", "να", "λ")}
+LATIN_SYLLABLES = ("bdfgklmnprstvz", "aeiou", "n", "na", "l")
+MALE, FEMALE, UNKNOWN = 1, 2, 0
+
+
+class Key:
+    """Pads of a keyed hash (HMAC with SHA-256); plans hold a key derived from the secret, not the secret."""
+
+    def __init__(self, secret: str) -> None:
+        block = hmac.new(secret.encode(), b"planewise surrogates", hashlib.sha256).digest().ljust(64, b"\0")
+        self.inner, self.outer = (bytearray(x ^ pad for x in block) for pad in (0x36, 0x5C))
 
-_LATIN, _LATIN_UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
-_CONSONANTS, _VOWELS = "bdfgklmnprstvz", "aeiou"
-_CYRILLIC_CONSONANTS, _CYRILLIC_VOWELS = "бвгдзклмнпрстф", "аеиоу"
+    def digest(self, message: Column) -> Column:
+        """The hash as 64 hexadecimal digits."""
+        inside = F.unhex(F.sha2(F.concat(F.lit(self.inner), message.cast("binary")), 256))
+        return F.sha2(F.concat(F.lit(self.outer), inside), 256)
+
+
+def key_of(spark: SparkSession, secret: str | None = None) -> Key:
+    """The key given or set in the session as ``KEY_SETTING``; there is no default one: who knows the key can undo surrogates."""
+    secret = secret or spark.conf.get(KEY_SETTING, None)
+    if not secret:
+        raise ValueError(f"surrogates need a secret key: pass one or set {KEY_SETTING}")
+    return Key(secret)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -80,21 +133,39 @@ def digits_of(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
-def entities_of(m: Column, kind: Column) -> Column:
-    """The mention's entities as an array of (kind, canonical form): the tokens of a name, else one."""
+def gender_of(m: Column) -> Column:
+    """The gender that a person's title tells."""
     title = F.regexp_extract(m, r"^(\p{L}+)", 1)
-    gender = F.when(title.isin(*MALE_TITLES), "GIVEN_M").when(title.isin(*FEMALE_TITLES), "GIVEN_F").otherwise("GIVEN_U")
-    names = F.split(F.lower(F.regexp_replace(m, r"^\p{L}+\.? ", "")), " ")
-    one = lambda k, c: F.struct(k.alias("kind"), c.alias("canon"))
-    person = F.transform(names, lambda n, i: one(F.when(i == F.size(names) - 1, F.lit("SURNAME")).otherwise(gender), n))
+    return F.when(title.isin(*MALE_TITLES), MALE).when(title.isin(*FEMALE_TITLES), FEMALE).otherwise(UNKNOWN)
+
+
+def names_of(m: Column) -> Column:
+    return F.split(F.regexp_replace(m, BEFORE_NAMES, ""), " ")
+
+
+def groups_of(address: Column) -> Column:
+    """The eight groups of an IPv6 address, shortened or not, each of four digits."""
+    sides = F.split(address, "::")
+    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
+    left, right = groups(F.element_at(sides, 1)), F.when(F.size(sides) > 1, groups(F.element_at(sides, -1))).otherwise(F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
+    return F.transform(F.concat(left, zeros, right), lambda g: F.lpad(F.lower(g), 4, "0"))
+
+
+def entities_of(m: Column, kind: Column) -> Column:
+    """The mention's entities as an array of (kind, canon, gender): the names of a person, else one."""
+    one = lambda k, c, g: F.struct(k.alias("kind"), c.alias("canon"), g.cast("int").alias("gender"))
+    names = F.transform(names_of(m), F.lower)
+    person = F.transform(names, lambda n, i: one(F.when(i == F.size(names) - 1, F.lit("SURNAME")).otherwise(F.lit("GIVEN")), n, gender_of(m)))
     canon = (
         F.when(kind == "PHONE", F.right(digits_of(m), F.lit(10)))
         .when(kind.isin("CARD", "SSN"), digits_of(m))
         .when(kind == "IBAN", F.replace(m, F.lit(" "), F.lit("")))
-        .when(kind.isin("EMAIL", "IPV6"), F.lower(m))
+        .when(kind == "EMAIL", F.lower(m))
+        .when(kind == "IPV6", F.array_join(groups_of(m), ":"))
         .otherwise(m)
     )
-    return F.when(kind == "PERSON", person).otherwise(F.array(one(kind, canon)))
+    return F.when(kind == "PERSON", person).otherwise(F.array(one(kind, canon, F.lit(UNKNOWN))))
 
 
 def _number(h: Column, i: Column) -> Column:
@@ -106,18 +177,23 @@ def _pick(letters: str, n: Column) -> Column:
     return F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1))
 
 
-def _mapped(s: Column, h: Column) -> Column:
-    """Each character by a keyed one of its class: digit, Latin or Cyrillic letter of its case; others stay."""
+def _script(c: Column, script: str) -> Column:
+    return c.rlike(rf"\p{{Is{script}}}")
+
+
+def _mapped(s: Column, h: Column, scripts: bool = False) -> Column:
+    """Each character by a keyed one of its class: digit or letter of its case and, with ``scripts``, of its script; others stay."""
 
     def one(c: Column, i: Column) -> Column:
         n = _number(h, i)
-        return (
-            F.when(c.rlike("[0-9]"), _pick("0123456789", n))
-            .when(c.rlike(r"\p{IsCyrillic}"), F.when(c.rlike(r"\p{Lu}"), F.upper(_pick(_CYRILLIC, n))).otherwise(_pick(_CYRILLIC, n)))
-            .when(c.rlike(r"\p{Lu}"), _pick(_LATIN_UPPER, n))
-            .when(c.rlike(r"\p{L}"), _pick(_LATIN, n))
-            .otherwise(c)
-        )
+        plain = F.when(c.between("0", "9"), _pick("0123456789", n)).when(c.between("a", "z"), _pick(_LATIN, n)).when(c.between("A", "Z"), F.upper(_pick(_LATIN, n)))
+        if not scripts:
+            return plain.otherwise(c)
+        letter = F.when(_script(c, "Latin"), _pick(_LATIN, n))
+        for script, letters in ALPHABETS.items():
+            letter = letter.when(_script(c, script), _pick(letters, n))
+        letter = letter.otherwise(_pick(_LATIN, n))
+        return plain.when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
 
     return F.array_join(F.transform(F.split(s, ""), one), "")
 
@@ -148,60 +224,129 @@ def _card(canon: Column, h: Column) -> Column:
     return let(inner, lambda x: F.concat(x, F.when(luhn_sum(canon) % 10 == 0, check(x)).otherwise(free)))
 
 
-def _address(canon: Column, h: Column, attempt: Column) -> Column:
+def _iban(canon: Column, h: Column) -> Column:
+    """Country and mapped number, with the check digits that make the remainder by 97 one where the original's was."""
+
+    def remainder(x: Column) -> Column:
+        """Of the digits that letters (A is 10) and digits of ``x`` stand for."""
+        value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+        return F.aggregate(F.split(x, ""), F.lit(0), lambda r, c: (r * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+
+    country, rest = F.substr(canon, F.lit(1), F.lit(2)), F.substr(_mapped(canon, h), F.lit(5))
+    right = remainder(F.concat(F.substr(canon, F.lit(5)), F.substr(canon, F.lit(1), F.lit(4)))) == 1
+    check = lambda x: F.lpad((98 - remainder(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0")
+    free = F.concat(*(_pick("0123456789", _number(h, F.lit(k))) for k in (30, 31)))
+    return let(rest, lambda x: F.concat(country, F.when(right, check(x)).otherwise(free), x))
+
+
+def _cycled(x: Column, size: Column, key: Key) -> Column:
+    """The next of ``x`` on one keyed cycle through 0 to ``size`` squared less 1: a permutation that leaves nothing in place.
+
+    Four Feistel rounds over two digits of base ``size`` (a power of two), one step, and the rounds backwards.
+    """
+    pair = lambda l, r: F.struct(l.alias("l"), r.alias("r"))
+    noise = lambda r, i: F.conv(F.substr(key.digest(F.concat_ws("|", F.lit("IPV4"), size.cast("string"), F.lit(str(i)), r.cast("string"))), F.lit(1), F.lit(6)), 16, 10).cast("long") % size
+
+    def forth(p: Column, i: int) -> Column:
+        return let(p, lambda q: pair(q["r"], q["l"].bitwiseXOR(noise(q["r"], i))))
+
+    def back(p: Column, i: int) -> Column:
+        return let(p, lambda q: pair(q["r"].bitwiseXOR(noise(q["l"], i)), q["l"]))
+
+    state = pair(F.floor(x / size).cast("long"), x % size)
+    for i in range(4):
+        state = forth(state, i)
+    state = let(state, lambda p: let((p["l"] * size + p["r"] + 1) % (size * size), lambda y: pair(F.floor(y / size).cast("long"), y % size)))
+    for i in reversed(range(4)):
+        state = back(state, i)
+    return let(state, lambda p: p["l"] * size + p["r"])
+
+
+def _private(canon: Column, key: Key) -> Column:
+    """A private address by another of its block."""
+    octet = lambda k: F.element_at(F.split(canon, r"\."), k).cast("long")
+    low = octet(3) * 256 + octet(4)
+    wide, middle = canon.rlike(r"^(?:10|127)\."), canon.startswith("172.")
+    x = F.when(wide, octet(2) * 65536 + low).when(middle, (octet(2) - 16) * 65536 + low).otherwise(low)
+    size = F.when(wide, 4096).when(middle, 1024).otherwise(256).cast("long")
+    first = F.when(middle, F.lit(172)).otherwise(octet(1))
+    second = lambda y: F.when(wide, F.floor(y / 65536)).when(middle, F.floor(y / 65536) + 16).otherwise(octet(2))
+    return let(_cycled(x, size, key), lambda y: F.concat_ws(".", first.cast("string"), second(y).cast("string"), (F.floor(y / 256) % 256).cast("string"), (y % 256).cast("string")))
+
+
+def _public(h: Column) -> Column:
     octet = lambda k, span, least: (_number(h, F.lit(k)) % span + least).cast("string")
-    tail = F.concat_ws(".", octet(2, 254, 1), octet(3, 254, 1))
-    public = F.concat_ws(".", F.element_at(F.array(*(F.lit(str(x)) for x in range(11, 224) if x not in (127, 169, 172, 192))), (_number(h, F.lit(0)) % 208) + 1), octet(1, 254, 1), tail)
-    wide = attempt >= WIDER_FROM
-    return (
-        F.when(attempt >= PUBLIC_FROM, public)
-        .when(canon.startswith("10.") | canon.startswith("192.168.") & wide, F.concat_ws(".", F.lit("10"), octet(1, 254, 1), tail))
-        .when(canon.startswith("192.168."), F.concat(F.lit("192.168."), tail))
-        .when(canon.startswith("127."), F.concat(F.lit("127."), F.when(wide, octet(1, 254, 1)).otherwise(F.lit("0")), F.lit("."), tail))
-        .otherwise(public)
-    )
+    firsts = [str(x) for x in range(11, 224) if x not in (127, 169, 172, 192)]
+    return F.concat_ws(".", F.element_at(F.array(*map(F.lit, firsts)), _number(h, F.lit(0)) % len(firsts) + 1), octet(1, 254, 1), octet(2, 254, 1), octet(3, 254, 1))
 
 
-def _name(canon: Column, kind: Column, h: Column, extra: Column) -> Column:
-    """Three keyed syllables, ``extra`` more and an ending by gender, in the name's script."""
-    cyrillic = canon.rlike(r"\p{IsCyrillic}")
+def _shaped_groups(canon: Column, h: Column) -> Column:
+    """The groups of an IPv6 address with zeros at the front of a group kept, so that it is shortened the same way."""
 
-    def built(consonants: str, vowels: str, male: str, female: str, family: str) -> Column:
-        syllables = F.concat(*(_pick(x, _number(h, F.lit(2 * k + j))) for k in range(3) for j, x in enumerate((consonants, vowels))))
-        ending = F.when(kind == "GIVEN_M", F.lit(male)).when(kind == "GIVEN_F", F.lit(female)).otherwise(F.lit(family))
-        return F.concat(syllables, _more(extra, h, (consonants, vowels)), ending)
+    def group(g: Column, k: Column) -> Column:
+        zeros = F.length(F.regexp_extract(g, "^(0*)", 1))
+        digit = lambda i: F.when(i < zeros, F.lit("0")).when(i == zeros, _pick("123456789abcdef", _number(h, k * 4 + i))).otherwise(_pick("0123456789abcdef", _number(h, k * 4 + i)))
+        return F.concat(*(digit(F.lit(i)) for i in range(4)))
 
-    return F.when(cyrillic, built(_CYRILLIC_CONSONANTS, _CYRILLIC_VOWELS, "н", "на", "к")).otherwise(built(_CONSONANTS, _VOWELS, "n", "na", "l"))
+    return F.array_join(F.transform(F.split(canon, ":"), group), ":")
 
 
-def surrogate_of(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+def _name(canon: Column, kind: Column, gender: Column, h: Column, extra: Column) -> Column:
+    """Each part of a name as keyed syllables, ``extra`` more and an ending by gender, in the name's script; hyphens and apostrophes stay."""
+
+    def built(part: Column, d: Column, letters: tuple[str, str, str, str, str]) -> Column:
+        consonants, vowels, male, female, family = letters
+        syllables = F.concat(*(_pick(x, _number(d, F.lit(2 * k + j))) for k in range(3) for j, x in enumerate((consonants, vowels))))
+        ending = F.when(kind != "GIVEN", F.lit(family)).when(gender == MALE, F.lit(male)).when(gender == FEMALE, F.lit(female)).otherwise(F.lit(family))
+        return F.when(F.length(part) == 1, F.when(part.rlike(r"\p{L}"), _pick(consonants, _number(d, F.lit(0)))).otherwise(part)).otherwise(F.concat(syllables, _more(extra, d, (consonants, vowels)), ending))
+
+    def one(part: Column, i: Column) -> Column:
+        def made(d: Column) -> Column:
+            out = F.when(F.lit(False), F.lit(""))
+            for script, letters in SYLLABLES.items():
+                out = out.when(_script(part, script), built(part, d, letters))
+            return out.otherwise(built(part, d, LATIN_SYLLABLES))
+
+        return let(F.when(i == 0, h).otherwise(let(F.sha2(F.concat_ws("|", h, i.cast("string")), 256), lambda d: F.concat(d, F.sha2(d, 256)))), made)
+
+    return F.array_join(F.transform(F.split(canon, r"(?<=['’\-])|(?=['’\-])"), one), "")
+
+
+def surrogate_of(kind: Column, canon: Column, gender: Column, attempt: Column, key: Key) -> Column:
     """The canonical surrogate of an entity."""
-    digest = lambda e: F.sha2(F.concat_ws("|", F.lit(key), e["k"], e["c"], e["a"].cast("string")), 256)
-    entity = F.struct(kind.alias("k"), canon.alias("c"), attempt.alias("a"))
-    return let(entity, lambda e: let(digest(e), lambda d: let(F.concat(d, F.sha2(d, 256)), lambda h: _surrogate(e["k"], e["c"], h, e["a"]))))
+    entity = F.struct(kind.alias("k"), canon.alias("c"), gender.alias("g"), attempt.alias("a"))
+    return let(entity, lambda e: let(key.digest(F.concat_ws("|", e["k"], e["c"], e["a"].cast("string"))), lambda d: let(F.concat(d, F.sha2(d, 256)), lambda h: _surrogate(e, h, key))))
 
 
-def _surrogate(kind: Column, canon: Column, h: Column, attempt: Column) -> Column:
-    extra = attempt - (WIDER_FROM - 1)
+def _surrogate(e: Column, h: Column, key: Key) -> Column:
+    kind, canon, gender = e["k"], e["c"], e["g"]
+    extra = e["a"] - (WIDER_FROM - 1)
     at = F.instr(canon, "@")
-    host = let(
-        F.split(F.substr(canon, at + 1), r"\."),
-        lambda labels: F.when(F.size(labels) > 2, F.concat(_mapped(F.element_at(labels, 1), F.sha2(h, 256)), F.lit("."), F.array_join(F.slice(labels, F.lit(2), F.size(labels) - 1), "."))).otherwise(F.concat(F.lit("example."), F.element_at(labels, -1))),
-    )
+    # The domain becomes a reserved one; labels below it are mapped.
+    labels = F.split(F.substr(canon, at + 1), r"\.")
+    below = lambda x: F.array_join(F.slice(x, F.lit(1), F.greatest(F.size(x) - 2, F.lit(0))), ".")
+    local = F.left(F.substr(canon, F.lit(1), at - 1), F.lit(MOST_LOCAL))
+
+    def mail(x: Column) -> Column:
+        both = F.concat_ws("@", local, F.when(F.size(x) > 2, F.concat(F.right(below(x), F.lit(MOST_LOCAL)), F.lit("."))).otherwise(F.lit("")))
+        made = lambda m: F.concat(F.element_at(m, 1), _more(extra, h, (_LATIN,)), F.lit("@"), F.element_at(m, 2), F.lit("example."), F.right(F.element_at(x, -1), F.lit(MOST_LOCAL)))
+        return let(F.split(_mapped(both, h, scripts=True), "@", -1), made)
+
     upper = canon.rlike("[A-F]")
-    nibble = lambda c, i: F.when(c.rlike("[0-9A-Fa-f]"), F.when(upper, _pick("0123456789ABCDEF", _number(h, i))).otherwise(_pick("0123456789abcdef", _number(h, i)))).otherwise(c)
+    nibble = lambda c, i: F.when(upper, _pick("0123456789ABCDEF", _number(h, i))).otherwise(_pick("0123456789abcdef", _number(h, i)))
     hexadecimal = F.array_join(F.transform(F.split(canon, ""), nibble), "")
     mapped = _mapped(canon, h)
-    tail = lambda k: F.concat(F.substr(canon, F.lit(1), F.lit(k)), F.substr(mapped, F.lit(k + 1)))
     return (
-        F.when(kind == "EMAIL", F.concat(_mapped(F.substr(canon, F.lit(1), at - 1), h), _more(extra, h, (_LATIN,)), F.lit("@"), host))
-        .when(kind == "IPV4", _address(canon, h, attempt))
-        .when((kind == "IPV6") | (kind == "SECRET") & canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), hexadecimal)
-        .when(kind == "SECRET", tail(4))
+        F.when(kind == "EMAIL", let(labels, mail))
+        .when((kind == "IPV4") & canon.rlike(PRIVATE), _private(canon, key))
+        .when(kind == "IPV4", _public(h))
+        .when(kind == "IPV6", _shaped_groups(canon, h))
+        .when((kind == "SECRET") & canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), hexadecimal)
+        .when(kind == "SECRET", F.concat(F.substr(canon, F.lit(1), F.lit(4)), F.substr(mapped, F.lit(5))))
         .when(kind == "CARD", _card(canon, h))
         .when(kind == "PHONE", F.concat(_pick("23456789", _number(h, F.lit(30))), F.substr(mapped, F.lit(2)), _more(F.least(extra, 10 - F.length(canon)), h, ("0123456789",))))
-        .when(kind == "IBAN", tail(2))
-        .when(kind.isin("SURNAME", "GIVEN_M", "GIVEN_F", "GIVEN_U"), _name(canon, kind, h, extra))
+        .when(kind == "IBAN", _iban(canon, h))
+        .when(kind.isin("SURNAME", "GIVEN"), _name(canon, kind, gender, h, extra))
         .otherwise(mapped)
     )
 
@@ -230,30 +375,55 @@ def _laid_spaces(m: Column, s: Column) -> Column:
     return F.array_join(F.transform(F.split(m, ""), one), "")
 
 
-def replacement(m: Column, attempts: Column | None, key: str) -> Column:
-    """What a mention becomes; ``attempts`` maps ``kind|canonical form`` to an attempt other than 0."""
+def _laid_groups(m: Column, s: Column) -> Column:
+    """The groups of ``s`` in the places and lengths of those of ``m``."""
+    sides = F.split(m, "::")
+    before = F.size(F.filter(F.split(F.element_at(sides, 1), ":"), lambda g: g != ""))
+    after = F.size(F.filter(F.split(F.element_at(sides, -1), ":"), lambda g: g != ""))
+
+    def one(groups: Column, first: Column) -> Column:
+        return F.array_join(F.transform(groups, lambda g, i: F.right(F.element_at(F.split(s, ":"), first + i + 1), F.length(g))), ":")
+
+    left = one(F.split(F.element_at(sides, 1), ":"), F.lit(0))
+    out = F.when(F.size(sides) == 1, left).otherwise(F.concat(F.when(before > 0, left).otherwise(F.lit("")), F.lit("::"), F.when(after > 0, one(F.split(F.element_at(sides, -1), ":"), 8 - after)).otherwise(F.lit(""))))
+    return F.when(m == F.upper(m), F.upper(out)).otherwise(out)
 
-    def of(e: Column) -> Column:
-        k, c = e["kind"], e["canon"]
-        attempt = F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat_ws("|", k, c)), F.lit(0))
-        return surrogate_of(k, c, attempt, key)
 
-    def cased(was: Column, s: Column) -> Column:
-        return F.when((F.length(was) > 1) & (was == F.upper(was)), F.upper(s)).otherwise(F.concat(F.upper(F.substr(s, F.lit(1), F.lit(1))), F.substr(s, F.lit(2))))
+def _laid_name(was: Column, s: Column) -> Column:
+    """``s`` in capitals if ``was`` is, else with a capital at each part that has one in ``was``."""
+    cut_up = lambda x: F.split(x, r"(?<=['’\-])|(?=['’\-])")
+    old = cut_up(was)
+    part = lambda p, i: F.when(F.coalesce(F.try_element_at(old, i + 1), F.lit("A")).rlike(r"^\p{Lu}"), F.concat(F.upper(F.substr(p, F.lit(1), F.lit(1))), F.substr(p, F.lit(2)))).otherwise(p)
+    return F.when((F.length(was) > 1) & (was == F.upper(was)), F.upper(s)).otherwise(F.array_join(F.transform(cut_up(s), part), ""))
 
-    def named(e: Column, i: Column) -> Column:
-        was = F.element_at(F.split(F.regexp_replace(m, r"^\p{L}+\.? ", ""), " "), i + 1)
-        return let(of(e), lambda s: cased(was, s))
+
+def replacement(m: Column, known: Column | None, key: Key) -> Column:
+    """(new, was, now): what a mention becomes; for a person also the names, lower-cased, and their surrogates.
+
+    ``known`` maps ``kind|canonical form`` to four times an attempt plus a gender (see ``assign``).
+    """
+
+    def of(e: Column) -> Column:
+        said = F.lit(None).cast("int") if known is None else F.try_element_at(known, F.concat_ws("|", e["kind"], e["canon"]))
+        return let(said, lambda x: surrogate_of(e["kind"], e["canon"], F.coalesce(x % 4, e["gender"]), F.coalesce(F.floor(x / 4).cast("int"), F.lit(0)), key))
 
     def laid(kind: Column, s: Column) -> Column:
         own = F.length(digits_of(m))
         own = F.when(kind == "PHONE", F.least(own, F.lit(10))).otherwise(own)
-        return F.when(kind.isin("PHONE", "CARD", "SSN"), F.concat(_laid_digits(m, F.substr(s, F.lit(1), own)), F.substr(s, own + 1))).when(kind.isin("EMAIL", "IPV6"), _laid_case(m, s)).when(kind == "IBAN", _laid_spaces(m, s)).otherwise(s)
+        digits = F.concat(_laid_digits(m, F.substr(s, F.lit(1), own)), F.substr(s, own + 1))
+        return F.when(kind.isin("PHONE", "CARD", "SSN"), digits).when(kind == "EMAIL", _laid_case(m, s)).when(kind == "IPV6", _laid_groups(m, s)).when(kind == "IBAN", _laid_spaces(m, s)).otherwise(s)
+
+    def row(new: Column, was: Column, now: Column) -> Column:
+        return F.struct(new.alias("new"), was.alias("was"), now.alias("now"))
+
+    def person(now: Column) -> Column:
+        named = F.transform(names_of(m), lambda was, i: _laid_name(was, F.element_at(now, i + 1)))
+        return row(F.concat(F.regexp_extract(m, BEFORE_NAMES, 0), F.array_join(named, " ")), F.transform(names_of(m), F.lower), now)
 
     def whole(kind: Column) -> Column:
-        person = F.concat(F.regexp_extract(m, r"^\p{L}+\.? ", 0), F.array_join(F.transform(entities_of(m, kind), named), " "))
-        one = let(of(F.element_at(entities_of(m, kind), 1)), lambda s: laid(kind, s))
-        return F.when(kind == "PERSON", person).otherwise(one)
+        none = F.array().cast("array<string>")
+        one = let(of(F.element_at(entities_of(m, kind), 1)), lambda s: row(laid(kind, s), none, none))
+        return F.when(kind == "PERSON", let(F.transform(entities_of(m, kind), of), person)).otherwise(one)
 
     return let(kind_of(m), whole)
 
@@ -264,62 +434,102 @@ def mentions(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
 
 
+def rewritten(text: Column, found: Column, changed: Column) -> Column:
+    """The text with ``changed`` in the place of its mentions, and with the same surrogates for names that stand again without a title."""
+    was, now = (F.flatten(F.transform(changed, lambda c: c[n])) for n in ("was", "now"))
+
+    def bare(piece: Column, names: Column) -> Column:
+        def swapped(w: Column) -> Column:
+            return F.when(F.array_contains(names["free"], F.lower(w)), _laid_name(w, F.try_element_at(names["now"], F.array_position(names["was"], F.lower(w)).cast("int")))).otherwise(w)
+
+        words, rest = F.transform(F.regexp_extract_all(piece, F.lit(WORD), F.lit(0)), swapped), F.split(piece, WORD, -1)
+        return F.when(F.size(names["free"]) > 0, let(words, lambda ws: F.array_join(F.transform(rest, lambda r, j: F.concat(r, F.coalesce(F.try_element_at(ws, j + 1), F.lit("")))), ""))).otherwise(piece)
+
+    def joined(names: Column) -> Column:
+        pieces = F.split(text, PATTERN, -1)
+        return F.array_join(F.transform(pieces, lambda p, i: F.concat(bare(p, names), F.coalesce(F.try_element_at(changed, i + 1)["new"], F.lit("")))), "")
+
+    # A word that the text also has in lower case is no name.
+    free = F.when(F.size(was) > 0, F.array_except(was, F.regexp_extract_all(text, F.lit(COMMON_WORD), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(found) > 0, let(F.struct(was.alias("was"), now.alias("now"), free.alias("free")), joined)).otherwise(text)
+
+
 def entity_table(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, canon) of all texts."""
+    """(kind, canon, gender, mixed) of all entities, once each.
+
+    ``gender`` is what the titles of the corpus tell of a name, none if they disagree;
+    ``mixed`` says that some mention's own title tells something else.
+    """
     m = docs.select(F.explode(F.array_distinct(mentions(F.col("text")))).alias("m")).distinct()
-    return m.withColumn("k", kind_of(F.col("m"))).select(F.explode(entities_of(F.col("m"), F.col("k"))).alias("e")).select("e.kind", "e.canon").distinct()
+    each = m.withColumn("k", kind_of(F.col("m"))).select(F.explode(entities_of(F.col("m"), F.col("k"))).alias("e")).select("e.*")
+    male, female, untold = (F.max(F.when(F.col("kind") == "GIVEN", F.col("gender") == g).otherwise(False)) for g in (MALE, FEMALE, UNKNOWN))
+    told = each.groupBy("kind", "canon").agg(male.alias("m"), female.alias("f"), untold.alias("u"))
+    gender = F.when(F.col("m") & ~F.col("f"), MALE).when(F.col("f") & ~F.col("m"), FEMALE).otherwise(UNKNOWN)
+    return told.select("kind", "canon", gender.cast("int").alias("gender"), (F.col("m").cast("int") + F.col("f").cast("int") + F.col("u").cast("int") > 1).alias("mixed"))
+
 
+def assign(entities: DataFrame, key: Key) -> DataFrame:
+    """(kind, canon, gender, mixed, attempt, surrogate), no surrogate twice in a kind and none that is an entity's own form.
 
-def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, canon, attempt, surrogate) with no surrogate twice in a kind and none that is an entity's own form."""
+    Only private addresses, which are permuted, may take the form of another entity.
+    """
     known = cut(entities)
-    now = known.withColumn("attempt", F.lit(0))
-    order = Window.partitionBy("kind", "surrogate").orderBy("attempt", "canon")
+    real = known.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
+    order = Window.partitionBy("kind", "surrogate").orderBy("canon")
+    waiting, settled = known.withColumn("attempt", F.lit(0)), None
     for _ in range(MOST_ROUNDS):
-        named = cut(now.select("kind", "canon", "attempt", surrogate_of(F.col("kind"), F.col("canon"), F.col("attempt"), key).alias("surrogate")))
-        real = known.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
-        judged = named.withColumn("nth", F.row_number().over(order)).join(real, ["kind", "surrogate"], "left")
+        drawn = waiting.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt"), key))
+        judged = drawn.withColumn("nth", F.row_number().over(order)).join(real, ["kind", "surrogate"], "left")
         clash = (F.col("nth") > 1) | F.coalesce("real", F.lit(False))
-        if judged.where(clash).isEmpty():
-            return named
-        now = judged.select("kind", "canon", F.when(clash, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"))
+        if settled is not None:
+            judged = judged.join(settled.select("kind", "surrogate", F.lit(True).alias("taken")), ["kind", "surrogate"], "left")
+            clash = clash | F.coalesce("taken", F.lit(False))
+        permuted = (F.col("kind") == "IPV4") & F.col("canon").rlike(PRIVATE)
+        judged = cut(judged.select("kind", "canon", "gender", "mixed", "attempt", "surrogate", (clash & ~permuted).alias("clash")))
+        good = judged.where("not clash").drop("clash")
+        settled = good if settled is None else settled.unionByName(good)
+        waiting = judged.where("clash").select("kind", "canon", "gender", "mixed", (F.col("attempt") + 1).alias("attempt"))
+        if waiting.isEmpty():
+            return settled
     raise RuntimeError("surrogates keep clashing")
 
 
-def replace(docs: DataFrame, key: str = KEY, most_inline: int = MOST_INLINE) -> DataFrame:
-    """``docs`` with all columns, the text with its entities replaced, n_chars (if there) counted anew, and ``__mentions``.
+def replace(docs: DataFrame, key: Key, most_inline: int = MOST_INLINE) -> DataFrame:
+    """(row, text, found): each row of ``docs`` as a struct, its new text and the mentions found.
 
-    Null and empty texts stay; repeated rows get equal rows; an empty table gives none.
+    Null and empty texts stay; repeated rows get equal rows; an empty table gives none;
+    a text may be as long as a value can be.  Further columns may have any name: they
+    stay inside the struct.
     """
-    assigned = assign(entity_table(docs), key)
-    again = assigned.where("attempt > 0").select(F.concat_ws("|", "kind", "canon").alias("k"), "attempt")
-    few = {r["k"]: r["attempt"] for r in again.limit(most_inline + 1).collect()}
-    found = docs.withColumn("__mentions", mentions(F.col("text")))
-    attempts = None
+    told = assign(entity_table(docs), key).where("attempt > 0 or mixed").select(F.concat_ws("|", "kind", "canon").alias("k"), (F.col("attempt") * 4 + F.col("gender")).alias("code"))
+    few = {r["k"]: r["code"] for r in told.limit(most_inline + 1).collect()}
+    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"), mentions(F.col("text")).alias("found"))
+    known = None
     if len(few) > most_inline:
-        one = found.where(F.size("__mentions") > 0).select(F.sha2("text", 256).alias("__hash"), F.explode("__mentions").alias("m")).distinct()
-        pairs = one.withColumn("k", kind_of(F.col("m"))).select("__hash", F.explode(entities_of(F.col("m"), F.col("k"))).alias("e")).select("__hash", F.concat_ws("|", "e.kind", "e.canon").alias("k")).distinct()
-        of_text = pairs.join(again, "k").groupBy("__hash").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("__attempts"))
-        found = found.withColumn("__hash", F.sha2("text", 256)).join(of_text, "__hash", "left").drop("__hash")
-        attempts = F.coalesce(F.col("__attempts"), F.create_map().cast("map<string,int>"))
+        one = found.where(F.size("found") > 0).select(F.sha2("text", 256).alias("hash"), F.explode("found").alias("m")).distinct()
+        pairs = one.withColumn("kind", kind_of(F.col("m"))).select("hash", F.explode(entities_of(F.col("m"), F.col("kind"))).alias("e")).select("hash", F.concat_ws("|", "e.kind", "e.canon").alias("k")).distinct()
+        of_text = pairs.join(told, "k").groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("k", "code"))).alias("known"))
+        # Texts without mentions match nothing and meet under many keys, so that they aren't one hot key.
+        hashed = F.when(F.size("found") > 0, F.sha2("text", 256)).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64("text"), F.lit(4096)).cast("string")))
+        found = found.withColumn("hash", hashed).join(of_text, "hash", "left").drop("hash")
+        known = F.coalesce(F.col("known"), F.create_map().cast("map<string,int>"))
     elif few:
-        attempts = F.create_map(*(F.lit(x) for pair in few.items() for x in pair))
-    pieces = F.split(F.col("text"), PATTERN, -1)
-    changed = F.transform(F.col("__mentions"), lambda m: replacement(m, attempts, key))
-    joined = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.try_element_at(F.col("__changed"), i + 1), F.lit("")))), "")
-    out = found.withColumn("__changed", F.when(F.size("__mentions") > 0, changed))
-    out = out.withColumn("text", F.when(F.size("__mentions") > 0, joined).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__mentions") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "__mentions")
-
-
-def surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+        known = F.create_map(*(F.lit(x) for pair in few.items() for x in pair))
+    changed = F.transform(F.col("found"), lambda m: replacement(m, known, key))
+    out = found.withColumn("changed", F.when(F.size("found") > 0, changed))
+    return out.select("row", rewritten(F.col("text"), F.col("found"), F.col("changed")).alias("text"), "found")
+
+
+def surrogates(docs: DataFrame, key: str | None = None, **settings: int) -> DataFrame:
     """doc_id, text with surrogates, n_mentions and the mentions' kinds of every row; further columns aren't read."""
-    out = replace(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key)
-    return out.select("doc_id", "text", F.size("__mentions").cast("long").alias("n_mentions"), F.transform("__mentions", kind_of).alias("kinds"))
+    out = replace(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key_of(docs.sparkSession, key), **settings)
+    return out.select("row.doc_id", "text", F.size("found").cast("long").alias("n_mentions"), F.transform("found", kind_of).alias("kinds"))
 
 
-def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with exactly its own columns."""
-    return replace(docs, key).select(*docs.columns)
+def replaced(docs: DataFrame, key: str | None = None, **settings: int) -> DataFrame:
+    """``docs`` with exactly its own columns, the text rewritten and n_chars, if there, counted anew where it was."""
+    out = replace(docs, key_of(docs.sparkSession, key), **settings)
+    own = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.size("found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return out.select(*(c.alias(n) for n, c in own.items()))

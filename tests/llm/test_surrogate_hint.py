@@ -15,6 +15,6 @@ ALONE = {
 @pytest.mark.parametrize("kind", ALONE)
 def test_entities_alone_in_a_text_are_replaced(spark, kind):
     df = spark.createDataFrame([(i, f"see {m} here") for i, m in enumerate(ALONE[kind])], "doc_id long, text string")
-    got = surrogates.surrogates(df).collect()
+    got = surrogates.surrogates(df, "k").collect()
     assert [(r["n_mentions"], r["kinds"]) for r in got] == [(1, [kind])] * len(got)
     assert not {r["text"] for r in got} & {f"see {m} here" for m in ALONE[kind]}

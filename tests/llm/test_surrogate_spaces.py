@@ -1,41 +1,51 @@
-"""Surrogates where a type's first space is smaller than the entities: later attempts widen it."""
+"""Surrogates where a type's first space is smaller than the entities, and spaces that are permuted."""
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from planewise.llm import surrogates
 
+KEY = surrogates.Key("k")
 
-def _settled(entities):
-    found = surrogates.assign(entities).collect()
+
+def _entities(df):
+    return df.select("kind", "canon", F.lit(0).alias("gender"), F.lit(False).alias("mixed"))
+
+
+def _settled(df, others=True):
+    found = surrogates.assign(_entities(df), KEY).collect()
     made = {r["surrogate"] for r in found}
-    assert len(made) == len(found) and not made & {r["canon"] for r in found}
+    assert len(made) == len(found) and not any(r["surrogate"] == r["canon"] for r in found)
+    assert not others or not made & {r["canon"] for r in found}
     return found
 
 
 def test_thousand_one_letter_mails(spark):
     mails = [f"{chr(97 + i % 26)}@host{i}.com" for i in range(1000)]
     df = spark.createDataFrame([(i, f"write {m} now") for i, m in enumerate(mails)], "doc_id long, text string")
-    texts = [r["text"] for r in surrogates.surrogates(df).collect()]
+    texts = [r["text"] for r in surrogates.surrogates(df, "k").collect()]
     assert len(set(texts)) == 1000 and all(re.fullmatch(r"write [a-z]+@example\.com now", t) for t in texts)
     assert not {t.split()[1] for t in texts} & set(mails)
 
 
-def test_more_private_addresses_than_one_prefix_has(spark):
-    every = spark.range(254 * 254).select(F.lit("IPV4").alias("kind"), F.concat(F.lit("192.168."), (F.floor(F.col("id") / 254) + 1).cast("string"), F.lit("."), (F.col("id") % 254 + 1).cast("string")).alias("canon"))
-    found = _settled(every)
-    assert len(found) == 254 * 254 and all(r["surrogate"].startswith("10.") for r in found)
+@pytest.mark.parametrize("block", ["192.168", "172.31", "169.254"])
+def test_all_addresses_of_a_private_block(spark, block):
+    every = spark.range(65536).select(F.lit("IPV4").alias("kind"), F.concat(F.lit(f"{block}."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string")).alias("canon"))
+    found = _settled(every, others=False)
+    assert len(found) == 65536 and all(r["attempt"] == 0 and re.match(surrogates.PRIVATE, r["surrogate"]) for r in found)
+    assert {r["surrogate"].split(".")[0] for r in found} == {block.split(".")[0]}
 
 
 def test_short_phone_numbers_get_longer(spark):
     df = spark.range(60_000).select(F.lit("PHONE").alias("kind"), F.lpad((F.col("id") + 10_000).cast("string"), 5, "0").alias("canon"))
     found = _settled(df)
     assert len(found) == 60_000 and {len(r["surrogate"]) for r in found} >= {5, 6}
-    text = spark.range(1).select(surrogates.replacement(F.lit("+1 23 45"), F.create_map(F.lit("PHONE|12345"), F.lit(5)), surrogates.KEY).alias("t")).first()["t"]
+    text = spark.range(1).select(surrogates.replacement(F.lit("+1 23 45"), F.create_map(F.lit("PHONE|12345"), F.lit(5 * 4)), KEY)["new"].alias("t")).first()["t"]
     assert re.fullmatch(r"\+\d \d\d \d{4}", text)
 
 
 def test_later_names_have_more_syllables(spark):
-    made = spark.range(8).select(surrogates.surrogate_of(F.lit("SURNAME"), F.lit("weber"), F.col("id").cast("int"), surrogates.KEY).alias("s"), "id").orderBy("id").collect()
+    made = spark.range(8).select(surrogates.surrogate_of(F.lit("SURNAME"), F.lit("weber"), F.lit(0), F.col("id").cast("int"), KEY).alias("s"), "id").orderBy("id").collect()
     assert [len(r["s"]) for r in made] == [7, 7, 7, 7, 9, 11, 13, 15]
