@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planewise.llm import isolation, linededup, packing, similar, surrogates
+from planewise.llm import isolation, linededup, packing, queries, similar, surrogates
 from planewise.llm.common import shared_dir, table
 
 
@@ -33,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their personal data replaced."""
-    return surrogates.replaced(docs)
+    """Documents with their personal data replaced, by the key in the session's setting."""
+    return surrogates.replaced(docs, spark.conf.get(surrogates.KEY_SETTING, queries.SAMPLE_KEY))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
