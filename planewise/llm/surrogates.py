@@ -1,7 +1,8 @@
 """PII: keyed, type-consistent surrogates.
 
 Entities are found by one pattern per type and replaced in the text on the spot; all of
-it is SQL functions.  A surrogate is a function of a secret key, the entity's type, its
+it is SQL functions, written as SQL text (``sql`` in the signatures below), which the
+session parses faster than it builds such large expressions call by call.  A surrogate is a function of a secret key, the entity's type, its
 canonical form and an attempt number, so one entity has one surrogate wherever it
 stands and however it is written: the canonical surrogate is laid into each mention's
 own format (separators, case, country code, the way an address is shortened).  Digits
@@ -29,8 +30,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 from collections.abc import Callable
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planewise.llm.common import cut
@@ -99,12 +101,11 @@ class Key:
 
     def __init__(self, secret: str) -> None:
         block = hmac.new(secret.encode(), b"planewise surrogates", hashlib.sha256).digest().ljust(64, b"\0")
-        self.inner, self.outer = (bytearray(x ^ pad for x in block) for pad in (0x36, 0x5C))
+        self.inner, self.outer = (bytes(x ^ pad for x in block) for pad in (0x36, 0x5C))
 
-    def digest(self, message: Column) -> Column:
-        """The hash as 64 hexadecimal digits."""
-        inside = F.unhex(F.sha2(F.concat(F.lit(self.inner), message.cast("binary")), 256))
-        return F.sha2(F.concat(F.lit(self.outer), inside), 256)
+    def digest(self, message: str) -> str:
+        """SQL of the hash as 64 hexadecimal digits."""
+        return f"sha2(concat(X'{self.outer.hex()}', unhex(sha2(concat(X'{self.inner.hex()}', CAST({message} AS BINARY)), 256))), 256)"
 
 
 def key_of(spark: SparkSession, secret: str | None = None) -> Key:
@@ -115,343 +116,313 @@ def key_of(spark: SparkSession, secret: str | None = None) -> Key:
     return Key(secret)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+_names = count()
+NO_STRINGS = "CAST(array() AS ARRAY<STRING>)"
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let(value: str, body: Callable[[str], str]) -> str:
     """``body`` with a name for ``value``: the plan holds it once, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    v = f"v{next(_names)}"
+    return f"element_at(transform(array({value}), {v} -> {body(v)}), 1)"
+
+
+def each(array: str, body: Callable[[str, str], str]) -> str:
+    """``body`` of every element and its place."""
+    n = next(_names)
+    return f"transform({array}, (e{n}, i{n}) -> {body(f'e{n}', f'i{n}')})"
+
+
+def _characters(s: str, body: Callable[[str, str], str]) -> str:
+    return f"array_join({each(f'split({s}, {quoted(str())})', body)}, '')"
 
 
-def kind_of(m: Column) -> Column:
+def kind_of(m: str) -> str:
     """The type of a mention, tried in the order of ``PATTERNS``."""
-    out = None
-    for name, p in PATTERNS.items():
-        test = m.rlike(f"^(?:{p})$")
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out
+    return "CASE " + " ".join(f"WHEN {m} RLIKE {quoted(f'^(?:{p})$')} THEN '{name}'" for name, p in PATTERNS.items()) + " END"
 
 
-def digits_of(m: Column) -> Column:
-    return F.regexp_replace(m, "[^0-9]", "")
+def digits_of(m: str) -> str:
+    return f"regexp_replace({m}, '[^0-9]', '')"
 
 
-def gender_of(m: Column) -> Column:
+def gender_of(m: str) -> str:
     """The gender that a person's title tells."""
-    title = F.regexp_extract(m, r"^(\p{L}+)", 1)
-    return F.when(title.isin(*MALE_TITLES), MALE).when(title.isin(*FEMALE_TITLES), FEMALE).otherwise(UNKNOWN)
+    listed = lambda titles: ", ".join(map(quoted, titles))
+    return let(rf"regexp_extract({m}, '^(\\p{{L}}+)', 1)", lambda t: f"CASE WHEN {t} IN ({listed(MALE_TITLES)}) THEN {MALE} WHEN {t} IN ({listed(FEMALE_TITLES)}) THEN {FEMALE} ELSE {UNKNOWN} END")
 
 
-def names_of(m: Column) -> Column:
-    return F.split(F.regexp_replace(m, BEFORE_NAMES, ""), " ")
+def names_of(m: str) -> str:
+    return f"split(regexp_replace({m}, {quoted(BEFORE_NAMES)}, ''), ' ')"
 
 
-def groups_of(address: Column) -> Column:
+def _groups(side: str) -> str:
+    return f"filter(split({side}, ':'), g -> g <> '')"
+
+
+def groups_of(address: str) -> str:
     """The eight groups of an IPv6 address, shortened or not, each of four digits."""
-    sides = F.split(address, "::")
-    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
-    left, right = groups(F.element_at(sides, 1)), F.when(F.size(sides) > 1, groups(F.element_at(sides, -1))).otherwise(F.array().cast("array<string>"))
-    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
-    return F.transform(F.concat(left, zeros, right), lambda g: F.lpad(F.lower(g), 4, "0"))
+    right = lambda s: f"CASE WHEN size({s}) > 1 THEN {_groups(f'element_at({s}, -1)')} ELSE {NO_STRINGS} END"
+    sides = let(f"split({address}, '::')", lambda s: f"struct({_groups(f'element_at({s}, 1)')} AS a, {right(s)} AS b)")
+    return let(sides, lambda x: f"transform(concat({x}.a, array_repeat('0', greatest(0, 8 - size({x}.a) - size({x}.b))), {x}.b), g -> lpad(lower(g), 4, '0'))")
 
 
-def entities_of(m: Column, kind: Column) -> Column:
+def entities_of(m: str, kind: str) -> str:
     """The mention's entities as an array of (kind, canon, gender): the names of a person, else one."""
-    one = lambda k, c, g: F.struct(k.alias("kind"), c.alias("canon"), g.cast("int").alias("gender"))
-    names = F.transform(names_of(m), F.lower)
-    person = F.transform(names, lambda n, i: one(F.when(i == F.size(names) - 1, F.lit("SURNAME")).otherwise(F.lit("GIVEN")), n, gender_of(m)))
-    canon = (
-        F.when(kind == "PHONE", F.right(digits_of(m), F.lit(10)))
-        .when(kind.isin("CARD", "SSN"), digits_of(m))
-        .when(kind == "IBAN", F.replace(m, F.lit(" "), F.lit("")))
-        .when(kind == "EMAIL", F.lower(m))
-        .when(kind == "IPV6", F.array_join(groups_of(m), ":"))
-        .otherwise(m)
-    )
-    return F.when(kind == "PERSON", person).otherwise(F.array(one(kind, canon, F.lit(UNKNOWN))))
-
-
-def _number(h: Column, i: Column) -> Column:
+    one = lambda k, c, g: f"named_struct('kind', {k}, 'canon', {c}, 'gender', {g})"
+    person = let(names_of(m), lambda ns: each(ns, lambda n, i: one(f"IF({i} = size({ns}) - 1, 'SURNAME', 'GIVEN')", f"lower({n})", gender_of(m))))
+    canon = f"""CASE WHEN {kind} = 'PHONE' THEN right({digits_of(m)}, 10) WHEN {kind} IN ('CARD', 'SSN') THEN {digits_of(m)} WHEN {kind} = 'IBAN' THEN replace({m}, ' ', '')
+        WHEN {kind} = 'EMAIL' THEN lower({m}) WHEN {kind} = 'IPV6' THEN array_join({groups_of(m)}, ':') ELSE {m} END"""
+    return f"CASE WHEN {kind} = 'PERSON' THEN {person} ELSE array({one(kind, canon, str(UNKNOWN))}) END"
+
+
+def _number(h: str, i: str | int) -> str:
     """The i-th keyed number, 0 to 255, of a digest of 128 hexadecimal digits."""
-    return F.conv(F.substr(h, i % 64 * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    return f"CAST(conv(substr({h}, ({i}) % 64 * 2 + 1, 2), 16, 10) AS INT)"
 
 
-def _pick(letters: str, n: Column) -> Column:
-    return F.substr(F.lit(letters), n % len(letters) + 1, F.lit(1))
+def _pick(letters: str, n: str) -> str:
+    return f"substr('{letters}', {n} % {len(letters)} + 1, 1)"
 
 
-def _script(c: Column, script: str) -> Column:
-    return c.rlike(rf"\p{{Is{script}}}")
+def _script(c: str, script: str) -> str:
+    return rf"{c} RLIKE '\\p{{Is{script}}}'"
 
 
-def _mapped(s: Column, h: Column, scripts: bool = False) -> Column:
+def _mapped(s: str, h: str, scripts: bool = False) -> str:
     """Each character by a keyed one of its class: digit or letter of its case and, with ``scripts``, of its script; others stay."""
 
-    def one(c: Column, i: Column) -> Column:
+    def one(c: str, i: str) -> str:
         n = _number(h, i)
-        plain = F.when(c.between("0", "9"), _pick("0123456789", n)).when(c.between("a", "z"), _pick(_LATIN, n)).when(c.between("A", "Z"), F.upper(_pick(_LATIN, n)))
+        plain = f"WHEN {c} BETWEEN '0' AND '9' THEN {_pick('0123456789', n)} WHEN {c} BETWEEN 'a' AND 'z' THEN {_pick(_LATIN, n)} WHEN {c} BETWEEN 'A' AND 'Z' THEN upper({_pick(_LATIN, n)})"
         if not scripts:
-            return plain.otherwise(c)
-        letter = F.when(_script(c, "Latin"), _pick(_LATIN, n))
-        for script, letters in ALPHABETS.items():
-            letter = letter.when(_script(c, script), _pick(letters, n))
-        letter = letter.otherwise(_pick(_LATIN, n))
-        return plain.when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
+            return f"CASE {plain} ELSE {c} END"
+        of = " ".join(f"WHEN {_script(c, script)} THEN {_pick(letters, n)}" for script, letters in ALPHABETS.items())
+        return rf"CASE {plain} WHEN {c} RLIKE '\\p{{L}}' THEN {let(f'CASE {of} ELSE {_pick(_LATIN, n)} END', lambda x: rf"IF({c} RLIKE '\\p{{Lu}}', upper({x}), {x})")} ELSE {c} END"
 
-    return F.array_join(F.transform(F.split(s, ""), one), "")
+    return _characters(s, one)
 
 
-def _more(n: Column, h: Column, letters: tuple[str, ...]) -> Column:
+def _more(n: str, h: str, letters: tuple[str, ...]) -> str:
     """``n`` further keyed groups, each of one of every of the ``letters``; none for n < 1."""
+    group = lambda i: let(f"sha2(concat_ws('|', {h}, CAST({i} AS STRING)), 256)", lambda d: "concat(" + ", ".join(_pick(x, _number(d, j)) for j, x in enumerate(letters)) + ")")
+    return f"IF({n} > 0, array_join({each(f'sequence(1, greatest({n}, 1))', lambda i, _: group(i))}, ''), '')"
 
-    def one(i: Column) -> Column:
-        return let(F.sha2(F.concat_ws("|", h, i.cast("string")), 256), lambda d: F.concat(*(_pick(x, _number(d, F.lit(j))) for j, x in enumerate(letters))))
 
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one), "")).otherwise(F.lit(""))
-
-
-def luhn_sum(digits: Column) -> Column:
+def luhn_sum(digits: str) -> str:
     """Sum of the Luhn check over a string of digits."""
-    n = F.length(digits)
-    parts = F.transform(
-        F.split(digits, ""),
-        lambda c, i: F.when((n - i) % 2 == 0, F.when(c.cast("int") * 2 > 9, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")),
-    )
-    return F.aggregate(parts, F.lit(0), lambda a, b: a + b)
+    double = lambda c: f"CAST({c} AS INT) * 2 - IF(CAST({c} AS INT) > 4, 9, 0)"
+    parts = each(f"split({digits}, '')", lambda c, i: f"IF((length({digits}) - {i}) % 2 = 0, {double(c)}, CAST({c} AS INT))")
+    return f"aggregate({parts}, 0, (a, b) -> a + b)"
 
 
-def _card(canon: Column, h: Column) -> Column:
-    inner = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(_mapped(canon, h), F.lit(2), F.length(canon) - 2))
-    check = lambda x: ((10 - luhn_sum(F.concat(x, F.lit("0"))) % 10) % 10).cast("string")
-    free = _pick("0123456789", _number(h, F.lit(31)))
-    return let(inner, lambda x: F.concat(x, F.when(luhn_sum(canon) % 10 == 0, check(x)).otherwise(free)))
+def _card(canon: str, h: str) -> str:
+    inner = f"concat(left({canon}, 1), substr({_mapped(canon, h)}, 2, length({canon}) - 2))"
+    check = lambda x: f"CAST((10 - {luhn_sum(f'concat({x}, 0)')} % 10) % 10 AS STRING)"
+    return let(inner, lambda x: f"concat({x}, IF({luhn_sum(canon)} % 10 = 0, {check(x)}, {_pick('0123456789', _number(h, 31))}))")
 
 
-def _iban(canon: Column, h: Column) -> Column:
+def _iban(canon: str, h: str) -> str:
     """Country and mapped number, with the check digits that make the remainder by 97 one where the original's was."""
 
-    def remainder(x: Column) -> Column:
+    def remainder(x: str) -> str:
         """Of the digits that letters (A is 10) and digits of ``x`` stand for."""
-        value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
-        return F.aggregate(F.split(x, ""), F.lit(0), lambda r, c: (r * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+        return f"aggregate(split({x}, ''), 0, (r, c) -> IF(c BETWEEN '0' AND '9', r * 10 + CAST(c AS INT), r * 100 + ascii(c) - 55) % 97)"
 
-    country, rest = F.substr(canon, F.lit(1), F.lit(2)), F.substr(_mapped(canon, h), F.lit(5))
-    right = remainder(F.concat(F.substr(canon, F.lit(5)), F.substr(canon, F.lit(1), F.lit(4)))) == 1
-    check = lambda x: F.lpad((98 - remainder(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0")
-    free = F.concat(*(_pick("0123456789", _number(h, F.lit(k))) for k in (30, 31)))
-    return let(rest, lambda x: F.concat(country, F.when(right, check(x)).otherwise(free), x))
+    right = f"{remainder(f'concat(substr({canon}, 5), left({canon}, 4))')} = 1"
+    check = lambda x: f"lpad(CAST(98 - {remainder(f'concat({x}, left({canon}, 2), 0, 0)')} AS STRING), 2, '0')"
+    free = f"concat({_pick('0123456789', _number(h, 30))}, {_pick('0123456789', _number(h, 31))})"
+    return let(f"substr({_mapped(canon, h)}, 5)", lambda x: f"concat(left({canon}, 2), CASE WHEN {right} THEN {check(x)} ELSE {free} END, {x})")
 
 
-def _cycled(x: Column, size: Column, key: Key) -> Column:
+def _cycled(x: str, size: str, key: Key) -> str:
     """The next of ``x`` on one keyed cycle through 0 to ``size`` squared less 1: a permutation that leaves nothing in place.
 
     Four Feistel rounds over two digits of base ``size`` (a power of two), one step, and the rounds backwards.
     """
-    pair = lambda l, r: F.struct(l.alias("l"), r.alias("r"))
-    noise = lambda r, i: F.conv(F.substr(key.digest(F.concat_ws("|", F.lit("IPV4"), size.cast("string"), F.lit(str(i)), r.cast("string"))), F.lit(1), F.lit(6)), 16, 10).cast("long") % size
+    pair = lambda l, r: f"named_struct('l', {l}, 'r', {r})"
+    noise = lambda r, i: f"CAST(conv(left({key.digest(f"concat_ws('|', 'IPV4', {size}, {i}, {r})")}, 6), 16, 10) AS BIGINT) % {size}"
 
-    def forth(p: Column, i: int) -> Column:
-        return let(p, lambda q: pair(q["r"], q["l"].bitwiseXOR(noise(q["r"], i))))
+    def forth(p: str, i: int) -> str:
+        return let(p, lambda q: pair(f"{q}.r", f"({q}.l ^ {noise(f'{q}.r', i)})"))
 
-    def back(p: Column, i: int) -> Column:
-        return let(p, lambda q: pair(q["r"].bitwiseXOR(noise(q["l"], i)), q["l"]))
+    def back(p: str, i: int) -> str:
+        return let(p, lambda q: pair(f"({q}.r ^ {noise(f'{q}.l', i)})", f"{q}.l"))
 
-    state = pair(F.floor(x / size).cast("long"), x % size)
+    state = pair(f"{x} div {size}", f"{x} % {size}")
     for i in range(4):
         state = forth(state, i)
-    state = let(state, lambda p: let((p["l"] * size + p["r"] + 1) % (size * size), lambda y: pair(F.floor(y / size).cast("long"), y % size)))
+    state = let(state, lambda p: let(f"({p}.l * {size} + {p}.r + 1) % ({size} * {size})", lambda y: pair(f"{y} div {size}", f"{y} % {size}")))
     for i in reversed(range(4)):
         state = back(state, i)
-    return let(state, lambda p: p["l"] * size + p["r"])
+    return let(state, lambda p: f"{p}.l * {size} + {p}.r")
+
 
+def _private(canon: str, key: Key) -> str:
+    """A private address by another of its block: the lower 24, 20 or 16 bits are permuted."""
 
-def _private(canon: Column, key: Key) -> Column:
-    """A private address by another of its block."""
-    octet = lambda k: F.element_at(F.split(canon, r"\."), k).cast("long")
-    low = octet(3) * 256 + octet(4)
-    wide, middle = canon.rlike(r"^(?:10|127)\."), canon.startswith("172.")
-    x = F.when(wide, octet(2) * 65536 + low).when(middle, (octet(2) - 16) * 65536 + low).otherwise(low)
-    size = F.when(wide, 4096).when(middle, 1024).otherwise(256).cast("long")
-    first = F.when(middle, F.lit(172)).otherwise(octet(1))
-    second = lambda y: F.when(wide, F.floor(y / 65536)).when(middle, F.floor(y / 65536) + 16).otherwise(octet(2))
-    return let(_cycled(x, size, key), lambda y: F.concat_ws(".", first.cast("string"), second(y).cast("string"), (F.floor(y / 256) % 256).cast("string"), (y % 256).cast("string")))
+    def of(o: str) -> str:
+        wide, middle, low = f"{o}[0] IN (10, 127)", f"{o}[0] = 172", f"{o}[2] * 256 + {o}[3]"
+        inner = f"named_struct('x', CASE WHEN {wide} THEN {o}[1] * 65536 + {low} WHEN {middle} THEN ({o}[1] - 16) * 65536 + {low} ELSE {low} END, 'size', CAST(CASE WHEN {wide} THEN 4096 WHEN {middle} THEN 1024 ELSE 256 END AS BIGINT))"
+        second = lambda y: f"CASE WHEN {wide} THEN {y} div 65536 WHEN {middle} THEN {y} div 65536 + 16 ELSE {o}[1] END"
+        return let(inner, lambda p: let(_cycled(f"{p}.x", f"{p}.size", key), lambda y: f"concat_ws('.', {o}[0], {second(y)}, {y} div 256 % 256, {y} % 256)"))
 
+    return let(rf"transform(split({canon}, '\\.'), x -> CAST(x AS BIGINT))", of)
 
-def _public(h: Column) -> Column:
-    octet = lambda k, span, least: (_number(h, F.lit(k)) % span + least).cast("string")
+
+def _public(h: str) -> str:
     firsts = [str(x) for x in range(11, 224) if x not in (127, 169, 172, 192)]
-    return F.concat_ws(".", F.element_at(F.array(*map(F.lit, firsts)), _number(h, F.lit(0)) % len(firsts) + 1), octet(1, 254, 1), octet(2, 254, 1), octet(3, 254, 1))
+    rest = ", ".join(f"{_number(h, k)} % 254 + 1" for k in (1, 2, 3))
+    return f"concat_ws('.', element_at(array({', '.join(firsts)}), {_number(h, 0)} % {len(firsts)} + 1), {rest})"
 
 
-def _shaped_groups(canon: Column, h: Column) -> Column:
+def _shaped_groups(canon: str, h: str) -> str:
     """The groups of an IPv6 address with zeros at the front of a group kept, so that it is shortened the same way."""
 
-    def group(g: Column, k: Column) -> Column:
-        zeros = F.length(F.regexp_extract(g, "^(0*)", 1))
-        digit = lambda i: F.when(i < zeros, F.lit("0")).when(i == zeros, _pick("123456789abcdef", _number(h, k * 4 + i))).otherwise(_pick("0123456789abcdef", _number(h, k * 4 + i)))
-        return F.concat(*(digit(F.lit(i)) for i in range(4)))
+    def group(g: str, k: str) -> str:
+        digit = lambda z, i: f"CASE WHEN {i} < {z} THEN '0' WHEN {i} = {z} THEN {_pick('123456789abcdef', _number(h, f'{k} * 4 + {i}'))} ELSE {_pick('0123456789abcdef', _number(h, f'{k} * 4 + {i}'))} END"
+        return let(f"length(regexp_extract({g}, '^(0*)', 1))", lambda z: f"concat({', '.join(digit(z, i) for i in range(4))})")
+
+    return f"array_join({each(f"split({canon}, ':')", group)}, ':')"
 
-    return F.array_join(F.transform(F.split(canon, ":"), group), ":")
 
+_PARTS = quoted(r"(?<=['’\-])|(?=['’\-])")
 
-def _name(canon: Column, kind: Column, gender: Column, h: Column, extra: Column) -> Column:
+
+def _name(canon: str, kind: str, gender: str, h: str, extra: str) -> str:
     """Each part of a name as keyed syllables, ``extra`` more and an ending by gender, in the name's script; hyphens and apostrophes stay."""
 
-    def built(part: Column, d: Column, letters: tuple[str, str, str, str, str]) -> Column:
+    def built(part: str, d: str, letters: tuple[str, str, str, str, str]) -> str:
         consonants, vowels, male, female, family = letters
-        syllables = F.concat(*(_pick(x, _number(d, F.lit(2 * k + j))) for k in range(3) for j, x in enumerate((consonants, vowels))))
-        ending = F.when(kind != "GIVEN", F.lit(family)).when(gender == MALE, F.lit(male)).when(gender == FEMALE, F.lit(female)).otherwise(F.lit(family))
-        return F.when(F.length(part) == 1, F.when(part.rlike(r"\p{L}"), _pick(consonants, _number(d, F.lit(0)))).otherwise(part)).otherwise(F.concat(syllables, _more(extra, d, (consonants, vowels)), ending))
-
-    def one(part: Column, i: Column) -> Column:
-        def made(d: Column) -> Column:
-            out = F.when(F.lit(False), F.lit(""))
-            for script, letters in SYLLABLES.items():
-                out = out.when(_script(part, script), built(part, d, letters))
-            return out.otherwise(built(part, d, LATIN_SYLLABLES))
+        syllables = ", ".join(_pick(x, _number(d, 2 * k + j)) for k in range(3) for j, x in enumerate((consonants, vowels)))
+        ending = f"CASE WHEN {kind} <> 'GIVEN' THEN '{family}' WHEN {gender} = {MALE} THEN '{male}' WHEN {gender} = {FEMALE} THEN '{female}' ELSE '{family}' END"
+        single = rf"IF({part} RLIKE '\\p{{L}}', {_pick(consonants, _number(d, 0))}, {part})"
+        return f"IF(length({part}) = 1, {single}, concat({syllables}, {_more(extra, d, (consonants, vowels))}, {ending}))"
 
-        return let(F.when(i == 0, h).otherwise(let(F.sha2(F.concat_ws("|", h, i.cast("string")), 256), lambda d: F.concat(d, F.sha2(d, 256)))), made)
+    def one(part: str, i: str) -> str:
+        made = lambda d: "CASE " + " ".join(f"WHEN {_script(part, x)} THEN {built(part, d, letters)}" for x, letters in SYLLABLES.items()) + f" ELSE {built(part, d, LATIN_SYLLABLES)} END"
+        further = let(f"sha2(concat_ws('|', {h}, {i}), 256)", lambda d: f"concat({d}, sha2({d}, 256))")
+        return let(f"IF({i} = 0, {h}, {further})", made)
 
-    return F.array_join(F.transform(F.split(canon, r"(?<=['’\-])|(?=['’\-])"), one), "")
+    return f"array_join({each(f'split({canon}, {_PARTS})', one)}, '')"
 
 
-def surrogate_of(kind: Column, canon: Column, gender: Column, attempt: Column, key: Key) -> Column:
+def surrogate_of(kind: str, canon: str, gender: str, attempt: str, key: Key) -> str:
     """The canonical surrogate of an entity."""
-    entity = F.struct(kind.alias("k"), canon.alias("c"), gender.alias("g"), attempt.alias("a"))
-    return let(entity, lambda e: let(key.digest(F.concat_ws("|", e["k"], e["c"], e["a"].cast("string"))), lambda d: let(F.concat(d, F.sha2(d, 256)), lambda h: _surrogate(e, h, key))))
-
-
-def _surrogate(e: Column, h: Column, key: Key) -> Column:
-    kind, canon, gender = e["k"], e["c"], e["g"]
-    extra = e["a"] - (WIDER_FROM - 1)
-    at = F.instr(canon, "@")
-    # The domain becomes a reserved one; labels below it are mapped.
-    labels = F.split(F.substr(canon, at + 1), r"\.")
-    below = lambda x: F.array_join(F.slice(x, F.lit(1), F.greatest(F.size(x) - 2, F.lit(0))), ".")
-    local = F.left(F.substr(canon, F.lit(1), at - 1), F.lit(MOST_LOCAL))
-
-    def mail(x: Column) -> Column:
-        both = F.concat_ws("@", local, F.when(F.size(x) > 2, F.concat(F.right(below(x), F.lit(MOST_LOCAL)), F.lit("."))).otherwise(F.lit("")))
-        made = lambda m: F.concat(F.element_at(m, 1), _more(extra, h, (_LATIN,)), F.lit("@"), F.element_at(m, 2), F.lit("example."), F.right(F.element_at(x, -1), F.lit(MOST_LOCAL)))
-        return let(F.split(_mapped(both, h, scripts=True), "@", -1), made)
-
-    upper = canon.rlike("[A-F]")
-    nibble = lambda c, i: F.when(upper, _pick("0123456789ABCDEF", _number(h, i))).otherwise(_pick("0123456789abcdef", _number(h, i)))
-    hexadecimal = F.array_join(F.transform(F.split(canon, ""), nibble), "")
-    mapped = _mapped(canon, h)
-    return (
-        F.when(kind == "EMAIL", let(labels, mail))
-        .when((kind == "IPV4") & canon.rlike(PRIVATE), _private(canon, key))
-        .when(kind == "IPV4", _public(h))
-        .when(kind == "IPV6", _shaped_groups(canon, h))
-        .when((kind == "SECRET") & canon.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), hexadecimal)
-        .when(kind == "SECRET", F.concat(F.substr(canon, F.lit(1), F.lit(4)), F.substr(mapped, F.lit(5))))
-        .when(kind == "CARD", _card(canon, h))
-        .when(kind == "PHONE", F.concat(_pick("23456789", _number(h, F.lit(30))), F.substr(mapped, F.lit(2)), _more(F.least(extra, 10 - F.length(canon)), h, ("0123456789",))))
-        .when(kind == "IBAN", _iban(canon, h))
-        .when(kind.isin("SURNAME", "GIVEN"), _name(canon, kind, gender, h, extra))
-        .otherwise(mapped)
-    )
-
-
-def _laid_digits(m: Column, s: Column) -> Column:
-    """The digits of ``s`` in the places of the last digits of ``m``; other characters, and digits before those, stay."""
-    count = F.length(digits_of(m))
+    entity = f"named_struct('k', {kind}, 'c', {canon}, 'g', {gender}, 'a', {attempt})"
+    return let(entity, lambda e: let(key.digest(f"concat_ws('|', {e}.k, {e}.c, {e}.a)"), lambda d: let(f"concat({d}, sha2({d}, 256))", lambda h: _surrogate(e, h, key))))
 
-    def one(c: Column, i: Column) -> Column:
-        nth = F.length(digits_of(F.substr(m, F.lit(1), i + 1))) - (count - F.length(s))
-        return F.when(c.rlike("[0-9]") & (nth > 0), F.substr(s, nth, F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(F.split(m, ""), one), "")
+def _surrogate(e: str, h: str, key: Key) -> str:
+    kind, canon = f"{e}.k", f"{e}.c"
+    extra = f"({e}.a - {WIDER_FROM - 1})"
 
+    def mail(x: str) -> str:
+        """The domain becomes a reserved one; labels below it are mapped with the local part."""
+        below = f"IF(size({x}) > 2, concat(right(array_join(slice({x}, 1, greatest(size({x}) - 2, 0)), '.'), {MOST_LOCAL}), '.'), '')"
+        local = f"left(substring_index({canon}, '@', 1), {MOST_LOCAL})"
+        made = lambda m: f"concat({m}[0], {_more(extra, h, (_LATIN,))}, '@', {m}[1], 'example.', right(element_at({x}, -1), {MOST_LOCAL}))"
+        return let(f"split({_mapped(f"concat({local}, '@', {below})", h, scripts=True)}, '@')", made)
 
-def _laid_case(m: Column, s: Column) -> Column:
-    """``s`` in the case of ``m``, character by character where the lengths agree."""
-    same = F.array_join(F.transform(F.split(s, ""), lambda c, i: F.when(F.substr(m, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
-    return F.when(F.length(m) == F.length(s), same).otherwise(s)
-
+    upper = f"{canon} RLIKE '[A-F]'"
+    hexadecimal = _characters(canon, lambda c, i: f"IF({upper}, {_pick('0123456789ABCDEF', _number(h, i))}, {_pick('0123456789abcdef', _number(h, i))})")
+    mapped = _mapped(canon, h)
+    ways = {
+        f"{kind} = 'EMAIL'": let(rf"split(substring_index({canon}, '@', -1), '\\.')", mail),
+        f"{kind} = 'IPV4' AND {canon} RLIKE {quoted(PRIVATE)}": _private(canon, key),
+        f"{kind} = 'IPV4'": _public(h),
+        f"{kind} = 'IPV6'": _shaped_groups(canon, h),
+        f"{kind} = 'SECRET' AND {canon} RLIKE '^(?:[0-9a-f]+|[0-9A-F]+)$'": hexadecimal,
+        f"{kind} = 'SECRET'": f"concat(left({canon}, 4), substr({mapped}, 5))",
+        f"{kind} = 'CARD'": _card(canon, h),
+        f"{kind} = 'PHONE'": f"concat({_pick('23456789', _number(h, 30))}, substr({mapped}, 2), {_more(f'least({extra}, 10 - length({canon}))', h, ('0123456789',))})",
+        f"{kind} = 'IBAN'": _iban(canon, h),
+        f"{kind} IN ('SURNAME', 'GIVEN')": _name(canon, kind, f"{e}.g", h, extra),
+    }
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in ways.items()) + f" ELSE {mapped} END"
+
+
+def _laid_digits(m: str, s: str) -> str:
+    """The digits of ``s`` in the places of the last digits of ``m``; other characters, and digits before those, stay."""
+    nth = lambda i: f"length({digits_of(f'left({m}, {i} + 1)')}) - (length({digits_of(m)}) - length({s}))"
+    return _characters(m, lambda c, i: f"IF({c} BETWEEN '0' AND '9' AND {nth(i)} > 0, substr({s}, {nth(i)}, 1), {c})")
 
-def _laid_spaces(m: Column, s: Column) -> Column:
-    def one(c: Column, i: Column) -> Column:
-        return F.when(c == " ", c).otherwise(F.substr(s, F.length(F.replace(F.substr(m, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))
 
-    return F.array_join(F.transform(F.split(m, ""), one), "")
+def _laid_case(m: str, s: str) -> str:
+    """``s`` in the case of ``m``, character by character where the lengths agree."""
+    same = _characters(s, lambda c, i: rf"IF(substr({m}, {i} + 1, 1) RLIKE '\\p{{Lu}}', upper({c}), {c})")
+    return f"CASE WHEN length({m}) = length({s}) THEN {same} ELSE {s} END"
 
 
-def _laid_groups(m: Column, s: Column) -> Column:
-    """The groups of ``s`` in the places and lengths of those of ``m``."""
-    sides = F.split(m, "::")
-    before = F.size(F.filter(F.split(F.element_at(sides, 1), ":"), lambda g: g != ""))
-    after = F.size(F.filter(F.split(F.element_at(sides, -1), ":"), lambda g: g != ""))
+def _laid_spaces(m: str, s: str) -> str:
+    return _characters(m, lambda c, i: f"IF({c} = ' ', ' ', substr({s}, length(replace(left({m}, {i} + 1), ' ', '')), 1))")
 
-    def one(groups: Column, first: Column) -> Column:
-        return F.array_join(F.transform(groups, lambda g, i: F.right(F.element_at(F.split(s, ":"), first + i + 1), F.length(g))), ":")
 
-    left = one(F.split(F.element_at(sides, 1), ":"), F.lit(0))
-    out = F.when(F.size(sides) == 1, left).otherwise(F.concat(F.when(before > 0, left).otherwise(F.lit("")), F.lit("::"), F.when(after > 0, one(F.split(F.element_at(sides, -1), ":"), 8 - after)).otherwise(F.lit(""))))
-    return F.when(m == F.upper(m), F.upper(out)).otherwise(out)
+def _laid_groups(m: str, s: str) -> str:
+    """The groups of ``s`` in the places and lengths of those of ``m``."""
+    laid = lambda side, first: f"array_join({each(_groups(side), lambda g, i: f"right(element_at(split({s}, ':'), CAST({first} + {i} + 1 AS INT)), length({g}))")}, ':')"
+    after = lambda x: f"8 - size({_groups(f'element_at({x}, -1)')})"
+    of = lambda x: f"IF(size({x}) = 1, {laid(f'{x}[0]', 0)}, concat({laid(f'{x}[0]', 0)}, '::', {laid(f'element_at({x}, -1)', after(x))}))"
+    return let(let(f"split({m}, '::')", of), lambda out: f"IF({m} = upper({m}), upper({out}), {out})")
 
 
-def _laid_name(was: Column, s: Column) -> Column:
+def _laid_name(was: str, s: str) -> str:
     """``s`` in capitals if ``was`` is, else with a capital at each part that has one in ``was``."""
-    cut_up = lambda x: F.split(x, r"(?<=['’\-])|(?=['’\-])")
-    old = cut_up(was)
-    part = lambda p, i: F.when(F.coalesce(F.try_element_at(old, i + 1), F.lit("A")).rlike(r"^\p{Lu}"), F.concat(F.upper(F.substr(p, F.lit(1), F.lit(1))), F.substr(p, F.lit(2)))).otherwise(p)
-    return F.when((F.length(was) > 1) & (was == F.upper(was)), F.upper(s)).otherwise(F.array_join(F.transform(cut_up(s), part), ""))
+    part = lambda old: each(f"split({s}, {_PARTS})", lambda p, i: rf"IF(coalesce(try_element_at({old}, {i} + 1), 'A') RLIKE '^\\p{{Lu}}', concat(upper(left({p}, 1)), substr({p}, 2)), {p})")
+    return f"IF(length({was}) > 1 AND {was} = upper({was}), upper({s}), array_join({let(f'split({was}, {_PARTS})', part)}, ''))"
 
 
-def replacement(m: Column, known: Column | None, key: Key) -> Column:
+def replacement(m: str, known: str | None, key: Key) -> str:
     """(new, was, now): what a mention becomes; for a person also the names, lower-cased, and their surrogates.
 
-    ``known`` maps ``kind|canonical form`` to four times an attempt plus a gender (see ``assign``).
+    ``known`` is a map from ``kind|canonical form`` to four times an attempt plus a gender (see ``replace``).
     """
 
-    def of(e: Column) -> Column:
-        said = F.lit(None).cast("int") if known is None else F.try_element_at(known, F.concat_ws("|", e["kind"], e["canon"]))
-        return let(said, lambda x: surrogate_of(e["kind"], e["canon"], F.coalesce(x % 4, e["gender"]), F.coalesce(F.floor(x / 4).cast("int"), F.lit(0)), key))
-
-    def laid(kind: Column, s: Column) -> Column:
-        own = F.length(digits_of(m))
-        own = F.when(kind == "PHONE", F.least(own, F.lit(10))).otherwise(own)
-        digits = F.concat(_laid_digits(m, F.substr(s, F.lit(1), own)), F.substr(s, own + 1))
-        return F.when(kind.isin("PHONE", "CARD", "SSN"), digits).when(kind == "EMAIL", _laid_case(m, s)).when(kind == "IPV6", _laid_groups(m, s)).when(kind == "IBAN", _laid_spaces(m, s)).otherwise(s)
+    def of(x: str) -> str:
+        said = f"try_element_at({known}, concat_ws('|', {x}.kind, {x}.canon))" if known else "CAST(NULL AS INT)"
+        return let(said, lambda c: surrogate_of(f"{x}.kind", f"{x}.canon", f"coalesce({c} % 4, {x}.gender)", f"coalesce({c} div 4, 0)", key))
 
-    def row(new: Column, was: Column, now: Column) -> Column:
-        return F.struct(new.alias("new"), was.alias("was"), now.alias("now"))
+    def laid(kind: str, s: str) -> str:
+        own = let(f"length({digits_of(m)})", lambda n: f"IF({kind} = 'PHONE', least({n}, 10), {n})")
+        digits = let(own, lambda n: f"concat({_laid_digits(m, f'left({s}, {n})')}, substr({s}, {n} + 1))")
+        return f"CASE WHEN {kind} IN ('PHONE', 'CARD', 'SSN') THEN {digits} WHEN {kind} = 'EMAIL' THEN {_laid_case(m, s)} WHEN {kind} = 'IPV6' THEN {_laid_groups(m, s)} WHEN {kind} = 'IBAN' THEN {_laid_spaces(m, s)} ELSE {s} END"
 
-    def person(now: Column) -> Column:
-        named = F.transform(names_of(m), lambda was, i: _laid_name(was, F.element_at(now, i + 1)))
-        return row(F.concat(F.regexp_extract(m, BEFORE_NAMES, 0), F.array_join(named, " ")), F.transform(names_of(m), F.lower), now)
+    def row(new: str, was: str, now: str) -> str:
+        return f"named_struct('new', {new}, 'was', {was}, 'now', {now})"
 
-    def whole(kind: Column) -> Column:
-        none = F.array().cast("array<string>")
-        one = let(of(F.element_at(entities_of(m, kind), 1)), lambda s: row(laid(kind, s), none, none))
-        return F.when(kind == "PERSON", let(F.transform(entities_of(m, kind), of), person)).otherwise(one)
+    def done(x: str) -> str:
+        """From (kind, surrogates of the entities)."""
+        named = each(names_of(m), lambda was, i: _laid_name(was, f"{x}.now[{i}]"))
+        person = row(f"concat(regexp_extract({m}, {quoted(BEFORE_NAMES)}, 0), array_join({named}, ' '))", f"transform({names_of(m)}, x -> lower(x))", f"{x}.now")
+        return f"CASE WHEN {x}.kind = 'PERSON' THEN {person} ELSE {row(laid(f'{x}.kind', f'{x}.now[0]'), NO_STRINGS, NO_STRINGS)} END"
 
-    return let(kind_of(m), whole)
+    return let(kind_of(m), lambda k: let(f"named_struct('kind', {k}, 'now', {each(entities_of(m, k), lambda x, _: of(x))})", done))
 
 
-def mentions(text: Column) -> Column:
+def mentions(text: str) -> str:
     """All mentions in a text, in order; an empty array for null."""
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none)
+    return f"CASE WHEN {text} RLIKE {quoted(HINT)} THEN regexp_extract_all({text}, {quoted(PATTERN)}, 0) ELSE {NO_STRINGS} END"
 
 
-def rewritten(text: Column, found: Column, changed: Column) -> Column:
+def rewritten(text: str, found: str, changed: str) -> str:
     """The text with ``changed`` in the place of its mentions, and with the same surrogates for names that stand again without a title."""
-    was, now = (F.flatten(F.transform(changed, lambda c: c[n])) for n in ("was", "now"))
-
-    def bare(piece: Column, names: Column) -> Column:
-        def swapped(w: Column) -> Column:
-            return F.when(F.array_contains(names["free"], F.lower(w)), _laid_name(w, F.try_element_at(names["now"], F.array_position(names["was"], F.lower(w)).cast("int")))).otherwise(w)
 
-        words, rest = F.transform(F.regexp_extract_all(piece, F.lit(WORD), F.lit(0)), swapped), F.split(piece, WORD, -1)
-        return F.when(F.size(names["free"]) > 0, let(words, lambda ws: F.array_join(F.transform(rest, lambda r, j: F.concat(r, F.coalesce(F.try_element_at(ws, j + 1), F.lit("")))), ""))).otherwise(piece)
+    def bare(piece: str, names: str) -> str:
+        swapped = lambda w: f"IF(array_contains({names}.free, lower({w})), {_laid_name(w, f'try_element_at({names}.now, CAST(array_position({names}.was, lower({w})) AS INT))')}, {w})"
+        words = each(f"regexp_extract_all({piece}, {quoted(WORD)}, 0)", lambda w, _: swapped(w))
+        joined = let(words, lambda ws: f"array_join({each(f'split({piece}, {quoted(WORD)})', lambda r, j: f"concat({r}, coalesce(try_element_at({ws}, {j} + 1), ''))")}, '')")
+        return f"CASE WHEN size({names}.free) > 0 THEN {joined} ELSE {piece} END"
 
-    def joined(names: Column) -> Column:
-        pieces = F.split(text, PATTERN, -1)
-        return F.array_join(F.transform(pieces, lambda p, i: F.concat(bare(p, names), F.coalesce(F.try_element_at(changed, i + 1)["new"], F.lit("")))), "")
+    def joined(names: str) -> str:
+        return f"array_join({each(f'split({text}, {quoted(PATTERN)})', lambda p, i: f"concat({bare(p, names)}, coalesce(try_element_at({changed}, {i} + 1).new, ''))")}, '')"
 
     # A word that the text also has in lower case is no name.
-    free = F.when(F.size(was) > 0, F.array_except(was, F.regexp_extract_all(text, F.lit(COMMON_WORD), F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(found) > 0, let(F.struct(was.alias("was"), now.alias("now"), free.alias("free")), joined)).otherwise(text)
+    free = lambda was: f"CASE WHEN size({was}) > 0 THEN array_except({was}, regexp_extract_all({text}, {quoted(COMMON_WORD)}, 0)) ELSE {NO_STRINGS} END"
+    names = let(f"flatten(transform({changed}, c -> c.was))", lambda was: f"named_struct('was', {was}, 'now', flatten(transform({changed}, c -> c.now)), 'free', {free(was)})")
+    return f"CASE WHEN size({found}) > 0 THEN {let(names, joined)} ELSE {text} END"
 
 
 def entity_table(docs: DataFrame) -> DataFrame:
@@ -460,12 +431,11 @@ def entity_table(docs: DataFrame) -> DataFrame:
     ``gender`` is what the titles of the corpus tell of a name, none if they disagree;
     ``mixed`` says that some mention's own title tells something else.
     """
-    m = docs.select(F.explode(F.array_distinct(mentions(F.col("text")))).alias("m")).distinct()
-    each = m.withColumn("k", kind_of(F.col("m"))).select(F.explode(entities_of(F.col("m"), F.col("k"))).alias("e")).select("e.*")
-    male, female, untold = (F.max(F.when(F.col("kind") == "GIVEN", F.col("gender") == g).otherwise(False)) for g in (MALE, FEMALE, UNKNOWN))
-    told = each.groupBy("kind", "canon").agg(male.alias("m"), female.alias("f"), untold.alias("u"))
-    gender = F.when(F.col("m") & ~F.col("f"), MALE).when(F.col("f") & ~F.col("m"), FEMALE).otherwise(UNKNOWN)
-    return told.select("kind", "canon", gender.cast("int").alias("gender"), (F.col("m").cast("int") + F.col("f").cast("int") + F.col("u").cast("int") > 1).alias("mixed"))
+    m = docs.selectExpr(f"explode(array_distinct({mentions('text')})) AS m").distinct()
+    each_one = m.selectExpr("m", f"{kind_of('m')} AS k").selectExpr(f"explode({entities_of('m', 'k')}) AS e").select("e.*")
+    male, female, untold = (F.max((F.col("kind") == "GIVEN") & (F.col("gender") == g)) for g in (MALE, FEMALE, UNKNOWN))
+    told = each_one.groupBy("kind", "canon").agg(male.alias("m"), female.alias("f"), untold.alias("u"))
+    return told.selectExpr("kind", "canon", f"CASE WHEN m AND NOT f THEN {MALE} WHEN f AND NOT m THEN {FEMALE} ELSE {UNKNOWN} END AS gender", "CAST(m AS INT) + CAST(f AS INT) + CAST(u AS INT) > 1 AS mixed")
 
 
 def assign(entities: DataFrame, key: Key) -> DataFrame:
@@ -478,7 +448,7 @@ def assign(entities: DataFrame, key: Key) -> DataFrame:
     order = Window.partitionBy("kind", "surrogate").orderBy("canon")
     waiting, settled = known.withColumn("attempt", F.lit(0)), None
     for _ in range(MOST_ROUNDS):
-        drawn = waiting.withColumn("surrogate", surrogate_of(F.col("kind"), F.col("canon"), F.col("gender"), F.col("attempt"), key))
+        drawn = waiting.withColumn("surrogate", F.expr(surrogate_of("kind", "canon", "gender", "attempt", key)))
         judged = drawn.withColumn("nth", F.row_number().over(order)).join(real, ["kind", "surrogate"], "left")
         clash = (F.col("nth") > 1) | F.coalesce("real", F.lit(False))
         if settled is not None:
@@ -503,27 +473,27 @@ def replace(docs: DataFrame, key: Key, most_inline: int = MOST_INLINE) -> DataFr
     """
     told = assign(entity_table(docs), key).where("attempt > 0 or mixed").select(F.concat_ws("|", "kind", "canon").alias("k"), (F.col("attempt") * 4 + F.col("gender")).alias("code"))
     few = {r["k"]: r["code"] for r in told.limit(most_inline + 1).collect()}
-    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"), mentions(F.col("text")).alias("found"))
+    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"), F.expr(mentions("text")).alias("found"))
     known = None
     if len(few) > most_inline:
         one = found.where(F.size("found") > 0).select(F.sha2("text", 256).alias("hash"), F.explode("found").alias("m")).distinct()
-        pairs = one.withColumn("kind", kind_of(F.col("m"))).select("hash", F.explode(entities_of(F.col("m"), F.col("kind"))).alias("e")).select("hash", F.concat_ws("|", "e.kind", "e.canon").alias("k")).distinct()
+        pairs = one.selectExpr("hash", "m", f"{kind_of('m')} AS kind").selectExpr("hash", f"explode({entities_of('m', 'kind')}) AS e").select("hash", F.concat_ws("|", "e.kind", "e.canon").alias("k")).distinct()
         of_text = pairs.join(told, "k").groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("k", "code"))).alias("known"))
         # Texts without mentions match nothing and meet under many keys, so that they aren't one hot key.
         hashed = F.when(F.size("found") > 0, F.sha2("text", 256)).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64("text"), F.lit(4096)).cast("string")))
         found = found.withColumn("hash", hashed).join(of_text, "hash", "left").drop("hash")
-        known = F.coalesce(F.col("known"), F.create_map().cast("map<string,int>"))
+        known = "coalesce(known, CAST(map() AS MAP<STRING, INT>))"
     elif few:
-        known = F.create_map(*(F.lit(x) for pair in few.items() for x in pair))
-    changed = F.transform(F.col("found"), lambda m: replacement(m, known, key))
-    out = found.withColumn("changed", F.when(F.size("found") > 0, changed))
-    return out.select("row", rewritten(F.col("text"), F.col("found"), F.col("changed")).alias("text"), "found")
+        known = "known"
+        found = found.withColumn("known", F.create_map(*(F.lit(x) for pair in few.items() for x in pair)))
+    changed = f"CASE WHEN size(found) > 0 THEN {each('found', lambda m, _: replacement(m, known, key))} END"
+    return found.selectExpr("row", "text", "found", f"{changed} AS changed").selectExpr("row", f"{rewritten('text', 'found', 'changed')} AS text", "found")
 
 
 def surrogates(docs: DataFrame, key: str | None = None, **settings: int) -> DataFrame:
     """doc_id, text with surrogates, n_mentions and the mentions' kinds of every row; further columns aren't read."""
     out = replace(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key_of(docs.sparkSession, key), **settings)
-    return out.select("row.doc_id", "text", F.size("found").cast("long").alias("n_mentions"), F.transform("found", kind_of).alias("kinds"))
+    return out.select("row.doc_id", "text", F.size("found").cast("long").alias("n_mentions"), F.expr(f"transform(found, m -> {kind_of('m')})").alias("kinds"))
 
 
 def replaced(docs: DataFrame, key: str | None = None, **settings: int) -> DataFrame:
