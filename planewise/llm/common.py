@@ -13,35 +13,45 @@ from pyspark.sql import functions as F
 
 from planewise.shipping import ship
 
-#: Rows of one group that a single window task numbers at most, on even ids.
-RANK_BLOCK_ROWS = 512
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or the checkpoint folder its context has.
 
-    Only where the session names none (a local test) is a temporary one set.
+    Where neither is set, a session on one machine (a test) gets a temporary folder; on
+    a cluster executors would each write to a folder of their own, so that's an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="planewise-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="planewise-")
+    if not held.isDefined():
+        context.setCheckpointDir(named)
     return named
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
-    Later jobs read these files, so a lost executor costs no recomputation of what came before.
+    Later jobs read these files, so a lost executor costs no recomputation of what came
+    before.  Results are lazy and may be read long after, so the files stay until the
+    session ends, like a checkpoint's; then they are removed.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"planewise-{uuid.uuid4().hex}")
+    forget_at_exit(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system when the session's process ends."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` for work in Python: over as many partitions as there are cores, if it has fewer (one small file)."""
     ship(df.sparkSession)
@@ -55,25 +65,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def gapless_rank(df: DataFrame, key: str, order: str, name: str, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Number the rows of each group from 0 without gaps, in order of an integer column.
-
-    A window over the whole group would put a hot group into one task.  Instead each
-    group's range of ``order`` is cut into equal blocks of about ``RANK_BLOCK_ROWS``
-    rows; rows are numbered within (group, block), and a prefix sum over the blocks'
-    counts gives each block its start.  ``key`` has few values (shards, lengths), so
-    their ranges are broadcast.  Nulls in ``order`` come first; ``ties`` order equal values.
+    """Number the rows of each group from 0 without gaps, in the order of a column; nulls come first, ``ties`` order equal values.
+
+    A window over a group would put a hot group into one task.  Instead rows are dealt to
+    partitions by ranges of (key, order, ties, place in the input), whose bounds Spark
+    samples: so wide or uneven values, a hot group and a value that repeats without end
+    all give even partitions.  Each partition is sorted and written with its rows'
+    places; a prefix sum over the partitions' counts, one row for each key that a
+    partition holds, gives each its start.
     """
-    ranges = df.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"), F.min(order).alias("__low"), F.max(order).alias("__high"))
-    blocks = F.ceil(F.col("__rows") / F.lit(RANK_BLOCK_ROWS))
-    width = F.ceil((F.col("__high") - F.col("__low") + 1) / blocks)
-    block = F.coalesce(F.floor((F.col(order) - F.col("__low")) / width), F.lit(-1)).cast("long")
-    df = df.join(F.broadcast(ranges), key).withColumn("__block", block).drop("__rows", "__low", "__high")
-    counts = df.groupBy(key, "__block").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(key, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(key, "__block").orderBy(F.col(order).asc_nulls_first(), *ties)
-    ranked = df.withColumn("__in", F.row_number().over(inside) - 1)
-    return ranked.join(starts, [key, "__block"]).withColumn(name, (F.col("__start") + F.col("__in")).cast("long")).drop("__block", "__start", "__in")
+    at = "__at"
+    by = [F.col(key), F.col(order).asc_nulls_first(), *ties, at]
+    dealt = df.withColumn(at, F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = cut(dealt.withColumn("__part", F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()))
+    runs = placed.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min(at).alias("__first"))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select(key, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__start"))
+    # At most as many rows as partitions and keys together.
+    return placed.join(F.broadcast(starts), [key, "__part"]).withColumn(name, (F.col(at) + F.col("__start")).cast("long")).drop(at, "__part", "__start")
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -89,21 +98,22 @@ def parts(batches: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator[
             yield b.slice(i, rows)
 
 
-def by_batch(df: DataFrame, schema: str, make: Callable[[dict], dict]) -> DataFrame:
+def by_batch(df: DataFrame, schema: str | dict[str, tuple[str, pa.DataType]], make: Callable[[dict], dict]) -> DataFrame:
     """Arrow batches of ``df`` through ``make``: column values in, columns out.
 
     ``make`` gets a dict of Arrow arrays and returns a dict of Arrow arrays or lists.
-    Arrow keeps 64-bit ids exact where some are null, which pandas would not.
+    Arrow keeps 64-bit ids exact where some are null, which pandas would not.  The
+    schema is DDL text of plain types or, by column, the type for Spark and for Arrow.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = None
         for b in parts(batches):
             out = make(dict(zip(b.schema.names, b.columns, strict=True)))
-            to = to or _arrow_schema(schema)
+            to = to or (_arrow_schema(schema) if isinstance(schema, str) else pa.schema([(n, kind) for n, (_, kind) in schema.items()]))
             yield pa.RecordBatch.from_arrays([v if isinstance(v := out[f.name], pa.Array) and v.type == f.type else pa.array(v, f.type) for f in to], schema=to)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema if isinstance(schema, str) else ", ".join(f"{n} {kind}" for n, (kind, _) in schema.items()))
 
 
 def _arrow_schema(ddl: str) -> pa.Schema:

@@ -14,6 +14,7 @@ import hashlib
 import zlib
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,7 @@ TIMESTAMP = 0xE7
 SIMPLE_BLOCK = 0xA3
 BLOCK_GROUP = 0xA0
 BLOCK = 0xA1
+REFERENCE_BLOCK = 0xFB
 CUES = 0x1C53BB6B
 CUE_POINT = 0xBB
 CUE_TIME = 0xB3
@@ -113,12 +115,16 @@ def write(payload: bytes, frame_bytes: int = FRAME_BYTES) -> bytes:
 
 @dataclass
 class Parsed:
-    """Packets as (timestamp ms, track, start byte, length, keyframe) and what else the features need."""
+    """Packets as (timestamp in nanoseconds, track, start byte, length, keyframe) and what else the features need.
+
+    ``scale`` is the file's own: nanoseconds of one unit of its timestamps.
+    """
 
     packets: list[tuple[int, int, int, int, bool]] = field(default_factory=list)
     tracks: dict[int, dict] = field(default_factory=dict)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     clusters: list[int] = field(default_factory=list)
+    scale: int = 1_000_000
     blocks: int = 0
     laced: int = 0
     segment: int = 0
@@ -162,8 +168,14 @@ def _lace_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], i
 
 
 def packets(data: bytes) -> Parsed:
-    """The packet table of a Matroska file; ValueError where the bytes aren't one."""
+    """The packet table of a Matroska file; ValueError where the bytes aren't one.
+
+    A frame of a lace comes its track's default duration after the one before it, at the
+    same time if the track has none.  A block of a group is a keyframe unless the group
+    refers to another block.
+    """
     out = Parsed()
+    grouped: list[int] = []  # packets of the group that is open
     track: dict = {}
     cue: dict = {}
     stack = [(0, len(data), 0)]
@@ -179,6 +191,15 @@ def packets(data: bytes) -> Parsed:
                 raise ValueError(f"the element at byte {start} is cut off")
             if number == SEGMENT:
                 out.segment = at
+            elif number == TIMESTAMP_SCALE:
+                out.scale = int.from_bytes(data[at:stop], "big")
+            elif number == BLOCK_GROUP:
+                grouped = []
+            elif number == REFERENCE_BLOCK:
+                grouped.append(-1)
+                for i in grouped:
+                    if i >= 0:
+                        out.packets[i] = (*out.packets[i][:4], False)
             elif number == CLUSTER:
                 out.clusters.append(start)
                 cluster_time = 0
@@ -186,7 +207,7 @@ def packets(data: bytes) -> Parsed:
                 track = {}
             elif number == TIMESTAMP:
                 cluster_time = int.from_bytes(data[at:stop], "big")
-            elif number in (TRACK_NUMBER, TRACK_TYPE, PIXEL_WIDTH, PIXEL_HEIGHT):
+            elif number in (TRACK_NUMBER, TRACK_TYPE, PIXEL_WIDTH, PIXEL_HEIGHT, DEFAULT_DURATION):
                 track[number] = int.from_bytes(data[at:stop], "big")
                 if number == TRACK_NUMBER:
                     out.tracks[track[number]] = track
@@ -206,8 +227,11 @@ def packets(data: bytes) -> Parsed:
                 sizes, p = ([stop - p], p) if kind == NO_LACING else _lace_sizes(data, p, stop, kind)
                 out.blocks += 1
                 out.laced += kind != NO_LACING
+                step = out.tracks.get(who, {}).get(DEFAULT_DURATION, 0)
+                key = bool(flags & 0x80) if number == SIMPLE_BLOCK else -1 not in grouped
                 for k, n in enumerate(sizes):
-                    out.packets.append((when + k * FRAME_MS, who, p, n, bool(flags & 0x80)))
+                    grouped.append(len(out.packets))
+                    out.packets.append((when * out.scale + k * step, who, p, n, key))
                     p += n
             if number in _MASTERS:
                 stack.append((stop, end, parent))
@@ -225,9 +249,11 @@ def payload_of(data: bytes, parsed: Parsed, track: int = 1) -> bytes:
 def feature(parsed: Parsed) -> str:
     """A summary of the packet table: track shape, packets, blocks, clusters, cues that point at clusters, duration."""
     t = parsed.tracks.get(1, {})
-    good = sum(p in set(parsed.clusters) for _, _, p in parsed.cues) if len(parsed.cues) < 64 else len({p for _, _, p in parsed.cues} & set(parsed.clusters))
-    last = max((x[0] for x in parsed.packets), default=-FRAME_MS)
-    return f"{t.get(CODEC_ID, '')}:{t.get(PIXEL_WIDTH, 0)}x{t.get(PIXEL_HEIGHT, 0)}:packets={len(parsed.packets)}:blocks={parsed.blocks}:laced={parsed.laced}:clusters={len(parsed.clusters)}:cues={good}:ms={last + FRAME_MS}"
+    starts = set(parsed.clusters)
+    good = sum(p in starts for _, _, p in parsed.cues)
+    step = t.get(DEFAULT_DURATION, 0)
+    end = max((x[0] + step for x in parsed.packets), default=0)
+    return f"{t.get(CODEC_ID, '')}:{t.get(PIXEL_WIDTH, 0)}x{t.get(PIXEL_HEIGHT, 0)}:packets={len(parsed.packets)}:blocks={parsed.blocks}:laced={parsed.laced}:clusters={len(parsed.clusters)}:cues={good}:ms={end // 1_000_000}"
 
 
 def padded(raw: bytes, unit: int = FRAME_BYTES) -> bytes:
@@ -246,11 +272,15 @@ def encode_column(docs: DataFrame) -> DataFrame:
 
 
 def packet_column(media: DataFrame) -> DataFrame:
-    """(doc_id, packets): the packet table of each media value, as an array of structs; null for a null."""
-    kind = "array<struct<ts: long, track: long, start: long, length: long, key: boolean>>"
+    """(doc_id, packets): the packet table of each media value, as an array of structs with nanosecond timestamps; null for a null."""
+    kind = pa.struct([("ts", pa.int64()), ("track", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("key", pa.bool_())])
+
+    def make(c: dict) -> dict:
+        rows = [None if x is None else [dict(zip(("ts", "track", "start", "length", "key"), p, strict=True)) for p in packets(x).packets] for x in c["media"].to_pylist()]
+        return {"doc_id": c["doc_id"], "packets": pa.array(rows, pa.list_(kind))}
 
-    table_of = F.udf(lambda data: None if data is None else packets(bytes(data)).packets, kind)
-    return media.select("doc_id", table_of("media").alias("packets"))
+    ddl = "array<struct<ts: bigint, track: bigint, start: bigint, length: bigint, key: boolean>>"
+    return by_batch(spread(media.select("doc_id", "media")), {"doc_id": ("long", pa.int64()), "packets": (ddl, pa.list_(kind))}, make)
 
 
 def digests(docs: DataFrame) -> DataFrame:
