@@ -1,9 +1,9 @@
 """Token ids of whole texts through a cache of space-led chunks.
 
-A text is cut before each space that a non-space character follows.  The splitting
-pattern of the byte-level vocabularies joins such a space to what follows it and to
-nothing before it, so a chunk's ids don't depend on its neighbours, and the ids of a
-text are those of its chunks in order.  Natural text repeats its words: each distinct
+A text is cut before each space that a non-space character follows, never before one
+that ends the text.  The splitting pattern of the byte-level vocabularies joins such a
+space to what follows it and to nothing before it, so a chunk's ids don't depend on its
+neighbours, and the ids of a text are those of its chunks in order.  Natural text repeats its words: each distinct
 chunk is encoded once and then looked up.
 """
 
@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 
-_SPACE_THEN_SPACE = re.compile(r" \s")
+_SPACE_THEN_SPACE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
 #: Characters of distinct chunks that a worker keeps before it starts anew.
