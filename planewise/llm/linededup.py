@@ -1,12 +1,14 @@
 """Line dedup by probing a sharded minimal perfect hash.
 
 Long lines that stand in many documents are boilerplate.  Their keys are hashed to 128
-bits, counted with map-side aggregation, and the frequent ones stored in shards: each
-shard is a minimal perfect hash (a pilot value for each small bucket that sends its
-keys to free places) over compact arrays of fingerprints, document counts and the
-largest doc_id.  Documents probe the arrays of all shards and drop lines on the spot;
-lines are never joined.  Where the arrays are larger than a broadcast may be, hashes
-(not texts) of lines are sent to the shards and only hits come back.
+bits and aggregated to distinct hashes with the number of documents and the largest
+doc_id of each.  Those are stored in shards: each shard is a minimal perfect hash (a
+pilot value for each small bucket that sends its keys to free places) over compact
+arrays of fingerprints, document counts and largest doc_ids.  Documents probe the arrays
+of all shards, and a line's count there decides whether it goes; lines are never joined.
+A hash that one document alone holds isn't stored: to be in no array means one document.
+Where the arrays are larger than a broadcast may be, hashes (not texts) of lines, written
+once, are sent to the shards and only hits come back.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ MIN_DOCS = 5
 SHARD_KEYS = 50_000
 #: Mean keys of a bucket that shares a pilot, and how full a table is (1: minimal).
 BUCKET_KEYS = 4
-#: Bytes of arrays that are broadcast at most.
+#: Bytes of arrays that are broadcast at most, and of a key in them: fingerprint 8, count 4, doc_id 8, its part of a pilot 1, rounded up.
 BROADCAST_BYTES = 64 << 20
+KEY_BYTES = 24
 #: Hashes that one task of the sharded way probes, about.
 PROBE_ROWS = 500_000
 STRIP = " \t\n\v\f\r"
@@ -138,39 +141,45 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "high long, low long, doc_id long")
 
 
-def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(high, low, n_docs, largest) of each key in at least ``min_docs`` rows."""
-    counted = hashed_lines(docs, min_chars).groupBy("high", "low").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("largest"))
-    return counted.where(F.col("n_docs") >= min_docs)
+def repeated_lines(lines: DataFrame) -> DataFrame:
+    """(high, low, n_docs, largest) of each distinct hash of ``hashed_lines`` that more than one document holds.
+
+    Rows of one doc_id are one document; so are those without.  Counts are distinct by
+    two aggregations, the first over (hash, doc_id), so that no hot line meets one task.
+    """
+    ids = F.coalesce("doc_id", F.lit(int(NULL_ID)))
+    once = lines.select("high", "low", ids.alias("doc_id")).distinct()
+    counted = once.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("largest"))
+    return counted.where("n_docs > 1")
 
 
 NULL_ID = np.iinfo(np.int64).min
 
 
-def build_shards(frequent: DataFrame, shards: int) -> DataFrame:
+def build_shards(repeated: DataFrame, shards: int) -> DataFrame:
     """(shard, pilots, marks, counts, largest): the arrays of each shard's perfect hash as bytes."""
 
     def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        h = PerfectHash.build(part["high"].to_numpy().view(np.uint64), part["low"].to_numpy().view(np.uint64), part["n_docs"].to_numpy().astype(np.int64), part["largest"].fillna(NULL_ID).to_numpy().astype(np.int64))
+        h = PerfectHash.build(part["high"].to_numpy().view(np.uint64), part["low"].to_numpy().view(np.uint64), np.minimum(part["n_docs"].to_numpy(), np.iinfo(np.uint32).max).astype(np.uint32), part["largest"].to_numpy().astype(np.int64))
         return pd.DataFrame([(key[0], *(a.tobytes() for a in (h.pilots, h.marks, h.counts, h.largest)))], columns=["shard", "pilots", "marks", "counts", "largest"])
 
-    sharded = frequent.select(F.pmod(F.shiftrightunsigned("high", 40), F.lit(shards)).alias("shard"), "high", "low", "n_docs", F.coalesce("largest", F.lit(int(NULL_ID))).alias("largest"))
+    sharded = repeated.select(F.pmod(F.shiftrightunsigned("high", 40), F.lit(shards)).alias("shard"), "high", "low", "n_docs", "largest")
     return sharded.groupBy("shard").applyInPandas(build, "shard long, pilots binary, marks binary, counts binary, largest binary")
 
 
 def unpack(row: object) -> PerfectHash:
-    return PerfectHash(np.frombuffer(row["pilots"], np.uint32), np.frombuffer(row["marks"], np.uint64), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["largest"], np.int64))
+    return PerfectHash(np.frombuffer(row["pilots"], np.uint32), np.frombuffer(row["marks"], np.uint64), np.frombuffer(row["counts"], np.uint32), np.frombuffer(row["largest"], np.int64))
 
 
-def _losing(tables: dict[int, PerfectHash], shards: int, high: np.ndarray, low: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether each line (of document ``ids``) is frequent and another document is the largest that holds it."""
+def _losing(tables: dict[int, PerfectHash], shards: int, high: np.ndarray, low: np.ndarray, ids: np.ndarray, min_docs: int) -> np.ndarray:
+    """Whether each line (of document ``ids``) has a count of ``min_docs`` at least and another document is the largest that holds it."""
     out, shard = np.zeros(len(high), bool), shard_of(high, shards)
     for s in np.unique(shard):
         if (t := tables.get(int(s))) is not None:
             own = np.flatnonzero(shard == s)
             at = t.probe(high[own], low[own])
-            hit = at >= 0
-            out[own[hit]] = t.largest[at[hit]] != ids[own[hit]]
+            own, at = own[at >= 0], at[at >= 0]
+            out[own] = (t.counts[at] >= min_docs) & (t.largest[at] != ids[own])
     return out
 
 
@@ -198,8 +207,8 @@ def _apply(docs: DataFrame, min_chars: int, decide: Callable, schema: StructType
     return docs.mapInArrow(run, schema)
 
 
-def _hits(lines: DataFrame, arrays: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, drop): hashes of the lines that each document loses, by sending hashes to the shards.
+def _hits(lines: DataFrame, arrays: DataFrame, shards: int, min_docs: int) -> DataFrame:
+    """(id, drop): hashes of the lines that each document loses, by sending hashes to the shards.
 
     A shard that many lines probe is copied to several tasks; its lines are dealt among them.
     """
@@ -213,34 +222,37 @@ def _hits(lines: DataFrame, arrays: DataFrame, shards: int) -> DataFrame:
         if not len(part) or not len(table):
             return pd.DataFrame({"doc_id": [], "high": []}).astype("int64")
         high, low = (part[c].to_numpy().view(np.uint64) for c in ("high", "low"))
-        go = _losing({int(key[0]): unpack(table.iloc[0])}, shards, high, low, part["doc_id"].to_numpy().astype(np.int64))
+        go = _losing({int(key[0]): unpack(table.iloc[0])}, shards, high, low, part["doc_id"].to_numpy().astype(np.int64), min_docs)
         return part.loc[go, ["doc_id", "high"]]
 
     dealt = dealt.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(NULL_ID))))
     hits = dealt.groupBy("shard", "copy").cogroup(tables.groupBy("shard", "copy")).applyInPandas(probe, "doc_id long, high long")
-    return hits.groupBy("doc_id").agg(F.collect_set("high").alias("__drop"))
+    return hits.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("high").alias("drop"))
 
 
 def drop_lines(docs: DataFrame, schema: StructType, finish: Callable, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs`` without the frequent lines of all documents but the largest doc_id that holds each.
+    """``docs`` without the lines of ``min_docs`` documents or more, but in the document of the largest doc_id that holds each.
 
-    A row counts as a document, also where its doc_id or its text repeats; rows of an
-    equal doc_id all keep the lines that this doc_id keeps.  A null doc_id is less than
-    any other.  Null and empty texts have one empty line; an empty table gives no rows.
+    Rows of an equal doc_id are one document and keep the same lines; so are rows
+    without one, whose id is less than any other.  Null and empty texts have one empty
+    line; an empty table gives no rows; columns may have any name.
     """
     spark = docs.sparkSession
-    frequent = cut(frequent_lines(docs, min_chars, min_docs))
-    n = frequent.count()
+    lines = hashed_lines(docs, min_chars)
+    repeated = cut(repeated_lines(lines))
+    n = repeated.count()
     shards = max(1, -(-n // SHARD_KEYS))
-    arrays = build_shards(frequent, shards)
-    if n * 30 <= broadcast_bytes:  # bytes of a key in the arrays, rounded up
+    arrays = build_shards(repeated, shards)
+    if n * KEY_BYTES <= broadcast_bytes:
         tables = spark.sparkContext.broadcast({r["shard"]: unpack(r) for r in arrays.collect()})
-        return _apply(docs, min_chars, lambda b, rows, high, low, ids: _losing(tables.value, shards, high, low, ids), schema, finish)
-    hits = _hits(hashed_lines(docs, min_chars), cut(arrays), shards)
-    joined = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID)))).join(hits.withColumnRenamed("doc_id", "__id"), "__id", "left").drop("__id")
+        return _apply(docs, min_chars, lambda b, rows, high, low, ids: _losing(tables.value, shards, high, low, ids, min_docs), schema, finish)
+    hits = _hits(cut(lines), cut(arrays), shards, min_docs)
+    # Names that no column of the documents has.
+    key, drop = (next(x for k in range(len(docs.columns) + 1) if (x := f"{n}_{k}") not in docs.columns) for n in ("id", "drop"))
+    joined = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID)))).join(hits.toDF(key, drop), key, "left").drop(key)
 
     def decide(b: pa.RecordBatch, rows: np.ndarray, high: np.ndarray, low: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        own = [set(x or ()) for x in b.column("__drop").to_pylist()]
+        own = [set(x or ()) for x in b.column(drop).to_pylist()]
         return np.fromiter((h in own[i] for i, h in zip(rows, high.view(np.int64).tolist(), strict=True)), bool, len(rows))
 
     return _apply(joined, min_chars, decide, schema, finish)
