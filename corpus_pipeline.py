@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planewise.llm import isolation, linededup, packing, queries, similar, surrogates
-from planewise.llm.common import shared_dir, table
+from planewise.llm.common import forget_at_exit, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``; between them tables in the shared folder."""
+    """The stages in order over ``documents``; between them tables in the shared folder, removed when the session ends.
+
+    A null text counts as an empty one and fails the base rules; rows of equal texts are
+    one group, of which the least doc_id stays; rows without a doc_id stay apart; an
+    empty table packs nothing; further columns of ``documents``, whatever their names,
+    go through all stages but the last.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = os.path.join(shared_dir(spark), f"pipeline-{uuid.uuid4().hex}")
+    forget_at_exit(spark, base)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
