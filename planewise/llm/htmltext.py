@@ -1,19 +1,24 @@
 """Main text of HTML pages by text density.
 
 The standard library's streaming parser turns a page into lines, one a block, with the
-length of its text and the number of tags that made it.  Text-to-tag ratios are
-smoothed with a Gaussian over neighbouring lines and clustered into two about a
-threshold.  Articles are content where any has a dense line; else the innermost container
-that encloses all dense lines is, and outside it only what is mostly links, an unnamed
-menu, is dropped.  Lines in menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are ruled out by element and by class or id words, then every other line of the chosen
-container is content, short ones and headings too.
+length of its text, how much of it is links and the number of tags that made it.  Ratios
+of unlinked text to tags are smoothed with a Gaussian over neighbouring lines and
+clustered into two about a threshold.  Dense lines select the content regions: the
+innermost container that holds nearly all dense text is content as a whole, its short
+lines and headings too; beyond it a line is content that is dense or, not being mostly
+links, follows dense lines without a gap in the smoothed density.
+
+Elements and class or id words only weigh.  Menus, footers, asides, reader comments and
+what is plainly called boilerplate have no density.  Doubtful marks rule an element out
+unless most of the page's dense text stands inside and hardly any beyond (a form around
+the page, an article called ``has-sidebar``).  All work is linear in the page: no walk up or down the open
+elements.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,97 +28,148 @@ from pyspark.sql import functions as F
 from planewise.llm.common import by_batch, spread
 
 SIGMA = 1.0
+#: Share of the dense text that the innermost container holds at least to be a region.
+REGION_SHARE = 0.9
+#: A mark is void if more of the dense text stands inside than the first, and less beyond than the second.
+VOID_INSIDE, VOID_BEYOND = 0.5, 0.25
+#: Share of the threshold below which the smoothed density has a gap.
+GAP = 0.1
 
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SKIPPED = frozenset("script style noscript template iframe object svg canvas head title textarea select button option".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog".split())
+SOFT_BOILERPLATE = frozenset("header form".split())
 CONTAINERS = frozenset("article main section div body td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Their classes tell what a page has, not what they are.
 WHOLE_PAGE = frozenset("html body main".split())
-BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice popup promo related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies".split())
+BOILERPLATE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs cookie cookies consent footer header masthead menu nav navbar navigation newsletter notice popup popular promo promoted recommended related share sharing sidebar social sponsor sponsored subscribe teaser teasers toolbar trending widget".split())
+CONTENT_WORDS = frozenset("article content entry post story".split())
+#: Words that may stand beside a word of boilerplate without making it doubtful.
+NEUTRAL_WORDS = frozenset("area block box container inner item items left list main right section site top bottom wrap wrapper".split())
 
 _WORDS = re.compile(r"[a-z]+")
 _CLOSES_P = BLOCKS - {"body", "html"}
+NONE, SOFT, HARD = range(3)
+
+
+def mark_of(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """Whether an element's name, role, class and id mark it as boilerplate for sure, perhaps or not."""
+    if tag in BOILERPLATE:
+        return HARD
+    found = SOFT if tag in SOFT_BOILERPLATE else NONE
+    if tag in WHOLE_PAGE:
+        return found
+    content = comment = plain = False
+    for name, value in attrs:
+        if name == "role" and value and value.lower() in BOILERPLATE_ROLES:
+            return HARD
+        if name in ("class", "id") and value:
+            for token in value.lower().split():
+                words = set(_WORDS.findall(token))
+                if words & COMMENT_WORDS:
+                    comment = True
+                elif words & BOILERPLATE_WORDS:
+                    found = SOFT
+                    plain |= words <= BOILERPLATE_WORDS | NEUTRAL_WORDS
+                elif words & CONTENT_WORDS:
+                    content = True
+    if comment or plain:
+        return SOFT if content else HARD
+    return NONE if content and tag not in SOFT_BOILERPLATE else found
+
+
+@dataclass(slots=True)
+class Line:
+    """A block of a page: ``mark`` is the innermost perhaps-mark around it, ``out`` says that a sure one is."""
+
+    text: str
+    tags: int
+    linked: int
+    container: int
+    mark: int
+    out: bool
+    heading: bool
+
+    @property
+    def links(self) -> bool:
+        return 2 * self.linked > len(self.text) and not self.heading
 
 
 class _Lines(HTMLParser):
-    """Blocks of a page in order: (text, tags, container, ruled out, a heading or not mostly links)."""
+    """Blocks of a page in order, its containers and its perhaps-marks, both numbered as they open and with their parents."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # element, ruled out, container number
-        self.out_depth = self.skip_depth = 0
-        self.containers: list[tuple[str, int]] = [("page", -1)]  # element, parent
-        self.here = 0
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
+        self.open: list[tuple[str, int, int, int]] = []  # element, mark kind, container and mark outside
+        self.at: dict[str, list[int]] = {}  # places of the open elements of each name
+        self.blocks: list[int] = []  # places of the open blocks
+        self.out_depth = self.skip_depth = self.link_depth = self.heading_depth = 0
+        self.containers: list[tuple[str, int]] = [("page", -1)]
+        self.marks: list[int] = [-1]
+        self.here = self.mark = 0
+        self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.link_depth = 0
+        self.tags = self.linked = 0
 
     def flush(self) -> None:
+        """End a line; tags of blocks without text count to the next that has some."""
         text = " ".join("".join(self.parts).split())
-        if text or self.tags:
-            plain = 2 * self.linked <= len(text) or any(tag in HEADINGS for tag, _, _ in self.open)
-            self.lines.append((text, self.tags, self.here, self.out_depth > 0, plain))
-        self.parts, self.tags, self.linked = [], 0, 0
+        if text:
+            self.lines.append(Line(text, self.tags, self.linked, self.here, self.mark, self.out_depth > 0, self.heading_depth > 0))
+            self.tags = 0
+        self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.flush()
-            if tag in _CLOSES_P:
-                self.end_paragraph()
+            # A block ends a paragraph that is open in the same container.
+            if tag in _CLOSES_P and self.blocks and self.open[self.blocks[-1]][0] == "p":
+                self.close_to(self.blocks[-1])
         elif tag == "br":
             self.parts.append("\n")
         self.tags += 1
         if tag in VOID:
             return
-        out = tag in BOILERPLATE or tag not in WHOLE_PAGE and any(self.marks_boilerplate(k, v) for k, v in attrs if v)
-        skip = tag in SKIPPED
-        container = self.here
+        kind = mark_of(tag, attrs)
+        self.open.append((tag, kind, self.here, self.mark))
+        self.at.setdefault(tag, []).append(len(self.open) - 1)
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open) - 1)
         if tag in CONTAINERS:
             self.containers.append((tag, self.here))
             self.here = len(self.containers) - 1
-        self.open.append((tag, out, container))
-        self.out_depth += out
-        self.skip_depth += skip
-        self.link_depth += tag == "a"
-
-    @staticmethod
-    def marks_boilerplate(name: str, value: str) -> bool:
-        if name in ("class", "id"):
-            return not BOILERPLATE_WORDS.isdisjoint(_WORDS.findall(value.lower()))
-        return name == "role" and value.lower() in BOILERPLATE_ROLES
-
-    def end_paragraph(self) -> None:
-        """A block ends a paragraph that is open in the same container."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == "p":
-                self.close_to(k)
-                return
-            if self.open[k][0] in BLOCKS:
-                return
+        if kind == SOFT:
+            self.marks.append(self.mark)
+            self.mark = len(self.marks) - 1
+        self.count(tag, kind, 1)
+
+    def count(self, tag: str, kind: int, by: int) -> None:
+        self.out_depth += by * (kind == HARD)
+        self.skip_depth += by * (tag in SKIPPED)
+        self.link_depth += by * (tag == "a")
+        self.heading_depth += by * (tag in HEADINGS)
 
     def close_to(self, k: int) -> None:
         while len(self.open) > k:
-            tag, out, container = self.open.pop()
-            self.out_depth -= out
-            self.skip_depth -= tag in SKIPPED
-            self.link_depth -= tag == "a"
-            self.here = container
+            tag, kind, self.here, self.mark = self.open.pop()
+            self.at[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            self.count(tag, kind, -1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.close_to(k)
-                return
-            if tag not in BLOCKS and self.open[k][0] in BLOCKS:
-                return
+        places = self.at.get(tag)
+        # An inline element isn't ended across a block.
+        if places and (tag in BLOCKS or not self.blocks or places[-1] > self.blocks[-1]):
+            self.close_to(places[-1])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -126,13 +182,12 @@ class _Lines(HTMLParser):
             self.linked += len(data.strip()) if self.link_depth else 0
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int, int, bool, bool]], list[tuple[str, int]]]:
-    """(text, tags, container, ruled out, a heading or not mostly links) of each block, and the containers with their parents."""
+def parsed(html: str) -> _Lines:
     p = _Lines()
     p.feed(html)
     p.close()
     p.flush()
-    return p.lines, p.containers
+    return p
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -155,44 +210,79 @@ def two_means(values: np.ndarray) -> float:
     return t
 
 
+def _below(parents: list[int], own: np.ndarray) -> np.ndarray:
+    """Sums of ``own`` over each node and all below it; parents come before their children."""
+    out = own.copy()
+    for c in range(len(parents) - 1, 0, -1):
+        out[parents[c]] += out[c]
+    return out
+
+
+def _ruled_out(page: _Lines, dense: np.ndarray) -> np.ndarray:
+    """Whether the marks around each line rule it out; ``dense`` is the dense text of each line."""
+    own = np.zeros(len(page.marks))
+    for k, line in enumerate(page.lines):
+        own[line.mark] += dense[k]
+    inside, total = _below(page.marks, own), max(float(dense.sum()), 1e-9)
+    beyond = own[0] / total  # under no mark at all
+    out = [False] * len(page.marks)
+    for m in range(1, len(page.marks)):
+        void = inside[m] > VOID_INSIDE * total and beyond < VOID_BEYOND
+        out[m] = out[page.marks[m]] or not void
+    return np.array([line.out or out[line.mark] for line in page.lines])
+
+
 def extract(html: str | None) -> str:
     """The main text of a page, blocks joined by a space; empty if there is none."""
     if not html:
         return ""
-    lines, containers = lines_of(html)
-    allowed = [k for k, (text, _, _, out, _) in enumerate(lines) if text and not out]
-    if not allowed:
+    page = parsed(html)
+    lines = page.lines
+    texts = np.array([len(x.text) for x in lines])
+    judged = np.array([not x.out for x in lines], bool)
+    if not judged.any():
         return ""
-    density = smoothed(np.array([0.0 if out else len(text) / max(tags, 1) for text, tags, _, out, _ in lines]))
-    threshold = two_means(density[allowed])
-    dense = [lines[k][2] for k in allowed if density[k] >= threshold]
-    inside = lambda cs: {c for x in cs for c in (x, *_above(x, containers))}
-    filled, voted = inside({lines[k][2] for k in allowed}), inside(dense)
-    named = [c for c, (tag, _) in enumerate(containers) if tag in ("article", "main") and c in filled]
-    plain: set[int] = set()
-    if any(c in voted for c in named):
-        # Articles side by side are all content; one inside another is its reader's reply or a teaser.
-        chosen = {c for c in named if not any(p in named for p in _above(c, containers))}
-    else:
-        # The innermost container of all dense blocks: the last one in document order that they share.
-        chosen = {max(set.intersection(*(inside([c]) for c in set(dense)))) if dense else 0}
-        plain = {k for k in allowed if lines[k][4]}
-    return " ".join(lines[k][0] for k in allowed if k in plain or lines[k][2] in chosen or not chosen.isdisjoint(_above(lines[k][2], containers)))
-
-
-def _above(c: int, containers: list[tuple[str, int]]) -> list[int]:
-    out = []
-    while (c := containers[c][1]) >= 0:
-        out.append(c)
-    return out
+    density = smoothed(np.array([0.0 if x.out else max(len(x.text) - x.linked, 0) / max(x.tags, 1) for x in lines]))
+    threshold = two_means(density[judged])
+    dense = judged & (density >= threshold)
+    allowed = judged & ~_ruled_out(page, texts * dense)
+    mass = texts * (dense & allowed)
+    if not mass.any():
+        mass = texts * allowed
+    parents = [p for _, p in page.containers]
+    own = np.zeros(len(parents))
+    np.add.at(own, [x.container for x in lines], mass)
+    held = _below(parents, own)
+    # Containers that hold so much lie within one another, and the last to open is the innermost.
+    region = int(np.flatnonzero(held >= REGION_SHARE * held[0]).max()) if held[0] else 0
+    last = list(range(len(parents)))  # the last container inside each
+    for c in range(len(parents) - 1, 0, -1):
+        last[parents[c]] = max(last[parents[c]], last[c])
+    whole = page.containers[region][0] not in ("page", "body")
+    inside = np.array([whole and region <= x.container <= last[region] for x in lines], bool)
+    return " ".join(lines[k].text for k in np.flatnonzero(_selected(lines, allowed, inside, dense, density, threshold)))
+
+
+def _selected(lines: list[Line], allowed: np.ndarray, inside: np.ndarray, dense: np.ndarray, density: np.ndarray, threshold: float) -> np.ndarray:
+    """Content lines: those of the region, and beyond it the dense ones with what joins them and their headings."""
+    sure = allowed & (inside | dense & np.array([not x.links for x in lines]))
+    kept = sure.copy()
+    order = [k for k in np.flatnonzero(allowed).tolist()]
+    for way in (order, order[::-1]):
+        joined = False
+        for k in way:
+            weak = density[k] >= GAP * threshold and not lines[k].links
+            joined = bool(sure[k]) or joined and (weak or lines[k].heading and way is not order)
+            kept[k] |= joined and not lines[k].links
+    return kept
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
-    A null or empty html has an empty text.  Rows are independent: repeated rows give
-    equal rows, null ids and urls are kept, an empty table gives none, further columns
-    aren't read.
+    A null or empty html has an empty text; a page may be as long and as deep as a value
+    can be.  Rows are independent: repeated rows give equal rows, null ids and urls are
+    kept, an empty table gives none, further columns aren't read.
     """
 
     def make(c: dict) -> dict:
