@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 
 from planewise.functions import vectors
 from planewise.functions.metrics import REGISTRY
-from planewise.operators import diagnostics, moments, neighbors, pairs, projection, selection
+from planewise.operators import blocks, diagnostics, moments, neighbors, pairs, projection, selection
 from planewise.operators.neighbors import result
 from planewise.plans import bases, catalog, rashomon, tours
 from planewise.sources import datasets, tables
-from planewise.sources.tables import ACTIVITIES, BELIEFS, EMBEDDINGS, FEW_MIXES, MIXES
+from planewise.sources.tables import ACTIVITIES, BELIEFS, EMBEDDINGS, MIXES
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = 5
 PLANE = (0, 1)
 PLANES = ((0, 1), (2, 3), (4, 5))
-LABELLED_DIMENSION = 5
+ENTRIES = 64
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -91,7 +91,7 @@ _DISTANCES = {
     "jensen_shannon": ("least(1.0, sqrt(greatest(0.0, list_sum(list_transform(range(1, len(a.w) + 1), lambda k: CASE WHEN a.w[k] > 0 THEN 0.5 * a.w[k] * log2(2 * a.w[k] / (a.w[k] + b.w[k])) ELSE 0 END + CASE WHEN b.w[k] > 0 THEN 0.5 * b.w[k] * log2(2 * b.w[k] / (a.w[k] + b.w[k])) ELSE 0 END)))))", "vec"),
     "bhattacharyya": ("acos(least(1.0, greatest(-1.0, list_dot_product(a.w, b.w))))", _ROOT),
 }
-_VIEW_OF = {"euclidean": (ACTIVITIES, tables.activities), "hellinger": (ACTIVITIES, tables.activities), "fisher_rao": (BELIEFS, tables.beliefs), "aitchison": (FEW_MIXES, lambda s, d: tables.mixes(s, d, 400)), "jensen_shannon": (FEW_MIXES, lambda s, d: tables.mixes(s, d, 400)), "bhattacharyya": (BELIEFS, tables.beliefs)}
+_VIEW_OF = {"euclidean": (ACTIVITIES, tables.activities), "hellinger": (ACTIVITIES, tables.activities), "fisher_rao": (BELIEFS, tables.beliefs), "aitchison": (MIXES, tables.mixes), "jensen_shannon": (MIXES, tables.mixes), "bhattacharyya": (BELIEFS, tables.beliefs)}
 
 
 def _space(reader: Query, dimension: int, metric: str, plane: tuple[int, int] | None = None) -> Callable[[SparkSession, str], pairs.Space]:
@@ -102,6 +102,17 @@ def _space(reader: Query, dimension: int, metric: str, plane: tuple[int, int] |
     return run
 
 
+def _near(reader: Query, dimension: int, metric: str, k: int = K, planes: tuple[tuple[int, int], ...] = (), target: str | None = None, **settings: bool) -> Query:
+    """Neighbours and ranks by blocks of points."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        m = REGISTRY.compatible(metric, "probability")
+        placed = blocks.placed(reader(s, d), "vec", dimension, m, [(F.col("vec")[a], F.col("vec")[b]) for a, b in planes])
+        return blocks.neighbours(placed, dimension, m, len(planes), k, target, **settings)
+
+    return run
+
+
 def _pairs_sql(view: tables.View, metric: str, condition: str = "a.object_id <> b.object_id", plane: tuple[int, int] | None = None) -> str:
     form, prepared = _DISTANCES[metric]
     flat = f", sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS l" if plane else ""
@@ -109,25 +120,23 @@ def _pairs_sql(view: tables.View, metric: str, condition: str = "a.object_id <>
     return f"WITH {view.sql}, w AS (SELECT object_id, {prepared} AS w{xy} FROM v), pr AS (SELECT a.object_id AS i, b.object_id AS j, {form} AS h{flat} FROM w a, w b WHERE {condition})"
 
 
-def _register_metric(metric: str) -> None:
+def _register_metric(metric: str, suffix: str = "") -> None:
     view, reader = _VIEW_OF[metric]
     of = _space(reader, view.dimension, metric)
-    _register(f"dist_{metric}", lambda s, d: pairs.pairs(of(s, d), unordered=True).select("i", "j", result(F.col("h")).alias("distance")), f"{_pairs_sql(view, metric, 'a.object_id < b.object_id')} SELECT i, j, {_r('h')} AS distance FROM pr")
-    _register(
-        f"knn_{metric}",
-        lambda s, d: neighbors.knn(pairs.pairs(of(s, d)), K),
-        f"{_pairs_sql(view, metric)} SELECT i AS src_id, j AS neighbor_id, CAST(rank AS INTEGER) AS rank, {_r('h')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(h, 9), j) AS rank FROM pr) WHERE rank <= {K}",
-    )
+    _register(f"dist_{metric}{suffix}", lambda s, d: pairs.pairs(of(s, d), unordered=True).select("i", "j", result(F.col("h")).alias("distance")), f"{_pairs_sql(view, metric, 'a.object_id < b.object_id')} SELECT i, j, {_r('h')} AS distance FROM pr")
+    _register(f"knn_{metric}{suffix}", lambda s, d: neighbors.block_knn(_near(reader, view.dimension, metric, ranks=False)(s, d), K), _knn_sql(view, metric))
+
+
+def _knn_sql(view: tables.View, metric: str) -> str:
+    return f"{_pairs_sql(view, metric)} SELECT i AS src_id, j AS neighbor_id, CAST(rank AS INTEGER) AS rank, {_r('h')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(h, 9), j) AS rank FROM pr) WHERE rank <= {K}"
 
 
 for _m in _DISTANCES:
     _register_metric(_m)
+for _m in ("aitchison", "jensen_shannon"):  # names of an earlier time, when the plain ones read some customers only
+    _register_metric(_m, "_whole")
 
-_register(
-    "knn_raw_embeddings",
-    lambda s, d: neighbors.knn(pairs.pairs(_space(tables.embeddings, 64, "euclidean")(s, d)), K),
-    f"{_pairs_sql(EMBEDDINGS, 'euclidean')} SELECT i AS src_id, j AS neighbor_id, CAST(rank AS INTEGER) AS rank, {_r('h')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(h, 9), j) AS rank FROM pr) WHERE rank <= {K}",
-)
+_register("knn_raw_embeddings", lambda s, d: neighbors.block_knn(_near(tables.embeddings, 64, "euclidean", ranks=False)(s, d), K), _knn_sql(EMBEDDINGS, "euclidean"))
 _register(
     "knn_target_pushdown",
     lambda s, d: neighbors.knn_of(pairs.pairs(_space(tables.beliefs, 10, "fisher_rao")(s, d), target="vec_000007"), K),
@@ -136,39 +145,20 @@ _register(
 
 
 def _cross_sets(s: SparkSession, d: str) -> DataFrame:
-    metric = REGISTRY.get("hellinger")
-    a = pairs.space(tables.activities(s, d), "vec", 5, metric)
-    b = pairs.space(tables.mixes(s, d, 100), "vec", 5, metric)
-    return pairs.pairs(a, other=b).select("i", "j", result(F.col("h")).alias("distance"))
-
-
-_register("dist_cross_sets", _cross_sets, f"""WITH RECURSIVE {ACTIVITIES.sql.replace('e AS', 'ea AS').replace('FROM e WHERE', 'FROM ea WHERE').replace('v AS', 'va AS')},
-{FEW_MIXES.sql.replace('400', '100').replace('e AS', 'eb AS', 1).replace('FROM e WHERE', 'FROM eb WHERE').replace('v AS', 'vb AS')},
-a AS (SELECT object_id, {_ROOT} AS w FROM va), b AS (SELECT object_id, {_ROOT} AS w FROM vb)
-SELECT a.object_id AS i, b.object_id AS j, {_r(_DISTANCES['hellinger'][0])} AS distance FROM a, b""")
-
-
-def _register_whole(metric: str) -> None:
-    """Pairs and neighbours of all customers; SQL is too slow for all pairs, so tests hold them against brute force."""
-    of = _space(tables.mixes, MIXES.dimension, metric)
-    _register(f"dist_{metric}_whole", lambda s, d: pairs.pairs(of(s, d), unordered=True).select("i", "j", result(F.col("h")).alias("distance")))
-    _register(f"knn_{metric}_whole", lambda s, d: neighbors.knn(pairs.pairs(of(s, d)), K))
-
-
-for _m in ("aitchison", "jensen_shannon"):
-    _register_whole(_m)
-
-
-def _cross_sets_whole(s: SparkSession, d: str) -> DataFrame:
     metric = REGISTRY.get("hellinger")
     a, b = (pairs.space(read(s, d), "vec", 5, metric) for read in (tables.activities, tables.mixes))
     return pairs.pairs(a, other=b).select("i", "j", result(F.col("h")).alias("distance"))
 
 
-_register("dist_cross_sets_whole", _cross_sets_whole)
+_CROSS = f"""WITH RECURSIVE {ACTIVITIES.sql.replace('e AS', 'ea AS').replace('FROM e WHERE', 'FROM ea WHERE').replace('v AS', 'va AS')},
+{MIXES.sql.replace('e AS', 'eb AS', 1).replace('FROM e WHERE', 'FROM eb WHERE').replace('v AS', 'vb AS')},
+a AS (SELECT object_id, {_ROOT} AS w FROM va), b AS (SELECT object_id, {_ROOT} AS w FROM vb)
+SELECT a.object_id AS i, b.object_id AS j, {_r(_DISTANCES['hellinger'][0])} AS distance FROM a, b"""
+_register("dist_cross_sets", _cross_sets, _CROSS)
+_register("dist_cross_sets_whole", _cross_sets, _CROSS)
 _register(
     "rank_matrix_topn",
-    lambda s, d: neighbors.both_ranks(pairs.pairs(_space(tables.activities, 5, "hellinger", PLANE)(s, d))).where("rh <= 20").select("i", "j", "rh", "rl"),
+    lambda s, d: neighbors.block_ranks(_near(tables.activities, 5, "hellinger", 20, (PLANE,))(s, d)).where("rh <= 20"),
     f"{_pairs_sql(ACTIVITIES, 'hellinger', plane=PLANE)} SELECT i, j, CAST(rh AS INTEGER) AS rh, CAST(rl AS INTEGER) AS rl FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(h, 9), j) AS rh, row_number() OVER (PARTITION BY i ORDER BY round(l, 9), j) AS rl FROM pr) WHERE rh <= 20",
 )
 
@@ -219,8 +209,12 @@ _RANKS = f"{_pairs_sql(BELIEFS, 'fisher_rao', plane=PLANE)}, r AS (SELECT *, row
 _CLASSES = f"{_RANKS}, c AS (SELECT i AS src_id, j AS neighbor_id, CASE WHEN rh <= {K} AND rl <= {K} THEN 'preserved' WHEN rh <= {K} THEN 'torn' ELSE 'false' END AS class, CAST(rh AS INTEGER) AS source_rank, CAST(rl AS INTEGER) AS view_rank FROM r WHERE rh <= {K} OR rl <= {K})"
 
 
+def _beliefs_ranked(s: SparkSession, d: str, target: str | None = None) -> DataFrame:
+    return neighbors.block_ranks(_near(tables.beliefs, 10, "fisher_rao", K, (PLANE,), target)(s, d))
+
+
 def _classes(s: SparkSession, d: str) -> DataFrame:
-    return neighbors.classes(neighbors.both_ranks(pairs.pairs(_viewed(s, d))), K)
+    return neighbors.classes(_beliefs_ranked(s, d), K)
 
 
 _register("neighbor_classes", _classes, f"{_CLASSES} SELECT * FROM c")
@@ -230,9 +224,18 @@ _register("neighbor_precision_recall", lambda s, d: neighbors.precision_recall(_
 _register("topology_edges", lambda s, d: neighbors.topology(_classes(s, d)), f"{_CLASSES} SELECT src_id AS source, neighbor_id AS target, class AS type FROM (SELECT *, row_number() OVER (PARTITION BY least(src_id, neighbor_id), greatest(src_id, neighbor_id), class ORDER BY src_id, CASE WHEN class = 'false' THEN view_rank ELSE source_rank END, neighbor_id) AS n FROM c) WHERE n = 1")
 
 
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    v = tables.beliefs(s, d)
+    placed = v.select("object_id", *(result(F.col("vec")[k]).alias(c) for k, c in zip(PLANE, "xy", strict=True)))
+    return neighbors.drawn(neighbors.topology(_classes(s, d)), placed)
+
+
+_EDGES = f"{_CLASSES}, g AS (SELECT src_id AS source, neighbor_id AS target, class AS type FROM (SELECT *, row_number() OVER (PARTITION BY least(src_id, neighbor_id), greatest(src_id, neighbor_id), class ORDER BY src_id, CASE WHEN class = 'false' THEN view_rank ELSE source_rank END, neighbor_id) AS n FROM c) WHERE n = 1), q AS (SELECT object_id, {_r('vec[1]')} AS x, {_r('vec[2]')} AS y FROM v)"
+_register("topology_drawn", _edges, f"{_EDGES} SELECT source, target, type, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM g JOIN q a ON a.object_id = source JOIN q b ON b.object_id = target")
+
+
 def _target_classes(s: SparkSession, d: str) -> DataFrame:
-    one = pairs.pairs(_viewed(s, d), target="vec_000003")
-    return neighbors.precision_recall(neighbors.classes(neighbors.both_ranks(one), K))
+    return neighbors.precision_recall(neighbors.classes(_beliefs_ranked(s, d, "vec_000003"), K))
 
 
 _register("point_diagnostics", _target_classes, f"{_CLASSES}, n AS (SELECT src_id, {_COUNTS} FROM c WHERE src_id = 'vec_000003' GROUP BY src_id) SELECT *, {_share('preserved', '(preserved + false_neighbors)')} AS precision, {_share('preserved', '(preserved + torn)')} AS recall, {_share('preserved', '(preserved + torn + false_neighbors)')} AS jaccard FROM n")
@@ -245,8 +248,7 @@ _S = _r("sqrt(greatest(0, 1 - sum(h * l) * sum(h * l) / (sum(h * h) * sum(l * l)
 
 
 def _ranked(s: SparkSession, d: str) -> tuple[DataFrame, int]:
-    sp = _viewed(s, d)
-    return neighbors.both_ranks(pairs.pairs(sp)), sp.frame.count()
+    return _beliefs_ranked(s, d), tables.beliefs(s, d).count()
 
 
 _register("trustworthiness", lambda s, d: diagnostics.trustworthiness(*_ranked(s, d), K), f"{_RANKS} SELECT {_T} AS trustworthiness FROM r")
@@ -255,8 +257,7 @@ _register("kruskal_stress", lambda s, d: diagnostics.stress(pairs.pairs(_viewed(
 
 
 def _summary(s: SparkSession, d: str) -> DataFrame:
-    sp = _viewed(s, d)
-    return diagnostics.summary(pairs.pairs(sp), sp.frame.count(), K)
+    return diagnostics.summary_of_blocks(_near(tables.beliefs, 10, "fisher_rao", K, (PLANE,), sums=True)(s, d), tables.beliefs(s, d).count(), K)
 
 
 _register("diagnostics_summary", _summary, f"{_RANKS} SELECT {_T} AS trustworthiness, {_C} AS continuity, {_S} AS stress, count(*) FILTER (WHERE rh <= {K} AND rl <= {K}) AS preserved, count(*) FILTER (WHERE rh <= {K} AND rl > {K}) AS torn, count(*) FILTER (WHERE rl <= {K} AND rh > {K}) AS false_neighbors FROM r")
@@ -278,16 +279,7 @@ SELECT row, col, {_r('avg(distortion)', 3)} AS mean_distortion FROM g GROUP BY r
 
 
 def _stability(s: SparkSession, d: str) -> DataFrame:
-    v = tables.beliefs(s, d)
-    metric = REGISTRY.get("fisher_rao")
-    flat = v.select("object_id", *(F.col("vec")[k].alias(f"v{k}") for k in range(6)), *(metric.prepare(F.col("vec"))[k].alias(f"s{k}") for k in range(10)))
-    both = pairs.meet(flat.select(*(F.col(c).alias(f"a_{c}") for c in flat.columns)), flat.select(*(F.col(c).alias(f"b_{c}") for c in flat.columns)), F.col("a_object_id") != F.col("b_object_id"))
-    at = lambda p, names: [F.col(p + n) for n in names]
-    euclid = REGISTRY.get("euclidean").combine
-    views = [euclid(at("a_", (f"v{a}", f"v{b}")), at("b_", (f"v{a}", f"v{b}"))).alias(f"l{n}") for n, (a, b) in enumerate(PLANES)]
-    names = [f"s{k}" for k in range(10)]
-    wide = both.select(F.col("a_object_id").alias("i"), F.col("b_object_id").alias("j"), metric.combine(at("a_", names), at("b_", names)).alias("h"), *views)
-    return diagnostics.stability_over(wide, [f"l{n}" for n in range(len(PLANES))], K)
+    return diagnostics.stability_of_blocks(_near(tables.beliefs, 10, "fisher_rao", K, PLANES, ranks=False)(s, d), len(PLANES), K)
 
 
 _PLANE_RANKS = ", ".join(f"row_number() OVER (PARTITION BY i ORDER BY round(l{n}, 9), j) AS r{n}" for n in range(3))
@@ -302,24 +294,20 @@ _register("stability_tags", lambda s, d: _stability(s, d).select("object_id", di
 # -- moments -----------------------------------------------------------------------------------
 
 
-def _first_five(s: SparkSession, d: str) -> DataFrame:
-    return tables.embeddings(s, d).withColumn("vec", F.slice("vec", 1, LABELLED_DIMENSION))
-
-
 def _matrix(query: Callable[[DataFrame], np.ndarray]) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        v = _first_five(s, d)
+        v = tables.embeddings(s, d)
         return moments.table_of(query(v), v)
 
     return run
 
 
-_AXES = f"{EMBEDDINGS.sql}, x AS (SELECT a, b, label, vec[a + 1] AS xa, vec[b + 1] AS xb FROM v, unnest(range(0, {LABELLED_DIMENSION})) AS p(a), unnest(range(0, {LABELLED_DIMENSION})) AS q(b))"
+_AXES = f"{EMBEDDINGS.sql}, x AS (SELECT a, b, label, vec[a + 1] AS xa, vec[b + 1] AS xb FROM v, unnest(range(0, {ENTRIES})) AS p(a), unnest(range(0, {ENTRIES})) AS q(b))"
 _ab = "CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b"
-_register("column_moments", _matrix(lambda v: moments.moments(v, LABELLED_DIMENSION).covariance), f"WITH {_AXES} SELECT {_ab}, {_r('covar_samp(xa, xb)')} AS value FROM x GROUP BY a, b")
-_register("class_scatter_within", _matrix(lambda v: moments.scatter_within(moments.moments_by(v, LABELLED_DIMENSION))), f"WITH {_AXES}, c AS (SELECT a, b, label, covar_pop(xa, xb) * count(*) AS s FROM x GROUP BY a, b, label) SELECT {_ab}, {_r('sum(s)')} AS value FROM c GROUP BY a, b")
-_register("class_scatter_between", _matrix(lambda v: moments.scatter_between(moments.moments_by(v, LABELLED_DIMENSION))), f"WITH {_AXES}, c AS (SELECT a, b, label, count(*) AS n, avg(xa) AS ma, avg(xb) AS mb FROM x GROUP BY a, b, label), g AS (SELECT a, b, avg(xa) AS ga, avg(xb) AS gb FROM x GROUP BY a, b) SELECT {_ab}, {_r('sum(n * (ma - ga) * (mb - gb))')} AS value FROM c JOIN g USING (a, b) GROUP BY a, b")
-_register("entropy_second_moment", _matrix(lambda v: moments.moments(v, LABELLED_DIMENSION).about(np.full(LABELLED_DIMENSION, 1 / LABELLED_DIMENSION))), f"WITH {_AXES} SELECT {_ab}, {_r('sum((xa - 0.2) * (xb - 0.2))')} AS value FROM x GROUP BY a, b")
+_register("column_moments", _matrix(lambda v: moments.moments(v, ENTRIES).covariance), f"WITH {_AXES} SELECT {_ab}, {_r('covar_samp(xa, xb)')} AS value FROM x GROUP BY a, b")
+_register("class_scatter_within", _matrix(lambda v: moments.scatter_within(moments.moments_by(v, ENTRIES))), f"WITH {_AXES}, c AS (SELECT a, b, label, covar_pop(xa, xb) * count(*) AS s FROM x GROUP BY a, b, label) SELECT {_ab}, {_r('sum(s)')} AS value FROM c GROUP BY a, b")
+_register("class_scatter_between", _matrix(lambda v: moments.scatter_between(moments.moments_by(v, ENTRIES))), f"WITH {_AXES}, c AS (SELECT a, b, label, count(*) AS n, avg(xa) AS ma, avg(xb) AS mb FROM x GROUP BY a, b, label), g AS (SELECT a, b, avg(xa) AS ga, avg(xb) AS gb FROM x GROUP BY a, b) SELECT {_ab}, {_r('sum(n * (ma - ga) * (mb - gb))')} AS value FROM c JOIN g USING (a, b) GROUP BY a, b")
+_register("entropy_second_moment", _matrix(lambda v: moments.moments(v, ENTRIES).about(np.full(ENTRIES, 1 / ENTRIES))), f"WITH {_AXES} SELECT {_ab}, {_r('sum((xa - 1.0 / 64) * (xb - 1.0 / 64))')} AS value FROM x GROUP BY a, b")
 
 # -- selections and checks -----------------------------------------------------------------------
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,13 +58,47 @@ def jensen_shannon(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return F.least(F.sqrt(F.greatest(s, F.lit(0.0))), F.lit(1.0))
 
 
+# The same over blocks of points: entries of the left ones as columns, of the right ones as rows; terms are added in the same order.
+Block = Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]
+
+
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    return reduce(np.add, parts)
+
+
+def euclidean_block(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    return np.sqrt(_summed([(x - y) * (x - y) for x, y in zip(a, b, strict=True)]))
+
+
+def hellinger_block(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    return np.minimum(euclidean_block(a, b) / math.sqrt(2.0), 1.0)
+
+
+def bhattacharyya_block(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    return np.arccos(np.clip(_summed([x * y for x, y in zip(a, b, strict=True)]), -1.0, 1.0))
+
+
+def fisher_rao_block(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    return FISHER_RAO_SCALE * bhattacharyya_block(a, b)
+
+
+def jensen_shannon_block(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    def half(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(x > 0, 0.5 * x * np.log2(x / m), 0.0)
+
+    s = _summed([half(x, (x + y) / 2.0) + half(y, (x + y) / 2.0) for x, y in zip(a, b, strict=True)])
+    return np.minimum(np.sqrt(np.maximum(s, 0.0)), 1.0)
+
+
 @dataclass(frozen=True)
 class Metric:
-    """``prepare`` maps a vector once a row; ``combine`` maps two rows' prepared entries to a distance."""
+    """``prepare`` maps a vector once a row; ``combine`` maps two rows' prepared entries to a distance, ``block`` those of two blocks."""
 
     id: str
     representations: tuple[str, ...]
     combine: Combine
+    block: Block | None = None
     prepare: Callable[[Column], Column] = lambda v: v
     is_metric: bool = True
     units: str = ""
@@ -79,12 +114,12 @@ class MetricRegistry:
     def __init__(self) -> None:
         self._held: dict[str, Metric] = {}
         for m in (
-            Metric("euclidean", REPRESENTATIONS, euclidean),
-            Metric("hellinger", (PROBABILITY,), hellinger_of_roots, vectors.sqrt_probability, units="0..1"),
-            Metric("fisher_rao", (PROBABILITY,), fisher_rao_of_roots, vectors.sqrt_probability, units="radians, 0..pi"),
-            Metric("aitchison", (PROBABILITY,), euclidean, vectors.clr),
-            Metric("jensen_shannon", (PROBABILITY,), jensen_shannon, units="sqrt bits, 0..1"),
-            Metric("bhattacharyya", (PROBABILITY,), bhattacharyya_of_roots, vectors.sqrt_probability, units="radians, 0..pi/2"),
+            Metric("euclidean", REPRESENTATIONS, euclidean, euclidean_block),
+            Metric("hellinger", (PROBABILITY,), hellinger_of_roots, hellinger_block, vectors.sqrt_probability, units="0..1"),
+            Metric("fisher_rao", (PROBABILITY,), fisher_rao_of_roots, fisher_rao_block, vectors.sqrt_probability, units="radians, 0..pi"),
+            Metric("aitchison", (PROBABILITY,), euclidean, euclidean_block, vectors.clr),
+            Metric("jensen_shannon", (PROBABILITY,), jensen_shannon, jensen_shannon_block, units="sqrt bits, 0..1"),
+            Metric("bhattacharyya", (PROBABILITY,), bhattacharyya_of_roots, bhattacharyya_block, vectors.sqrt_probability, units="radians, 0..pi/2"),
         ):
             self.register(m)
 

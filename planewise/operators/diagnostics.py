@@ -55,6 +55,26 @@ def summary(pairs: DataFrame, n: int, k: int) -> DataFrame:
     )
 
 
+def summary_of_blocks(near: DataFrame, n: int, k: int) -> DataFrame:
+    """The same from ``blocks.neighbours`` with sums: one small row for each neighbour and each pair of blocks."""
+    h, l = F.col("r0") <= k, F.col("r1") <= k
+    count = lambda c: F.count(F.when(c, 1))
+    hh, ll, hl = (F.sum(c) for c in ("hh", "ll", "hl"))
+    scaled = F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.try_divide(hl * hl, hh * ll)))
+    return near.agg(
+        _faith(n, k, F.sum(F.when(l & ~h, F.col("r0") - k))).alias("trustworthiness"),
+        _faith(n, k, F.sum(F.when(h & ~l, F.col("r1") - k))).alias("continuity"),
+        result(F.when(F.coalesce(hh, F.lit(0.0)) == 0, 0.0).when(ll == 0, 1.0).otherwise(scaled)).alias("stress"),
+        count(h & l).alias("preserved"), count(h & ~l).alias("torn"), count(l & ~h).alias("false_neighbors"),
+    )
+
+
+def stability_of_blocks(near: DataFrame, views: int, k: int) -> DataFrame:
+    """(object_id, stability) from ``blocks.neighbours`` over several planes."""
+    kept = sum((F.when((F.col("r0") <= k) & (F.col(f"r{v}") <= k), 1).otherwise(0) for v in range(1, views + 1)), F.lit(0))
+    return near.groupBy("i").agg((F.sum(kept) / F.lit(float(k * views))).alias("stability")).withColumnRenamed("i", "object_id")
+
+
 def point_distortion(pairs: DataFrame) -> DataFrame:
     """(object_id, distortion): mean ratio of view to source distance, each over its positive mean; near-zero sources are skipped, 1 if all are."""
     means = pairs.agg(F.avg(F.when(F.col("h") > 0, F.col("h"))).alias("mh"), F.avg(F.when(F.col("l") > 0, F.col("l"))).alias("ml")).first()

@@ -32,6 +32,16 @@ def both_ranks(pairs: DataFrame, by: tuple[str, ...] = ("i",)) -> DataFrame:
     return pairs.withColumn("rh", ranked("h", by)).withColumn("rl", ranked("l", by))
 
 
+def block_ranks(near: DataFrame) -> DataFrame:
+    """(i, j, rh, rl) of the pairs that ``blocks.neighbours`` gives for one plane."""
+    return near.where(F.col("i").isNotNull()).select("i", "j", F.col("r0").cast("int").alias("rh"), F.col("r1").cast("int").alias("rl"))
+
+
+def block_knn(near: DataFrame, k: int) -> DataFrame:
+    """The k nearest by the metric of each object, as ``knn`` gives them."""
+    return near.where(F.col("r0") <= k).select(F.col("i").alias("src_id"), F.col("j").alias("neighbor_id"), F.col("r0").cast("int").alias("rank"), result(F.col("d0")).alias("distance"))
+
+
 def classes(ranks: DataFrame, k: int) -> DataFrame:
     """(src_id, neighbor_id, class, source_rank, view_rank) of pairs that are neighbours on either side."""
     near = ranks.where((F.col("rh") <= k) | (F.col("rl") <= k))
@@ -58,6 +68,12 @@ def topology(classified: DataFrame) -> DataFrame:
     return seen.select(F.col("src_id").alias("source"), F.col("neighbor_id").alias("target"), kind.alias("type"))
 
 
+def drawn(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """(source, target, type, x1, y1, x2, y2): edges with the plane coordinates (object_id, x, y) of both ends."""
+    end = lambda name, n: placed.select(F.col("object_id").alias(name), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    return edges.join(end("source", 1), "source").join(end("target", 2), "target").select("source", "target", "type", "x1", "y1", "x2", "y2")
+
+
 def result(c: Column, places: int = RESULT_PLACES) -> Column:
     """A number as it leaves a query; never a negative zero."""
     return F.round(c, places) + F.lit(0.0)

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planewise.conventions import ORDER_PLACES
 from planewise.functions.metrics import REGISTRY
-from planewise.operators import pairs as pairing
-from planewise.operators import projection
+from planewise.operators import blocks, projection
 from planewise.operators.diagnostics import rank_penalty_scale
 from planewise.operators.moments import moments, moments_by
-from planewise.operators.neighbors import ranked
 from planewise.plans import bases
-from planewise.shipping import ship
 
 RANDOM_PLANES = 12
 APART_DEGREES = 12.0
@@ -48,70 +42,17 @@ def pool(points: DataFrame, dimension: int, label: str = "label", seed: int = 42
 
 
 def trust_of(points: DataFrame, dimension: int, planes: list[tuple[str, np.ndarray]], k: int = NEIGHBORS, vec: str = "vec") -> dict[str, float]:
-    """Trustworthiness of every plane in one job, source ranks once.
-
-    Up to ``BROADCAST_ROWS`` points, counted, go to all tasks as one matrix, and each
-    task ranks its own rows against it; more are paired by blocks and ranked in windows.
-    """
-    n = points.count()
+    """Trustworthiness of every plane in one job over blocks of points, which are ranked by the source once."""
+    v = F.col(vec)
+    metric = REGISTRY.get("euclidean")
+    placed = blocks.placed(points, vec, dimension, metric, [(projection.along(v, b[:, 0]), projection.along(v, b[:, 1])) for _, b in planes])
+    n = placed.count()
     if n <= k + 1 or k < 1:
         return {name: 1.0 for name, _ in planes}
-    lost = _lost_by_matrix(points, planes, k, vec) if n <= pairing.BROADCAST_ROWS else _lost_by_windows(points, dimension, planes, k, vec)
-    return {name: float(np.clip(1 - rank_penalty_scale(n, k) * x, 0, 1)) for (name, _), x in zip(planes, lost, strict=True)}
-
-
-def _lost_by_matrix(points: DataFrame, planes: list[tuple[str, np.ndarray]], k: int, vec: str) -> list[float]:
-    """Sums over all points of how far beyond k the source ranks of their k view neighbours are."""
-    spark = points.sparkSession
-    ship(spark)
-    rows = points.select("object_id", vec).where(F.col(vec).isNotNull()).orderBy("object_id").collect()
-    ids = spark.sparkContext.broadcast([r[0] for r in rows])  # in order: a row's place breaks ties as its id would
-    matrix = spark.sparkContext.broadcast(np.array([r[1] for r in rows], float))
-    stacked = [b for _, b in planes]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = {o: i for i, o in enumerate(ids.value)}
-        whole = matrix.value
-        flat = [whole @ b for b in stacked]
-
-        def distances(all_rows: np.ndarray, i: int) -> np.ndarray:
-            d = np.round(np.sqrt(((all_rows - all_rows[i]) ** 2).sum(axis=1)), ORDER_PLACES)
-            d[i] = np.inf
-            return d
-
-        for batch in batches:
-            sums = np.zeros(len(stacked))
-            for i in (at[o] for o in batch["object_id"]):
-                ranks = np.empty(len(whole), np.int64)
-                ranks[np.argsort(distances(whole, i), kind="stable")] = np.arange(1, len(whole) + 1)
-                for p, coords in enumerate(flat):
-                    near = np.argsort(distances(coords, i), kind="stable")[:k]
-                    sums[p] += np.maximum(ranks[near] - k, 0).sum()
-            yield pd.DataFrame({"plane": np.arange(len(stacked)), "lost": sums})
-
-    cores = spark.sparkContext.defaultParallelism
-    own = points.select("object_id", vec).where(F.col(vec).isNotNull()).select("object_id").repartition(cores)
-    got = own.mapInPandas(run, "plane int, lost double").groupBy("plane").agg(F.sum("lost").alias("lost")).collect()
-    found = {r["plane"]: r["lost"] for r in got}
-    return [found.get(p, 0.0) for p in range(len(planes))]
-
-
-def _lost_by_windows(points: DataFrame, dimension: int, planes: list[tuple[str, np.ndarray]], k: int, vec: str) -> list[float]:
-    """The same by windows over one shuffle of pairs."""
-    v = F.col(vec)
-    coords = [c for i, (_, b) in enumerate(planes) for c in (projection.along(v, b[:, 0]).alias(f"x{i}"), projection.along(v, b[:, 1]).alias(f"y{i}"))]
-    flat = points.select("object_id", *(v[d].alias(f"s{d}") for d in range(dimension)), *coords)
-    both = pairing.meet(flat.select(*(F.col(c).alias(f"a_{c}") for c in flat.columns)), flat.select(*(F.col(c).alias(f"b_{c}") for c in flat.columns)), F.col("a_object_id") != F.col("b_object_id"))
-    side = lambda p, names: [F.col(p + c) for c in names]
-    euclid = REGISTRY.get("euclidean").combine
-    plane = lambda i: euclid(side("a_", (f"x{i}", f"y{i}")), side("b_", (f"x{i}", f"y{i}")))
-    source = [f"s{d}" for d in range(dimension)]
-    wide = both.select(F.col("a_object_id").alias("i"), F.col("b_object_id").alias("j"), euclid(side("a_", source), side("b_", source)).alias("h"), *(plane(i).alias(f"l{i}") for i in range(len(planes))))
-    ranks = wide.withColumn("rh", ranked("h"))
-    for i in range(len(planes)):
-        ranks = ranks.withColumn(f"r{i}", ranked(f"l{i}"))
-    beyond = [F.sum(F.when((F.col(f"r{i}") <= k) & (F.col("rh") > k), F.col("rh") - k).otherwise(0)) for i in range(len(planes))]
-    return [float(x or 0) for x in ranks.agg(*beyond).first()]
+    near = blocks.neighbours(placed, dimension, metric, len(planes), k, count=n)
+    beyond = [F.sum(F.when((F.col(f"r{i + 1}") <= k) & (F.col("r0") > k), F.col("r0") - k).otherwise(0)) for i in range(len(planes))]
+    lost = near.agg(*beyond).first()
+    return {name: float(np.clip(1 - rank_penalty_scale(n, k) * float(x or 0), 0, 1)) for (name, _), x in zip(planes, lost, strict=True)}
 
 
 def rashomon_set(points: DataFrame, dimension: int, reference: np.ndarray | None = None, n_candidates: int = 6, threshold: float = 0.5, label: str = "label", seed: int = 42, vec: str = "vec") -> list[Candidate]:

@@ -65,14 +65,12 @@ def _shares_sql(table: str, key: str, kind: str, kinds: tuple[str, ...], prefix:
 v AS (SELECT object_id, list_transform(e, lambda x: x / list_sum(e)) AS vec FROM e WHERE list_sum(e) > 0)"""
 
 
-def mixes(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+def mixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's shares of order priorities: many exact zeros and ties."""
-    o = _read(spark, sf_dir, "orders")
-    return _shares(o if most is None else o.where(F.col("o_custkey") <= most), "o_custkey", "o_orderpriority", PRIORITIES, "cust_", 8)
+    return _shares(_read(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", PRIORITIES, "cust_", 8)
 
 
 MIXES = View("mixes", 5, _shares_sql("orders", "o_custkey", "o_orderpriority", PRIORITIES, "cust_", 8))
-FEW_MIXES = View("mixes", 5, _shares_sql("(SELECT * FROM orders WHERE o_custkey <= 400)", "o_custkey", "o_orderpriority", PRIORITIES, "cust_", 8))
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planewise.functions.metrics import REGISTRY, represent
-from planewise.operators import diagnostics, neighbors, projection, selection
+from planewise.operators import blocks, diagnostics, neighbors, projection, selection
 from planewise.operators.moments import moments, moments_by
 from planewise.operators.pairs import pairs, space
 from planewise.plans import bases, rashomon, tours
@@ -149,6 +149,16 @@ class Workbench:
         s = space(points, "vec", d.dimension, m, (projection.along(v, basis[:, 0]), projection.along(v, basis[:, 1])), ["pos", "label"])
         return pairs(s, target), s.frame, d.points.count()
 
+    def _near(self, dataset: str, representation: str, metric: str, view_ids: list[str], k: int, target: str | None = None, **settings: bool) -> tuple[DataFrame, int]:
+        """Neighbours and ranks by blocks of points, in the planes of the given views; and the number of points."""
+        d = self.dataset(dataset)
+        m, v = REGISTRY.compatible(metric, representation), F.col("vec")
+        bases_ = [self._view(dataset, representation, x) for x in view_ids]
+        placed = blocks.placed(self._points(dataset, representation), "vec", d.dimension, m, [(projection.along(v, b[:, 0]), projection.along(v, b[:, 1])) for b in bases_])
+        n = placed.count()
+        self._check_k(k, n)
+        return blocks.neighbours(placed, d.dimension, m, len(view_ids), k, target, count=n, **settings), n
+
     def _check_k(self, k: int, n: int) -> None:
         if not 1 <= k < n:
             raise ValueError(f"k must be between 1 and {n - 1}")
@@ -159,11 +169,10 @@ class Workbench:
         d = self.dataset(dataset)
         target_id = target_id or d.points.orderBy("pos").first()["object_id"]
         selection.lookup(d.points, target_id)
-        both, _, n = self._pairs(dataset, representation, metric, view_id)
-        self._check_k(k, n)
-        whole = diagnostics.summary(both, n, k).first()
-        one, _, _ = self._pairs(dataset, representation, metric, view_id, target_id)
-        near = neighbors.classes(neighbors.both_ranks(one), k).collect()
+        every, n = self._near(dataset, representation, metric, [view_id], k, sums=True)
+        whole = diagnostics.summary_of_blocks(every, n, k).first()
+        one, _ = self._near(dataset, representation, metric, [view_id], k, target_id)
+        near = neighbors.classes(neighbors.block_ranks(one), k).collect()
         of = lambda kind, rank: [r["neighbor_id"] for r in sorted(near, key=lambda r: r[rank]) if r["class"] == kind]
         p, t, f = of("preserved", "source_rank"), of("torn", "source_rank"), of("false", "view_rank")
         share = lambda a, b: round(a / b, 4) if b else 1.0
@@ -173,9 +182,14 @@ class Workbench:
         }
 
     def topology(self, dataset: str = "calibration_3class", representation: str = "probability", metric: str = "euclidean", view_id: str = "pca_corners", k: int = 3) -> DataFrame:
-        both, _, n = self._pairs(dataset, representation, metric, view_id)
-        self._check_k(k, n)
-        return neighbors.topology(neighbors.classes(neighbors.both_ranks(both), k))
+        near, _ = self._near(dataset, representation, metric, [view_id], k)
+        return neighbors.topology(neighbors.classes(neighbors.block_ranks(near), k))
+
+    def topology_drawn(self, dataset: str = "calibration_3class", representation: str = "probability", metric: str = "euclidean", view_id: str = "pca_corners", k: int = 3) -> DataFrame:
+        """The edges with the coordinates of both ends in the view, as they are drawn."""
+        d = self.dataset(dataset)
+        placed = self._projected(self._points(dataset, representation), self._view(dataset, representation, view_id), d.dimension)
+        return neighbors.drawn(self.topology(dataset, representation, metric, view_id, k), placed)
 
     def distortion_grid(self, dataset: str = "calibration_3class", representation: str = "probability", metric: str = "euclidean", view_id: str = "pca_corners", resolution: int = 32) -> dict[str, Any]:
         both, frame, _ = self._pairs(dataset, representation, metric, view_id)
@@ -201,18 +215,11 @@ class Workbench:
         return tours.guided_view(self._points(dataset, representation), d.dimension, criterion, target_id, n_frames)
 
     def point_stability(self, dataset: str = "calibration_3class", representation: str = "probability", metric: str = "euclidean", k: int = 5) -> dict[str, Any]:
-        d = self.dataset(dataset)
-        points, found = self._points(dataset, representation), self.views(dataset, representation)
-        self._check_k(k, d.points.count())
-        m, v = REGISTRY.compatible(metric, representation), F.col("vec")
-        source = pairs(space(points, "vec", d.dimension, m))
-        planes = [pairs(space(points, "vec", d.dimension, REGISTRY.get("euclidean"), (projection.along(v, c.basis[:, 0]), projection.along(v, c.basis[:, 1])))).select(F.lit(c.view_id).alias("view_id"), "i", "j", "l") for c in found.values()]
-        views = planes[0]
-        for p in planes[1:]:
-            views = views.unionByName(p)
-        scores = diagnostics.overlaps(source, views, k)
-        whole = diagnostics.stability_summary(scores).first()
-        return {**whole.asDict(), "scores": {r["object_id"]: round(r["stability"], 4) for r in scores.collect()}}
+        """Summary, and ``scores`` as a DataFrame (object_id, stability): the share of source neighbours that the catalogue's views keep."""
+        found = list(self.views(dataset, representation))
+        near, _ = self._near(dataset, representation, metric, found, k, ranks=False)
+        scores = diagnostics.stability_of_blocks(near, len(found), k)
+        return {**diagnostics.stability_summary(scores).first().asDict(), "scores": scores.withColumn("stability", neighbors.result(F.col("stability"), 4))}
 
     def rashomon_set(self, dataset: str = "calibration_3class", representation: str = "probability", view_id: str = "pca_corners", threshold: float = 0.5) -> list[rashomon.Candidate]:
         d = self.dataset(dataset)

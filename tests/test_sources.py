@@ -152,7 +152,7 @@ def test_workbench(spark, csv, tmp_path):
     assert len(g["grid"]) == 8 and g["bounds"]["xMin"] < g["bounds"]["xMax"]
     assert w.subspace_angles(view_a="pca_corners", view_b="pca_corners")["interpretation"] == "tight"
     s = w.point_stability(k=3)
-    assert len(s["scores"]) == 15 and 0 <= s["mean_stability"] <= 1
+    assert s["scores"].count() == 15 and 0 <= s["mean_stability"] <= 1
     assert w.fixture("calibration_3class").count() == 15 and w.object_payload("calibration_3class", "center") is None
     got = w.import_dataset(csv, label_column="true_label")
     assert got == {"dataset_key": "sample", "n_objects": 5, "n_classes": 3} and "sample" in w.datasets()

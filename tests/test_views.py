@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from planewise.errors import CompatibilityError
 from planewise.functions.metrics import REGISTRY
-from planewise.operators import diagnostics, neighbors, projection
+from planewise.operators import blocks, diagnostics, neighbors, projection
 from planewise.operators.moments import Moments, moments, moments_by, scatter_between, scatter_within
 from planewise.operators.pairs import pairs, space
 from planewise.plans import bases, rashomon, tours
@@ -138,13 +138,34 @@ def test_paths():
             bad()
 
 
-def test_rashomon_both_ways(spark, monkeypatch):
+def test_rashomon_of_many_blocks(spark, monkeypatch):
     points = fixtures.calibration(spark)
     planes = [("a", np.eye(3)[:, :2]), ("b", bases.bridge_plane(3)), ("c", bases.haar(3))]
-    by_matrix = rashomon.trust_of(points, 3, planes, 3)
-    monkeypatch.setattr("planewise.operators.pairs.BROADCAST_ROWS", 4)
-    monkeypatch.setattr("planewise.operators.pairs.BLOCK_ROWS", 6)
-    assert rashomon.trust_of(points, 3, planes, 3) == pytest.approx(by_matrix) and by_matrix["b"] == pytest.approx(0.717778, abs=1e-6)
+    by_one = rashomon.trust_of(points, 3, planes, 3)
+    monkeypatch.setattr(blocks, "RIGHT_ROWS", 5)
+    monkeypatch.setattr(blocks, "LEFT_ROWS", 6)
+    assert rashomon.trust_of(points, 3, planes, 3) == pytest.approx(by_one) and by_one["b"] == pytest.approx(0.717778, abs=1e-6)
+
+
+@pytest.mark.parametrize("right", [20_000, 4])
+def test_blocks_equal_windows_over_pairs(spark, monkeypatch, right):
+    """Ranks, sums and stability by blocks are those of all pairs; null vectors stay out and repeated ids don't meet."""
+    monkeypatch.setattr(blocks, "RIGHT_ROWS", right)
+    world = fixtures.calibration(spark).select("object_id", "label", "vec")
+    points = world.union(spark.createDataFrame([("none", "x", None), ("twin", "x", [0.2, 0.3, 0.5]), ("twin", "x", [0.1, 0.3, 0.6])], world.schema))
+    m, v, k = REGISTRY.get("hellinger"), F.col("vec"), 3
+    plane = (v[0], v[1])
+    all_pairs = pairs(space(points, "vec", 3, m, plane))
+    n = points.where("vec is not null").count()
+    placed = blocks.placed(points, "vec", 3, m, [plane])
+    near = blocks.neighbours(placed, 3, m, 1, k, sums=True)
+    rows = lambda df: sorted(map(tuple, df.where("src_id <> 'twin' and neighbor_id <> 'twin'").collect()))
+    assert rows(neighbors.classes(neighbors.block_ranks(near), k)) == rows(neighbors.classes(neighbors.both_ranks(all_pairs), k))
+    unique = points.where("object_id <> 'twin'")
+    near = blocks.neighbours(blocks.placed(unique, "vec", 3, m, [plane]), 3, m, 1, k, sums=True)
+    assert diagnostics.summary_of_blocks(near, n - 2, k).first() == diagnostics.summary(pairs(space(unique, "vec", 3, m, plane)), n - 2, k).first()
+    with pytest.raises(ValueError):
+        blocks.neighbours(placed, 3, m, 1, 0)
 
 
 def test_rashomon(spark):

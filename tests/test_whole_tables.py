@@ -1,4 +1,4 @@
-"""Queries over all customers against brute force, with customers beyond the oracles' first 400."""
+"""Queries over all customers against brute force."""
 
 import numpy as np
 import pytest
