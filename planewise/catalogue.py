@@ -12,6 +12,7 @@ from planewise.functions import vectors
 from planewise.functions.metrics import REGISTRY
 from planewise.operators import blocks, diagnostics, moments, neighbors, pairs, projection, selection
 from planewise.operators.neighbors import result
+from planewise import plane_sql
 from planewise.plans import bases, catalog, rashomon, tours
 from planewise.sources import datasets, tables
 from planewise.sources.tables import ACTIVITIES, BELIEFS, EMBEDDINGS, MIXES
@@ -200,6 +201,11 @@ def _minmax(s: SparkSession, d: str) -> DataFrame:
 
 
 _register("minmax_frames", _minmax, f"WITH {ACTIVITIES.sql}, f AS (SELECT CAST(f AS INTEGER) AS frame, object_id, vec[2 * f + 1] AS x, vec[2 * f + 2] AS y FROM v, unnest(range(0, 2)) AS u(f)) SELECT frame, object_id, {_r('2 * (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) - 1')} AS x, {_r('2 * (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) - 1')} AS y FROM f")
+_register(
+    "minmax_per_view",
+    lambda s, d: projection.rounded(projection.minmax_each(projection.frames(tables.activities(s, d), [_axis_plane(5, p) for p in ((0, 1), (2, 3))])), "x", "y"),
+    f"WITH {ACTIVITIES.sql}, f AS (SELECT CAST(f AS INTEGER) AS frame, object_id, vec[2 * f + 1] AS x, vec[2 * f + 2] AS y FROM v, unnest(range(0, 2)) AS u(f)) SELECT frame, object_id, {_r('2 * (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) - 1')} AS x, {_r('2 * (y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w) - 1')} AS y FROM f WINDOW w AS (PARTITION BY frame)",
+)
 _register("isotropic_view", lambda s, d: projection.rounded(projection.isotropic(projection.project(tables.activities(s, d), _axis_plane(5, PLANE))).select("object_id", "x", "y"), "x", "y"), f"WITH {ACTIVITIES.sql}, b AS (SELECT object_id, vec[1] AS x, vec[2] AS y FROM v), r AS (SELECT (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, greatest(max(x) - min(x), max(y) - min(y)) / 2 AS half FROM b) SELECT object_id, {_r('(x - cx) / half')} AS x, {_r('(y - cy) / half')} AS y FROM b, r")
 
 # -- neighbourhoods and diagnostics ----------------------------------------------------------------
@@ -274,7 +280,8 @@ def _grid(s: SparkSession, d: str) -> DataFrame:
 
 _register("distortion_grid", _grid, f"""{_DISTORTION}, q AS (SELECT object_id, vec[1] AS x, vec[2] AS y FROM v),
 b AS (SELECT min(x) - greatest(0.05, 0.12 * (max(x) - min(x))) AS x0, max(x) + greatest(0.05, 0.12 * (max(x) - min(x))) AS x1, min(y) - greatest(0.05, 0.12 * (max(y) - min(y))) AS y0, max(y) + greatest(0.05, 0.12 * (max(y) - min(y))) AS y1 FROM q),
-g AS (SELECT CAST(floor((y1 - y) / ((y1 - y0) / 16)) AS INTEGER) AS row, CAST(floor((x - x0) / ((x1 - x0) / 16)) AS INTEGER) AS col, distortion FROM q JOIN d USING (object_id), b)
+a AS (SELECT (y1 - y) / ((y1 - y0) / 16) AS r, (x - x0) / ((x1 - x0) / 16) AS c, distortion FROM q JOIN d USING (object_id), b),
+g AS (SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, distortion FROM a, unnest(range(0, 16)) AS u(row), unnest(range(0, 16)) AS t(col) WHERE r BETWEEN row AND row + 1 AND c BETWEEN col AND col + 1)
 SELECT row, col, {_r('avg(distortion)', 3)} AS mean_distortion FROM g GROUP BY row, col""")
 
 
@@ -328,13 +335,6 @@ def _hit(s: SparkSession, d: str) -> DataFrame:
 _register("hit_test", _hit, f"WITH {BELIEFS.sql} SELECT object_id FROM v WHERE sqrt((vec[1] - 0.1) ** 2 + (vec[2] - 0.1) ** 2) <= 0.03 ORDER BY object_id DESC LIMIT 1")
 
 
-def _loadings(s: SparkSession, d: str) -> DataFrame:
-    means = projection.column_means(tables.beliefs(s, d), 10)
-    rows = projection.loadings(np.stack([means, means[::-1]], axis=1), CLASS_NAMES)
-    return s.createDataFrame([(n, round(v, 6) + 0.0) for n, v in rows], "feature string, loading double")
-
-
-_register("feature_loadings_top4", _loadings, f"WITH {BELIEFS.sql}, m AS (SELECT k, avg(vec[k]) AS a, avg(vec[11 - k]) AS b FROM v, unnest(range(1, 11)) AS u(k) GROUP BY k) SELECT 'class_' || (k - 1) AS feature, {_r('sqrt(a * a + b * b)')} AS loading FROM m ORDER BY round(sqrt(a * a + b * b), 9) DESC, feature LIMIT 4")
 _register("validate_constraints", lambda s, d: selection.constraint_counts(tables.mixes(s, d).withColumn("vec", F.transform("vec", lambda x: x * F.when(F.col("object_id").endswith("7"), 1.5).otherwise(1.0)))), f"WITH {MIXES.sql}, q AS (SELECT list_transform(vec, lambda x: x * CASE WHEN object_id LIKE '%7' THEN 1.5 ELSE 1.0 END) AS vec FROM v) SELECT count(*) AS n, 0 AS finite, count(*) FILTER (WHERE list_min(vec) < 0) AS nonnegative, count(*) FILTER (WHERE abs(list_sum(vec) - 1) > 1e-10) AS row_sum_1, count(*) FILTER (WHERE abs(list_sum(vec)) > 1e-10) AS row_sum_0 FROM q")
 _register("duplicate_ids", lambda s, d: selection.duplicate_ids(tables._read(s, d, "orders").select(F.col("o_custkey").cast("string").alias("object_id"))), "SELECT CAST(o_custkey AS VARCHAR) AS object_id, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
 _register("id_set_difference", lambda s, d: selection.missing_ids(tables._read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("object_id")), tables._read(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("object_id"))), "SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS object_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -359,11 +359,53 @@ def _subset(v: DataFrame) -> np.ndarray:
     return bases.integrity_plane(moments.moments(v.where("object_id < 'vec_000020'"), 10), moments.moments(v, 10))
 
 
-_register("pca_view", _fitted(lambda v: bases.pca(moments.moments(v, 10))[0]))
-_register("minor_pca_view", _fitted(lambda v: bases.axes(moments.moments(v, 10).covariance, 2)))
-_register("entropy_view", _fitted(lambda v: bases.entropy_plane(moments.moments(v, 10))))
-_register("lda_view", _fitted(lambda v: bases.discriminant_plane(moments.moments_by(v, 10))))
-_register("integrity_view", _fitted(_subset))
+def _axes_sql(source: str, first: int, centre: str | None = None) -> str:
+    """CTEs that end in ``pl(a, b)``: the plane of principal axes ``first`` and the next of beliefs."""
+    return f"{plane_sql.scatter('sc', source, 'vec', 10, centre)}, {plane_sql.axes('ax', 'sc', 10, first + 1)}, {plane_sql.plane('pl', f'ax{first}', f'ax{first + 1}')}"
+
+
+def _classes_sql(label: str) -> str:
+    """CTEs that end in ``pl(a, b)``: Fisher's plane of beliefs by a label, from the axes of the between scatter over the ridged within scatter."""
+    ij = [(i, j) for i in range(1, 11) for j in range(1, 11)]
+    table = lambda cell: "[" + ", ".join("[" + ", ".join(cell(i, j) for j in range(1, 11)) + "]" for i in range(1, 11)) + "]"
+    within = ", ".join(f"covar_pop(vec[{i}], vec[{j}]) * count(*) AS w{i}_{j}" for i, j in ij)
+    means = ", ".join(f"avg(vec[{i}]) AS m{i}" for i in range(1, 11))
+    whole = ", ".join(f"avg(vec[{i}]) AS g{i}" for i in range(1, 11))
+    inner = table(lambda i, j: f"sum(w{i}_{j}) + {bases.RIDGE if i == j else 0.0}")
+    outer = table(lambda i, j: f"sum(n * (m{i} - g{i}) * (m{j} - g{j}))")
+    return f"""cl AS (SELECT {label} AS label, count(*) AS n, {means}, {within} FROM v GROUP BY 1), gm AS (SELECT {whole} FROM v),
+wi AS (SELECT {inner} AS m FROM cl), be AS (SELECT {outer} AS m FROM cl, gm), {plane_sql.inverse('iv', 'wi', 10)},
+ra AS (SELECT {plane_sql.product('x', 'y', 10)} AS m FROM (SELECT iv.m AS x, be.m AS y FROM iv, be)), {plane_sql.axes('ax', 'ra', 10, 2)}, {plane_sql.plane('pl', 'ax1', 'ax2', orthonormal=True)}"""
+
+
+def _placed_sql(planes: str) -> str:
+    centred = "list_transform(range(1, 11), lambda k: vec[k] - c.m[k])"
+    means = ", ".join(f"avg(vec[{i}])" for i in range(1, 11))
+    return f"WITH RECURSIVE {BELIEFS.sql}, {planes}, c AS (SELECT [{means}] AS m FROM v) SELECT object_id, {_r(f'list_dot_product({centred}, pl.a)')} AS x, {_r(f'list_dot_product({centred}, pl.b)')} AS y FROM v, c, pl"
+
+
+_FEW = "(SELECT * FROM v WHERE object_id < 'vec_000020')"
+_register("pca_view", _fitted(lambda v: bases.pca(moments.moments(v, 10))[0]), _placed_sql(_axes_sql("v", 1)))
+_register("minor_pca_view", _fitted(lambda v: bases.axes(moments.moments(v, 10).covariance, 2)), _placed_sql(_axes_sql("v", 3)))
+_register("entropy_view", _fitted(lambda v: bases.entropy_plane(moments.moments(v, 10))), _placed_sql(_axes_sql("v", 2, "0.1")))
+_register("lda_view", _fitted(lambda v: bases.discriminant_plane(moments.moments_by(v, 10))), _placed_sql(_classes_sql("label")))
+_register("integrity_view", _fitted(_subset), _placed_sql(_axes_sql(_FEW, 1)))
+
+
+def _loadings(s: SparkSession, d: str) -> DataFrame:
+    rows = projection.loadings(bases.pca(moments.moments(tables.beliefs(s, d), 10))[0], CLASS_NAMES)
+    return s.createDataFrame([(n, round(v, 6) + 0.0) for n, v in rows], "feature string, loading double")
+
+
+def _share_of_first(s: SparkSession, d: str) -> DataFrame:
+    share = projection.variance_share(bases.pca(moments.moments(tables.beliefs(s, d), 10))[1])
+    return s.createDataFrame([(round(share, 6),)], "share double")
+
+
+_PCA = f"WITH RECURSIVE {BELIEFS.sql}, {_axes_sql('v', 1)}"
+_along = lambda v: f"list_dot_product({v}, list_transform(m, lambda r: list_dot_product(r, {v})))"
+_register("feature_loadings_top4", _loadings, f"{_PCA}, l AS (SELECT 'class_' || (k - 1) AS feature, sqrt(a[k] ** 2 + b[k] ** 2) AS loading FROM pl, unnest(range(1, 11)) AS u(k)) SELECT feature, {_r('loading')} AS loading FROM l ORDER BY round(loading, 9) DESC, feature LIMIT 4")
+_register("variance_share", _share_of_first, f"{_PCA} SELECT {_r(f'{_along('a')} / ({_along('a')} + {_along('b')})')} AS share FROM pl, sc")
 
 
 def _catalog(s: SparkSession, d: str) -> DataFrame:
@@ -371,8 +413,31 @@ def _catalog(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(rows, "view_id string, k int, x double, y double, misleading boolean, valid boolean")
 
 
-_register("projection_catalog", _catalog)
-_register("tour_frames", lambda s, d: projection.rounded(tours.grand_tour(tables.beliefs(s, d), 10, 60), "x", "y"))
+def _catalog_sql() -> str:
+    """The five views' bases; the bridge's comes from its seed alone."""
+    bridge = bases.bridge_plane(10)
+    parts = {
+        "pca_corners": _axes_sql("v", 1), "minor_pca": _axes_sql("v", 3), "fisher_lda": _classes_sql("list_position(vec, list_max(vec))"),
+        "collapsed_bridge": f"pl AS (SELECT {plane_sql.literal(bridge[:, 0])} AS a, {plane_sql.literal(bridge[:, 1])} AS b)", "entropy": _axes_sql("v", 2, "0.1"),
+    }
+    one = lambda name, sql: f"SELECT '{name}' AS view_id, CAST(k - 1 AS INTEGER) AS k, {_r('a[k]')} AS x, {_r('b[k]')} AS y, {name == 'collapsed_bridge'} AS misleading, true AS valid FROM (WITH RECURSIVE {BELIEFS.sql}, {sql} SELECT a, b FROM pl), unnest(range(1, 11)) AS u(k)"
+    return " UNION ALL ".join(one(n, sql) for n, sql in parts.items())
+
+
+_register("projection_catalog", _catalog, _catalog_sql())
+
+
+def _tour_sql(frames: int) -> str:
+    """The tour's planes come from its seed alone; points are scaled, laid into them and fitted to the frame here."""
+    planes = tours.grand_tour_bases(10, frames)
+    rows = ", ".join(f"({n}, {plane_sql.literal(b[:, 0])}, {plane_sql.literal(b[:, 1])})" for n, b in enumerate(planes))
+    moment = ", ".join(f"avg(vec[{i}]), CASE WHEN stddev_pop(vec[{i}]) < 1e-8 THEN 1.0 ELSE stddev_pop(vec[{i}]) END" for i in range(1, 11))
+    z = "list_transform(range(1, 11), lambda k: (vec[k] - m[2 * k - 1]) / m[2 * k])"
+    unit = lambda c: _r(f"2 * ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) - 1")
+    return f"WITH {BELIEFS.sql}, m AS (SELECT [{moment}] AS m FROM v), z AS (SELECT object_id, {z} AS z FROM v, m), p(frame, a, b) AS (VALUES {rows}), f AS (SELECT frame, object_id, list_dot_product(z, a) AS x, list_dot_product(z, b) AS y FROM z, p) SELECT CAST(frame AS INTEGER) AS frame, object_id, {unit('x')} AS x, {unit('y')} AS y FROM f"
+
+
+_register("tour_frames", lambda s, d: projection.rounded(tours.grand_tour(tables.beliefs(s, d), 10, 60), "x", "y"), _tour_sql(60))
 _register("guided_view_frames", lambda s, d: projection.rounded(tours.guided_view(tables.beliefs(s, d), 10, "class_separation", n_frames=12).frames, "x", "y"))
 _register("guided_view_integrity", lambda s, d: projection.rounded(tours.guided_view(tables.beliefs(s, d), 10, "neighborhood_integrity", "vec_000003", 12).frames, "x", "y"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from planewise.errors import BundleError, ImportValidationError
 from planewise.functions import vectors
-from planewise.sources import fixtures, generators, imports
+from planewise.sources import datasets, fixtures, generators, imports
 from planewise.sources.bundle import BundleWriter, Manifest, RepresentationSpec, validate_bundle
 
 GENERATED = {"calibration": lambda s, n, seed: (fixtures.calibration(s), 3), "synthetic": lambda s, n, seed: (generators.synthetic(s, n, seed), 4), "apparel": lambda s, n, seed: (generators.apparel(s, n, seed), 10)}
@@ -24,7 +24,7 @@ def write_bundle(path: str, name: str, points: DataFrame, features: list[str], o
     """Probabilities and their centred log ratios as a bundle."""
     if objects is None:
         predicted = vectors.argmax_label(F.col("vec"), [f"class_{i}" for i in range(len(features))])
-        objects = points.select("object_id", "pos", F.col("label").alias("true_label"), predicted.alias("predicted_label"), vectors.correct(F.col("label"), predicted).alias("correct"), vectors.entropy(F.col("vec")).alias("entropy"))
+        objects = points.select("object_id", "pos", F.col("label").alias("true_label"), predicted.alias("predicted_label"), vectors.correct(F.col("label"), predicted).alias("correct"), vectors.entropy(F.col("vec")).alias("entropy"), *(["generator_component"] if "generator_component" in points.columns else []))
     writer = BundleWriter(path, name).set_objects(objects)
     writer.add_representation(points, RepresentationSpec("probability", "representations/probability.parquet", len(features), features, ["finite", "nonnegative", "row_sum_1"], compatible_metrics=["euclidean", "hellinger", "fisher_rao", "aitchison", "jensen_shannon"], default_metric="fisher_rao"))
     clr = points.withColumn("vec", vectors.clr(F.col("vec")))
@@ -53,8 +53,11 @@ def parser() -> argparse.ArgumentParser:
         i.add_argument("--softmax", action="store_true")
         i.add_argument("--name", default="imported")
     d = sub.add_parser("datasets", help="built-in datasets")
-    d.add_argument("action", choices=["list", "info"])
+    d.add_argument("action", choices=["list", "info", "fetch"])
     d.add_argument("name", nargs="?")
+    d.add_argument("--table", help="a CSV or Parquet copy of the dataset's table, for fetch")
+    d.add_argument("--label-column", default="target")
+    d.add_argument("--output", help="the bundle to write, for fetch")
     return p
 
 
@@ -75,10 +78,18 @@ def main(args: list[str] | None = None) -> int:
             write_bundle(a.output, a.name, got.points, got.features, got.objects)
             print(f"wrote {a.output}")
         elif a.action == "list":
-            print("\n".join(sorted(GENERATED)))
-        elif a.name in GENERATED:
-            points, k = GENERATED[a.name](session(), 200, 42)
-            print(f"{a.name}: {points.count()} objects, {k} classes")
+            print("\n".join(f"{s.key}: {s.title}, {s.n_classes} classes, {s.source}" for s in datasets.REGISTRY.values()))
+        elif a.action == "fetch":
+            if a.name not in datasets.REGISTRY or not a.table or not a.output:
+                raise ValueError("fetch needs a known dataset, --table and --output")
+            points, classes, objects = datasets.fetch(session(), a.name, a.table, a.label_column)
+            write_bundle(a.output, a.name, points, classes, objects)
+            print(f"wrote {a.output}")
+        elif a.name in datasets.REGISTRY:
+            spec = datasets.REGISTRY[a.name]
+            print(f"{spec.key}: {spec.title}, {spec.n_classes} classes, {spec.source}")
+            if a.name in GENERATED:
+                print(f"{GENERATED[a.name](session(), 200, 42)[0].count()} objects")
         else:
             print(f"unknown dataset {a.name!r}", file=sys.stderr)
             return 1

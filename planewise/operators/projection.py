@@ -49,6 +49,13 @@ def minmax(points: DataFrame) -> DataFrame:
     return points.withColumn("x", _unit("x", r[0], r[1])).withColumn("y", _unit("y", r[2], r[3]))
 
 
+def minmax_each(framed: DataFrame) -> DataFrame:
+    """``x`` and ``y`` of (frame, object_id, x, y), each to [-1, 1] within its frame; frames are few, so their ranges are broadcast."""
+    ranges = framed.groupBy("frame").agg(*(f(c).alias(f"{c}{n}") for c in "xy" for n, f in enumerate((F.min, F.max))))
+    unit = lambda c: F.when(F.col(f"{c}1") <= F.col(f"{c}0"), 0.0).otherwise(2.0 * (F.col(c) - F.col(f"{c}0")) / (F.col(f"{c}1") - F.col(f"{c}0")) - 1.0).alias(c)
+    return framed.join(F.broadcast(ranges), "frame").select("frame", "object_id", unit("x"), unit("y"))
+
+
 def isotropic(points: DataFrame) -> DataFrame:
     """``x`` and ``y`` about the middle of their ranges over half the greater range."""
     r = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,17 @@ def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
     raise ValueError(f"unknown kind of file {kind!r}")
 
 
+def from_bytes(spark: SparkSession, content: bytes, kind: str) -> DataFrame:
+    """An upload, which is small (``MAX_UPLOAD_BYTES``), as a DataFrame; nothing is written to disk."""
+    from pyarrow import csv, parquet
+
+    try:
+        table = csv.read_csv(io.BytesIO(content)) if kind == "csv" else parquet.read_table(io.BytesIO(content))
+    except pa.ArrowException as e:
+        raise ImportValidationError(f"the file can't be read: {e}") from e
+    return spark.createDataFrame(table)
+
+
 def validate(df: DataFrame, features: list[str], n_classes: int | None = None, softmax: bool = False, sum_atol: float = IMPORT_SUM_ATOL) -> None:
     """ImportValidationError unless rows exist, features are two at least and numeric, entries finite and, without softmax, rows are distributions."""
     if len(features) < 2:

@@ -6,6 +6,7 @@ Unknown datasets raise KeyError; bad k, representations, views and targets Value
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass
 from typing import Any
 
@@ -14,6 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planewise.functions import colours
 from planewise.functions.metrics import REGISTRY, represent
 from planewise.operators import blocks, diagnostics, neighbors, projection, selection
 from planewise.operators.moments import moments, moments_by
@@ -77,8 +79,19 @@ class Workbench:
             raise ValueError(f"files end in {', '.join(imports.EXTENSIONS)}")
         if os.path.isfile(path) and os.path.getsize(path) > imports.MAX_UPLOAD_BYTES:
             raise ValueError("the file is too large")
-        got = imports.import_frame(imports.read(self.spark, path, kind), **options)
-        key = dataset_name or os.path.splitext(os.path.basename(path))[0]
+        return self._imported(imports.read(self.spark, path, kind), dataset_name or os.path.splitext(os.path.basename(path))[0], options)
+
+    def import_upload(self, content: bytes, filename: str, dataset_name: str | None = None, **options: Any) -> dict[str, Any]:
+        """The bytes of a CSV or Parquet file; without a name for the dataset it gets one of its own."""
+        kind = imports.EXTENSIONS.get(os.path.splitext(filename)[1].lower())
+        if kind is None:
+            raise ValueError(f"files end in {', '.join(imports.EXTENSIONS)}")
+        if len(content) > imports.MAX_UPLOAD_BYTES:
+            raise ValueError("the file is too large")
+        return self._imported(imports.from_bytes(self.spark, content, kind), dataset_name or f"imported_{uuid.uuid4().hex[:6]}", options)
+
+    def _imported(self, df: DataFrame, key: str, options: dict[str, Any]) -> dict[str, Any]:
+        got = imports.import_frame(df, **options)
         d = self.add(key, got.points, got.features, got.objects)
         return {"dataset_key": key, "n_objects": d.points.count(), "n_classes": d.dimension}
 
@@ -94,6 +107,23 @@ class Workbench:
         held = row.asDict().get("payload_image_bytes")
         return bytes(held) if held is not None else None
 
+    def entry(self, dataset: str) -> dict[str, Any]:
+        """What a client loads of a dataset: of each representation its principal plane and, lazily, uncentred coordinates; of each catalogue view the centred ones; and colours by class."""
+        d = self.dataset(dataset)
+        representations = {}
+        for name in ("probability", "sqrt_probability", "clr_probability"):
+            points = self._points(dataset, name)
+            basis, values = bases.pca(moments(points, d.dimension))
+            representations[name] = {"basis": basis, "eigenvalues": [float(x) for x in values[:2]], "centering": "mean_centered", "coordinates": projection.project(points, basis).select("object_id", "x", "y")}
+        views = {}
+        for v in self.views(dataset).values():
+            views[v.view_id] = {"title": v.title, "basis": v.basis, "misleading": v.misleading, "valid": v.valid, "coordinates": self._projected(d.points, v.basis, d.dimension).select("object_id", "x", "y")}
+        # The class is that of the label if a feature is called so, else the largest entry.
+        codes = {f: i for i, feature in enumerate(d.features) for f in (feature, feature.removeprefix("p_"))}
+        named = F.try_element_at(F.create_map(*(F.lit(x) for pair in codes.items() for x in pair)), F.col("label"))
+        code = F.coalesce(named, F.array_position("vec", F.array_max("vec")).cast("int") - 1)
+        return {"key": dataset, "features": d.features, "n_objects": d.points.count(), "representations": representations, "views": views, "colours": d.points.select("object_id", colours.by_index(code, colours.palette(max(d.dimension, 1))).alias("colour"))}
+
     def fixture(self, dataset: str) -> DataFrame:
         """Every object with its centred PCA coordinates, as JSON-ready rows."""
         d, view = self.dataset(dataset), self._view(dataset, "probability", "pca_corners")
