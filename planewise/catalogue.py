@@ -103,7 +103,7 @@ def _space(reader: Query, dimension: int, metric: str, plane: tuple[int, int] |
     return run
 
 
-def _near(reader: Query, dimension: int, metric: str, k: int = K, planes: tuple[tuple[int, int], ...] = (), target: str | None = None, **settings: bool) -> Query:
+def _near(reader: Query, dimension: int, metric: str, k: int = K, planes: tuple[tuple[int, int], ...] = (), target: str | None = None, **settings: object) -> Query:
     """Neighbours and ranks by blocks of points."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
@@ -125,7 +125,7 @@ def _register_metric(metric: str, suffix: str = "") -> None:
     view, reader = _VIEW_OF[metric]
     of = _space(reader, view.dimension, metric)
     _register(f"dist_{metric}{suffix}", lambda s, d: pairs.pairs(of(s, d), unordered=True).select("i", "j", result(F.col("h")).alias("distance")), f"{_pairs_sql(view, metric, 'a.object_id < b.object_id')} SELECT i, j, {_r('h')} AS distance FROM pr")
-    _register(f"knn_{metric}{suffix}", lambda s, d: neighbors.block_knn(_near(reader, view.dimension, metric, ranks=False)(s, d), K), _knn_sql(view, metric))
+    _register(f"knn_{metric}{suffix}", lambda s, d: neighbors.block_knn(_near(reader, view.dimension, metric, ranks=())(s, d), K), _knn_sql(view, metric))
 
 
 def _knn_sql(view: tables.View, metric: str) -> str:
@@ -137,7 +137,7 @@ for _m in _DISTANCES:
 for _m in ("aitchison", "jensen_shannon"):  # names of an earlier time, when the plain ones read some customers only
     _register_metric(_m, "_whole")
 
-_register("knn_raw_embeddings", lambda s, d: neighbors.block_knn(_near(tables.embeddings, 64, "euclidean", ranks=False)(s, d), K), _knn_sql(EMBEDDINGS, "euclidean"))
+_register("knn_raw_embeddings", lambda s, d: neighbors.block_knn(_near(tables.embeddings, 64, "euclidean", ranks=())(s, d), K), _knn_sql(EMBEDDINGS, "euclidean"))
 _register(
     "knn_target_pushdown",
     lambda s, d: neighbors.knn_of(pairs.pairs(_space(tables.beliefs, 10, "fisher_rao")(s, d), target="vec_000007"), K),
@@ -286,7 +286,7 @@ SELECT row, col, {_r('avg(distortion)', 3)} AS mean_distortion FROM g GROUP BY r
 
 
 def _stability(s: SparkSession, d: str) -> DataFrame:
-    return diagnostics.stability_of_blocks(_near(tables.beliefs, 10, "fisher_rao", K, PLANES, ranks=False)(s, d), len(PLANES), K)
+    return diagnostics.stability_of_blocks(_near(tables.beliefs, 10, "fisher_rao", K, PLANES, ranks=())(s, d), len(PLANES), K)
 
 
 _PLANE_RANKS = ", ".join(f"row_number() OVER (PARTITION BY i ORDER BY round(l{n}, 9), j) AS r{n}" for n in range(3))
@@ -364,8 +364,8 @@ def _axes_sql(source: str, first: int, centre: str | None = None) -> str:
     return f"{plane_sql.scatter('sc', source, 'vec', 10, centre)}, {plane_sql.axes('ax', 'sc', 10, first + 1)}, {plane_sql.plane('pl', f'ax{first}', f'ax{first + 1}')}"
 
 
-def _classes_sql(label: str) -> str:
-    """CTEs that end in ``pl(a, b)``: Fisher's plane of beliefs by a label, from the axes of the between scatter over the ridged within scatter."""
+def _classes_sql(label: str, axes: str = "ax", plane: str = "pl") -> str:
+    """CTEs that end in ``plane(a, b)``: Fisher's plane of beliefs by a label, from the axes of the between scatter over the ridged within scatter."""
     ij = [(i, j) for i in range(1, 11) for j in range(1, 11)]
     table = lambda cell: "[" + ", ".join("[" + ", ".join(cell(i, j) for j in range(1, 11)) + "]" for i in range(1, 11)) + "]"
     within = ", ".join(f"covar_pop(vec[{i}], vec[{j}]) * count(*) AS w{i}_{j}" for i, j in ij)
@@ -375,7 +375,7 @@ def _classes_sql(label: str) -> str:
     outer = table(lambda i, j: f"sum(n * (m{i} - g{i}) * (m{j} - g{j}))")
     return f"""cl AS (SELECT {label} AS label, count(*) AS n, {means}, {within} FROM v GROUP BY 1), gm AS (SELECT {whole} FROM v),
 wi AS (SELECT {inner} AS m FROM cl), be AS (SELECT {outer} AS m FROM cl, gm), {plane_sql.inverse('iv', 'wi', 10)},
-ra AS (SELECT {plane_sql.product('x', 'y', 10)} AS m FROM (SELECT iv.m AS x, be.m AS y FROM iv, be)), {plane_sql.axes('ax', 'ra', 10, 2)}, {plane_sql.plane('pl', 'ax1', 'ax2', orthonormal=True)}"""
+ra AS (SELECT {plane_sql.product('x', 'y', 10)} AS m FROM (SELECT iv.m AS x, be.m AS y FROM iv, be)), {plane_sql.axes(axes, 'ra', 10, 2)}, {plane_sql.plane(plane, f'{axes}1', f'{axes}2', orthonormal=True)}"""
 
 
 def _placed_sql(planes: str) -> str:
@@ -447,7 +447,33 @@ def _rashomon(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(rows, "place int, id string, trustworthiness double, grassmann_degrees double")
 
 
-_register("rashomon_set", _rashomon)
+def _rashomon_sql() -> str:
+    """The candidates' planes, their trustworthiness, and the choice one by one; random planes come from their seeds alone."""
+    fitted = ", ".join([
+        plane_sql.scatter("sc", "v", "vec", 10), plane_sql.axes("ax", "sc", 10, 4), plane_sql.plane("p1", "ax1", "ax2"), plane_sql.plane("p2", "ax3", "ax4"),
+        _classes_sql("label", "ay", "p3"), f"co AS (SELECT {plane_sql.combined('m', 'm', 10, '{a} / sqrt(m[ci][ci] * m[cj][cj])')} AS m FROM sc)", plane_sql.axes("az", "co", 10, 2), plane_sql.plane("p4", "az1", "az2"),
+    ])
+    named = [f"SELECT {n} AS pos, '{name}' AS id, a, b FROM p{n + 1}" for n, name in enumerate(("pca_12", "pca_34", "fisher_lda", "covariance"))]
+    drawn = [bases.haar(10, 2, 42 + i) for i in range(rashomon.RANDOM_PLANES)]
+    named += [f"SELECT {4 + i}, 'haar_{i:02d}', {plane_sql.literal(b[:, 0])}, {plane_sql.literal(b[:, 1])}" for i, b in enumerate(drawn)]
+    dot = lambda x, y: f"list_dot_product(f.{x}, t.{y})"
+    size, det = " + ".join(f"{dot(x, y)} ** 2" for x in "ab" for y in "ab"), f"abs({dot('a', 'a')} * {dot('b', 'b')} - {dot('a', 'b')} * {dot('b', 'a')})"
+    cosine = lambda sign: f"least(1.0, greatest(0.0, (sqrt(s + 2 * d) {sign} sqrt(greatest(s - 2 * d, 0.0))) / 2))"
+    k, n = rashomon.NEIGHBORS, "(SELECT count(*) FROM v)"
+    scale = f"(CASE WHEN {k} <= {n} / 2.0 THEN 2.0 / ({n} * {k} * (2 * {n} - {3 * k} - 1)) ELSE 2.0 / ({n} * ({n} - {k}) * ({n} - {k} - 1)) END)"
+    return f"""WITH RECURSIVE {BELIEFS.sql}, {fitted}, pool AS ({' UNION ALL '.join(named)}),
+sr AS (SELECT a.object_id AS i, b.object_id AS j, row_number() OVER (PARTITION BY a.object_id ORDER BY round(list_distance(a.vec, b.vec), 9), b.object_id) AS rh FROM v a, v b WHERE a.object_id <> b.object_id),
+xy AS (SELECT pos, object_id, list_dot_product(vec, a) AS x, list_dot_product(vec, b) AS y FROM v, pool),
+vr AS (SELECT pos, i, j FROM (SELECT a.pos, a.object_id AS i, b.object_id AS j, row_number() OVER (PARTITION BY a.pos, a.object_id ORDER BY round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 9), b.object_id) AS rl FROM xy a JOIN xy b ON a.pos = b.pos AND a.object_id <> b.object_id) WHERE rl <= {k}),
+tr AS (SELECT pos, least(1.0, greatest(0.0, 1 - {scale} * sum(greatest(rh - {k}, 0)))) AS trust FROM vr JOIN sr USING (i, j) GROUP BY pos),
+far AS (SELECT p, q, degrees(sqrt(acos({cosine('+')}) ** 2 + acos({cosine('-')}) ** 2)) AS deg FROM (SELECT f.pos AS p, t.pos AS q, {size} AS s, {det} AS d FROM pool f, pool t)),
+ord AS (SELECT row_number() OVER (ORDER BY trust DESC, pos) AS nth, pos, id, trust, coalesce((SELECT list(q) FROM far WHERE far.p = pool.pos AND far.q <> pool.pos AND deg < {rashomon.APART_DEGREES}), []) AS close FROM pool JOIN tr USING (pos)),
+rec(nth, taken) AS (SELECT 0::BIGINT, []::INTEGER[] UNION ALL SELECT o.nth, CASE WHEN o.trust >= 0.5 AND len(taken) < 6 AND NOT list_has_any(taken, o.close) THEN list_append(taken, o.pos) ELSE taken END FROM rec JOIN ord o ON o.nth = rec.nth + 1)
+SELECT CAST(list_position(taken, pos) - 1 AS INTEGER) AS place, id, {_r('trust', 4)} AS trustworthiness, {_r('deg', 2)} AS grassmann_degrees
+FROM ord JOIN far ON far.p = 0 AND far.q = ord.pos, (SELECT taken FROM rec ORDER BY nth DESC LIMIT 1) WHERE list_contains(taken, pos)"""
+
+
+_register("rashomon_set", _rashomon, _rashomon_sql())
 #: Angles between literal planes: e0 e1 against e0 (e1 + e2)/sqrt 2, and against e2 e3.
 _TILTED = np.array([[1, 0], [0, np.sqrt(0.5)], [0, np.sqrt(0.5)], [0, 0], [0, 0]])
 

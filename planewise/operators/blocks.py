@@ -52,10 +52,14 @@ class _Meeting:
         out[:, left["object_id"].to_numpy()[:, None] == right["object_id"].to_numpy()[None, :]] = np.inf
         return out
 
-    def nearest(self, left: pd.DataFrame, right: pd.DataFrame, ranks: bool, sums: bool) -> pd.DataFrame:
-        """Of each left point the neighbours by any measure, with all distances and, with ``ranks``, their ranks within the block."""
+    def nearest(self, left: pd.DataFrame, right: pd.DataFrame, ranks: tuple[int, ...], sums: bool) -> pd.DataFrame:
+        """Of each left point the neighbours by any measure, with all distances and their ranks within the block.
+
+        Ranks beyond k are right for the measures in ``ranks`` and k + 1 for the others.
+        """
         right = right.sort_values("object_id")  # places order equal distances as ids do
         ids, rows, totals = right["object_id"].to_numpy(), [], np.zeros(3)
+        k = min(self.k, len(right))
         for first in range(0, len(left), HELD_ROWS):
             part = left.iloc[first : first + HELD_ROWS]
             exact = self.measures(part, right)
@@ -63,18 +67,24 @@ class _Meeting:
                 h, l = (np.where(np.isfinite(m), m, 0.0) for m in exact[:2])
                 totals += [(h * h).sum(), (l * l).sum(), (h * l).sum()]
             d = np.round(exact, ORDER_PLACES)
-            bound = np.partition(d, min(self.k, d.shape[2]) - 1, axis=2)[:, :, min(self.k, d.shape[2]) - 1]
+            bound = np.partition(d, k - 1, axis=2)[:, :, k - 1]
             for r, i in enumerate(part["object_id"]):
-                own, chosen = d[:, r], set()
+                own, tops = d[:, r], []
                 for m in range(len(own)):
                     near = np.flatnonzero(own[m] <= bound[m, r])
-                    chosen.update(near[np.argsort(own[m][near], kind="stable")][: self.k].tolist())
-                at = np.array(sorted(c for c in chosen if np.isfinite(own[0, c])), np.int64)
-                if len(at):
-                    held = own[:, None, :], own[:, at, None]
-                    place = np.arange(own.shape[1])[None, None, :] < at[None, :, None]
-                    n = ((held[0] < held[1]) | (held[0] == held[1]) & place).sum(axis=2) + 1 if ranks else np.zeros((len(own), len(at)), np.int64)
-                    rows += [(i, ids[c], *exact[:, r, c].tolist(), *n[:, t].tolist(), None, None, None) for t, c in enumerate(at)]
+                    near = near[np.argsort(own[m][near], kind="stable")][:k]
+                    tops.append(near[np.isfinite(own[m][near])])
+                at = np.unique(np.concatenate(tops))
+                if not len(at):
+                    continue
+                n = np.full((len(own), len(at)), self.k + 1)
+                for m, near in enumerate(tops):
+                    n[m, np.searchsorted(at, near)] = np.arange(1, len(near) + 1)
+                for m in ranks:
+                    open_ = np.flatnonzero(n[m] > self.k)
+                    mine = own[m][at[open_], None]
+                    n[m, open_] = ((own[m] < mine) | (own[m] == mine) & (np.arange(len(ids)) < at[open_, None])).sum(axis=1) + 1
+                rows += [(i, ids[c], *exact[:, r, c].tolist(), *n[:, t].tolist(), None, None, None) for t, c in enumerate(at)]
         if sums and self.views:
             rows.append((None, None, *[None] * (2 * (1 + self.views)), *totals.tolist()))
         return pd.DataFrame(rows, columns=self.columns())
@@ -106,12 +116,13 @@ def _blocks(points: DataFrame, n: int, own: str, other: str, others: int) -> Dat
     return numbered.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 
-def neighbours(points: DataFrame, dimension: int, metric: Metric, views: int, k: int, target: str | None = None, ranks: bool = True, sums: bool = False, count: int | None = None) -> DataFrame:
+def neighbours(points: DataFrame, dimension: int, metric: Metric, views: int, k: int, target: str | None = None, ranks: tuple[int, ...] | None = None, sums: bool = False, count: int | None = None) -> DataFrame:
     """(i, j, d0.., r0.., hh, ll, hl) of the pairs of ``placed`` points that are among the k nearest by any measure.
 
     Measure 0 is the metric, the others are the planes; ``d`` are distances and ``r``
-    ranks (from 1, by distance to ``ORDER_PLACES``, then id).  Without ``ranks``
-    those beyond k may be more than k by any number.  ``target`` restricts ``i``.  With
+    ranks (from 1, by distance to ``ORDER_PLACES``, then id).  ``ranks`` names the
+    measures whose ranks beyond k are wanted, all by default; those of the others may be
+    more than k by any number.  ``target`` restricts ``i``.  With
     ``sums`` some rows without ids hold sums over all pairs of squares and products of
     the metric and plane 0.
     """
@@ -120,6 +131,7 @@ def neighbours(points: DataFrame, dimension: int, metric: Metric, views: int, k:
     if metric.block is None:
         raise ValueError(f"{metric.id} has no form for blocks")
     ship(points.sparkSession)
+    ranks = tuple(range(1 + views)) if ranks is None else ranks
     meeting = _Meeting(metric, dimension, views, k)
     n = points.count() if count is None else count
     lefts = points if target is None else points.where(F.col("object_id") == target)
@@ -130,7 +142,7 @@ def neighbours(points: DataFrame, dimension: int, metric: Metric, views: int, k:
     right = _blocks(again, nr, "__r", "__l", nl).groupBy("__l", "__r")
     met = _blocks(lefts, nl, "__l", "__r", nr).groupBy("__l", "__r").cogroup(right)
     empty = pd.DataFrame(columns=meeting.columns())
-    first = met.applyInPandas(lambda a, b: meeting.nearest(a, b, nr == 1, sums) if len(a) and len(b) else empty, meeting.schema())
+    first = met.applyInPandas(lambda a, b: meeting.nearest(a, b, ranks if nr == 1 else (), sums) if len(a) and len(b) else empty, meeting.schema())
     if nr == 1:
         return first
     measured = [f"r{m}" for m in range(1 + views)]

@@ -49,7 +49,7 @@ def trust_of(points: DataFrame, dimension: int, planes: list[tuple[str, np.ndarr
     n = placed.count()
     if n <= k + 1 or k < 1:
         return {name: 1.0 for name, _ in planes}
-    near = blocks.neighbours(placed, dimension, metric, len(planes), k, count=n)
+    near = blocks.neighbours(placed, dimension, metric, len(planes), k, ranks=(0,), count=n)
     beyond = [F.sum(F.when((F.col(f"r{i + 1}") <= k) & (F.col("r0") > k), F.col("r0") - k).otherwise(0)) for i in range(len(planes))]
     lost = near.agg(*beyond).first()
     return {name: float(np.clip(1 - rank_penalty_scale(n, k) * float(x or 0), 0, 1)) for (name, _), x in zip(planes, lost, strict=True)}

@@ -179,7 +179,7 @@ class Workbench:
         s = space(points, "vec", d.dimension, m, (projection.along(v, basis[:, 0]), projection.along(v, basis[:, 1])), ["pos", "label"])
         return pairs(s, target), s.frame, d.points.count()
 
-    def _near(self, dataset: str, representation: str, metric: str, view_ids: list[str], k: int, target: str | None = None, **settings: bool) -> tuple[DataFrame, int]:
+    def _near(self, dataset: str, representation: str, metric: str, view_ids: list[str], k: int, target: str | None = None, **settings: Any) -> tuple[DataFrame, int]:
         """Neighbours and ranks by blocks of points, in the planes of the given views; and the number of points."""
         d = self.dataset(dataset)
         m, v = REGISTRY.compatible(metric, representation), F.col("vec")
@@ -247,7 +247,7 @@ class Workbench:
     def point_stability(self, dataset: str = "calibration_3class", representation: str = "probability", metric: str = "euclidean", k: int = 5) -> dict[str, Any]:
         """Summary, and ``scores`` as a DataFrame (object_id, stability): the share of source neighbours that the catalogue's views keep."""
         found = list(self.views(dataset, representation))
-        near, _ = self._near(dataset, representation, metric, found, k, ranks=False)
+        near, _ = self._near(dataset, representation, metric, found, k, ranks=())
         scores = diagnostics.stability_of_blocks(near, len(found), k)
         return {**diagnostics.stability_summary(scores).first().asDict(), "scores": scores.withColumn("stability", neighbors.result(F.col("stability"), 4))}
 
