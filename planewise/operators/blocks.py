@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from planewise.conventions import ORDER_PLACES
@@ -24,8 +24,9 @@ from planewise.shipping import ship
 
 #: Points of a left and of a right block, about.
 LEFT_ROWS, RIGHT_ROWS = 2_000, 20_000
-#: Left points whose distances to a right block are held at once.
-HELD_ROWS = 128
+#: Left points whose distances to a right block are held at once, and right points that are measured at once (a cache's worth).
+HELD_ROWS, CACHED_ROWS = 64, 2_048
+MOST_PARTITIONS = 10_000
 
 Plane = tuple[Column, Column]
 
@@ -42,13 +43,19 @@ class _Meeting:
 
     def __init__(self, metric: Metric, dimension: int, views: int, k: int) -> None:
         self.block, self.entries, self.views, self.k = metric.block, [f"s{d}" for d in range(dimension)], views, k
+        self.numbers = [*self.entries, *(f"{c}{v}" for v in range(views) for c in "xy")]
 
     def measures(self, left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
         """Rounded distances, (measure, left, right); none of a point to one of its own id."""
-        a = lambda c: left[c].to_numpy(np.float64)[:, None]
-        b = lambda c: right[c].to_numpy(np.float64)[None, :]
-        flat = [np.sqrt((a(f"x{v}") - b(f"x{v}")) ** 2 + (a(f"y{v}") - b(f"y{v}")) ** 2) for v in range(self.views)]
-        out = np.stack([self.block([a(c) for c in self.entries], [b(c) for c in self.entries]), *flat])
+        out = np.empty((1 + self.views, len(left), len(right)))
+        a = {c: left[c].to_numpy(np.float64)[:, None] for c in self.numbers}
+        whole = {c: right[c].to_numpy(np.float64)[None, :] for c in self.numbers}
+        for first in range(0, len(right), CACHED_ROWS):
+            at = slice(first, first + CACHED_ROWS)
+            b = {c: x[:, at] for c, x in whole.items()}
+            out[0, :, at] = self.block([a[c] for c in self.entries], [b[c] for c in self.entries])
+            for v in range(self.views):
+                out[1 + v, :, at] = np.sqrt((a[f"x{v}"] - b[f"x{v}"]) ** 2 + (a[f"y{v}"] - b[f"y{v}"]) ** 2)
         out[:, left["object_id"].to_numpy()[:, None] == right["object_id"].to_numpy()[None, :]] = np.inf
         return out
 
@@ -58,7 +65,8 @@ class _Meeting:
         Ranks beyond k are right for the measures in ``ranks`` and k + 1 for the others.
         """
         right = right.sort_values("object_id")  # places order equal distances as ids do
-        ids, rows, totals = right["object_id"].to_numpy(), [], np.zeros(3)
+        ids, totals = right["object_id"].to_numpy(), np.zeros(3)
+        found: list[tuple[np.ndarray, ...]] = []  # (left ids, right places, distances, ranks) of each left point
         k = min(self.k, len(right))
         for first in range(0, len(left), HELD_ROWS):
             part = left.iloc[first : first + HELD_ROWS]
@@ -84,10 +92,15 @@ class _Meeting:
                     open_ = np.flatnonzero(n[m] > self.k)
                     mine = own[m][at[open_], None]
                     n[m, open_] = ((own[m] < mine) | (own[m] == mine) & (np.arange(len(ids)) < at[open_, None])).sum(axis=1) + 1
-                rows += [(i, ids[c], *exact[:, r, c].tolist(), *n[:, t].tolist(), None, None, None) for t, c in enumerate(at)]
-        if sums and self.views:
-            rows.append((None, None, *[None] * (2 * (1 + self.views)), *totals.tolist()))
-        return pd.DataFrame(rows, columns=self.columns())
+                found.append((np.full(len(at), i, object), at, exact[:, r, at], n))
+        m = 1 + self.views
+        found = found or [(np.empty(0, object), np.empty(0, np.int64), np.empty((m, 0)), np.empty((m, 0)))]
+        i, at, far, n = (np.concatenate(x, axis=-1) for x in zip(*found, strict=True))
+        more = int(sums and self.views > 0)  # one row for the sums, without ids
+        tail = lambda x, fill: np.concatenate([x, [fill] * more])
+        columns = {"i": tail(i, None), "j": tail(ids[at], None), **{f"d{k}": tail(x, np.nan) for k, x in enumerate(far)}, **{f"r{k}": tail(x.astype(float), np.nan) for k, x in enumerate(n)}}
+        columns |= {c: tail(np.full(len(i), np.nan), x) for c, x in zip(("hh", "ll", "hl"), totals, strict=True)}
+        return pd.DataFrame(columns)
 
     def columns(self) -> list[str]:
         m = range(1 + self.views)
@@ -110,10 +123,15 @@ class _Meeting:
         return pd.DataFrame(rows, columns=["i", "j", *(f"c{m}" for m in range(1 + self.views))])
 
 
-def _blocks(points: DataFrame, n: int, own: str, other: str, others: int) -> DataFrame:
-    """Points with the number of their block, once for each block of the other side."""
+def _blocks(points: DataFrame, n: int, own: str, other: str, others: int) -> GroupedData:
+    """Points by their block and each block of the other side.
+
+    The number of partitions is given: points are few bytes for the work they make, and
+    adaptive execution, which goes by bytes, would put all blocks into one task.
+    """
     numbered = points.withColumn(own, F.pmod(F.xxhash64("object_id"), F.lit(n)).cast("int"))
-    return numbered.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    met = numbered.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    return met.repartition(min(2 * n * others, MOST_PARTITIONS), "__l", "__r").groupBy("__l", "__r")
 
 
 def neighbours(points: DataFrame, dimension: int, metric: Metric, views: int, k: int, target: str | None = None, ranks: tuple[int, ...] | None = None, sums: bool = False, count: int | None = None) -> DataFrame:
@@ -136,11 +154,11 @@ def neighbours(points: DataFrame, dimension: int, metric: Metric, views: int, k:
     n = points.count() if count is None else count
     lefts = points if target is None else points.where(F.col("object_id") == target)
     cores = points.sparkSession.sparkContext.defaultParallelism
-    nl = 1 if target is not None else max(min(cores, math.ceil(n / HELD_ROWS)), math.ceil(n / LEFT_ROWS), 1)
+    nl = 1 if target is not None else max(min(2 * cores, math.ceil(n / HELD_ROWS)), math.ceil(n / LEFT_ROWS), 1)
     nr = max(1, math.ceil(n / RIGHT_ROWS))
     again = points.select(*(F.col(c).alias(c) for c in points.columns))  # columns of its own: both sides are the same points
-    right = _blocks(again, nr, "__r", "__l", nl).groupBy("__l", "__r")
-    met = _blocks(lefts, nl, "__l", "__r", nr).groupBy("__l", "__r").cogroup(right)
+    right = _blocks(again, nr, "__r", "__l", nl)
+    met = _blocks(lefts, nl, "__l", "__r", nr).cogroup(right)
     empty = pd.DataFrame(columns=meeting.columns())
     first = met.applyInPandas(lambda a, b: meeting.nearest(a, b, ranks if nr == 1 else (), sums) if len(a) and len(b) else empty, meeting.schema())
     if nr == 1:
@@ -152,7 +170,7 @@ def neighbours(points: DataFrame, dimension: int, metric: Metric, views: int, k:
     near = found.where(reduce(lambda a, b: a | b, (F.col(r) <= k for r in measured)))
     if ranks:
         held = near.select(F.col("i").alias("object_id"), "j", *(f"d{m}" for m in range(1 + views))).join(points, "object_id")
-        back = _blocks(held, nl, "__l", "__r", nr).groupBy("__l", "__r").cogroup(right)
+        back = _blocks(held, nl, "__l", "__r", nr).cogroup(right)
         none = pd.DataFrame(columns=["i", "j", *(f"c{m}" for m in range(1 + views))])
         counted = back.applyInPandas(lambda a, b: meeting.nearer(a, b) if len(a) and len(b) else none, ", ".join(["i string", "j string", *(f"c{m} long" for m in range(1 + views))]))
         whole = counted.groupBy("i", "j").agg(*((F.sum(f"c{m}") + 1).alias(r) for m, r in enumerate(measured)))

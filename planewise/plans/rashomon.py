@@ -43,9 +43,8 @@ def pool(points: DataFrame, dimension: int, label: str = "label", seed: int = 42
 
 def trust_of(points: DataFrame, dimension: int, planes: list[tuple[str, np.ndarray]], k: int = NEIGHBORS, vec: str = "vec") -> dict[str, float]:
     """Trustworthiness of every plane in one job over blocks of points, which are ranked by the source once."""
-    v = F.col(vec)
     metric = REGISTRY.get("euclidean")
-    placed = blocks.placed(points, vec, dimension, metric, [(projection.along(v, b[:, 0]), projection.along(v, b[:, 1])) for _, b in planes])
+    placed = blocks.placed(points, vec, dimension, metric, [(projection.along_named(vec, b[:, 0]), projection.along_named(vec, b[:, 1])) for _, b in planes])
     n = placed.count()
     if n <= k + 1 or k < 1:
         return {name: 1.0 for name, _ in planes}
