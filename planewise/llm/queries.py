@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from planewise.llm import bpe, hashtree, htmltext, isolation, linededup, matroska, packing, simhash, surrogates, urlfilter
+from planewise.llm import bpe, hashtree, htmltext, isolation, linededup, matroska, merkle, mixing, packing, simhash, spelling, surrogates, urlfilter
 from planewise.llm.common import table
 
 SHARDS = 24
@@ -56,6 +56,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_surrogates": op1_surrogates,
@@ -68,6 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hash_tree": op8_hash_tree,
         "op9_simhash": op9_simhash,
         "op10_quality_rules": op10_quality_rules,
+        "op11_merkle": op11_merkle,
+        "op12_spelling": op12_spelling,
+        "op13_mixing": op13_mixing,
     }
 
 
@@ -92,4 +107,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_url_filter": urlfilter.oracle(urlfilter.train_plainly()),
         "op7_html_text": _ARTICLES,
         "op8_hash_tree": hashtree.oracle(hashtree.regular_tree(SHARDS), hashtree.grown(hashtree.regular_tree(SHARDS))),
+        "op11_merkle": merkle.oracle(),
+        "op12_spelling": spelling.oracle(),
+        "op13_mixing": mixing.oracle(),
     }
