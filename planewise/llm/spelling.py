@@ -3,10 +3,11 @@
 Every word of the vocabulary emits all words one edit away over the letters the
 vocabulary has: each code point deleted, each replaced by every other letter, every
 letter inserted at each place.  A hash join of these with the vocabulary leaves the near
-words: a match is one edit away by construction, so nothing is measured.
+words: a match is one edit away by construction, so nothing is measured.  Hundreds of
+candidates a word are too many to shuffle for the few that are words, so all are made as
+hashes first and looked up in a bitmap of the vocabulary; what passes is written out and joined.
 
-A word of m letters has some 2 m |A| neighbours of m letters each, which grows with the
-square of its length.  Words beyond ``LONG_LETTERS`` (unbroken runs of letters of any
+A word of m letters has some 2 m |A| neighbours of m letters each.  Words beyond ``LONG_LETTERS`` (unbroken runs of letters of any
 size) emit hashes instead, one for each code point left out and one for each made a
 wildcard, in linear time and space; two words meet where the hash of one without a code
 point is that of the other, or where wildcards at one place leave equal hashes.  Groups
@@ -29,8 +30,10 @@ from planewise.llm.common import cut, ship
 LETTERS = r"A-Za-zÀ-ÿ"
 LEAST_LETTERS, LEAST_COUNT, RATIO, EVERY = 6, 5, 5, 199
 LONG_LETTERS = 64
+#: Words whose candidates are made at once; bits of the bitmap a word, and its cells of 64 at most.
+BATCH_WORDS, BITS_A_WORD, MOST_CELLS = 2_000, 16, 1 << 23
 #: Words up to which the vocabulary (some 40 bytes a word) is broadcast to the candidates; it is counted.
-BROADCAST_WORDS = 300_000
+BROADCAST_WORDS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,24 +49,6 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return words.where(F.char_length("word") >= LEAST_LETTERS).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
-def neighbourhood(words: DataFrame, letters: list[str]) -> DataFrame:
-    """(word, near): all distinct strings one edit away from each word.
-
-    Edits that give the same string are told by their place: a letter leaves or enters a
-    run of equal ones at its start only.
-    """
-    word, size, i = F.col("word"), F.char_length("word"), F.col("i")
-    places = words.select("word", F.explode(F.sequence(F.lit(0), size)).alias("i")).select(
-        "word", word.substr(F.lit(1), i).alias("before"), F.when(i > 0, word.substr(i, F.lit(1))).otherwise("").alias("last"), word.substr(i + 1, F.lit(1)).alias("own"), word.substr(i + 2, size).alias("after")
-    )
-    letter = F.col("c")
-    each = places.select("*", F.explode(F.array(*map(F.lit, ["", *letters]))).alias("c"))
-    # The empty letter in another's place leaves it out.
-    replaced = F.when((F.col("own") != "") & F.when(letter == "", F.col("own") != F.col("last")).otherwise(letter != F.col("own")), F.concat("before", "c", "after"))
-    inserted = F.when((letter != "") & (letter != F.col("last")), F.concat("before", "c", "own", "after"))
-    return each.select("word", F.explode(F.array(replaced, inserted)).alias("near")).where(F.col("near").isNotNull())
-
-
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
@@ -108,8 +93,95 @@ def _long_links(words: DataFrame) -> DataFrame:
     return one.unionByName(met.where(F.col("gone") == 1).select(F.col("b").alias("word"), F.col("a").alias("near")))
 
 
+class Neighbourhood:
+    """All distinct strings one edit away from words, over the letters of a vocabulary, less those that can't be in it.
+
+    A candidate's hash is that of its word with one term changed, so a batch's candidates
+    are made as an array of hashes and looked up in a bitmap of the vocabulary's; the few
+    that may be there are written out.  Edits that give the same string are told by their
+    place: a letter leaves or enters a run of equal ones at its start only.
+    """
+
+    def __init__(self, letters: list[str], bitmap: np.ndarray) -> None:
+        self.letters, self.bitmap = letters, bitmap
+        self.codes = np.array([ord(c) for c in letters], np.uint64)
+
+    def held(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes whose two bits are set."""
+        at = np.flatnonzero(self._set(hashes, 0))
+        return at[self._set(hashes[at], 1)]
+
+    def _set(self, hashes: np.ndarray, way: int) -> np.ndarray:
+        slots = slots_of(hashes, way, len(self.bitmap))
+        return self.bitmap[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1) != 0
+
+    def near(self, words: list[str]) -> tuple[list[str], list[str]]:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        ends = np.cumsum(sizes)
+        which = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(code)) - (ends - sizes)[which]
+        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(sizes.max()) + 1, _BASE)]))
+        power = powers[place + 1]
+        terms = code * power
+        upto = np.cumsum(terms)
+        upto -= (upto - terms)[ends - sizes][which]  # within each word
+        whole = upto[ends - 1]
+        last = np.where(place > 0, np.roll(code, 1), np.uint64(0))
+        found: tuple[list[str], list[str]] = ([], [])
+
+        def keep(w: np.ndarray, i: np.ndarray, c: list[str], skip: int) -> None:
+            for k, at, x in zip(w.tolist(), i.tolist(), c, strict=True):
+                word = words[k]
+                found[0].append(word)
+                found[1].append(word[:at] + x + word[at + skip :])
+
+        gone = np.flatnonzero(code != last)
+        at = gone[self.held((upto - terms + (whole[which] - upto) * _INVERSE)[gone])]
+        keep(which[at], place[at], [""] * len(at), 1)
+        for c, letter in zip(self.codes, self.letters, strict=True):
+            some = np.flatnonzero(code != c)
+            at = some[self.held((whole[which] + (c - code) * power)[some])]
+            keep(which[at], place[at], [letter] * len(at), 1)
+            some = np.flatnonzero(last != c)
+            before = upto - terms
+            at = some[self.held((before + c * power + (whole[which] - before) * _BASE)[some])]
+            keep(which[at], place[at], [letter] * len(at), 0)
+            some = np.flatnonzero(code[ends - 1] != c)  # behind the last letter
+            at = some[self.held((whole + c * powers[sizes + 1])[some])]
+            keep(at, sizes[at], [letter] * len(at), 0)
+        return found
+
+
+def slots_of(hashes: np.ndarray, way: int, cells: int) -> np.ndarray:
+    """The bit of a hash, one of 64 a cell; the number of cells is a power of two."""
+    x = hashes ^ hashes >> np.uint64(29 + 4 * way)
+    return x * _BASE * np.uint64(4 * way + 1) >> np.uint64(64 - 6 - (cells.bit_length() - 1))
+
+
+def bitmap_of(words: DataFrame, n: int) -> np.ndarray:
+    """Two bits for each word of a vocabulary of ``n``, at least ``BITS_A_WORD`` a word up to ``MOST_CELLS`` cells (64 MB).
+
+    Beyond that more candidates pass; the join still decides.
+    """
+    cells = min(MOST_CELLS, 1 << max(4, (n * BITS_A_WORD // 64).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.array([edit_hashes(w)[0] for w in b.column(0).to_pylist()], np.int64).view(np.uint64)
+            slots = np.concatenate([slots_of(own, way, cells) for way in range(2)])
+            yield pa.RecordBatch.from_arrays([pa.array((slots >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (slots & np.uint64(63))).view(np.int64))], ["cell", "bits"])
+
+    filled = words.select("word").mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(cells, np.uint64)
+    out[filled.column("cell").to_numpy()] = filled.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def links(words: DataFrame) -> DataFrame:
     """(word, near, near_n): all near pairs of a written vocabulary (word, n), in both directions."""
+    spark = words.sparkSession
+    ship(spark)
     short = words.where(F.char_length("word") <= LONG_LETTERS)
     # At most the 26 and 64 letters that words are made of.
     letters = [r[0] for r in short.select(F.explode(F.split("word", "")).alias("c")).where(F.col("c") != "").distinct().orderBy("c").collect()]
@@ -117,19 +189,28 @@ def links(words: DataFrame) -> DataFrame:
     if not letters:
         out = None
     else:
+        n = words.count()
+        held = spark.sparkContext.broadcast(bitmap_of(short, n))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made = Neighbourhood(letters, held.value)
+            for b in batches:
+                for i in range(0, b.num_rows, BATCH_WORDS):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in made.near(b.column(0).slice(i, BATCH_WORDS).to_pylist())], ["word", "near"])
+
         # Work for a core is a word's hundreds of neighbours, not its bytes.
-        dealt = short.repartition(max(4 * words.sparkSession.sparkContext.defaultParallelism, -(-short.count() // 20_000)), "word")
-        made = neighbourhood(dealt, letters)
-        few = words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-        out = made.join(F.broadcast(near) if few else near, "near").select("word", "near", "near_n")
+        dealt = short.select("word").repartition(max(4 * spark.sparkContext.defaultParallelism, -(-n // 20_000)), "word")
+        made = dealt.mapInArrow(run, "word string, near string")
+        out = made.join(F.broadcast(near) if n <= BROADCAST_WORDS else near, "near").select("word", "near", "near_n")
     # Words at the border of the two ways: a long one meets the shorter of one letter less.
     long = words.where(F.char_length("word") > LONG_LETTERS)
     if long.isEmpty():
         return out
     beside = _long_links(words.where(F.char_length("word") >= LONG_LETTERS)).where(F.greatest(F.char_length("word"), F.char_length("near")) > LONG_LETTERS)
-    missing = beside if out is None else beside.join(out.select("word", "near"), ["word", "near"], "left_anti")
-    whole = missing.join(near, "near").select("word", "near", "near_n")
-    return whole if out is None else out.unionByName(whole)
+    whole = beside.join(near, "near").select("word", "near", "near_n")
+    if out is None:
+        return whole
+    return out.where((F.char_length("near") <= LONG_LETTERS)).unionByName(whole)
 
 
 def _chains(n: int) -> int:

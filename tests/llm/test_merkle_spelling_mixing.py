@@ -136,10 +136,10 @@ def _plain_groups(rows):
 
 def _words(rng):
     """A chain of forms, equal letters, accents, capitals, ties, short words and words beyond the border of both ways."""
-    base = ["letter", "lettter", "letteer", "ledter", "aaaaaa", "aaaaaaa", "aaaaab", "zurück", "zuruck", "Zurück", "straße", "strasse", "÷×÷×÷×", "÷×÷×÷", "short", "abcdef", "abcdeg", "abcdeh"]
+    base = ["letter", "lettter", "letteer", "ledter", "letttter", "aaaaaa", "aaaaaaa", "aaaaab", "zurück", "zuruck", "Zurück", "straße", "strasse", "÷×÷×÷×", "÷×÷×÷", "short", "abcdef", "abcdeg", "abcdeh"]
     long = ["".join(rng.choice("abcdexyz") for _ in range(m)) for m in (62, 63, 64, 65, 66, 200)]
     edits = [w[:30] + w[31:] for w in long] + [w[:7] + "é" + w[8:] for w in long] + [w[:3] + w[3] + w[3:] for w in long] + ["b" * m for m in (63, 64, 65, 66, 67)]
-    counts = {"letter": 700, "lettter": 120, "letteer": 120, "ledter": 20, "zurück": 60}
+    counts = {"letter": 700, "lettter": 120, "letteer": 120, "ledter": 20, "letttter": 20, "zurück": 60}
     return [(w, counts.get(w, rng.choice([3, 5, 6, 30]))) for w in dict.fromkeys(base + long + edits)]
 
 
