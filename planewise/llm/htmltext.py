@@ -11,8 +11,11 @@ links, follows dense lines without a gap in the smoothed density.
 Elements and class or id words only weigh.  Menus, footers, asides, reader comments and
 what is plainly called boilerplate have no density.  Doubtful marks rule an element out
 unless most of the page's dense text stands inside and hardly any beyond (a form around
-the page, an article called ``has-sidebar``).  All work is linear in the page: no walk up or down the open
-elements.
+the page, an article called ``has-sidebar``); a class or id that would rule out for sure
+counts as doubtful on a page that has no sentence elsewhere.  All work is linear in the
+page: no walk up or down the open elements, and what no bracket ends is text before the
+parser looks for its end.  Marked sections are comments up to the next bracket, as
+browsers take them.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ REGION_SHARE = 0.9
 VOID_INSIDE, VOID_BEYOND = 0.5, 0.25
 #: Share of the threshold below which the smoothed density has a gap.
 GAP = 0.1
+#: Characters beyond links of a line that may be a sentence.
+SENTENCE = 80
 
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,13 +57,19 @@ CONTENT_WORDS = frozenset("article content entry post story".split())
 #: Words that may stand beside a word of boilerplate without making it doubtful.
 NEUTRAL_WORDS = frozenset("area block box container inner item items left list main right section site top bottom wrap wrapper".split())
 
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+
 _WORDS = re.compile(r"[a-z]+")
+_COMMENT_END = re.compile(r"--!?\s*>")
+#: More digits than Python reads as a number; no such character exists.
+_ENDLESS_REFERENCE = re.compile(r"&#[0-9]{4000,};?")
 _CLOSES_P = BLOCKS - {"body", "html"}
 NONE, SOFT, HARD = range(3)
 
 
-def mark_of(tag: str, attrs: list[tuple[str, str | None]]) -> int:
-    """Whether an element's name, role, class and id mark it as boilerplate for sure, perhaps or not."""
+def mark_of(tag: str, attrs: list[tuple[str, str | None]], sure: bool = True) -> int:
+    """Whether an element's name, role, class and id mark it as boilerplate for sure, perhaps or not; without ``sure`` class and id don't tell for sure."""
     if tag in BOILERPLATE:
         return HARD
     found = SOFT if tag in SOFT_BOILERPLATE else NONE
@@ -79,7 +90,7 @@ def mark_of(tag: str, attrs: list[tuple[str, str | None]]) -> int:
                 elif words & CONTENT_WORDS:
                     content = True
     if comment or plain:
-        return SOFT if content else HARD
+        return HARD if sure and not content else SOFT
     return NONE if content and tag not in SOFT_BOILERPLATE else found
 
 
@@ -103,8 +114,9 @@ class Line:
 class _Lines(HTMLParser):
     """Blocks of a page in order, its containers and its perhaps-marks, both numbered as they open and with their parents."""
 
-    def __init__(self) -> None:
+    def __init__(self, sure: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.sure = sure
         self.open: list[tuple[str, int, int, int]] = []  # element, mark kind, container and mark outside
         self.at: dict[str, list[int]] = {}  # places of the open elements of each name
         self.blocks: list[int] = []  # places of the open blocks
@@ -124,7 +136,20 @@ class _Lines(HTMLParser):
             self.tags = 0
         self.parts, self.linked = [], 0
 
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<![", i):  # the standard parser ends at sections it doesn't know
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
+    def end_head(self, always: bool) -> None:
+        """The end tag of a head may be left out."""
+        places = self.at.get("head")
+        if places and (always or places[-1] == len(self.open) - 1):
+            self.close_to(places[-1])
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self.end_head(tag == "body")
         if tag in BLOCKS:
             self.flush()
             # A block ends a paragraph that is open in the same container.
@@ -135,7 +160,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        kind = mark_of(tag, attrs)
+        kind = mark_of(tag, attrs, self.sure)
         self.open.append((tag, kind, self.here, self.mark))
         self.at.setdefault(tag, []).append(len(self.open) - 1)
         if tag in BLOCKS:
@@ -177,14 +202,31 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.at.get("head") and not data.isspace():
+            self.end_head(False)
         if not self.skip_depth:
             self.parts.append(data)
             self.linked += len(data.strip()) if self.link_depth else 0
 
 
-def parsed(html: str) -> _Lines:
-    p = _Lines()
-    p.feed(html)
+def mended(html: str) -> str:
+    """The page with what nothing ends written as text, so that the parser doesn't look for its end again and again.
+
+    Behind the last bracket no tag ends; behind the last end of a comment none does, so
+    such a comment goes up to a bracket.
+    """
+    html = _ENDLESS_REFERENCE.sub("\ufffd", html)
+    last = html.rfind(">") + 1
+    html = html[:last] + html[last:].replace("<", "&lt;")
+    ends = 0
+    for m in _COMMENT_END.finditer(html):
+        ends = m.end()
+    return html[:ends] + html[ends:].replace("<!--", "<! ")
+
+
+def parsed(html: str, sure: bool = True) -> _Lines:
+    p = _Lines(sure)
+    p.feed(mended(html))
     p.close()
     p.flush()
     return p
@@ -237,6 +279,9 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     page = parsed(html)
+    sentence = lambda x: len(x.text) - x.linked >= SENTENCE
+    if not any(sentence(x) for x in page.lines if not x.out) and any(map(sentence, page.lines)):
+        page = parsed(html, sure=False)
     lines = page.lines
     texts = np.array([len(x.text) for x in lines])
     judged = np.array([not x.out for x in lines], bool)
