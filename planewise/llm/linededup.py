@@ -279,7 +279,7 @@ def digests(docs: DataFrame, **settings: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, **settings: int) -> DataFrame:
-    """``docs`` with all its columns, the text without its dropped lines, and n_chars, if there, counted anew.
+    """``docs`` with all its columns, the text without its dropped lines, and n_chars, if there and a whole number, counted anew.
 
     A null text stays null.
     """
@@ -291,8 +291,9 @@ def dedup(docs: DataFrame, **settings: int) -> DataFrame:
             was = b.column("text").to_pylist()
             texts = [kept_text(x, d) if d else t for t, x, d in zip(was, lines, drops, strict=True)]
             out["text"] = pa.array(texts, pa.string())
-            if "n_chars" in out:
-                out["n_chars"] = pa.array([len(t) if d else n for t, n, d in zip(texts, b.column("n_chars").to_pylist(), drops, strict=True)], pa.int64())
+            if "n_chars" in out and pa.types.is_integer(out["n_chars"].type):
+                kind = out["n_chars"].type
+                out["n_chars"] = pa.array([len(t) if d else n for t, n, d in zip(texts, b.column("n_chars").to_pylist(), drops, strict=True)], kind)
         return out
 
     return drop_lines(docs, docs.schema, finish, **settings)

@@ -195,6 +195,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Equal texts are one group.  Rows with a null doc_id can't be told apart and stay;
     rows that repeat a kept doc_id stay with it; an empty table gives no rows.
     """
-    kept = group(docs).where("node = root").select(F.col("node").alias("__kept")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    held = next(x for k in range(len(docs.columns) + 1) if (x := f"kept_{k}") not in docs.columns)  # a name that no column has
+    kept = group(docs).where("node = root").select(F.col("node").alias(held)).distinct()
+    known = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id").cast("long") == F.col(held), "left_semi")
     return known.unionByName(docs.where(F.col("doc_id").isNull()))

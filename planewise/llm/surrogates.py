@@ -34,6 +34,7 @@ from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from planewise.llm.common import cut
 
@@ -116,6 +117,9 @@ def key_of(spark: SparkSession, secret: str | None = None) -> Key:
     return Key(secret)
 
 
+#: What looks like an entity and is none; it stays.
+NUMBER = "NUMBER"
+NO_ENTITIES = "CAST(array() AS ARRAY<STRUCT<kind: STRING, canon: STRING, gender: INT>>)"
 _names = count()
 NO_STRINGS = "CAST(array() AS ARRAY<STRING>)"
 
@@ -141,8 +145,9 @@ def _characters(s: str, body: Callable[[str, str], str]) -> str:
 
 
 def kind_of(m: str) -> str:
-    """The type of a mention, tried in the order of ``PATTERNS``."""
-    return "CASE " + " ".join(f"WHEN {m} RLIKE {quoted(f'^(?:{p})$')} THEN '{name}'" for name, p in PATTERNS.items()) + " END"
+    """The type of a mention, tried in the order of ``PATTERNS``; ungrouped digits that fail the Luhn check are a number (a time, a key), no card, unless they are sixteen."""
+    card = rf"IF({m} RLIKE '[ \\-]' OR length({m}) = 16 OR {luhn_sum(m)} % 10 = 0, 'CARD', '{NUMBER}')"
+    return "CASE " + " ".join(f"WHEN {m} RLIKE {quoted(f'^(?:{p})$')} THEN {card if name == 'CARD' else quoted(name)}" for name, p in PATTERNS.items()) + " END"
 
 
 def digits_of(m: str) -> str:
@@ -176,7 +181,7 @@ def entities_of(m: str, kind: str) -> str:
     person = let(names_of(m), lambda ns: each(ns, lambda n, i: one(f"IF({i} = size({ns}) - 1, 'SURNAME', 'GIVEN')", f"lower({n})", gender_of(m))))
     canon = f"""CASE WHEN {kind} = 'PHONE' THEN right({digits_of(m)}, 10) WHEN {kind} IN ('CARD', 'SSN') THEN {digits_of(m)} WHEN {kind} = 'IBAN' THEN replace({m}, ' ', '')
         WHEN {kind} = 'EMAIL' THEN lower({m}) WHEN {kind} = 'IPV6' THEN array_join({groups_of(m)}, ':') ELSE {m} END"""
-    return f"CASE WHEN {kind} = 'PERSON' THEN {person} ELSE array({one(kind, canon, str(UNKNOWN))}) END"
+    return f"CASE WHEN {kind} = 'PERSON' THEN {person} WHEN {kind} = '{NUMBER}' THEN {NO_ENTITIES} ELSE array({one(kind, canon, str(UNKNOWN))}) END"
 
 
 def _number(h: str, i: str | int) -> str:
@@ -279,12 +284,18 @@ def _public(h: str) -> str:
     return f"concat_ws('.', element_at(array({', '.join(firsts)}), {_number(h, 0)} % {len(firsts)} + 1), {rest})"
 
 
-def _shaped_groups(canon: str, h: str) -> str:
-    """The groups of an IPv6 address with zeros at the front of a group kept, so that it is shortened the same way."""
+def _shaped_groups(canon: str, h: str, extra: str) -> str:
+    """The groups of an IPv6 address with zeros at the front of a group kept, so that it is shortened the same way.
+
+    ``extra`` of these zeros become digits too, so that later attempts reach ever more
+    addresses, all of them in the end.  Link-local and unique-local addresses keep what
+    makes them so, and no other becomes one.
+    """
 
     def group(g: str, k: str) -> str:
-        digit = lambda z, i: f"CASE WHEN {i} < {z} THEN '0' WHEN {i} = {z} THEN {_pick('123456789abcdef', _number(h, f'{k} * 4 + {i}'))} ELSE {_pick('0123456789abcdef', _number(h, f'{k} * 4 + {i}'))} END"
-        return let(f"length(regexp_extract({g}, '^(0*)', 1))", lambda z: f"concat({', '.join(digit(z, i) for i in range(4))})")
+        digit = lambda z, i: f"CASE WHEN {i} < {z} THEN '0' WHEN {i} = {z} THEN IF({k} = 0 AND {i} = 0, {_pick('123456789abcde', _number(h, f'{k} * 4 + {i}'))}, {_pick('123456789abcdef', _number(h, f'{k} * 4 + {i}'))}) ELSE {_pick('0123456789abcdef', _number(h, f'{k} * 4 + {i}'))} END"
+        made = let(f"greatest(0, length(regexp_extract({g}, '^(0*)', 1)) - greatest(0, {extra}))", lambda z: f"concat({', '.join(digit(z, i) for i in range(4))})")
+        return let(made, lambda x: f"CASE WHEN {k} = 0 AND {g} RLIKE '^fe[89ab]' THEN {g} WHEN {k} = 0 AND {g} RLIKE '^f[cd]' THEN concat(left({g}, 2), right({x}, 2)) ELSE {x} END")
 
     return f"array_join({each(f"split({canon}, ':')", group)}, ':')"
 
@@ -334,7 +345,7 @@ def _surrogate(e: str, h: str, key: Key) -> str:
         f"{kind} = 'EMAIL'": let(rf"split(substring_index({canon}, '@', -1), '\\.')", mail),
         f"{kind} = 'IPV4' AND {canon} RLIKE {quoted(PRIVATE)}": _private(canon, key),
         f"{kind} = 'IPV4'": _public(h),
-        f"{kind} = 'IPV6'": _shaped_groups(canon, h),
+        f"{kind} = 'IPV6'": _shaped_groups(canon, h, extra),
         f"{kind} = 'SECRET' AND {canon} RLIKE '^(?:[0-9a-f]+|[0-9A-F]+)$'": hexadecimal,
         f"{kind} = 'SECRET'": f"concat(left({canon}, 4), substr({mapped}, 5))",
         f"{kind} = 'CARD'": _card(canon, h),
@@ -362,10 +373,17 @@ def _laid_spaces(m: str, s: str) -> str:
 
 
 def _laid_groups(m: str, s: str) -> str:
-    """The groups of ``s`` in the places and lengths of those of ``m``."""
-    laid = lambda side, first: f"array_join({each(_groups(side), lambda g, i: f"right(element_at(split({s}, ':'), CAST({first} + {i} + 1 AS INT)), length({g}))")}, ':')"
-    after = lambda x: f"8 - size({_groups(f'element_at({x}, -1)')})"
-    of = lambda x: f"IF(size({x}) = 1, {laid(f'{x}[0]', 0)}, concat({laid(f'{x}[0]', 0)}, '::', {laid(f'element_at({x}, -1)', after(x))}))"
+    """The groups of ``s`` in the places of those of ``m``, as long as those or, if they need it, longer; all eight if ``m`` leaves out one that ``s`` has."""
+    shown = lambda g, n: let(g, lambda x: f"right({x}, greatest({n}, length(regexp_replace({x}, '^0+', ''))))")
+    laid = lambda side, first: f"array_join({each(_groups(side), lambda g, i: shown(f"element_at(split({s}, ':'), CAST({first} + {i} + 1 AS INT))", f'length({g})'))}, ':')"
+    sizes = lambda x: (f"size({_groups(f'{x}[0]')})", f"size({_groups(f'element_at({x}, -1)')})")
+    whole = f"array_join({each(f"split({s}, ':')", lambda g, _: shown(g, '1'))}, ':')"
+
+    def of(x: str) -> str:
+        before, behind = sizes(x)
+        left_out = f"exists(slice(split({s}, ':'), {before} + 1, greatest(0, 8 - {before} - {behind})), g -> g <> '0000')"
+        return f"CASE WHEN size({x}) = 1 THEN {laid(f'{x}[0]', 0)} WHEN {left_out} THEN {whole} ELSE concat({laid(f'{x}[0]', 0)}, '::', {laid(f'element_at({x}, -1)', f'8 - {behind}')}) END"
+
     return let(let(f"split({m}, '::')", of), lambda out: f"IF({m} = upper({m}), upper({out}), {out})")
 
 
@@ -397,7 +415,7 @@ def replacement(m: str, known: str | None, key: Key) -> str:
         """From (kind, surrogates of the entities)."""
         named = each(names_of(m), lambda was, i: _laid_name(was, f"{x}.now[{i}]"))
         person = row(f"concat(regexp_extract({m}, {quoted(BEFORE_NAMES)}, 0), array_join({named}, ' '))", f"transform({names_of(m)}, x -> lower(x))", f"{x}.now")
-        return f"CASE WHEN {x}.kind = 'PERSON' THEN {person} ELSE {row(laid(f'{x}.kind', f'{x}.now[0]'), NO_STRINGS, NO_STRINGS)} END"
+        return f"CASE WHEN {x}.kind = 'PERSON' THEN {person} WHEN {x}.kind = '{NUMBER}' THEN {row(m, NO_STRINGS, NO_STRINGS)} ELSE {row(laid(f'{x}.kind', f'{x}.now[0]'), NO_STRINGS, NO_STRINGS)} END"
 
     return let(kind_of(m), lambda k: let(f"named_struct('kind', {k}, 'now', {each(entities_of(m, k), lambda x, _: of(x))})", done))
 
@@ -493,13 +511,14 @@ def replace(docs: DataFrame, key: Key, most_inline: int = MOST_INLINE) -> DataFr
 def surrogates(docs: DataFrame, key: str | None = None, **settings: int) -> DataFrame:
     """doc_id, text with surrogates, n_mentions and the mentions' kinds of every row; further columns aren't read."""
     out = replace(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key_of(docs.sparkSession, key), **settings)
-    return out.select("row.doc_id", "text", F.size("found").cast("long").alias("n_mentions"), F.expr(f"transform(found, m -> {kind_of('m')})").alias("kinds"))
+    kinds = F.expr(f"filter(transform(found, m -> {kind_of('m')}), k -> k <> '{NUMBER}')")
+    return out.select("row.doc_id", "text", kinds.alias("kinds")).select("doc_id", "text", F.size("kinds").cast("long").alias("n_mentions"), "kinds")
 
 
 def replaced(docs: DataFrame, key: str | None = None, **settings: int) -> DataFrame:
-    """``docs`` with exactly its own columns, the text rewritten and n_chars, if there, counted anew where it was."""
+    """``docs`` with exactly its own columns, the text rewritten and n_chars, if there and a whole number, counted anew where it was."""
     out = replace(docs, key_of(docs.sparkSession, key), **settings)
     own = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
-    if "n_chars" in own:
+    if "n_chars" in own and isinstance(docs.schema["n_chars"].dataType, IntegralType):
         own["n_chars"] = F.when(F.size("found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
     return out.select(*(c.alias(n) for n, c in own.items()))
