@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from planewise.functions import vectors
 from planewise.functions.metrics import REGISTRY
-from planewise.operators import blocks, diagnostics, moments, neighbors, pairs, projection, selection
+from planewise.operators import blocks, cells, diagnostics, moments, neighbors, pairs, projection, selection
 from planewise.operators.neighbors import result
 from planewise import plane_sql
-from planewise.plans import bases, catalog, rashomon, tours
+from planewise.plans import bases, catalog, rashomon, tours, transitions
 from planewise.sources import datasets, tables
 from planewise.sources.tables import ACTIVITIES, BELIEFS, EMBEDDINGS, MIXES
 
@@ -157,6 +157,40 @@ a AS (SELECT object_id, {_ROOT} AS w FROM va), b AS (SELECT object_id, {_ROOT} A
 SELECT a.object_id AS i, b.object_id AS j, {_r(_DISTANCES['hellinger'][0])} AS distance FROM a, b"""
 _register("dist_cross_sets", _cross_sets, _CROSS)
 _register("dist_cross_sets_whole", _cross_sets, _CROSS)
+
+
+# -- metric index ------------------------------------------------------------------------------
+
+
+def _cells(reader: Query, dimension: int, metric: str, **settings: object) -> Query:
+    """Neighbours by pivots and cells."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        m = REGISTRY.compatible(metric, "probability")
+        return cells.neighbours(blocks.placed(reader(s, d), "vec", dimension, m, []), dimension, m, K, **settings)
+
+    return run
+
+
+#: Cells that the approximate search visits, of about the root of the number of points.
+PROBES = 24
+RECALL = 0.9
+_ASKED = "cast(substring(object_id, 5) AS INT) % 50 = 0"
+_register("knn_exact_index", _cells(tables.beliefs, 10, "hellinger"), _knn_sql(BELIEFS, "hellinger"))
+_register("knn_exact_index_divergence", _cells(tables.activities, 5, "jensen_shannon"), _knn_sql(ACTIVITIES, "jensen_shannon"))
+_register("knn_approximate", _cells(tables.beliefs, 10, "fisher_rao", probes=PROBES))
+
+
+def _recall(s: SparkSession, d: str) -> DataFrame:
+    """The approximate search against the exact one, for the ids divisible by 50 among all rows."""
+    exact = _cells(tables.beliefs, 10, "fisher_rao", asked=F.expr(_ASKED))(s, d)
+    found = cells.recall(_cells(tables.beliefs, 10, "fisher_rao", probes=PROBES, asked=F.expr(_ASKED))(s, d), exact)
+    whole = exact.agg(result(F.avg("distance"), 5).alias("mean_distance"), F.count_distinct("src_id").alias("n_queries"))
+    return found.crossJoin(whole).select("n_queries", "n_neighbors", "mean_distance", (F.col("recall") >= RECALL).alias("recall_reached"))  # one row and one
+
+
+_register("knn_recall", _recall, f"SELECT count(DISTINCT src_id) AS n_queries, count(*) AS n_neighbors, {_r('avg(distance)', 5)} AS mean_distance, true AS recall_reached FROM ({_knn_sql(BELIEFS, 'fisher_rao')}) WHERE CAST(substr(src_id, 5) AS INTEGER) % 50 = 0")
+
 _register(
     "rank_matrix_topn",
     lambda s, d: neighbors.block_ranks(_near(tables.activities, 5, "hellinger", 20, (PLANE,))(s, d)).where("rh <= 20"),
@@ -210,7 +244,6 @@ _register("isotropic_view", lambda s, d: projection.rounded(projection.isotropic
 
 # -- neighbourhoods and diagnostics ----------------------------------------------------------------
 
-_viewed = _space(tables.beliefs, 10, "fisher_rao", PLANE)
 _RANKS = f"{_pairs_sql(BELIEFS, 'fisher_rao', plane=PLANE)}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(h, 9), j) AS rh, row_number() OVER (PARTITION BY i ORDER BY round(l, 9), j) AS rl FROM pr)"
 _CLASSES = f"{_RANKS}, c AS (SELECT i AS src_id, j AS neighbor_id, CASE WHEN rh <= {K} AND rl <= {K} THEN 'preserved' WHEN rh <= {K} THEN 'torn' ELSE 'false' END AS class, CAST(rh AS INTEGER) AS source_rank, CAST(rl AS INTEGER) AS view_rank FROM r WHERE rh <= {K} OR rl <= {K})"
 
@@ -259,7 +292,7 @@ def _ranked(s: SparkSession, d: str) -> tuple[DataFrame, int]:
 
 _register("trustworthiness", lambda s, d: diagnostics.trustworthiness(*_ranked(s, d), K), f"{_RANKS} SELECT {_T} AS trustworthiness FROM r")
 _register("continuity", lambda s, d: diagnostics.continuity(*_ranked(s, d), K), f"{_RANKS} SELECT {_C} AS continuity FROM r")
-_register("kruskal_stress", lambda s, d: diagnostics.stress(pairs.pairs(_viewed(s, d), unordered=True)), f"{_RANKS} SELECT {_S} AS stress FROM r WHERE i < j")
+_register("kruskal_stress", lambda s, d: diagnostics.stress_of_blocks(_near(tables.beliefs, 10, "fisher_rao", 1, (PLANE,), ranks=(), sums=True)(s, d)), f"{_RANKS} SELECT {_S} AS stress FROM r WHERE i < j")
 
 
 def _summary(s: SparkSession, d: str) -> DataFrame:
@@ -269,13 +302,18 @@ def _summary(s: SparkSession, d: str) -> DataFrame:
 _register("diagnostics_summary", _summary, f"{_RANKS} SELECT {_T} AS trustworthiness, {_C} AS continuity, {_S} AS stress, count(*) FILTER (WHERE rh <= {K} AND rl <= {K}) AS preserved, count(*) FILTER (WHERE rh <= {K} AND rl > {K}) AS torn, count(*) FILTER (WHERE rl <= {K} AND rh > {K}) AS false_neighbors FROM r")
 
 _DISTORTION = f"{_pairs_sql(BELIEFS, 'fisher_rao', plane=PLANE)}, m AS (SELECT avg(h) FILTER (WHERE h > 0) AS mh, avg(l) FILTER (WHERE l > 0) AS ml FROM pr), d AS (SELECT i AS object_id, coalesce(avg(CASE WHEN h / mh > 1e-6 THEN (l / ml) / (h / mh) END), 1.0) AS distortion FROM pr, m GROUP BY i)"
-_register("point_distortion", lambda s, d: diagnostics.point_distortion(pairs.pairs(_viewed(s, d))).withColumn("distortion", result(F.col("distortion"))), f"{_DISTORTION} SELECT object_id, {_r('distortion')} AS distortion FROM d")
+def _distorted(s: SparkSession, d: str) -> DataFrame:
+    metric = REGISTRY.get("fisher_rao")
+    placed = blocks.placed(tables.beliefs(s, d), "vec", 10, metric, [tuple(F.col("vec")[k] for k in PLANE)])
+    return diagnostics.distortion_of_blocks(placed, 10, metric)
+
+
+_register("point_distortion", lambda s, d: _distorted(s, d).withColumn("distortion", result(F.col("distortion"))), f"{_DISTORTION} SELECT object_id, {_r('distortion')} AS distortion FROM d")
 
 
 def _grid(s: SparkSession, d: str) -> DataFrame:
     v = tables.beliefs(s, d).select("object_id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
-    distorted = diagnostics.point_distortion(pairs.pairs(_viewed(s, d)))
-    return diagnostics.grid(v.join(distorted, "object_id"), diagnostics.bounds(v), 16)
+    return diagnostics.grid(v.join(_distorted(s, d), "object_id"), diagnostics.bounds(v), 16)
 
 
 _register("distortion_grid", _grid, f"""{_DISTORTION}, q AS (SELECT object_id, vec[1] AS x, vec[2] AS y FROM v),
@@ -489,6 +527,38 @@ def _angles(s: SparkSession, d: str) -> DataFrame:
 _register("subspace_angles", _angles, "SELECT * FROM (VALUES ('tilted', 0.0::DOUBLE, 45.0::DOUBLE, 45.0::DOUBLE, 'divergent'), ('opposite', 90.0, 90.0, round(90 * sqrt(2), 2), 'divergent')) AS t(pair, theta_1_deg, theta_2_deg, grassmannian_dist_deg, interpretation)")
 
 
+# -- transitions -----------------------------------------------------------------------------------
+
+
+def _later_beliefs(s: SparkSession, d: str) -> DataFrame:
+    """Beliefs of the same objects from their next ten entries."""
+    v = tables.embeddings(s, d)
+    return v.select("object_id", vectors.softmax(F.transform(F.slice("vec", 11, 10), lambda x: x * 8.0)).alias("vec"))
+
+
+_BOTH = f"""{BELIEFS.sql}, e2 AS (SELECT 'vec_' || lpad(vec_id::VARCHAR, 6, '0') AS object_id, list_transform(embedding[11:20]::DOUBLE[], lambda x: exp(8 * x)) AS e FROM embeddings),
+ab AS (SELECT v.object_id, v.vec AS p, list_transform(e2.e, lambda x: x / list_sum(e2.e)) AS q FROM v JOIN e2 USING (object_id))"""
+_GEODESIC = f"""WITH {_BOTH}, g AS (SELECT *, acos(least(1.0, list_sum(list_transform(range(1, 11), lambda k: sqrt(p[k] * q[k]))))) AS angle FROM ab),
+f AS (SELECT *, f / 4.0::DOUBLE AS tau FROM g, unnest(range(0, 5)) AS u(f))
+SELECT CAST(f AS INTEGER) AS frame, object_id, CAST(k - 1 AS INTEGER) AS k, {_r('((sin((1 - tau) * angle) * sqrt(p[k]) + sin(tau * angle) * sqrt(q[k])) / sin(angle)) ** 2')} AS value FROM f, unnest(range(1, 11)) AS t(k)"""
+_register("domain_geodesic_frames", lambda s, d: transitions.domain_geodesic(tables.beliefs(s, d), _later_beliefs(s, d), 5).select("frame", "object_id", F.posexplode("vec").alias("k", "value")).withColumn("value", result(F.col("value"))), _GEODESIC)
+
+
+def _morph(s: SparkSession, d: str) -> DataFrame:
+    """From the plane of the first two classes to that of their roots' next two."""
+    v = tables.beliefs(s, d)
+    ends = [projection.project(df, _axis_plane(10, plane)).select("object_id", "x", "y") for df, plane in ((v, (0, 1)), (v.withColumn("vec", vectors.sqrt_probability(F.col("vec"))), (2, 3)))]
+    return projection.rounded(transitions.procrustes_morph(*ends, 5), "x", "y")
+
+
+_MORPH = f"""WITH {BELIEFS.sql}, c AS (SELECT object_id, vec[1] - avg(vec[1]) OVER () AS ax, vec[2] - avg(vec[2]) OVER () AS ay, sqrt(vec[3]) - avg(sqrt(vec[3])) OVER () AS dx, sqrt(vec[4]) - avg(sqrt(vec[4])) OVER () AS dy, avg(vec[1]) OVER () AS mx, avg(vec[2]) OVER () AS my FROM v),
+m AS (SELECT sum(dx * ax) AS xx, sum(dx * ay) AS xy, sum(dy * ax) AS yx, sum(dy * ay) AS yy, sum(dx * dx + dy * dy) AS bb FROM c),
+o AS (SELECT *, sqrt((xx + yy) ** 2 + (xy - yx) ** 2) AS turn, sqrt((xx - yy) ** 2 + (xy + yx) ** 2) AS flip FROM m),
+r AS (SELECT CASE WHEN turn >= flip THEN (xx + yy) / bb ELSE (xx - yy) / bb END AS co, CASE WHEN turn >= flip THEN (xy - yx) / bb ELSE (xy + yx) / bb END AS si, CASE WHEN turn >= flip THEN 1 ELSE -1 END AS sign FROM o),
+f AS (SELECT f, f / 4.0::DOUBLE AS tau FROM unnest(range(0, 5)) AS u(f))
+SELECT CAST(f AS INTEGER) AS frame, object_id, {_r('mx + (1 - tau) * ax + tau * (co * dx - sign * si * dy)')} AS x, {_r('my + (1 - tau) * ay + tau * (si * dx + sign * co * dy)')} AS y, false AS valid FROM c, r, f"""
+_register("procrustes_morph_frames", _morph, _MORPH)
+
 _register("point_metadata", lambda s, d: datasets.point_metadata(tables.beliefs(s, d), CLASS_NAMES).withColumn("confidence", result(F.col("confidence"))).withColumn("entropy", result(F.col("entropy"))), f"WITH {_PREDICTED} SELECT object_id, label, predicted_label, {_r('confidence')} AS confidence, {_r(_BITS)} AS entropy, coalesce(label = predicted_label, false) AS correct FROM p")
 _register("baseline_classifier", lambda s, d: _long(datasets.embedding_beliefs(s, d), F.col("vec")).withColumn("value", F.round("value", 2) + 0.0))
 

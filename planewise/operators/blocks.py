@@ -5,25 +5,28 @@ distances within a task are array arithmetic.  A task gives, of each left point,
 k nearest of its right block by each measure; the k nearest of all blocks are chosen
 among those.  Their ranks by the other measures are counts of nearer points, which a
 second meeting of the blocks adds up.  So what is shuffled are points times blocks and
-neighbours, never pairs.
+neighbours, never pairs.  Both sides have equally many blocks once there are more points
+than tasks need: each point is sent about as often as the root of the number of tasks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from planewise.conventions import ORDER_PLACES
 from planewise.functions.metrics import Metric
 from planewise.shipping import ship
 
 #: Points of a left and of a right block, about.
-LEFT_ROWS, RIGHT_ROWS = 2_000, 20_000
+LEFT_ROWS = RIGHT_ROWS = 20_000
 #: Left points whose distances to a right block are held at once, and right points that are measured at once (a cache's worth).
 HELD_ROWS, CACHED_ROWS = 64, 2_048
 MOST_PARTITIONS = 10_000
@@ -123,6 +126,11 @@ class _Meeting:
         return pd.DataFrame(rows, columns=["i", "j", *(f"c{m}" for m in range(1 + self.views))])
 
 
+def shape(n: int, cores: int) -> tuple[int, int]:
+    """Numbers of left and of right blocks for ``n`` points; few points have more left blocks, so that all cores work."""
+    return max(min(2 * cores, math.ceil(n / HELD_ROWS)), math.ceil(n / LEFT_ROWS), 1), max(1, math.ceil(n / RIGHT_ROWS))
+
+
 def _blocks(points: DataFrame, n: int, own: str, other: str, others: int) -> GroupedData:
     """Points by their block and each block of the other side.
 
@@ -154,8 +162,7 @@ def neighbours(points: DataFrame, dimension: int, metric: Metric, views: int, k:
     n = points.count() if count is None else count
     lefts = points if target is None else points.where(F.col("object_id") == target)
     cores = points.sparkSession.sparkContext.defaultParallelism
-    nl = 1 if target is not None else max(min(2 * cores, math.ceil(n / HELD_ROWS)), math.ceil(n / LEFT_ROWS), 1)
-    nr = max(1, math.ceil(n / RIGHT_ROWS))
+    nl, nr = shape(n, cores) if target is None else (1, shape(n, cores)[1])
     again = points.select(*(F.col(c).alias(c) for c in points.columns))  # columns of its own: both sides are the same points
     right = _blocks(again, nr, "__r", "__l", nl)
     met = _blocks(lefts, nl, "__l", "__r", nr).cogroup(right)
@@ -176,3 +183,58 @@ def neighbours(points: DataFrame, dimension: int, metric: Metric, views: int, k:
         whole = counted.groupBy("i", "j").agg(*((F.sum(f"c{m}") + 1).alias(r) for m, r in enumerate(measured)))
         near = near.drop(*measured).join(whole, ["i", "j"]).select(*meeting.columns())
     return near.unionByName(first.where(F.col("i").isNull())) if sums else near
+
+
+class _Sums:
+    """Sums of a left and a right block over all pairs of different points: by the metric (h) and in the plane (l)."""
+
+    def __init__(self, metric: Metric, dimension: int) -> None:
+        self.meeting = _Meeting(metric, dimension, 1, 1)
+
+    def parts(self, left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+        """Some left points with their distances and what is a pair."""
+        for first in range(0, len(left), HELD_ROWS):
+            part = left.iloc[first : first + HELD_ROWS]
+            h, l = self.meeting.measures(part, right)
+            yield part, h, l, np.isfinite(h)
+
+    def means(self, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Sums and numbers of the positive distances."""
+        total = np.zeros(4)
+        for _, h, l, pair in self.parts(left, right):
+            total += [h[pair].sum(), (h[pair] > 0).sum(), l[pair].sum(), (l[pair] > 0).sum()]
+        return pd.DataFrame([total], columns=["h", "nh", "l", "nl"])
+
+    def ratios(self, left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.DataFrame:
+        """For each left point the sum and number of l / h over pairs with h above ``least``."""
+        out = []
+        for part, h, l, pair in self.parts(left, right):
+            told = pair & (h > least)
+            ratio = np.divide(l, h, out=np.zeros_like(h), where=told)
+            out.append(pd.DataFrame({"i": part["object_id"].to_numpy(), "ratio": ratio.sum(axis=1), "n": told.sum(axis=1)}))
+        return pd.concat(out)
+
+
+def mean_distances(points: DataFrame, dimension: int, metric: Metric, count: int) -> tuple[float, float]:
+    """Means of the positive distances by the metric and in plane 0 of ``placed`` points; 1 if there are none."""
+    sums = _Sums(metric, dimension)
+    empty = pd.DataFrame(columns=["h", "nh", "l", "nl"])
+    parts = _meet(points, count).applyInPandas(lambda a, b: sums.means(a, b) if len(a) and len(b) else empty, "h double, nh double, l double, nl double")
+    s = parts.agg(*(F.sum(c).alias(c) for c in ("h", "nh", "l", "nl"))).first()
+    return tuple(s[c] / s[n] if s[n] else 1.0 for c, n in (("h", "nh"), ("l", "nl")))
+
+
+def ratio_sums(points: DataFrame, dimension: int, metric: Metric, count: int, least: float) -> DataFrame:
+    """(i, ratio, n): sum and number of the ratios of plane to metric distance of each point, over pairs further than ``least`` by the metric."""
+    sums = _Sums(metric, dimension)
+    empty = pd.DataFrame(columns=["i", "ratio", "n"])
+    parts = _meet(points, count).applyInPandas(lambda a, b: sums.ratios(a, b, least) if len(a) and len(b) else empty, "i string, ratio double, n long")
+    return parts.groupBy("i").agg(F.sum("ratio").alias("ratio"), F.sum("n").alias("n"))
+
+
+def _meet(points: DataFrame, count: int) -> PandasCogroupedOps:
+    """Every left block with every right one."""
+    ship(points.sparkSession)
+    nl, nr = shape(count, points.sparkSession.sparkContext.defaultParallelism)
+    again = points.select(*(F.col(c).alias(c) for c in points.columns))
+    return _blocks(points, nl, "__l", "__r", nr).cogroup(_blocks(again, nr, "__r", "__l", nl))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from planewise.conventions import STABLE_OVERLAP, VOLATILE_OVERLAP
+from planewise.functions.metrics import Metric
+from planewise.operators import blocks
 from planewise.operators.neighbors import both_ranks, ranked, result
 
 
@@ -84,6 +86,25 @@ def point_distortion(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("i").agg(F.coalesce(F.avg(ratio), F.lit(1.0)).alias("distortion")).withColumnRenamed("i", "object_id")
 
 
+def stress_of_blocks(near: DataFrame) -> DataFrame:
+    """Kruskal's stress-1 from the sums of ``blocks.neighbours``."""
+    hh, ll, hl = (F.sum(c) for c in ("hh", "ll", "hl"))
+    scaled = F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.try_divide(hl * hl, hh * ll)))
+    return near.agg(result(F.when(F.coalesce(hh, F.lit(0.0)) == 0, 0.0).when(ll == 0, 1.0).otherwise(scaled)).alias("stress"))
+
+
+def distortion_of_blocks(placed: DataFrame, dimension: int, metric: Metric) -> DataFrame:
+    """(object_id, distortion) of ``blocks.placed`` points with one plane: mean ratio of view to source distance, each over its positive mean; near-zero sources are skipped, 1 if all are.
+
+    One meeting of the blocks gives the means, a second the ratios' sums.
+    """
+    n = placed.count()
+    mh, ml = blocks.mean_distances(placed, dimension, metric, n)
+    sums = blocks.ratio_sums(placed, dimension, metric, n, 1e-6 * mh)
+    mean = F.try_divide(F.col("ratio") * (mh / ml), F.col("n"))
+    return sums.select(F.col("i").alias("object_id"), F.coalesce(mean, F.lit(1.0)).alias("distortion"))
+
+
 def bounds(points: DataFrame) -> dict[str, float]:
     """The plane's extent padded by 12 % and by 0.05 at least."""
     r: Row = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()

@@ -40,7 +40,7 @@ def _partial(dimension: int, shift: np.ndarray) -> object:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)[:, :dimension] - shift
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dimension) - shift
             labels = b.column(0).dictionary_encode()
             codes = labels.indices.fill_null(-1).to_numpy(zero_copy_only=False)
             for code in np.unique(codes):
@@ -64,8 +64,10 @@ def _unpack(values: np.ndarray, dimension: int, shift: np.ndarray) -> Moments:
 
 
 def _moments_of(points: DataFrame, dimension: int, label: Column, vec: str) -> dict[str | None, Moments]:
-    """Moments of each label's rows; sums are taken about a first row, so that large offsets don't cancel digits."""
-    read = points.where(F.col(vec).isNotNull()).select(label.cast("string").alias("label"), F.col(vec).cast("array<double>").alias("vec"))
+    """Moments of each label's rows that have all ``dimension`` entries; rows with a null or missing entry or a NaN are left out, further entries aren't read.  Sums are taken about a first row, so that large offsets don't cancel digits."""
+    whole = (F.size(vec) >= dimension) & ~F.exists(F.slice(vec, 1, dimension), lambda x: x.isNull() | F.isnan(x))
+    entries = F.slice(F.col(vec).cast("array<double>"), 1, dimension)
+    read = points.where(F.col(vec).isNotNull() & whole).select(label.cast("string").alias("label"), entries.alias("vec"))
     one = read.select("vec").first()
     if one is None:
         return {}

@@ -222,11 +222,13 @@ class Workbench:
         return neighbors.drawn(self.topology(dataset, representation, metric, view_id, k), placed)
 
     def distortion_grid(self, dataset: str = "calibration_3class", representation: str = "probability", metric: str = "euclidean", view_id: str = "pca_corners", resolution: int = 32) -> dict[str, Any]:
-        both, frame, _ = self._pairs(dataset, representation, metric, view_id)
-        placed = frame.select("object_id", "x", "y")
+        d, m, v = self.dataset(dataset), REGISTRY.compatible(metric, representation), F.col("vec")
+        basis = self._view(dataset, representation, view_id)
+        whole = blocks.placed(self._points(dataset, representation), "vec", d.dimension, m, [(projection.along(v, basis[:, 0]), projection.along(v, basis[:, 1]))])
+        placed = whole.select("object_id", F.col("x0").alias("x"), F.col("y0").alias("y"))
         box = diagnostics.bounds(placed)
         n = max(8, min(64, resolution))
-        cells = {(r["row"], r["col"]): r["mean_distortion"] for r in diagnostics.grid(placed.join(diagnostics.point_distortion(both), "object_id"), box, n).collect()}
+        cells = {(r["row"], r["col"]): r["mean_distortion"] for r in diagnostics.grid(placed.join(diagnostics.distortion_of_blocks(whole, d.dimension, m), "object_id"), box, n).collect()}
         return {"grid": [[cells.get((i, j)) for j in range(n)] for i in range(n)], "bounds": box}
 
     def subspace_angles(self, dataset: str = "calibration_3class", representation: str = "probability", view_a: str = "pca_corners", view_b: str = "fisher_lda") -> dict[str, Any]:
