@@ -29,7 +29,8 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -120,6 +121,8 @@ def key_of(spark: SparkSession, secret: str | None = None) -> Key:
 #: What looks like an entity and is none; it stays.
 NUMBER = "NUMBER"
 NO_ENTITIES = "CAST(array() AS ARRAY<STRUCT<kind: STRING, canon: STRING, gender: INT>>)"
+#: The parser learns from every text it reads and keeps that; from texts as long as these it would keep some hundred MB on the driver.
+PARSER_SETTINGS = {"spark.sql.parser.manageParserCaches": "true", "spark.sql.parser.parserDfaCacheFlushThreshold": "1000"}
 _names = count()
 NO_STRINGS = "CAST(array() AS ARRAY<STRING>)"
 
@@ -443,6 +446,19 @@ def rewritten(text: str, found: str, changed: str) -> str:
     return f"CASE WHEN size({found}) > 0 THEN {let(names, joined)} ELSE {text} END"
 
 
+@contextmanager
+def _lean_parser(spark: SparkSession) -> Iterator[None]:
+    """Within it the session's parser forgets what it learnt from a long text."""
+    before = {k: spark.conf.get(k, None) for k in PARSER_SETTINGS}
+    for k, v in PARSER_SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def entity_table(docs: DataFrame) -> DataFrame:
     """(kind, canon, gender, mixed) of all entities, once each.
 
@@ -510,14 +526,16 @@ def replace(docs: DataFrame, key: Key, most_inline: int = MOST_INLINE) -> DataFr
 
 def surrogates(docs: DataFrame, key: str | None = None, **settings: int) -> DataFrame:
     """doc_id, text with surrogates, n_mentions and the mentions' kinds of every row; further columns aren't read."""
-    out = replace(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key_of(docs.sparkSession, key), **settings)
+    with _lean_parser(docs.sparkSession):
+        out = replace(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key_of(docs.sparkSession, key), **settings)
     kinds = F.expr(f"filter(transform(found, m -> {kind_of('m')}), k -> k <> '{NUMBER}')")
     return out.select("row.doc_id", "text", kinds.alias("kinds")).select("doc_id", "text", F.size("kinds").cast("long").alias("n_mentions"), "kinds")
 
 
 def replaced(docs: DataFrame, key: str | None = None, **settings: int) -> DataFrame:
     """``docs`` with exactly its own columns, the text rewritten and n_chars, if there and a whole number, counted anew where it was."""
-    out = replace(docs, key_of(docs.sparkSession, key), **settings)
+    with _lean_parser(docs.sparkSession):
+        out = replace(docs, key_of(docs.sparkSession, key), **settings)
     own = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in own and isinstance(docs.schema["n_chars"].dataType, IntegralType):
         own["n_chars"] = F.when(F.size("found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
