@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planewise.functions import tables as table_functions
 from planewise.functions import vectors
 from planewise.functions.metrics import REGISTRY
 from planewise.operators import blocks, cells, diagnostics, moments, neighbors, pairs, projection, selection
@@ -527,6 +528,23 @@ def _angles(s: SparkSession, d: str) -> DataFrame:
 _register("subspace_angles", _angles, "SELECT * FROM (VALUES ('tilted', 0.0::DOUBLE, 45.0::DOUBLE, 45.0::DOUBLE, 'divergent'), ('opposite', 90.0, 90.0, round(90 * sqrt(2), 2), 'divergent')) AS t(pair, theta_1_deg, theta_2_deg, grassmannian_dist_deg, interpretation)")
 
 
+# -- table functions ---------------------------------------------------------------------------
+
+
+def _by_table_functions(s: SparkSession, d: str) -> DataFrame:
+    """Nearest neighbours written in SQL alone, each pair of blocks one call of a table function."""
+    table_functions.register(s)
+    points = tables.beliefs(s, d)
+    points.createOrReplaceTempView("planewise_beliefs")
+    sides = max(blocks.shape(points.count(), s.sparkContext.defaultParallelism)[1], 4)
+    return s.sql(f"""WITH dealt AS (SELECT * FROM dealt(TABLE(planewise_beliefs), {sides})),
+        near AS (SELECT * FROM neighbours(TABLE(dealt) PARTITION BY (a, b), {K}, 'aitchison')),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY round(distance, 9), neighbor_id) AS rank FROM near)
+        SELECT src_id, neighbor_id, CAST(rank AS INT) AS rank, round(distance, 6) + 0D AS distance FROM ranked WHERE rank <= {K}""")
+
+
+_register("knn_table_functions", _by_table_functions, _knn_sql(BELIEFS, "aitchison"))
+
 # -- transitions -----------------------------------------------------------------------------------
 
 
