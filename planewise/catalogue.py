@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from planewise.functions import tables as table_functions
 from planewise.functions import vectors
 from planewise.functions.metrics import REGISTRY
-from planewise.operators import blocks, cells, diagnostics, moments, neighbors, pairs, projection, selection
+from planewise.operators import blocks, cells, diagnostics, moments, neighbors, pairs, projection, selection, times
 from planewise.operators.neighbors import result
 from planewise import plane_sql
 from planewise.plans import bases, catalog, rashomon, tours, transitions
 from planewise.sources import datasets, tables
-from planewise.sources.tables import ACTIVITIES, BELIEFS, EMBEDDINGS, MIXES
+from planewise.sources.tables import ACTIVITIES, BELIEFS, EMBEDDINGS, EVENT_TYPES, MIXES
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = 5
@@ -486,21 +486,33 @@ def _rashomon(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(rows, "place int, id string, trustworthiness double, grassmann_degrees double")
 
 
-def _rashomon_sql() -> str:
-    """The candidates' planes, their trustworthiness, and the choice one by one; random planes come from their seeds alone."""
-    fitted = ", ".join([
+def _planes_sql() -> str:
+    """CTEs p1 to p4(a, b): the fitted planes of beliefs that Rashomon sets choose from."""
+    return ", ".join([
         plane_sql.scatter("sc", "v", "vec", 10), plane_sql.axes("ax", "sc", 10, 4), plane_sql.plane("p1", "ax1", "ax2"), plane_sql.plane("p2", "ax3", "ax4"),
         _classes_sql("label", "ay", "p3"), f"co AS (SELECT {plane_sql.combined('m', 'm', 10, '{a} / sqrt(m[ci][ci] * m[cj][cj])')} AS m FROM sc)", plane_sql.axes("az", "co", 10, 2), plane_sql.plane("p4", "az1", "az2"),
     ])
-    named = [f"SELECT {n} AS pos, '{name}' AS id, a, b FROM p{n + 1}" for n, name in enumerate(("pca_12", "pca_34", "fisher_lda", "covariance"))]
+
+
+_NAMED = [f"SELECT {n} AS pos, '{name}' AS id, a, b FROM p{n + 1}" for n, name in enumerate(("pca_12", "pca_34", "fisher_lda", "covariance"))]
+
+
+def _between(f: str, t: str) -> tuple[str, str, Callable[[str], str]]:
+    """SQL of two planes' 2 x 2 product: its squared size, its determinant, and the cosine of the smaller (+) or larger (-) angle from columns s and d."""
+    dot = lambda x, y: f"list_dot_product({f}.{x}, {t}.{y})"
+    size, det = " + ".join(f"{dot(x, y)} ** 2" for x in "ab" for y in "ab"), f"abs({dot('a', 'a')} * {dot('b', 'b')} - {dot('a', 'b')} * {dot('b', 'a')})"
+    return size, det, lambda sign: f"least(1.0, greatest(0.0, (sqrt(s + 2 * d) {sign} sqrt(greatest(s - 2 * d, 0.0))) / 2))"
+
+
+def _rashomon_sql() -> str:
+    """The candidates' planes, their trustworthiness, and the choice one by one; random planes come from their seeds alone."""
+    named = list(_NAMED)
     drawn = [bases.haar(10, 2, 42 + i) for i in range(rashomon.RANDOM_PLANES)]
     named += [f"SELECT {4 + i}, 'haar_{i:02d}', {plane_sql.literal(b[:, 0])}, {plane_sql.literal(b[:, 1])}" for i, b in enumerate(drawn)]
-    dot = lambda x, y: f"list_dot_product(f.{x}, t.{y})"
-    size, det = " + ".join(f"{dot(x, y)} ** 2" for x in "ab" for y in "ab"), f"abs({dot('a', 'a')} * {dot('b', 'b')} - {dot('a', 'b')} * {dot('b', 'a')})"
-    cosine = lambda sign: f"least(1.0, greatest(0.0, (sqrt(s + 2 * d) {sign} sqrt(greatest(s - 2 * d, 0.0))) / 2))"
+    size, det, cosine = _between("f", "t")
     k, n = rashomon.NEIGHBORS, "(SELECT count(*) FROM v)"
     scale = f"(CASE WHEN {k} <= {n} / 2.0 THEN 2.0 / ({n} * {k} * (2 * {n} - {3 * k} - 1)) ELSE 2.0 / ({n} * ({n} - {k}) * ({n} - {k} - 1)) END)"
-    return f"""WITH RECURSIVE {BELIEFS.sql}, {fitted}, pool AS ({' UNION ALL '.join(named)}),
+    return f"""WITH RECURSIVE {BELIEFS.sql}, {_planes_sql()}, pool AS ({' UNION ALL '.join(named)}),
 sr AS (SELECT a.object_id AS i, b.object_id AS j, row_number() OVER (PARTITION BY a.object_id ORDER BY round(list_distance(a.vec, b.vec), 9), b.object_id) AS rh FROM v a, v b WHERE a.object_id <> b.object_id),
 xy AS (SELECT pos, object_id, list_dot_product(vec, a) AS x, list_dot_product(vec, b) AS y FROM v, pool),
 vr AS (SELECT pos, i, j FROM (SELECT a.pos, a.object_id AS i, b.object_id AS j, row_number() OVER (PARTITION BY a.pos, a.object_id ORDER BY round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 9), b.object_id) AS rl FROM xy a JOIN xy b ON a.pos = b.pos AND a.object_id <> b.object_id) WHERE rl <= {k}),
@@ -513,19 +525,28 @@ FROM ord JOIN far ON far.p = 0 AND far.q = ord.pos, (SELECT taken FROM rec ORDER
 
 
 _register("rashomon_set", _rashomon, _rashomon_sql())
-#: Angles between literal planes: e0 e1 against e0 (e1 + e2)/sqrt 2, and against e2 e3.
-_TILTED = np.array([[1, 0], [0, np.sqrt(0.5)], [0, np.sqrt(0.5)], [0, 0], [0, 0]])
 
 
 def _angles(s: SparkSession, d: str) -> DataFrame:
+    """Angles between each two of the planes that beliefs are fitted with; only planes reach the driver."""
+    planes = [(name, b) for name, b in rashomon.pool(tables.beliefs(s, d), 10) if not name.startswith("haar")]
     rows = []
-    for name, b in (("tilted", _TILTED), ("opposite", _axis_plane(5, (2, 3)))):
-        t = np.degrees(bases.principal_angles(_axis_plane(5, PLANE), b))
-        rows.append((name, round(float(t[0]), 2) + 0.0, round(float(t[1]), 2) + 0.0, round(float(np.hypot(*t)), 2) + 0.0, diagnostics.angle_label(float(np.hypot(*t)))))
+    for n, (left, a) in enumerate(planes):
+        for right, b in planes[n + 1 :]:
+            t = np.degrees(bases.principal_angles(a, b))
+            rows.append((f"{left}, {right}", round(float(t[0]), 2) + 0.0, round(float(t[1]), 2) + 0.0, round(float(np.hypot(*t)), 2) + 0.0, diagnostics.angle_label(float(np.hypot(*t)))))
     return s.createDataFrame(rows, "pair string, theta_1_deg double, theta_2_deg double, grassmannian_dist_deg double, interpretation string")
 
 
-_register("subspace_angles", _angles, "SELECT * FROM (VALUES ('tilted', 0.0::DOUBLE, 45.0::DOUBLE, 45.0::DOUBLE, 'divergent'), ('opposite', 90.0, 90.0, round(90 * sqrt(2), 2), 'divergent')) AS t(pair, theta_1_deg, theta_2_deg, grassmannian_dist_deg, interpretation)")
+def _angles_sql() -> str:
+    """Cosines of the angles are the singular values of the 2 x 2 products, in closed form."""
+    size, det, cosine = _between("f", "t")
+    return f"""WITH RECURSIVE {BELIEFS.sql}, {_planes_sql()}, pool AS ({" UNION ALL ".join(_NAMED)}),
+c AS (SELECT f.id || ', ' || t.id AS pair, {size} AS s, {det} AS d FROM pool f, pool t WHERE f.pos < t.pos), g AS (SELECT pair, degrees(acos({cosine('+')})) AS u, degrees(acos({cosine('-')})) AS w FROM c)
+SELECT pair, {_r('u', 2)} AS theta_1_deg, {_r('w', 2)} AS theta_2_deg, {_r('sqrt(u ** 2 + w ** 2)', 2)} AS grassmannian_dist_deg, CASE WHEN sqrt(u ** 2 + w ** 2) < 15 THEN 'tight' WHEN sqrt(u ** 2 + w ** 2) < 45 THEN 'moderate' ELSE 'divergent' END AS interpretation FROM g"""
+
+
+_register("subspace_angles", _angles, _angles_sql())
 
 
 # -- table functions ---------------------------------------------------------------------------
@@ -545,6 +566,36 @@ def _by_table_functions(s: SparkSession, d: str) -> DataFrame:
 
 _register("knn_table_functions", _by_table_functions, _knn_sql(BELIEFS, "aitchison"))
 
+# -- joins by time -----------------------------------------------------------------------------
+
+
+def _asof(s: SparkSession, d: str) -> DataFrame:
+    """How much of the user's last day with events was of each event's type: its share in the composition that was known at the time."""
+    events = tables._read(s, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    daily = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), *(F.count_if(F.col("event_type") == k).alias(f"n{i}") for i, k in enumerate(EVENT_TYPES)))
+    daily = daily.select("user_id", F.date_add("day", 1).cast("timestamp_ntz").alias("ts"), "n", *(f"n{i}" for i in range(len(EVENT_TYPES))))
+    found = times.asof(events, daily, "user_id", "ts", spread="event_id")
+    own = F.coalesce(*(F.when(F.col("event_type") == k, F.col(f"right_n{i}")) for i, k in enumerate(EVENT_TYPES)))
+    return found.select("event_id", F.to_date("right_ts").cast("string").alias("as_of"), F.col("right_n").alias("n"), result(own / F.col("right_n")).alias("share"))
+
+
+_DAILY = ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS n{i}" for i, k in enumerate(EVENT_TYPES))
+_OWN = " ".join(f"WHEN '{k}' THEN n{i}" for i, k in enumerate(EVENT_TYPES))
+_register("asof_composition", _asof, f"WITH d AS (SELECT user_id, (ts::DATE + INTERVAL 1 DAY)::TIMESTAMP AS known, count(*) AS n, {_DAILY} FROM events GROUP BY 1, 2) SELECT event_id, strftime(known, '%Y-%m-%d') AS as_of, n, {_r(f'CASE event_type {_OWN} END / n')} AS share FROM events e ASOF LEFT JOIN d ON e.user_id = d.user_id AND e.ts >= d.known")
+
+TEN_MINUTES = 600_000_000
+
+
+def _followed(s: SparkSession, d: str) -> DataFrame:
+    """Each error and its user's events in the hours after it, as many as the error's value says."""
+    events = tables._read(s, d, "events").select("event_id", "user_id", "event_type", "value", times.micros(F.col("ts").cast("timestamp_ntz")).alias("at"))
+    spans = events.where("event_type = 'error'").select("event_id", "user_id", "at", (F.col("at") + F.round(F.col("value") * 3.6e9).cast("long")).alias("until"))
+    met = times.within(spans, events.drop("value"), "user_id", "at", "until", "at", TEN_MINUTES)
+    return met.groupBy("event_id").agg(F.count("*").alias("n"), F.count_if(F.col("point_event_type") == "purchase").alias("n_purchases"), (F.max("point_at") - F.min("point_at")).alias("span_us"))
+
+
+_register("events_after_errors", _followed, "WITH s AS (SELECT event_id, user_id, epoch_us(ts) AS a, epoch_us(ts) + round(value * 3.6e9)::BIGINT AS b FROM events WHERE event_type = 'error') SELECT s.event_id, count(*) AS n, count(*) FILTER (WHERE e.event_type = 'purchase') AS n_purchases, max(epoch_us(e.ts)) - min(epoch_us(e.ts)) AS span_us FROM s JOIN events e ON e.user_id = s.user_id AND epoch_us(e.ts) BETWEEN a AND b GROUP BY 1")
+
 # -- transitions -----------------------------------------------------------------------------------
 
 
