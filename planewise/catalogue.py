@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from planewise.functions import tables as table_functions
 from planewise.functions import vectors
 from planewise.functions.metrics import REGISTRY
-from planewise.operators import blocks, cells, diagnostics, moments, neighbors, pairs, projection, selection, times
+from planewise.operators import blocks, cells, diagnostics, moments, neighbors, pairs, profiles, projection, selection, times
 from planewise.operators.neighbors import result
 from planewise import plane_sql
 from planewise.plans import bases, catalog, rashomon, tours, transitions
 from planewise.sources import datasets, tables
 from planewise.sources.tables import ACTIVITIES, BELIEFS, EMBEDDINGS, EVENT_TYPES, MIXES
+from planewise.streaming import composition
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = 5
@@ -632,6 +633,50 @@ _register("point_metadata", lambda s, d: datasets.point_metadata(tables.beliefs(
 _register("baseline_classifier", lambda s, d: _long(datasets.embedding_beliefs(s, d), F.col("vec")).withColumn("value", F.round("value", 2) + 0.0))
 
 
+# -- profiles and sessions -----------------------------------------------------------------------
+
+
+def _cube(s: SparkSession, d: str) -> DataFrame:
+    """Points by class, predicted class and stability tag, at every level."""
+    points = _predicted(s, d).select("object_id", "label", "predicted_label").join(_stability(s, d).withColumn("tag", diagnostics.stability_tag(F.col("stability"))), "object_id")
+    return profiles.cube(points, ["label", "predicted_label", "tag"], "stability").withColumnRenamed("mean", "mean_stability").withColumn("mean_stability", result(F.col("mean_stability")))
+
+
+_TAG = "CASE WHEN stability >= 0.65 THEN 'invariant' WHEN stability >= 0.35 THEN 'moderate' ELSE 'sensitive' END"
+_register("diagnostics_cube", _cube, f"WITH {_PREDICTED}, {_STABILITY.removeprefix(f'WITH {BELIEFS.sql}, ')}, a AS (SELECT label, predicted_label, {_TAG} AS tag, stability FROM p JOIN t USING (object_id)) SELECT label, predicted_label, tag, CAST(GROUPING(label, predicted_label, tag) AS INTEGER) AS folded, count(*) AS n, {_r('avg(stability)')} AS mean_stability FROM a GROUP BY CUBE (label, predicted_label, tag)")
+
+DECILES = tuple(n / 10 for n in range(1, 10))
+
+
+def _quantiles(s: SparkSession, d: str) -> DataFrame:
+    """Deciles of events' values by type, and of all types from the same sketches, each held against the exact ranks."""
+    events = tables._read(s, d, "events")
+    by_type = profiles.sketches(events, ["event_type"], "value")
+    whole = profiles.merged(by_type).withColumn("event_type", F.lit("all"))
+    found = profiles.quantiles(by_type.unionByName(whole), DECILES)
+    rows = events.select(F.explode(F.array(F.col("event_type"), F.lit("all"))).alias("event_type"), "value")
+    return profiles.rank_errors(rows, found, ["event_type"], "value").select("event_type", "quantile", "n", (F.col("error") <= 0.01).alias("close"))
+
+
+_register("quantile_sketches", _quantiles, f"SELECT event_type, q AS quantile, n, true AS close FROM (SELECT coalesce(event_type, 'all') AS event_type, count(value) AS n FROM events GROUP BY ROLLUP (event_type)), (VALUES {', '.join(f'({q}::DOUBLE)' for q in DECILES)}) AS t(q)")
+
+
+def _drift(s: SparkSession, d: str) -> DataFrame:
+    """How far each session of a user lies from all sessions before it."""
+    found = composition.drift(composition.sessions(tables._read(s, d, "events"), EVENT_TYPES, "6 hours"), len(EVENT_TYPES))
+    return found.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "object_id", "n", "n_before", result(F.col("drift")).alias("drift"))
+
+
+_SESSION_COUNTS = ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS n{i}" for i, k in enumerate(EVENT_TYPES))
+_BEFORE = ", ".join(f"sum(n{i}) OVER w AS b{i}" for i in range(len(EVENT_TYPES)))
+_APART = " + ".join(f"(sqrt(n{i} / n) - sqrt(b{i} / before)) ** 2" for i in range(len(EVENT_TYPES)))
+_register("session_drift", _drift, f"""WITH g AS (SELECT *, coalesce(ts - lag(ts) OVER o > INTERVAL 6 HOUR, true)::INT AS begins FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
+i AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts) AS nth FROM g),
+c AS (SELECT user_id, min(ts) AS began, {_SESSION_COUNTS} FROM i GROUP BY user_id, nth), c2 AS (SELECT *, {' + '.join(f'n{i}' for i in range(len(EVENT_TYPES)))} AS n FROM c),
+b AS (SELECT *, sum(n) OVER w AS before, {_BEFORE} FROM c2 WHERE n > 0 WINDOW w AS (PARTITION BY user_id ORDER BY began ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT strftime(began, '%Y-%m-%d %H:%M:%S') AS session_start, user_id::VARCHAR AS object_id, n, coalesce(before, 0)::BIGINT AS n_before, {_r(f'CASE WHEN before > 0 THEN least(1.0, sqrt(({_APART}) / 2)) END')} AS drift FROM b""")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
