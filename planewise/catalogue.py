@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from planewise.functions import tables as table_functions
 from planewise.functions import vectors
 from planewise.functions.metrics import REGISTRY
-from planewise.operators import blocks, cells, diagnostics, moments, neighbors, pairs, profiles, projection, selection, times
+from planewise.operators import blocks, cells, diagnostics, moments, neighbors, ordered, pairs, profiles, projection, selection, times
 from planewise.operators.neighbors import result
 from planewise import plane_sql
 from planewise.plans import bases, catalog, rashomon, tours, transitions
@@ -677,6 +677,31 @@ b AS (SELECT *, sum(n) OVER w AS before, {_BEFORE} FROM c2 WHERE n > 0 WINDOW w
 SELECT strftime(began, '%Y-%m-%d %H:%M:%S') AS session_start, user_id::VARCHAR AS object_id, n, coalesce(before, 0)::BIGINT AS n_before, {_r(f'CASE WHEN before > 0 THEN least(1.0, sqrt(({_APART}) / 2)) END')} AS drift FROM b""")
 
 
+TREE_ROWS, TREE_FANOUT = 64, 16
+_TREE_COLUMNS = ["c_name", "c_nationkey", "c_mktsegment"]
+
+
+def _tree(s: SparkSession, d: str) -> DataFrame:
+    """Customers in the order of their keys, by blocks, with the digest over all."""
+    held = ordered.blocks(tables._read(s, d, "customer"), _TREE_COLUMNS, "c_custkey", TREE_ROWS)
+    return held.withColumn("root", F.lit(ordered.root(held, TREE_FANOUT).first()[0]))
+
+
+def _tree_changes(s: SparkSession, d: str) -> DataFrame:
+    """The blocks in which some customers moved to another nation, one is gone and one is new."""
+    now = tables._read(s, d, "customer")
+    key = F.col("c_custkey")
+    later = now.where(key != 100).withColumn("c_nationkey", F.when(key % 499 == 7, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")))
+    later = later.unionByName(now.where(key == 5).withColumn("c_custkey", F.lit(10**9).cast("long")))
+    return ordered.changed(*(ordered.blocks(t, _TREE_COLUMNS, "c_custkey", TREE_ROWS) for t in (now, later)))
+
+
+_TREE_TEXT = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ["c_custkey", *_TREE_COLUMNS])
+_TREE_LEVELS = ", ".join(f"l{i + 1} AS (SELECT block // {TREE_FANOUT} AS block, CASE WHEN (SELECT max(block) FROM l{i}) > 0 THEN sha256(string_agg(digest, '' ORDER BY block)) ELSE max(digest) END AS digest FROM l{i} GROUP BY 1)" for i in range(8))
+_register("order_tree", _tree, f"WITH r AS (SELECT c_custkey // {TREE_ROWS} AS block, c_custkey, sha256({_TREE_TEXT}) AS d FROM customer), l0 AS (SELECT block, count(*) AS n, sha256(string_agg(d, '' ORDER BY c_custkey)) AS digest FROM r GROUP BY 1), {_TREE_LEVELS} SELECT block, n, l0.digest, (SELECT sha256(digest) FROM l8) AS root FROM l0")
+_register("order_tree_changes", _tree_changes, f"WITH a AS (SELECT c_custkey // {TREE_ROWS} AS block, count(*) AS n_before, bool_or(c_custkey % 499 = 7 OR c_custkey = 100) AS differs, count(*) FILTER (WHERE c_custkey <> 100) AS n_after FROM customer GROUP BY 1) SELECT block, n_before, n_after FROM a WHERE differs UNION ALL SELECT {10**9 // TREE_ROWS}, NULL, count(*) FROM customer WHERE c_custkey = 5")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from planewise.conventions import RECORD_VERSION
 from planewise.errors import CompatibilityError
+from planewise.operators import ordered
 from planewise.plans.bases import text_hash
 from planewise.sources.bundle import content_hash
 
@@ -63,16 +64,18 @@ class InvestigationRecord:
 
 
 def hashes(points: DataFrame, features: list[str]) -> dict[str, str]:
-    """Hashes of the vectors, the ids in order and the features.
+    """Hashes of the vectors, the features and the ids in their order (``id_tree``, a tree over blocks of ``pos``), without a row on the driver."""
+    return {"matrix": content_hash(points.select("object_id", "vec")), "id_tree": ordered.root(ordered.blocks(points, ["object_id"])).first()[0], "features": text_hash(features)}
 
-    Ids are hashed in order on the driver as they stream in, one partition at a time.
-    """
-    ids = text_hash(r[0] for r in points.orderBy("pos").select("object_id").toLocalIterator())
-    return {"matrix": content_hash(points.select("object_id", "vec")), "object_ids": ids, "features": text_hash(features)}
 
+def check_replay(record: InvestigationRecord, now: dict[str, str], points: DataFrame | None = None) -> None:
+    """CompatibilityError unless the record was made from these vectors, ids and features.
 
-def check_replay(record: InvestigationRecord, now: dict[str, str]) -> None:
-    """CompatibilityError unless the record was made from these vectors, ids and features."""
+    Records that other tools wrote hold one running hash of the ids instead of a tree
+    (``object_ids``); for those only, the ids of ``points`` stream through the driver.
+    """
+    if "object_ids" in record.artifact_hashes and points is not None:
+        now = {**now, "object_ids": text_hash(r[0] for r in points.orderBy("pos").select("object_id").toLocalIterator())}
     for name, value in record.artifact_hashes.items():
         if now.get(name) != value:
             raise CompatibilityError(f"the record's {name} differ from the data's")

@@ -265,7 +265,7 @@ class Workbench:
     def pca(self, dataset: str, representation: str = "probability") -> bases.FittedView:
         d = self.dataset(dataset)
         basis, values = bases.pca(moments(self._points(dataset, representation), d.dimension))
-        return bases.FittedView("pca_corners", representation, basis, d.features, hashes(d.points, d.features)["object_ids"], [float(x) for x in values[:2]])
+        return bases.FittedView("pca_corners", representation, basis, d.features, hashes(d.points, d.features)["id_tree"], [float(x) for x in values[:2]])
 
     # -- records ----
 
@@ -293,7 +293,7 @@ class Workbench:
         """Restores a record's views if the data are those it was made from."""
         record = InvestigationRecord.from_json(text)
         d = self.dataset(record.bundle_id)
-        check_replay(record, hashes(d.points, d.features))
+        check_replay(record, hashes(d.points, d.features), d.points)
         self._saved |= {v.id: v for v in record.saved_views}
         return record
 
