@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from planewise.errors import BundleError, ImportValidationError
 from planewise.functions import vectors
-from planewise.sources import datasets, fixtures, generators, imports
+from planewise.sources import datasets, fixtures, generators, imports, populations
 from planewise.sources.bundle import BundleWriter, Manifest, RepresentationSpec, validate_bundle
 
-GENERATED = {"calibration": lambda s, n, seed: (fixtures.calibration(s), 3), "synthetic": lambda s, n, seed: (generators.synthetic(s, n, seed), 4), "apparel": lambda s, n, seed: (generators.apparel(s, n, seed), 10)}
+GENERATED = {
+    "calibration": lambda s, n, seed: (fixtures.calibration(s), 3), "synthetic": lambda s, n, seed: (generators.synthetic(s, n, seed), 4), "apparel": lambda s, n, seed: (generators.apparel(s, n, seed), 10),
+    "belief_world": lambda s, n, seed: (populations.belief_world(s, n, seed), 4), "apparel_world": lambda s, n, seed: (populations.apparel_world(s, n, seed), 10)}
 
 
 def session() -> SparkSession:
