@@ -453,20 +453,46 @@ def _catalog(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(rows, "view_id string, k int, x double, y double, misleading boolean, valid boolean")
 
 
-def _catalog_sql() -> str:
-    """The five views' bases; the bridge's comes from its seed alone."""
+def _views_sql() -> dict[str, str]:
+    """CTEs that end in ``pl(a, b)`` for each of the five views; the bridge comes from its seed alone."""
     bridge = bases.bridge_plane(10)
-    parts = {
+    return {
         "pca_corners": _axes_sql("v", 1), "minor_pca": _axes_sql("v", 3), "fisher_lda": _classes_sql("list_position(vec, list_max(vec))"),
         "collapsed_bridge": f"pl AS (SELECT {plane_sql.literal(bridge[:, 0])} AS a, {plane_sql.literal(bridge[:, 1])} AS b)", "entropy": _axes_sql("v", 2, "0.1"),
     }
+
+
+def _catalog_sql() -> str:
+    """The five views' bases."""
     one = lambda name, sql: f"SELECT '{name}' AS view_id, CAST(k - 1 AS INTEGER) AS k, {_r('a[k]')} AS x, {_r('b[k]')} AS y, {name == 'collapsed_bridge'} AS misleading, true AS valid FROM (WITH RECURSIVE {BELIEFS.sql}, {sql} SELECT a, b FROM pl), unnest(range(1, 11)) AS u(k)"
-    return " UNION ALL ".join(one(n, sql) for n, sql in parts.items())
+    return " UNION ALL ".join(one(n, sql) for n, sql in _views_sql().items())
 
 
 _register("projection_catalog", _catalog, _catalog_sql())
 
 
+def _catalog_stability(s: SparkSession, d: str) -> DataFrame:
+    """The share of each point's source neighbours that the catalogue's views keep, all views in one meeting of blocks."""
+    v, metric = tables.beliefs(s, d), REGISTRY.get("euclidean")
+    planes = [w.basis for w in catalog.catalog(v, 10).values()]
+    placed = blocks.placed(v, "vec", 10, metric, [tuple(projection.along_named("vec", b[:, i]) for i in (0, 1)) for b in planes])
+    scores = diagnostics.stability_of_blocks(blocks.neighbours(placed, 10, metric, len(planes), K, ranks=()), len(planes), K)
+    return scores.select("object_id", result(F.col("stability"), 4).alias("stability"), diagnostics.stability_tag(F.col("stability")).alias("tag"))
+
+
+def _catalog_stability_sql() -> str:
+    pool = " UNION ALL ".join(f"SELECT {n} AS pos, a, b FROM (WITH RECURSIVE {BELIEFS.sql}, {sql} SELECT a, b FROM pl)" for n, sql in enumerate(_views_sql().values()))
+    return f"""WITH {BELIEFS.sql}, pool AS ({pool}),
+sr AS (SELECT a.object_id AS i, b.object_id AS j, row_number() OVER (PARTITION BY a.object_id ORDER BY round(list_distance(a.vec, b.vec), 9), b.object_id) AS rh FROM v a, v b WHERE a.object_id <> b.object_id),
+xy AS (SELECT pos, object_id, list_dot_product(vec, a) AS x, list_dot_product(vec, b) AS y FROM v, pool),
+vr AS (SELECT a.object_id AS i, b.object_id AS j, row_number() OVER (PARTITION BY a.pos, a.object_id ORDER BY round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 9), b.object_id) AS rl FROM xy a JOIN xy b ON a.pos = b.pos AND a.object_id <> b.object_id),
+t AS (SELECT i AS object_id, sum((rh <= {K})::INT) / {float(K * len(_views_sql()))} AS stability FROM vr JOIN sr USING (i, j) WHERE rl <= {K} GROUP BY i)
+SELECT object_id, {_r('stability', 4)} AS stability, CASE WHEN stability >= 0.65 THEN 'invariant' WHEN stability >= 0.35 THEN 'moderate' ELSE 'sensitive' END AS tag FROM t"""
+
+
+_register("catalog_stability", _catalog_stability, _catalog_stability_sql())
+
+
 def _tour_sql(frames: int) -> str:
     """The tour's planes come from its seed alone; points are scaled, laid into them and fitted to the frame here."""
     planes = tours.grand_tour_bases(10, frames)
