@@ -1,10 +1,12 @@
-"""All pairs block by block: once each, spread over tasks, rounded without decimals."""
+"""All pairs block by block: once each, spread over tasks, rounded without decimals; neighbours of shares that repeat."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from planewise import catalogue
 from planewise.functions.metrics import REGISTRY
+from planewise.operators import blocks
 from planewise.operators.neighbors import result, result_of_pair
 from planewise.operators.pairs import pairs, space
 
@@ -28,3 +30,15 @@ def test_rounding_of_pairs(spark):
     values = some + (r.random(3000) * 4).tolist() + ((r.integers(0, 10**7, 3000) + 0.5) / 1e6).tolist()
     df = spark.createDataFrame([(v,) for v in values], "x double").select(result(F.col("x")).alias("a"), result_of_pair(F.col("x")).alias("b"))
     assert [str(a) for a, _ in df.collect()] == [str(b) for _, b in df.collect()]
+
+
+@pytest.mark.parametrize("name", ["knn_hellinger", "knn_euclidean", "knn_aitchison", "knn_jensen_shannon", "knn_aitchison_whole", "knn_jensen_shannon_whole"])
+def test_shares_that_repeat_are_measured_once(spark, tmp_path, monkeypatch, name):
+    """No task meets all copies with all copies; nearest are the copies of lowest id."""
+    for table, key, kind, kinds in (("orders", "o_custkey", "o_orderpriority", ("1-URGENT", "5-LOW")), ("events", "user_id", "event_type", ("click", "view"))):
+        spark.createDataFrame([(i, k) for i in range(90) for k in kinds[: 1 + i % 2]], f"{key} long, {kind} string").write.parquet(f"{tmp_path}/{table}.parquet")
+    monkeypatch.setattr(blocks, "neighbours", lambda *a, **b: pytest.fail("blocks of all points"))
+    near = {}
+    for r in catalogue.queries()[name](spark, str(tmp_path)).collect():
+        near.setdefault(int(r["src_id"][5:]), []).append((r["rank"], int(r["neighbor_id"][5:]), r["distance"]))
+    assert {i: sorted(v) for i, v in near.items()} == {i: [(n + 1, j, 0.0) for n, j in enumerate([j for j in range(i % 2, 90, 2) if j != i][:5])] for i in range(90)}
