@@ -66,3 +66,32 @@ def test_numbers_that_are_not_finite(bad):
     points.loc[3, "s1"] = bad
     found = [blocks._Meeting(m, 4, 1, 3).nearest(points, points, (0, 1), False) for m in (_plain("euclidean"), _plain("euclidean", key=None))]
     pd.testing.assert_frame_equal(*found)
+
+
+def test_counts_hold_few_candidates_and_windows(monkeypatch):
+    """Counts go by packed bytes and, in a plane, over a window: keys of all pairs were compared before."""
+    points, seen = _frame(6000, 7, 1, False), []
+    monkeypatch.setattr(blocks, "_counted", lambda chosen, f=blocks._counted: seen.append(chosen.size) or f(chosen))
+    meeting = blocks._Meeting(_plain("fisher_rao"), 7, 1, 5)
+    near = meeting.nearest(points[:200], points, (1,), False)
+    exact = blocks._Meeting(_plain("fisher_rao", key=None), 7, 1, 5).nearest(points[:200], points, (1,), False)
+    order = lambda x: x[["i", "j", "r1"]].sort_values(["i", "j"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(order(near), order(exact), check_dtype=False)
+    assert 0 < sum(seen) and blocks._counted(np.ones((3, 2 * blocks.LANES), bool)).tolist() == [2 * blocks.LANES] * 3
+
+
+def test_blocks_of_sums_meet_once(spark, monkeypatch):
+    """Distances are the same both ways, so sums need half of the pairs; all blocks met all before."""
+    monkeypatch.setattr(blocks, "RIGHT_ROWS", 40)
+    points, m = _frame(300, 4, 1, True), _plain("hellinger")
+    met = spark.sparkContext.accumulator(0)
+    whole, sums = blocks._Sums(m, 4), blocks._Sums.squares
+    monkeypatch.setattr(blocks._Sums, "squares", lambda self, a, b, twice=False: met.add(len(a) * len(b)) or sums(self, a, b, twice))
+    placed = spark.createDataFrame(points)
+    found = blocks.square_sums(placed, 4, m, 300).toPandas().sum()
+    assert met.value < 0.65 * 300 * 300
+    assert found.to_numpy() == pytest.approx(sums(whole, points, points).to_numpy()[0], rel=1e-10)
+    ratios = blocks.ratio_sums(placed, 4, m, 300, 1e-6).toPandas().sort_values("i")
+    plain = whole.ratios(points, points, 1e-6)
+    assert ratios["ratio"].to_numpy() == pytest.approx(plain.groupby("i")["ratio"].sum().to_numpy(), rel=1e-10)
+    assert ratios["n"].to_numpy().tolist() == plain.groupby("i")["n"].sum().tolist()
