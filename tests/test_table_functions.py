@@ -1,5 +1,8 @@
 """Table functions in SQL against the column builders and brute force."""
 
+from dataclasses import replace
+
+import numpy as np
 import pytest
 
 from planewise.functions import tables, vectors
@@ -39,3 +42,17 @@ def test_neighbours(spark, world, metric, sides):
         SELECT src_id, neighbor_id, row_number() OVER (PARTITION BY src_id ORDER BY round(distance, 9), neighbor_id) AS rank FROM n""").where(f"rank <= {K}").collect()
     want = knn(pairs(space(world, "vec", 3, REGISTRY.get(metric))), K).collect()
     assert sorted((r["src_id"], r["rank"], r["neighbor_id"]) for r in rows) == sorted((r["src_id"], r["rank"], r["neighbor_id"]) for r in want)
+
+
+def test_neighbours_measure_few_pairs():
+    """Keys rule pairs out; all 480,000 were measured before."""
+    measured, m = [], REGISTRY.get("aitchison")
+    counting = replace(m, block=lambda a, b: measured.append(np.broadcast(a[0], b[0]).size) or m.block(a, b))
+    points, calls = np.random.default_rng(3).dirichlet(np.ones(5), 1600).tolist(), {}
+    for name, metric in (("keyed", counting), ("plain", replace(m, key=None))):
+        call = calls[name] = tables.neighbours_of({"aitchison": metric})()
+        for n, vec in enumerate(points):
+            for lefts in (False, True)[: 1 + (n < 300)]:
+                call.eval({"object_id": f"p{n:05d}", "vec": vec, "lefts": lefts}, K, "aitchison")
+    assert sorted(calls["keyed"].terminate()) == sorted(calls["plain"].terminate())
+    assert sum(measured) < 100_000
