@@ -60,3 +60,17 @@ def test_trust_doesnt_take_all_measures_of_all_pairs(spark, monkeypatch):
     one = rashomon.trust_of(points, 3, planes)
     monkeypatch.setattr(blocks, "RIGHT_ROWS", 7)
     assert rashomon.trust_of(points, 3, planes) == one
+
+
+def test_many_limits_open_few_searches(monkeypatch):
+    """Keys of single precision left a part of the limits open in each chunk, and each own key opened its limit."""
+    points, planes, seen = _points(1500), [bases.haar(10, 2, s) for s in range(8)], []
+    monkeypatch.setattr(blocks, "_where", lambda x, f=blocks._where: seen.append(len(x)) or f(x))
+    task = blocks._Planes(REGISTRY.get("euclidean"), 10, planes, K)
+    right = points.sort_values("object_id")
+    rows, at, d = (np.concatenate(x, axis=-1) for x in zip(*task._near(points[:200], right), strict=True))
+    del seen[:]
+    keyed = task.meeting.keyed(points[:200], right)
+    got = keyed.before(0, rows, d[0], at)
+    assert sum(seen) < len(rows) / 5
+    assert got.tolist() == keyed.before(0, rows, d[0], at, np.zeros(len(rows), bool)).tolist()
